@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, line_dedup, packing, quality, sharding, simhash
+from . import decontam, fingerprints, license_scan, line_dedup, packing, quality, sharding, simhash
 from .common import table
 
 
@@ -14,6 +15,52 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), radius=2, shingle=3)
 
 
+#: documents as a tree of files: a directory for a source, a language, and 512 ids; every 16th is named as a licence file.
+PATH = """
+  coalesce(source, '') || CASE doc_id % 48
+    WHEN 0 THEN '/LICENSE-' || CAST(doc_id AS VARCHAR(20))
+    WHEN 16 THEN '/' || coalesce(lang, '') || '/LICENSE-' || CAST(doc_id AS VARCHAR(20))
+    WHEN 32 THEN '/' || coalesce(lang, '') || '/d' || CAST(CAST(floor(doc_id / 512) AS BIGINT) AS VARCHAR(20)) || '/LICENSE-' || CAST(doc_id AS VARCHAR(20))
+    ELSE '/' || coalesce(lang, '') || '/d' || CAST(CAST(floor(doc_id / 512) AS BIGINT) AS VARCHAR(20)) || '/f' || CAST(doc_id AS VARCHAR(20)) || '.txt'
+  END"""
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select(F.expr(PATH).alias("path"), "text")
+    found = license_scan.licenses(files)
+    return found.select(F.regexp_extract("path", r"(\d+)[^/]*$", 1).cast("long").alias("doc_id"), "*")
+
+
+def license_sql() -> str:
+    idf, other, weights = license_scan.weigh(license_scan.NOTICES)
+    rows = lambda found: ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE" for v in r) + ")" for r in found)
+    return f"""
+WITH files AS (SELECT doc_id, {PATH} AS path, text FROM documents),
+common(term, idf) AS (VALUES {rows(idf.items())}),
+weights(license_id, term, weight) AS (VALUES {rows(weights)}),
+lines AS (SELECT path, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT path, string_split(lower(text), chr(10)) AS l FROM files)),
+words AS (SELECT path, line_no, unnest(regexp_extract_all(line, '{license_scan.TERM}')) AS term FROM lines),
+terms AS (SELECT path, line_no, w.term, count(*) * coalesce(any_value(idf), {other!r}::DOUBLE) AS v
+          FROM words w LEFT JOIN common c ON c.term = w.term GROUP BY path, line_no, w.term),
+length AS (SELECT path, line_no, sqrt(sum(v * v)) AS n FROM terms GROUP BY path, line_no),
+scores AS (SELECT t.path, t.line_no, license_id, sum(v * weight) AS dot FROM terms t JOIN weights w ON w.term = t.term GROUP BY t.path, t.line_no, license_id),
+own AS (SELECT path, license_id, score FROM (
+          SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, license_id) AS k FROM (
+            SELECT s.path, license_id, round(max(dot / n), 6) AS score FROM scores s JOIN length l ON l.path = s.path AND l.line_no = s.line_no
+            GROUP BY s.path, license_id) WHERE score >= {license_scan.THRESHOLD}) WHERE k = 1),
+spoken AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, license_id, path) AS k FROM (
+          SELECT *, regexp_replace(path, '/[^/]*$', '') AS dir FROM own WHERE path LIKE '%/LICENSE-%')) WHERE k = 1),
+above AS (SELECT path, d, array_to_string(parts[1:d], '/') AS dir FROM (
+          SELECT path, parts, unnest(range(0, len(parts) + 1)) AS d FROM (
+            SELECT path, string_split(regexp_replace(path, '/[^/]*$', ''), '/') AS parts FROM files ANTI JOIN own USING (path)))),
+near AS (SELECT * FROM (SELECT a.path, s.license_id, s.score, s.path AS from_path, row_number() OVER (PARTITION BY a.path ORDER BY d DESC) AS k
+          FROM above a JOIN spoken s ON s.dir = a.dir) WHERE k = 1)
+SELECT f.doc_id, f.path, coalesce(o.license_id, n.license_id) AS license_id, coalesce(o.score, n.score) AS score,
+  CASE WHEN o.path IS NOT NULL THEN 'own' WHEN n.path IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN o.path IS NOT NULL THEN o.path ELSE n.from_path END AS from_path
+FROM files f LEFT JOIN own o ON o.path = f.path LEFT JOIN near n ON n.path = f.path"""
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +87,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_license_scan": op2_license_scan,
     "op3_quality": op3_quality,
     "op4_fingerprints": op4_fingerprints,
     "op6_decontamination": op6_decontamination,
@@ -47,4 +95,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_license_scan": license_sql(),
+}
