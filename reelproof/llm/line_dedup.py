@@ -20,10 +20,18 @@ UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, h1, h2) of each line that is not blank, white space at its ends removed."""
+    """(doc_id, line_no, line) of each line that is not blank, white space at its ends removed."""
     rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    rows = rows.withColumn("line", F.btrim("line", F.lit(BLANK))).filter("line <> ''")
-    return rows.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    return rows.withColumn("line", F.btrim("line", F.lit(BLANK))).filter("line <> ''")
+
+
+def first_lines(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, head, tail) of the first line of each text; head and tail hash its first and last words if it is long."""
+    rows = lines.withColumn("words", F.split("line", GAP))
+    end = lambda k, at: F.when(F.size("words") >= MIN_WORDS, F.xxhash64(F.lit(k), F.slice("words", at, END)))
+    rows = rows.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), end(0, 1).alias("head"), end(1, -END).alias("tail"))
+    first = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("l"), F.max("head").alias("head"), F.max("tail").alias("tail"))
+    return first.select("l.*", "head", "tail")
 
 
 def deletions(words: list[bytes]) -> tuple[list[int], np.ndarray]:
@@ -65,23 +73,19 @@ def variants(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line_no", "line").mapInArrow(each, "key long, at int, doc_id long, line_no int")
 
 
-def near_lines(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no) of the first lines of their texts that have an earlier line within one word.
+def near_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(doc_id, line_no) of the firsts (see first_lines) that have an earlier line within one word.
 
     Only lines that share their first or last words with a different line can be near one, so the rest emit nothing.
     Lines that share a variant cut at the same place, or of which one's variant is the other whole, are within the
     bound; so per variant the earliest of each kind is enough to find an earlier line for every other, and no group's
     pairs are formed. The words themselves are compared at the end.
     """
-    words = F.split("line", GAP)
-    long = lines.filter(F.size(words) >= MIN_WORDS)
-    ends = F.array(F.xxhash64(F.lit(0), F.slice(words, 1, END)), F.xxhash64(F.lit(1), F.slice(words, -END, END)))
-    ends = long.select("h1", "h2", F.explode(ends).alias("end"))
-    shared = ends.groupBy("end").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("end")
-    some = ends.join(shared, "end", "left_semi").select("h1", "h2").distinct()
-    first = long.join(some, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "line")).alias("l"))
-    first = saved(first.select("l.*"))
-    cuts = variants(first)
+    ends = firsts.filter("head IS NOT NULL").select("doc_id", "line_no", F.explode(F.array("head", "tail")).alias("end"))
+    shared = ends.groupBy("end").count().filter("count > 1").select("end")
+    some = ends.join(shared, "end", "left_semi").select("doc_id", "line_no").distinct()
+    first = saved(lines.join(some, ["doc_id", "line_no"], "left_semi"))
+    cuts = variants(first).repartition("key")  # the one exchange of the variants: counted and joined where they lie
     me = F.struct("doc_id", "line_no")
     group = cuts.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("at") < 0, me)).alias("whole"), F.min(F.when(F.col("at") >= 0, me)).alias("cut")).filter("n > 1")
     met = saved(cuts.join(group, "key"))
@@ -111,14 +115,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = lines_of(ids)
-    me = F.struct("doc_id", "line_no")
-    copies = lines.groupBy("h1", "h2").agg(F.min(me).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = lines.select("doc_id", "line_no", "h1", "h2").join(copies, ["h1", "h2"]).filter(me > F.col("first")).select("doc_id", "line_no")
-    gone = later.unionByName(near_lines(lines)).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
-    rows = docs.drop("lines_before", "lines_removed").join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
+    firsts = saved(first_lines(lines))
+    stay = firsts.select("doc_id", "line_no").join(near_lines(lines, firsts), ["doc_id", "line_no"], "left_anti")
+    stay = stay.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_stay"))
+    rows = docs.drop("lines_before", "lines_removed").join(stay, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
     rows = rows.withColumn("_lines", F.split("text", "\n", -1))
-    all_lines = F.col("_lines")
-    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_gone")))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(all_lines, i)), "\n"))
-    rows = rows.withColumns({"lines_before": F.coalesce(F.size(all_lines), F.lit(0)), "lines_removed": F.coalesce(F.size("_gone"), F.lit(0)), "text": text}).drop("_gone", "_lines")
+    blank = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.btrim(F.get("_lines", i), F.lit(BLANK)) == "")
+    rows = rows.withColumn("_kept", F.array_sort(F.array_union(blank, F.coalesce("_stay", F.array().cast("array<int>")))))
+    keep = F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.size("_kept") < F.size("_lines"))
+    text = F.when(keep, F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n")).otherwise(F.col("text"))
+    gone = F.when(keep, F.size("_lines") - F.size("_kept")).otherwise(F.lit(0))
+    rows = rows.withColumns({"lines_before": F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")), "lines_removed": gone, "text": text}).drop("_kept", "_lines", "_stay")
     return rows.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("long")) if "n_chars" in rows.columns else rows
