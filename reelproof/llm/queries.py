@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, html_extract, license_scan, line_dedup, packing, quality, sharding, simhash
+from . import decontam, fingerprints, html_extract, license_scan, line_dedup, lm, packing, quality, sharding, simhash
 from .common import table
 
 
@@ -77,6 +77,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), 16)
 
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_html_extraction": op5_html_extraction,
     "op6_decontamination": op6_decontamination,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
