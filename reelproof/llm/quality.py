@@ -152,3 +152,23 @@ def scored(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
     return found.withColumn("held_out", held_out(F.col("doc_id"))).mapInPandas(each, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def kept(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of docs, all columns as they are, that the model takes for label 1 (see scored): score 0.5 or more.
+
+    Texts are measured and judged where they lie, so only the labelled sample's statistics move. Columns of any name
+    are kept; a table without rows stays so.
+    """
+    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter(~held_out(F.col("doc_id")) & F.col("quality").isNotNull())
+    ids = ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # `rows` rows at most
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    model = fitted(saved(measured(some)), labels, rows)
+    at = docs.columns.index("text")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array([statistics(t.as_py() or b"") for t in b.column(at).cast(pa.binary())], np.float32).reshape(len(b), len(STATISTICS))
+            yield b.filter(pa.array(model.score(x.astype(np.float64)) >= 0.5))
+
+    return docs.mapInArrow(each, docs.schema)

@@ -26,7 +26,7 @@ def brute(docs):
         for line in t.split("\n"):
             own = line.strip(" \t\r\x0b\x0c")
             words = own.split()
-            gone = own and any(o == own or min(len(w), len(words)) >= 10 and abs(len(w) - len(words)) < 2 and distance(w, words) <= 1 for o, w in seen)
+            gone = own and any(o == own or min(len(w), len(words)) >= 10 and abs(len(w) - len(words)) < 2 and (w[:4] == words[:4] or w[-4:] == words[-4:]) and distance(w, words) <= 1 for o, w in seen)
             if not gone:
                 stay.append(line)
             if own:
