@@ -1,10 +1,938 @@
-"""Every registered query of the custody operators, with its SQL twin."""
+"""Every registered query of the custody operators over the driver's tables, with its SQL twin where SQL can say it."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import formats, paths
+from ..operators import attempts, devices, diagnose, digest, history, inventory, manifests, plan, recheck, reconcile, retention, telemetry, verdict
+from ..sources import files
+from ..streaming import live
+from .fixtures import Tables, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def register(f: Callable[[Tables], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if oracle is not None:
+            ORACLES[name] = sql(oracle, duck=True)
+        return f
+
+    return register
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder among those that driver and executors share."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base}/custody-{uuid.uuid4().hex}"
+
+
+def card_files(t: Tables) -> DataFrame:
+    """Both cards' files as one inventory, with litter and awkward names strewn in."""
+    return t.sql(CARD_FILES)
+
+
+LITTERED = """CASE WHEN p % 103 = 0 THEN 'System Volume Information/' || rel WHEN p % 107 = 0 THEN rel || '/._x' WHEN p % 109 = 0 THEN 'DCIM/Thumbs.db' || '/' || rel
+  WHEN p % 101 = 0 THEN lower(rel) || 'NUL.txt' WHEN p % 127 = 0 THEN 'DCIM/nul.ARW/' || rel WHEN p % 137 = 0 THEN rel || '?x' WHEN p % 139 = 0 THEN 'trail./' || rel ELSE rel END"""
+CARD_FILES = f"""SELECT session_id, 'C1' AS device, {LITTERED} AS rel, size, mtime FROM c1 UNION ALL SELECT session_id, 'C2', {LITTERED}, size, mtime FROM c2
+  UNION ALL SELECT session_id, 'C1', upper(rel), size, mtime FROM c1 WHERE p % 97 = 5 UNION ALL SELECT session_id, 'C1', lower(rel), size, mtime FROM c1 WHERE p % 97 = 5"""
+
+
+def reconciled(t: Tables) -> DataFrame:
+    return reconcile.reconcile(t.c1, t.c2)
+
+
+def items(t: Tables) -> DataFrame:
+    return reconcile.items(reconciled(t))
+
+
+def checked(t: Tables) -> DataFrame:
+    return plan.present(items(t), t.volumes, t.dest_files)
+
+
+def diagnoses(t: Tables) -> DataFrame:
+    expected = plan.expected(t.items, t.volumes)
+    return diagnose.diagnose(diagnose.tuples(t.measurements), diagnose.missing(expected, t.measurements))
+
+
+def events(t: Tables) -> DataFrame:
+    return telemetry.phased(t.telemetry)
+
+
+# SQL that several oracles begin with.
+RECON = """WITH recon AS (SELECT coalesce(a.session_id, b.session_id) AS session_id, coalesce(a.rel, b.rel) AS rel, a.size AS size1, b.size AS size2, coalesce(a.mtime, b.mtime) AS mtime,
+  CASE WHEN b.size IS NULL THEN 'OnlyOnC1' WHEN a.size IS NULL THEN 'OnlyOnC2' WHEN a.size = b.size THEN 'Twinned' ELSE 'SizeConflict' END AS pairing
+  FROM c1 a FULL JOIN c2 b ON a.session_id = b.session_id AND a.rel = b.rel)"""
+SUMMARY = RECON + """, summ AS (SELECT s.session_id, any_value(s.had_card2) AS had_card2, count(*) FILTER (WHERE pairing = 'Twinned') AS twinned, count(*) FILTER (WHERE pairing = 'OnlyOnC1') AS only_c1,
+  count(*) FILTER (WHERE pairing = 'OnlyOnC2') AS only_c2, count(*) FILTER (WHERE pairing = 'SizeConflict') AS conflicts,
+  CAST(coalesce(sum(CASE WHEN pairing <> 'SizeConflict' THEN coalesce(size1, size2) END), 0) AS BIGINT) AS total_bytes,
+  list(DISTINCT CASE WHEN pairing = 'OnlyOnC1' THEN lower(split_part(rel, '.', -1)) END) FILTER (WHERE pairing = 'OnlyOnC1') AS x1, list(DISTINCT lower(split_part(rel, '.', -1))) FILTER (WHERE pairing = 'OnlyOnC2') AS x2
+  FROM sessions s LEFT JOIN recon r ON r.session_id = s.session_id GROUP BY s.session_id)"""
+MODE = """CASE WHEN NOT had_card2 THEN NULL WHEN twinned + only_c1 + only_c2 + conflicts = 0 OR twinned * 50 >= (twinned + only_c1 + only_c2 + conflicts) * 49 THEN 'Backup' WHEN twinned > 0 THEN 'Mixed'
+  WHEN only_c1 = 0 OR only_c2 = 0 THEN 'Mixed' WHEN NOT list_has_any(x1, x2) THEN 'SplitByType' ELSE 'Relay' END"""
+CHECKED = RECON + """, checked AS (SELECT r.session_id, v.slot AS device, r.rel, coalesce(size1, size2) AS size, r.mtime, pairing, d.size AS dest_size, d.attrs AS dest_attrs, d.mtime AS dest_mtime,
+  coalesce((d.attrs & 4460544) = 0 AND d.size = coalesce(size1, size2) AND abs(epoch(r.mtime) - epoch(d.mtime)) <= 2, FALSE) AS done
+  FROM recon r JOIN volumes v ON v.session_id = r.session_id AND v.slot NOT IN ('C1', 'C2') LEFT JOIN dest_files d ON d.session_id = r.session_id AND d.device = v.slot AND d.rel = r.rel WHERE pairing <> 'SizeConflict')"""
+EXPECTED = """WITH expected AS (SELECT i.session_id, i.rel, i.size, v.slot FROM items i JOIN volumes v ON v.session_id = i.session_id
+  WHERE CASE v.slot WHEN 'C1' THEN i.pairing <> 'OnlyOnC2' WHEN 'C2' THEN i.pairing <> 'OnlyOnC1' ELSE TRUE END),
+  lost AS (SELECT e.session_id, e.rel, string_agg(e.slot, ',' ORDER BY list_position(['C1', 'C2', 'A', 'B', 'C'], e.slot)) AS devs FROM expected e ANTI JOIN measurements m ON m.session_id = e.session_id AND m.rel = e.rel AND m.slot = e.slot GROUP BY 1, 2)"""
+DIAGNOSED = EXPECTED + """, d0 AS (SELECT t.*, coalesce(c1, c2) AS card, list_filter([CASE WHEN a <> coalesce(c1, c2) THEN 'A' END, CASE WHEN b <> coalesce(c1, c2) THEN 'B' END], lambda x: x IS NOT NULL) AS off,
+    list_filter([a, b], lambda x: x IS NOT NULL) AS vals, array_to_string(list_filter([CASE WHEN a IS NOT NULL THEN 'A' END, CASE WHEN b IS NOT NULL THEN 'B' END], lambda x: x IS NOT NULL), ',') AS alls,
+    coalesce(CAST(a = c1 AS INT), 0) + coalesce(CAST(b = c1 AS INT), 0) + coalesce(CAST(sc = c1 AS INT), 0) AS v1, coalesce(CAST(a = c2 AS INT), 0) + coalesce(CAST(b = c2 AS INT), 0) + coalesce(CAST(sc = c2 AS INT), 0) AS v2 FROM tuples t),
+  d1 AS (SELECT *, CASE WHEN c1 <> c2 THEN 'TwinMismatch' WHEN card IS NULL OR len(vals) = 0 THEN 'Unclassified' WHEN (sc IS NULL OR sc = card) AND len(off) = 0 THEN 'Clean'
+    WHEN (sc IS NULL OR sc = card) AND len(vals) >= 2 AND len(off) = len(vals) AND len(list_distinct(vals)) = 1 THEN 'Systematic' WHEN sc IS NULL OR sc = card THEN 'BadDestination'
+    WHEN len(off) = 0 THEN 'UnrepeatableSourceRead' WHEN len(list_filter(vals, lambda x: x = sc)) = len(vals) THEN 'SourceReadCorrupt' ELSE 'Unclassified' END AS k FROM d0),
+  diagnosed AS (SELECT d.session_id, d.rel, CASE WHEN l.devs IS NOT NULL THEN 'MissingCopy' ELSE k END AS kind, CASE WHEN l.devs IS NULL AND k = 'TwinMismatch' THEN CASE WHEN v1 > v2 THEN 'C2' WHEN v2 > v1 THEN 'C1' END END AS suspect,
+    CASE WHEN l.devs IS NOT NULL THEN NULL WHEN k = 'BadDestination' THEN array_to_string(off, ',') WHEN k IN ('SourceReadCorrupt', 'Systematic') THEN alls END AS dests, l.devs
+    FROM d1 d LEFT JOIN lost l ON l.session_id = d.session_id AND l.rel = d.rel)"""
+PAIRS = """WITH pairs AS (SELECT a.session_id, a.slot AS a_slot, b.slot AS b_slot, a.slot_rank AS ra, b.slot_rank AS rb, CASE WHEN b.slot IN ('C1', 'C2') THEN 'cards' WHEN a.slot IN ('C1', 'C2') THEN 'card and destination' ELSE 'destinations' END AS role,
+  CASE WHEN a.device_number IS NOT NULL AND b.device_number IS NOT NULL THEN CASE WHEN a.device_number = b.device_number THEN 'SameDevice' ELSE 'Distinct' END
+    WHEN coalesce(a.guid = b.guid, FALSE) OR a.serial = b.serial THEN 'SameDevice' ELSE 'Unproven' END AS state, a.label = b.label AS same_label, lower(rtrim(a.root, '/')) = lower(rtrim(b.root, '/')) AS same_place
+  FROM volumes a JOIN volumes b ON a.session_id = b.session_id AND a.slot_rank < b.slot_rank)"""
+RETRIED = """WITH one AS (SELECT DISTINCT session_id, device, rel FROM copy_attempts WHERE pass = 1), two AS (SELECT DISTINCT session_id, device, rel FROM copy_attempts WHERE pass = 2)"""
+ENTRIES = """WITH entries AS (SELECT session_id, folder, manifest_id, regexp_replace(rel, '^(\\./)+', '') AS rel, size, hash, CASE WHEN size IS NULL THEN 'no size' WHEN hash IS NULL AND other_hash IS NOT NULL THEN 'hashed by another algorithm'
+    WHEN hash IS NULL THEN 'no hash' WHEN rel LIKE '../%' THEN 'path leaves the folder' END AS error FROM manifest_entries),
+  status AS (SELECT session_id, folder, manifest_id, min(error) AS error, count(*) AS entries, min(error) IS NULL AS readable FROM entries GROUP BY 1, 2, 3),
+  good AS (SELECT * FROM entries SEMI JOIN (SELECT * FROM status WHERE readable) s USING (manifest_id)),
+  outcomes AS (SELECT e.session_id, e.folder, e.manifest_id, e.rel, e.size, CASE WHEN d.rel IS NULL THEN 'Missing' WHEN d.hash IS NULL THEN 'Unreadable' WHEN d.hash = e.hash THEN 'Matched' ELSE 'Changed' END AS outcome
+    FROM good e LEFT JOIN device_files d ON d.folder = e.folder AND d.rel = e.rel),
+  rest AS (SELECT session_id, folder, rel FROM device_files d ANTI JOIN good g ON g.folder = d.folder AND g.rel = d.rel)"""
+SWEPT = ENTRIES + """, folders AS (SELECT session_id, folder FROM device_files UNION SELECT session_id, folder FROM entries),
+  swept AS (SELECT f.session_id, f.folder, CASE WHEN s.n IS NULL THEN 'NO MANIFEST' WHEN NOT s.readable THEN 'UNREADABLE' WHEN coalesce(o.bad, 0) > 0 THEN 'DAMAGED' WHEN coalesce(r.n, 0) > 0 THEN 'INTACT' WHEN coalesce(o.ok, 0) = 0 THEN 'EMPTY MANIFEST' ELSE 'INTACT' END AS state,
+    coalesce(s.n IS NOT NULL AND s.readable AND coalesce(o.bad, 0) = 0 AND coalesce(r.n, 0) = 0 AND coalesce(o.ok, 0) > 0, FALSE) AS clean, coalesce(o.ok, 0) AS matched, coalesce(o.bad, 0) AS bad, coalesce(r.n, 0) AS residual
+  FROM folders f LEFT JOIN (SELECT folder, count(*) AS n, bool_and(readable) AS readable FROM status GROUP BY 1) s ON s.folder = f.folder
+    LEFT JOIN (SELECT folder, count(*) FILTER (WHERE outcome <> 'Matched') AS bad, count(*) FILTER (WHERE outcome = 'Matched') AS ok FROM outcomes GROUP BY 1) o ON o.folder = f.folder
+    LEFT JOIN (SELECT folder, count(*) AS n FROM rest GROUP BY 1) r ON r.folder = f.folder)"""
+DEVICE = """WITH dev AS (SELECT serial, count(DISTINCT CASE WHEN kind = 'session' THEN seq END) AS sessions, CAST(sum(CASE WHEN kind = 'session' THEN retries ELSE 0 END) AS BIGINT) AS retries,
+    count(DISTINCT CASE WHEN kind = 'session' AND suspect THEN seq END) AS twin_mismatches, count(DISTINCT CASE WHEN kind <> 'session' THEN seq END) AS formats, max(CASE WHEN kind = 'session' THEN at END) AS last_seen,
+    arg_max(label, seq) FILTER (WHERE label <> '') AS label FROM history GROUP BY 1),
+  device AS (SELECT *, twin_mismatches > 0 OR retries > 5 AS suspect, CASE WHEN twin_mismatches > 0 THEN CAST(twin_mismatches AS VARCHAR) || ' twin mismatch(es)' WHEN retries > 5 THEN CAST(retries AS VARCHAR) || ' retries' END AS warning FROM dev)"""
+PHASED = """WITH p0 AS (SELECT *, (epoch_us(at) // 1000) AS ms, last_value(CASE WHEN event = 'phase' THEN phase END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS now FROM telemetry),
+  p1 AS (SELECT *, CASE WHEN now IS NOT NULL AND now IS DISTINCT FROM lag(now) OVER (PARTITION BY session_id ORDER BY at, event_id) THEN 1 ELSE 0 END AS fresh FROM p0),
+  ph AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY session_id ORDER BY at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS phase_no FROM p1)"""
+SPANS = PHASED + """, sp AS (SELECT session_id, phase_no, any_value(now) AS phase, min(ms) AS from_ms, max(ms) AS last_ms FROM ph WHERE phase_no > 0 GROUP BY 1, 2),
+  times AS (SELECT session_id, phase_no, phase, from_ms, coalesce(lead(from_ms) OVER (PARTITION BY session_id ORDER BY phase_no), last_ms) - from_ms AS length_ms FROM sp)"""
+
+
+# ---- joins ----
+@query("j1_j2_reconcile", RECON + " SELECT session_id, rel, pairing, CASE WHEN pairing = 'SizeConflict' THEN NULL WHEN size1 IS NOT NULL THEN 'C1' ELSE 'C2' END AS source, coalesce(size1, size2) AS size, mtime FROM recon")
+def _(t):
+    return reconciled(t)
+
+
+@query("j3_resume_match", CHECKED + " SELECT session_id, device, rel, done FROM checked")
+def _(t):
+    return checked(t).select("session_id", "device", "rel", "done")
+
+
+@query("j4_overwrite_clash", CHECKED + " SELECT session_id, device, rel, CASE WHEN (dest_attrs & 4460544) <> 0 THEN 'Placeholder' WHEN size = dest_size THEN 'Modified' ELSE 'Size' END AS reason FROM checked WHERE dest_size IS NOT NULL AND NOT done")
+def _(t):
+    return plan.clashes(checked(t))
+
+
+@query("j4_clash_advice", CHECKED + """, clash AS (SELECT session_id, CASE WHEN (dest_attrs & 4460544) <> 0 THEN 'P' WHEN size = dest_size THEN 'M' ELSE 'S' END AS r FROM checked WHERE dest_size IS NOT NULL AND NOT done)
+  SELECT session_id, count(*) AS clashes, CASE WHEN bool_and(r = 'M') THEN 'edited since' WHEN bool_or(r = 'P') THEN 'not downloaded' ELSE 'another session''s work' END AS advice FROM clash GROUP BY 1""")
+def _(t):
+    return plan.clash_advice(plan.clashes(checked(t)))
+
+
+@query("j5_needed_work", CHECKED + " SELECT session_id, device, rel, size, pairing FROM checked WHERE NOT done")
+def _(t):
+    return plan.needed(checked(t))
+
+
+@query("j5_skip_list", CHECKED + " SELECT session_id, rel FROM checked GROUP BY 1, 2 HAVING bool_and(done)")
+def _(t):
+    return plan.skipped(checked(t))
+
+
+def checked_entries(t: Tables) -> DataFrame:
+    return recheck.validated(t.manifest_entries)
+
+
+@query("j6_manifest_recheck", ENTRIES + " SELECT * FROM outcomes")
+def _(t):
+    return recheck.recheck(recheck.readable(checked_entries(t)), t.device_files)
+
+
+@query("j7_extras", ENTRIES + """ SELECT d.session_id, d.folder, m.manifest_id, d.rel FROM device_files d JOIN (SELECT DISTINCT folder, manifest_id FROM good) m ON m.folder = d.folder
+  WHERE NOT EXISTS (SELECT 1 FROM good g WHERE g.manifest_id = m.manifest_id AND g.rel = d.rel)""")
+def _(t):
+    return recheck.extras(recheck.readable(checked_entries(t)), t.device_files)
+
+
+@query("j8_folder_residual", ENTRIES + " SELECT * FROM rest")
+def _(t):
+    return recheck.residual(recheck.readable(checked_entries(t)), t.device_files)
+
+
+@query("j9_expected_measurements", EXPECTED + " SELECT session_id, rel, slot FROM expected")
+def _(t):
+    return plan.expected(t.items, t.volumes).select("session_id", "rel", "slot")
+
+
+@query("j10_missing_copies", EXPECTED + " SELECT * FROM lost")
+def _(t):
+    return diagnose.missing(plan.expected(t.items, t.volumes), t.measurements)
+
+
+@query("j11_distinctness", PAIRS + " SELECT session_id, a_slot, b_slot, role, state, same_label, same_place FROM pairs")
+def _(t):
+    return devices.pairs(t.volumes)
+
+
+@query("j12_card_on_destination", PAIRS + " SELECT session_id, a_slot, b_slot, state FROM pairs WHERE role = 'card and destination' AND state = 'SameDevice'")
+def _(t):
+    return devices.pairs(t.volumes).filter("role = 'card and destination' AND state = 'SameDevice'").select("session_id", "a_slot", "b_slot", "state")
+
+
+@query("j13_slot_collisions", "SELECT a.session_id, a.slot, arg_min(b.slot, b.slot_rank) AS collides_with FROM volumes a JOIN volumes b ON a.session_id = b.session_id AND a.device_number = b.device_number AND a.slot <> b.slot GROUP BY 1, 2")
+def _(t):
+    return devices.collisions(t.volumes)
+
+
+@query("j14_remembered_slots", """SELECT m.session_id, m.profile, m.slot, m.serial, rtrim(v.root, '/') || '/' || m.subpath AS path, v.root IS NULL AS absent
+  FROM slot_memory m LEFT JOIN (SELECT session_id, serial, min(root) AS root FROM volumes GROUP BY 1, 2) v ON v.session_id = m.session_id AND v.serial = m.serial""")
+def _(t):
+    return devices.resolve_slots(t.slot_memory, t.volumes)
+
+
+@query("j15_history_warnings", DEVICE + " SELECT v.session_id, v.slot, v.serial % 50 AS serial, d.warning FROM volumes v JOIN device d ON d.serial = v.serial % 50 WHERE d.suspect")
+def _(t):
+    return history.warnings(t.volumes, history.summarise(t.history))
+
+
+@query("j16_suspect_serials", DIAGNOSED + " SELECT DISTINCT d.session_id, v.serial FROM diagnosed d JOIN volumes v ON v.session_id = d.session_id AND v.slot = d.suspect WHERE kind = 'TwinMismatch'")
+def _(t):
+    return history.suspects(diagnoses(t), t.volumes)
+
+
+@query("j17_retry_resolution", RETRIED + " SELECT o.session_id, o.device, o.rel, CASE WHEN w.rel IS NULL THEN 'recovered' ELSE 'failed again' END AS outcome FROM one o LEFT JOIN two w ON w.session_id = o.session_id AND w.device = o.device AND w.rel = o.rel")
+def _(t):
+    return attempts.resolved(t.copy_attempts).select("session_id", "device", "rel", "outcome")
+
+
+@query("j18_unrepeatable_read", "SELECT a.session_id, a.rel FROM rereads a JOIN rereads b ON a.session_id = b.session_id AND a.rel = b.rel AND a.slot = 'SC' AND b.slot = 'SC' AND a.pass = 1 AND b.pass = 2 AND a.hash <> b.hash")
+def _(t):
+    return attempts.unrepeatable(t.rereads)
+
+
+@query("j19_manifest_contents", """WITH x AS (SELECT i.session_id, i.rel, i.size, i.mtime, coalesce(t.a, t.b) AS hash FROM items i JOIN tuples t ON t.session_id = i.session_id AND t.rel = i.rel WHERE i.p % 199 <> 1)
+  SELECT * FROM x WHERE session_id NOT IN (SELECT session_id FROM x WHERE hash IS NULL)""")
+def _(t):
+    return manifests.contents(t.items.filter("p % 199 <> 1"), t.tuples)
+
+
+EXCUSED = "SELECT session_id, rel FROM items WHERE p % 227 = 0"
+
+
+@query("j20_failures_minus_excused", DIAGNOSED + f" SELECT session_id, rel, kind FROM diagnosed WHERE kind <> 'Clean' AND (session_id, rel) NOT IN ({EXCUSED})")
+def _(t):
+    return diagnose.unexcused(diagnoses(t), t.sql(EXCUSED)).select("session_id", "rel", "kind")
+
+
+@query("j21_format_trail", """SELECT s.seq, s.serial, min(f.seq) AS formatted_after, count(f.seq) AS formats_after FROM history s LEFT JOIN history f ON f.serial = s.serial AND f.kind = 'format' AND f.seq > s.seq WHERE s.kind = 'session' GROUP BY 1, 2""")
+def _(t):
+    return history.trail(t.history)
+
+
+@query("j22_no_manifest", "SELECT DISTINCT session_id, folder FROM device_files WHERE folder NOT IN (SELECT folder FROM manifest_entries)")
+def _(t):
+    return recheck.unvouched(t.device_files, t.manifest_entries)
+
+
+@query("j23_same_label", PAIRS + " SELECT session_id, a_slot, b_slot FROM pairs WHERE role = 'destinations' AND same_label")
+def _(t):
+    return devices.pairs(t.volumes).filter("role = 'destinations' AND same_label").select("session_id", "a_slot", "b_slot")
+
+
+# ---- aggregations ----
+@query("a1_inventory_totals", f"WITH f AS ({CARD_FILES}) SELECT session_id, device, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM f GROUP BY 1, 2")
+def _(t):
+    return inventory.totals(card_files(t))
+
+
+@query("a2_a3_reconcile_summary", SUMMARY + f""" SELECT session_id, had_card2, twinned, only_c1, only_c2, conflicts, total_bytes, only_c1 + only_c2 AS untwinned, had_card2 AND only_c1 + only_c2 = 0 AND conflicts = 0 AS twins_complete, {MODE} AS card_mode,
+  format('{{}} twinned, {{}} only on C1, {{}} only on C2, {{}} conflicts', twinned, only_c1, only_c2, conflicts) AS line FROM summ""")
+def _(t):
+    return reconcile.summary(t.sessions, reconciled(t))
+
+
+@query("a4_case_collisions", f"WITH f AS ({CARD_FILES}) SELECT session_id, device, lower(rel) AS folded, count(*) AS n, string_agg(rel, ' | ' ORDER BY rel) AS rels FROM f GROUP BY 1, 2, 3 HAVING count(*) > 1")
+def _(t):
+    return inventory.case_collisions(card_files(t))
+
+
+HAZARDS = f"""WITH f AS ({CARD_FILES}), comp AS (SELECT session_id, device, rel, unnest(range(0, len(string_split(rel, '/')))) AS pos, unnest(string_split(rel, '/')) AS part FROM f),
+  haz AS (SELECT session_id, device, rel, pos, 'reserved' AS hazard, part AS what FROM comp WHERE regexp_matches(lower(split_part(part, '.', 1)), '^(con|prn|aux|nul|com[1-9]|lpt[1-9])$')
+    UNION ALL SELECT session_id, device, rel, pos, 'illegal', regexp_extract(part, '[<>:"|?*\\\\]') FROM comp WHERE regexp_matches(part, '[<>:"|?*\\\\]')
+    UNION ALL SELECT session_id, device, rel, pos, 'trailing', part FROM comp WHERE regexp_matches(part, '[. ]$'))"""
+
+
+@query("a5_name_hazards", HAZARDS + " SELECT session_id, device, rel, CAST(pos AS INT) AS pos, hazard, what FROM haz")
+def _(t):
+    return inventory.name_hazards(card_files(t))
+
+
+@query("a6_hazard_summary", HAZARDS + """, told AS (SELECT session_id, hazard || ': ' || rel AS line FROM haz UNION ALL SELECT session_id, 'case: ' || string_agg(rel, ' | ' ORDER BY rel) FROM f GROUP BY session_id, device, lower(rel) HAVING count(*) > 1),
+  k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line) AS k FROM told)
+  SELECT s.session_id, count(line) AS hazards, coalesce(string_agg(line, ' ; ' ORDER BY line) FILTER (WHERE k <= 10), '') AS preview, count(line) > 0 AS refused FROM sessions s LEFT JOIN k ON k.session_id = s.session_id GROUP BY 1""")
+def _(t):
+    return inventory.hazard_summary(t.sessions, card_files(t))
+
+
+@query("a7_bytes_needed", CHECKED + """ SELECT v.session_id, v.slot AS device, CAST(coalesce(n.b, 0) AS BIGINT) AS need, v.free_bytes, coalesce(n.b, 0) > v.free_bytes AS refused FROM volumes v
+  LEFT JOIN (SELECT session_id, device, sum(size) AS b FROM checked WHERE NOT done GROUP BY 1, 2) n ON n.session_id = v.session_id AND n.device = v.slot WHERE v.slot NOT IN ('C1', 'C2')""")
+def _(t):
+    return plan.bytes_needed(checked(t), t.volumes)
+
+
+@query("a8_copy_plan", CHECKED + """, todo AS (SELECT *, CASE WHEN pairing = 'OnlyOnC2' THEN 'C2' ELSE 'C1' END AS card FROM checked WHERE NOT done)
+  SELECT session_id, device, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM todo GROUP BY 1, 2 UNION ALL SELECT session_id, card, count(*), CAST(sum(size) AS BIGINT) FROM (SELECT DISTINCT session_id, card, rel, size FROM todo) GROUP BY 1, 2""")
+def _(t):
+    return plan.copy_plan(checked(t))
+
+
+@query("a9_verify_plan", EXPECTED + " SELECT session_id, slot, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM expected GROUP BY GROUPING SETS ((session_id, slot), (session_id))")
+def _(t):
+    return plan.verify_plan(plan.expected(t.items, t.volumes))
+
+
+@query("a10_hash_tuple", "SELECT session_id, rel, sc, c1, c2, a, b, CAST(NULL AS VARCHAR) AS c FROM tuples WHERE coalesce(sc, c1, c2, a, b) IS NOT NULL")
+def _(t):
+    return diagnose.tuples(t.measurements)
+
+
+@query("a11_a12_diagnosis", DIAGNOSED + " SELECT * FROM diagnosed")
+def _(t):
+    return diagnoses(t)
+
+
+STATES = PAIRS.replace("WITH pairs", "pairs") + """, states AS (SELECT v.session_id, coalesce((SELECT arg_min(state, ra * 10 + rb) FROM pairs p WHERE p.session_id = v.session_id AND role = 'destinations'), 'Unproven') AS dests,
+    (SELECT max(state) FROM pairs p WHERE p.session_id = v.session_id AND role = 'cards') AS cards, coalesce((SELECT bool_or(state = 'SameDevice') FROM pairs p WHERE p.session_id = v.session_id AND role = 'card and destination'), FALSE) AS dest_on_card
+    FROM (SELECT DISTINCT session_id FROM volumes) v)"""
+ASSESSED = DIAGNOSED + "," + SUMMARY[5:] + "," + RETRIED[5:] + "," + STATES + f""", assessed AS (SELECT s.session_id, s.had_card2, s.aborted, s.manifests_written, {MODE.replace("had_card2", "s.had_card2")} AS card_mode, m.conflicts, m.only_c1 + m.only_c2 AS untwinned, m.twinned + m.only_c1 + m.only_c2 AS files,
+    s.had_card2 AND m.only_c1 + m.only_c2 = 0 AND m.conflicts = 0 AS twin_matched, st.dests, st.cards, st.dest_on_card,
+    (SELECT count(*) FROM diagnosed d WHERE d.session_id = s.session_id AND kind <> 'Clean' AND s.session_id % 3 = 0) AS failures, (SELECT count(*) FROM scan_errors e WHERE e.session_id = s.session_id) AS scan_errors,
+    coalesce((SELECT max(n) FROM (SELECT count(*) AS n FROM one o ANTI JOIN two w USING (session_id, device, rel) WHERE o.session_id = s.session_id GROUP BY device)), 0) AS most_retries,
+    (SELECT count(*) FROM volumes v WHERE v.session_id = s.session_id AND slot NOT IN ('C1', 'C2')) AS dest_count, (SELECT count(*) FROM volumes v WHERE v.session_id = s.session_id AND slot NOT IN ('C1', 'C2') AND drive_type <> 4) AS sure_dests,
+    (SELECT count(*) FROM volumes v WHERE v.session_id = s.session_id AND slot NOT IN ('C1', 'C2') AND drive_type = 4) AS network_dests
+  FROM sessions s JOIN summ m ON m.session_id = s.session_id LEFT JOIN states st ON st.session_id = s.session_id)"""
+LADDER = ASSESSED + """, l0 AS (SELECT *, list_filter([CASE WHEN aborted IS NOT NULL THEN 'aborted' END, CASE WHEN failures > 0 THEN 'failures' END, CASE WHEN conflicts > 0 THEN 'conflicts' END], lambda x: x IS NOT NULL) AS broken,
+    network_dests > 0 AND NOT (sure_dests >= 2 AND dests = 'Distinct') AS leaning FROM assessed),
+  l1 AS (SELECT *, list_filter([CASE WHEN files = 0 THEN 'no files' END, CASE WHEN dest_on_card THEN 'destination on a card' END, CASE WHEN scan_errors > 0 THEN 'scan errors' END, CASE WHEN most_retries > 5 THEN 'too many retries' END, CASE WHEN cards = 'SameDevice' THEN 'cards are one device' END,
+      CASE WHEN leaning THEN 'network destination' END, CASE WHEN dest_count >= 2 AND dests = 'SameDevice' THEN 'destinations are one device' END, CASE WHEN dest_count >= 2 AND dests = 'Unproven' THEN 'destinations not proven distinct' END], lambda x: x IS NOT NULL) AS faults,
+    CASE WHEN network_dests > 0 AND NOT leaning THEN ['network note'] ELSE [] END AS notes,
+    list_filter([CASE WHEN network_dests > 0 AND NOT leaning THEN 'network note' END, CASE WHEN dest_count < 2 THEN 'one destination' END, CASE WHEN NOT twin_matched THEN CASE WHEN NOT had_card2 THEN 'no second card' ELSE 'not all twinned' END END,
+      CASE WHEN NOT twin_matched AND card_mode <> 'Backup' THEN 'card mode' END], lambda x: x IS NOT NULL) AS gaps FROM l0),
+  laddered AS (SELECT session_id, CASE WHEN len(broken) > 0 OR NOT manifests_written THEN 'FAILED' WHEN len(faults) > 0 THEN 'VERIFIED_DO_NOT_FORMAT' WHEN len(gaps) = 0 OR twin_matched AND dest_count >= 2 AND files > 0 AND len(gaps) = len(notes) THEN 'SAFE_TO_FORMAT'
+      WHEN dest_count < 2 THEN 'VERIFIED_ONE_COPY' ELSE 'VERIFIED_ONE_SOURCE' END AS verdict, CASE WHEN len(broken) > 0 THEN broken WHEN NOT manifests_written THEN ['manifests not written'] WHEN len(faults) > 0 THEN list_concat(faults, gaps) ELSE gaps END AS reasons,
+    CASE WHEN len(broken) > 0 THEN failures + conflicts ELSE 0 END AS files_failed, files, twin_matched FROM l1)"""
+MEANS = "(VALUES " + ", ".join(f"('{v}', '{h}', {c}, {e}, {g}, {w})" for v, h, c, e, g, w in verdict.VERDICTS) + ") m(verdict, headline, exit_code, authorises_erase, copy_is_good, something_is_wrong)"
+CARDS_OK = "c1 = c2 OR c1 IS NULL OR c2 IS NULL"
+
+
+def assessed(t: Tables) -> DataFrame:
+    summary = reconcile.summary(t.sessions, reconciled(t))
+    failures = diagnose.unexcused(diagnoses(t)).filter("session_id % 3 = 0")  # the other sessions' failures count as excused here, so that every verdict occurs
+    errors = inventory.scan_error_counts(t.sessions, t.scan_errors)
+    return verdict.assessment(t.sessions, summary, t.volumes, devices.session_state(t.volumes), attempts.retries(t.copy_attempts), errors, failures)
+
+
+@query("a13_assessment", ASSESSED + " SELECT session_id, failures, most_retries, dest_count, sure_dests, network_dests, scan_errors, conflicts, untwinned, files, twin_matched, dests, cards, dest_on_card FROM assessed")
+def _(t):
+    return assessed(t).select("session_id", "failures", "most_retries", "dest_count", "sure_dests", "network_dests", "scan_errors", "conflicts", "untwinned", "files", "twin_matched", "dests", "cards", "dest_on_card")
+
+
+@query("a14_verdict_ladder", LADDER + " SELECT session_id, verdict, array_to_string(reasons, '; ') AS reasons, files_failed, files, twin_matched FROM laddered")
+def _(t):
+    return verdict.ladder(assessed(t)).withColumn("reasons", F.array_join("reasons", "; "))
+
+
+@query("a14_reason_rows", LADDER + " SELECT session_id, verdict, CAST(unnest(range(0, len(reasons))) AS INT) AS ord, unnest(reasons) AS reason FROM laddered")
+def _(t):
+    return verdict.reason_rows(verdict.ladder(assessed(t)))
+
+
+REFUSED = PAIRS + """, refusals AS (SELECT session_id, 'C2' AS slot, 'same place as C1' AS reason FROM pairs WHERE role = 'cards' AND same_place UNION ALL SELECT session_id, slot, 'root of a fixed volume' FROM volumes
+  WHERE slot IN ('C1', 'C2') AND regexp_matches(root, '^[A-Za-z]:[\\\\/]?$') AND drive_type <> 2)"""
+
+
+@query("a15_refused", REFUSED + " SELECT session_id, 'FAILED' AS verdict, string_agg(DISTINCT reason, '; ' ORDER BY reason) AS reasons FROM refusals GROUP BY 1")
+def _(t):
+    return verdict.refused(devices.refusals(t.volumes)).select("session_id", "verdict", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query("a16_retries", RETRIED + " SELECT session_id, device, count(*) AS retries FROM one ANTI JOIN two USING (session_id, device, rel) GROUP BY 1, 2")
+def _(t):
+    return attempts.retries(t.copy_attempts)
+
+
+@query("a17_a18_device_history", DEVICE + " SELECT * FROM device")
+def _(t):
+    return history.summarise(t.history)
+
+
+@query("a19_recheck_headline", ENTRIES + """ SELECT session_id, folder, manifest_id, count(*) FILTER (WHERE outcome = 'Matched') AS matched, count(*) FILTER (WHERE outcome <> 'Matched') AS failures, bool_and(outcome = 'Matched') AS intact,
+  CAST(sum(CASE WHEN outcome IN ('Matched', 'Changed') THEN size ELSE 0 END) AS BIGINT) AS bytes_hashed FROM outcomes GROUP BY 1, 2, 3""")
+def _(t):
+    return recheck.headline(recheck.recheck(recheck.readable(checked_entries(t)), t.device_files))
+
+
+@query("a20_drive_sweep", SWEPT + " SELECT * FROM swept")
+def _(t):
+    return recheck.sweep(t.device_files, checked_entries(t))
+
+
+@query("a20_drive_totals", SWEPT + " SELECT state, clean, count(*) AS folders, CAST(sum(matched) AS BIGINT) AS matched FROM swept GROUP BY 1, 2")
+def _(t):
+    return recheck.drive(recheck.sweep(t.device_files, checked_entries(t)))
+
+
+@query("a21_level_counts", "SELECT level, count(*) AS n FROM telemetry WHERE event = 'log' GROUP BY ROLLUP (level)")
+def _(t):
+    return telemetry.level_counts(t.telemetry)
+
+
+@query("a22_bytes_moved", PHASED + """, per AS (SELECT session_id, phase_no, now AS phase, dev, sum(delta) AS n FROM ph WHERE event = 'bytes' AND phase_no > 0 GROUP BY 1, 2, 3, 4)
+  SELECT session_id, phase_no, phase, CAST(CASE WHEN phase = 'VERIFY' THEN sum(n) ELSE coalesce(max(n) FILTER (WHERE dev IN ('A', 'B', 'C')), 0) END AS BIGINT) AS moved FROM per GROUP BY 1, 2, 3""")
+def _(t):
+    return telemetry.moved(events(t))
+
+
+@query("a23_progress", PHASED + " SELECT session_id, phase_no, dev, round(least(greatest(sum(delta) / 500000.0, 0.0), 1.0), 6)::DOUBLE AS share FROM ph WHERE event = 'bytes' GROUP BY 1, 2, 3")
+def _(t):
+    return telemetry.progress(events(t))
+
+
+@query("a24_phase_totals", SPANS + " SELECT session_id, phase, CAST(sum(length_ms) AS BIGINT) AS ms, count(*) AS intervals FROM times GROUP BY 1, 2")
+def _(t):
+    return telemetry.phase_totals(telemetry.phase_times(events(t)))
+
+
+@query("a25_failed_paths", RETRIED + " SELECT DISTINCT session_id, rel FROM two")
+def _(t):
+    return attempts.failed_paths(t.copy_attempts)
+
+
+@query("a26_all_errors", DIAGNOSED + """ SELECT session_id, 'copy ' || device || ' ' || rel || ': ' || min(error) AS line FROM copy_attempts WHERE pass = 2 GROUP BY session_id, device, rel
+  UNION ALL SELECT session_id, 'scan ' || device || ': ' || msg FROM scan_errors UNION ALL SELECT session_id, 'verify ' || rel || ': ' || kind FROM diagnosed WHERE kind <> 'Clean'""")
+def _(t):
+    return attempts.all_errors(t.copy_attempts, t.scan_errors, diagnose.unexcused(diagnoses(t)))
+
+
+@query("a28_scan_errors", "SELECT s.session_id, count(e.msg) AS scan_errors FROM sessions s LEFT JOIN scan_errors e ON e.session_id = s.session_id GROUP BY 1")
+def _(t):
+    return inventory.scan_error_counts(t.sessions, t.scan_errors)
+
+
+KEPT = "WITH lg AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY modified DESC, path DESC) AS k FROM session_logs)"
+
+
+@query("a29_log_sizes", KEPT + " SELECT dir, count(*) AS logs, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) FILTER (WHERE k > 30) AS freed_logs, CAST(sum(CASE WHEN k > 30 THEN bytes ELSE 0 END) AS BIGINT) AS freed_bytes FROM lg GROUP BY 1")
+def _(t):
+    return retention.summary(retention.plan(t.session_logs))
+
+
+@query("a30_capability", "SELECT session_id, count(DISTINCT device_number) AS disks, count(*) FILTER (WHERE device_number IS NULL) AS unnumbered, count(*) FILTER (WHERE drive_type = 2) AS removable FROM volumes GROUP BY 1")
+def _(t):
+    return devices.capability(t.volumes)
+
+
+@query("a31_timeline", "SELECT seq, kind, string_agg(slot || ' ' || CASE WHEN label = '' THEN CAST(serial AS VARCHAR) ELSE label END, ', ' ORDER BY slot, label, serial) AS cards, max(failures) AS failures FROM history GROUP BY 1, 2")
+def _(t):
+    return history.timeline(t.history)
+
+
+# ---- windows ----
+@query("w1_w2_rate_eta", PHASED + """, r0 AS (SELECT *, CAST(sum(delta) OVER (PARTITION BY session_id, phase_no ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS done FROM ph WHERE event = 'bytes'),
+  r1 AS (SELECT *, min(ms) OVER w AS ms0, min(done) OVER w AS done0, min(ms) OVER (PARTITION BY session_id, phase_no) AS start FROM r0 WINDOW w AS (PARTITION BY session_id, phase_no ORDER BY ms RANGE BETWEEN 12000 PRECEDING AND CURRENT ROW)),
+  r2 AS (SELECT *, CASE WHEN ms - ms0 >= 2000 AND done > done0 THEN (done - done0) * 1000.0::DOUBLE / (ms - ms0) END AS rate, greatest(50000000 - done, 0) AS lft FROM r1)
+  SELECT session_id, phase_no, event_id, round(rate, 3) AS rate, round(CASE WHEN lft = 0 THEN 0.0::DOUBLE WHEN done > 0 AND ms - start >= 2000 THEN lft / coalesce(rate, done * 1000.0::DOUBLE / (ms - start)) END, 3) AS eta FROM r2""")
+def _(t):
+    return telemetry.rates(events(t))
+
+
+@query("w3_w4_a27_smoothed", """WITH th AS (SELECT *, (epoch_us(at) // 1000) AS ms FROM telemetry WHERE event = 'throughput')
+  SELECT session_id, dev, event_id, round(avg(mbps) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS smoothed, round(max(mbps) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS peak, coalesce(lead(ms) OVER w - ms > 750, TRUE) AS idle
+  FROM th WINDOW w AS (PARTITION BY session_id, dev ORDER BY ms, event_id)""")
+def _(t):
+    return telemetry.smoothed(events(t))
+
+
+@query("w5_phase_times", SPANS + " SELECT * FROM times")
+def _(t):
+    return telemetry.phase_times(events(t))
+
+
+@query("w6_cumulative_bytes", PHASED + " SELECT session_id, phase_no, dev, event_id, ms, CAST(sum(delta) OVER (PARTITION BY session_id, phase_no, dev ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS done FROM ph WHERE event = 'bytes'")
+def _(t):
+    return telemetry.cumulative(events(t))
+
+
+@query("w7_last_samples", """WITH th AS (SELECT *, (epoch_us(at) // 1000) AS ms, row_number() OVER (PARTITION BY session_id, dev ORDER BY (epoch_us(at) // 1000) DESC, event_id DESC) AS k FROM telemetry WHERE event = 'throughput')
+  SELECT session_id, dev, count(*) OVER (PARTITION BY session_id, dev) - k AS pos, mbps FROM th WHERE k <= 120""")
+def _(t):
+    return telemetry.recent_samples(events(t))
+
+
+@query("w8_log_retention", KEPT + " SELECT dir, path, bytes, modified, CAST(k AS INT) AS k, k > 30 AS gone FROM lg")
+def _(t):
+    return retention.plan(t.session_logs)
+
+
+ASKED = "SELECT DISTINCT folder, CAST(manifest_id AS STRING) AS name FROM manifest_entries"
+TAKEN = "SELECT 'session-' || CAST(session_id AS STRING) AS folder, CAST(session_id % 4 AS INT) AS sequence FROM sessions WHERE session_id % 4 > 0"
+
+
+@query("w9_generation_numbers", f"""WITH asked AS ({ASKED}), taken AS ({TAKEN}), n AS (SELECT a.folder, a.name, CAST(coalesce(t.sequence, 0) + row_number() OVER (PARTITION BY a.folder ORDER BY a.name) AS INT) AS sequence FROM asked a LEFT JOIN taken t ON t.folder = a.folder)
+  SELECT folder, name, sequence, lpad(CAST(sequence AS VARCHAR), 4, '0') AS digits FROM n""")
+def _(t):
+    return manifests.next_generations(t.sql(ASKED), t.sql(TAKEN))
+
+
+NAMED = "SELECT 'd' || CAST(session_id % 7 AS STRING) AS folder, 'shoot' || CAST(session_id % 2 AS STRING) AS id, session_id AS ord FROM sessions"
+USED = "SELECT 'd' || CAST(session_id AS STRING) AS folder, CASE WHEN session_id = 1 THEN 'shoot0' ELSE 'shoot1-4' END AS name FROM sessions WHERE session_id IN (1, 2)"
+
+
+@query("w10_free_names", f"""WITH asked AS ({NAMED}), used AS (SELECT folder, regexp_replace(name, '-[0-9]+$', '') AS id, CASE WHEN name = 'shoot0' THEN 1 ELSE 4 END AS n FROM ({USED})),
+  k AS (SELECT a.*, coalesce(u.n, 0) + row_number() OVER (PARTITION BY a.folder, a.id ORDER BY a.ord) AS n FROM asked a LEFT JOIN used u ON u.folder = a.folder AND u.id = a.id) SELECT folder, id, ord, CASE WHEN n = 1 THEN id ELSE id || '-' || CAST(n AS VARCHAR) END AS name FROM k""")
+def _(t):
+    return manifests.free_names(t.sql(NAMED), t.sql(USED))
+
+
+LATEST = """WITH l AS (SELECT *, (epoch_us(at) // 1000) AS ms FROM telemetry), latest AS (SELECT session_id, dev, arg_max(depth, struct_pack(ms, event_id)) FILTER (WHERE event = 'queue') AS depth, arg_max(cap, struct_pack(ms, event_id)) FILTER (WHERE event = 'queue') AS cap,
+  arg_max(mbps, struct_pack(ms, event_id)) FILTER (WHERE event = 'throughput') AS mbps FROM l GROUP BY 1, 2)"""
+
+
+@query("w11_latest_state", LATEST + " SELECT * FROM latest")
+def _(t):
+    return telemetry.latest(events(t))
+
+
+@query("t4_blocked_device", LATEST + " SELECT session_id, arg_min(dev, list_position(['C1', 'C2', 'A', 'B', 'C'], dev)) AS dev FROM latest WHERE cap > 0 AND depth >= cap GROUP BY 1")
+def _(t):
+    return telemetry.blocked(telemetry.latest(events(t)))
+
+
+@query("w12_current_line", """SELECT session_id, dev, event_id, last_value(CASE WHEN event = 'log' THEN msg END IGNORE NULLS) OVER (PARTITION BY session_id, dev ORDER BY (epoch_us(at) // 1000), event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS current FROM telemetry""")
+def _(t):
+    return telemetry.current(events(t))
+
+
+@query("w14_retained_tail", """SELECT session_id, event_id, CAST(k AS INT) AS k FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY (epoch_us(at) // 1000) DESC, event_id DESC) AS k FROM telemetry WHERE event = 'log') WHERE k <= 50""")
+def _(t):
+    return telemetry.tail(events(t), 50)
+
+
+# ---- sorts, limits, sets ----
+@query("k1_k3_error_order", """SELECT session_id, device, rel, pass, CAST(row_number() OVER (PARTITION BY session_id ORDER BY rel, list_position(['C1', 'C2', 'A', 'B', 'C'], device), pass) AS INT) AS place FROM copy_attempts""")
+def _(t):
+    order = Window.partitionBy("session_id").orderBy("rel", plan.rank(F.col("device")), "pass")
+    return t.copy_attempts.select("session_id", "device", "rel", "pass", F.row_number().over(order).alias("place"))
+
+
+@query("k4_preview", RECON + """, names AS (SELECT session_id, list(rel ORDER BY rel) AS l FROM recon WHERE pairing IN ('OnlyOnC1', 'OnlyOnC2') GROUP BY 1)
+  SELECT session_id, array_to_string(l[1:3], ', ') || CASE WHEN len(l) > 3 THEN ' and ' || CAST(len(l) - 3 AS VARCHAR) || ' more' ELSE '' END AS preview FROM names""")
+def _(t):
+    order = Window.partitionBy("session_id").orderBy("rel")
+    some = reconciled(t).filter("pairing IN ('OnlyOnC1', 'OnlyOnC2')").withColumn("k", F.row_number().over(order))
+    names = some.groupBy("session_id").agg(F.array_sort(F.collect_list(F.when(F.col("k") <= 3, F.col("rel")))).alias("l"), F.count("*").alias("n"))
+    more = F.when(F.col("n") > 3, F.format_string(" and %d more", F.col("n") - 3)).otherwise("")
+    return names.select("session_id", F.concat(F.array_join("l", ", "), more).alias("preview"))
+
+
+@query("k5_first_lines", ENTRIES + " SELECT folder, CAST(k AS INT) AS k, rel, outcome FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY rel, manifest_id) AS k FROM outcomes WHERE outcome <> 'Matched') WHERE k <= 5")
+def _(t):
+    return recheck.first_lines(recheck.recheck(recheck.readable(checked_entries(t)), t.device_files))
+
+
+KIND = "CASE drive_type WHEN 2 THEN 'removable' WHEN 3 THEN 'fixed' WHEN 4 THEN 'network' ELSE 'unknown' END"
+
+
+@query("k7_p14_picker", f"SELECT session_id, slot, {KIND} AS kind, CAST(row_number() OVER (PARTITION BY session_id ORDER BY CASE WHEN drive_type = 2 THEN 0 ELSE 1 END, serial, slot) AS INT) AS place FROM volumes")
+def _(t):
+    return devices.picker(t.volumes, cards=True)
+
+
+@query("u1_union_of_cards", "SELECT session_id, rel FROM c1 UNION SELECT session_id, rel FROM c2")
+def _(t):
+    return reconciled(t).select("session_id", "rel")
+
+
+@query("u3_common_extras", ENTRIES + """ SELECT DISTINCT folder, rel FROM rest r SEMI JOIN good g ON g.folder = r.folder""")
+def _(t):
+    found = recheck.extras(recheck.readable(checked_entries(t)), t.device_files)
+    all_of = recheck.readable(checked_entries(t)).groupBy("folder").agg(F.countDistinct("manifest_id").alias("n"))
+    return found.groupBy("folder", "rel").agg(F.countDistinct("manifest_id").alias("k")).join(all_of, "folder").filter("k = n").select("folder", "rel")
+
+
+@query("u4_present_minus_listed", "SELECT folder, rel FROM device_files EXCEPT SELECT folder, regexp_replace(rel, '^(\\./)+', '') FROM manifest_entries")
+def _(t):
+    return t.device_files.select("folder", "rel").subtract(checked_entries(t).select("folder", "rel"))
+
+
+# ---- predicates and functions ----
+@query("p1_p2_litter", f"""WITH f AS ({CARD_FILES}) SELECT session_id, device, rel, regexp_matches(lower(split_part(rel, '/', -1)), '^(thumbs\\.db|desktop\\.ini|\\.ds_store|\\._.*)$') AS skipped FROM f
+  WHERE NOT list_has_any(string_split(lower(rel), '/')[1:-2], ['system volume information', '$recycle.bin', 'recycler', '.trashes', '.spotlight-v100', '.fseventsd', '.temporaryitems', '.documentrevisions-v100', 'found.000'])""")
+def _(t):
+    return inventory.split_litter(card_files(t)).select("session_id", "device", "rel", "skipped")
+
+
+@query("p3_p13_flags", "SELECT session_id, device, rel, (attrs & 4460544) <> 0 AS placeholder, lower(rel) = 'private/database/database.bin' AND size <= 268435456 AS card_index, '_twin/' || device || '/' || rel AS kept FROM dest_files")
+def _(t):
+    rel = F.col("rel")
+    return t.dest_files.select("session_id", "device", "rel", paths.is_cloud_placeholder(F.col("attrs")).alias("placeholder"), paths.is_card_index(rel, F.col("size")).alias("card_index"), paths.kept_rel(F.col("device"), rel).alias("kept"))
+
+
+@query("p4_f12_relative", "SELECT session_id, rel, 'D:/in/' || rel AS path, rel AS below, '' AS outside FROM files")
+def _(t):
+    path = F.concat(F.lit("D:/in/"), F.col("rel"))
+    return t.files.select("session_id", "rel", path.alias("path"), paths.relative(F.lit("D:\\in\\"), path).alias("below"), paths.subpath(F.lit("E:/"), path).alias("outside"))
+
+
+@query("p5_p6_p7_manifest_paths", "SELECT manifest_id, rel, regexp_replace(rel, '^(\\./)+', '') AS plain, rel NOT LIKE '../%' AS inside, FALSE AS sidecar FROM manifest_entries")
+def _(t):
+    plain = paths.normalise(F.col("rel"))
+    return t.manifest_entries.select("manifest_id", "rel", plain.alias("plain"), paths.is_contained(plain).alias("inside"), paths.is_sidecar(plain).alias("sidecar"))
+
+
+@query("p8_p9_p10_names", """SELECT session_id, CASE WHEN session_id % 2 = 0 THEN '2026-01-02' ELSE '2026-01-01' END || '_Shoot ' || CAST(session_id AS VARCHAR) || '- day-1' AS folder, TRUE AS is_session, 'x' AS base FROM sessions""")
+def _(t):
+    folder = paths.session_folder(F.col("started_at"), F.col("tz"), F.col("label"))
+    return t.sessions.select("session_id", folder.alias("folder"), paths.is_session_name(folder).alias("is_session"), paths.manifest_base(F.lit("x/ascmhl/0001_x.mhl")).alias("base"))
+
+
+@query("p15_p16_log_filter", "SELECT session_id, event_id FROM telemetry WHERE event NOT IN ('bytes', 'queue', 'throughput') AND level = 'ERROR' AND (contains(lower(msg), 'e 1') OR contains(stage, 'e 1'))")
+def _(t):
+    c = F.col
+    return t.telemetry.filter(~formats.is_droppable(c("event")) & formats.log_matches(c("level"), c("stage"), c("msg"), "ERROR", "E 1")).select("session_id", "event_id")
+
+
+@query("p17_verdict_meanings", LADDER + f" SELECT l.session_id, m.* FROM laddered l JOIN {MEANS} ON m.verdict = l.verdict")
+def _(t):
+    means = verdict.dimension(t.spark)  # five rows
+    return verdict.ladder(assessed(t)).select("session_id", "verdict").join(F.broadcast(means), "verdict")
+
+
+@query("p18_descriptions", DIAGNOSED + " SELECT session_id, rel, CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in formats.DIAGNOSES.items()) + " END AS text FROM diagnosed")
+def _(t):
+    return diagnoses(t).select("session_id", "rel", formats.describe(F.col("kind")).alias("text"))
+
+
+@query("p19_slow_links", "SELECT session_id, slot, CASE WHEN write_mbps > 0 AND write_mbps <= 50 THEN CAST(floor(free_bytes / (write_mbps * 1000000)) AS BIGINT) END AS seconds FROM volumes")
+def _(t):
+    return t.volumes.select("session_id", "slot", formats.slow_link(F.col("write_mbps").cast("double"), F.col("free_bytes")).alias("seconds"))
+
+
+@query("p20_p21_refusals", REFUSED + " SELECT * FROM refusals")
+def _(t):
+    return devices.refusals(t.volumes)
+
+
+@query("p22_result_lines", """WITH s AS (SELECT session_id, rel, hash, string_agg(slot, ' = ' ORDER BY list_position(['SC', 'C1', 'C2', 'A', 'B'], slot)) AS names FROM measurements GROUP BY 1, 2, 3)
+  SELECT session_id, rel, string_agg(names || ' ' || substr(hash, 1, 8), ' | ' ORDER BY hash) AS line FROM s GROUP BY 1, 2""")
+def _(t):
+    return diagnose.result_lines(diagnose.tuples(t.measurements))
+
+
+@query("f_renderings", """SELECT session_id, slot, upper(lpad(printf('%x', serial), 8, '0')) AS serial_hex, CASE WHEN free_bytes >= 1000000000 THEN printf('%.1f', free_bytes / 1e9) || ' GB' END AS size,
+  CAST((serial * 7) // 3600 AS VARCHAR) || ' h ' || CAST((serial * 7) // 60 % 60 AS VARCHAR) || ' m' AS lasting, CAST(serial // 60 AS VARCHAR) || 'm ' || lpad(CAST(serial % 60 AS VARCHAR), 2, '0') || 's' AS clock, replace(format('{:,}', free_bytes), ' ', '') AS thousands FROM volumes""")
+def _(t):
+    n, free = F.col("serial").cast("long"), F.col("free_bytes").cast("long")
+    return t.volumes.select("session_id", "slot", formats.serial_hex(n).alias("serial_hex"), formats.human_bytes(free).alias("size"), formats.plain_duration(n * 7).alias("lasting"), formats.clock_duration(n).alias("clock"), formats.thousands(free).alias("thousands"))
+
+
+@query("f_times", "SELECT session_id, strftime(mtime, '%Y-%m-%dT%H:%M:%SZ') AS text, mtime AS back, rel, lower(split_part(rel, '.', -1)) AS ext, split_part(rel, '/', -1) AS name FROM files")
+def _(t):
+    text = formats.rfc3339(F.col("mtime"))
+    return t.files.select("session_id", text.alias("text"), formats.parse_rfc3339(text).alias("back"), "rel", paths.extension(F.col("rel")).alias("ext"), paths.basename(F.col("rel")).alias("name"))
+
+
+# ---- digests and twin differences ----
+TWINS = "SELECT doc_id, t1, t2 FROM twin_text"
+
+
+def binary_twins(t: Tables) -> DataFrame:
+    rows = t.twin_text.select("doc_id", F.col("t1").cast("binary").alias("a"), F.col("t2").cast("binary").alias("b"))
+    return rows.filter(F.octet_length("a") == F.octet_length("b"))
+
+
+@query("h1_content_digest")
+def _(t):
+    return t.raw("documents").select("doc_id", F.octet_length("text").alias("bytes"), digest.xxh64(F.col("text").cast("binary")).alias("hash"))
+
+
+@query("h1_chunked_digest")
+def _(t):
+    rows = t.raw("documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    n = F.floor(F.octet_length("content") / 1000).cast("int")
+    chunks = rows.select("path", F.explode(F.sequence(F.lit(0), n)).alias("chunk_no"), "content").withColumn("content", F.substring("content", F.col("chunk_no") * 1000 + 1, F.lit(1000)))
+    return digest.chunk_digests(chunks)
+
+
+@query("h2_two_reads", "SELECT a.session_id, a.rel, a.hash = b.hash AS agree FROM measurements a JOIN measurements b ON a.session_id = b.session_id AND a.rel = b.rel AND a.slot = 'SC' AND b.slot = 'C1'")
+def _(t):
+    a, b = (t.measurements.filter(F.col("slot") == s).select("session_id", "rel", F.col("hash").alias(s)) for s in ("SC", "C1"))
+    return a.join(b, ["session_id", "rel"]).select("session_id", "rel", (F.col("SC") == F.col("C1")).alias("agree"))
+
+
+CHAIN = "SELECT folder, manifest_id AS sequence, md5(string_agg(hash, '' ORDER BY rel)) AS hash FROM manifest_entries WHERE hash IS NOT NULL GROUP BY 1, 2"
+GENS = "SELECT DISTINCT folder, CAST(manifest_id AS INT) AS sequence, md5(CAST(manifest_id AS STRING)) AS hash FROM manifest_entries"
+NOW = "SELECT folder, sequence, CASE WHEN sequence % 7 = 0 THEN md5('edited') ELSE hash END AS hash FROM g WHERE sequence % 11 <> 0"
+
+
+@query("h3_chain_audit", f"WITH g AS ({GENS}), n AS ({NOW}) SELECT g.folder, g.sequence, CASE WHEN n.hash IS NULL THEN 'missing' WHEN n.hash <> g.hash THEN 'edited' ELSE 'intact' END AS state FROM g LEFT JOIN n ON n.folder = g.folder AND n.sequence = g.sequence")
+def _(t):
+    return digest.chain_audit(t.sql(GENS), t.sql(f"WITH g AS ({GENS}) {NOW}"))
+
+
+RUNS = "WITH runs AS (SELECT doc_id, CAST(strlen(substr(t1, 1, 1)) AS BIGINT) AS start, CAST(1 AS BIGINT) AS length FROM twin_text WHERE t1 <> t2 AND strlen(t1) = strlen(t2))"
+
+
+@query("h4_w13_diff_runs", RUNS + " SELECT * FROM runs")
+def _(t):
+    return digest.diff_runs(binary_twins(t), "doc_id", 4096)
+
+
+@query("h5_protected_overlap", RUNS + """, spans AS (SELECT doc_id, k * 10 AS start, k * 10 + 2 AS stop FROM twin_text, (SELECT unnest(range(0, 3)) AS k) WHERE doc_id % 20 < 11)
+  SELECT r.doc_id, CAST(sum(least(r.start + r.length, s.stop) - greatest(r.start, s.start)) AS BIGINT) AS bytes FROM runs r JOIN spans s ON s.doc_id = r.doc_id AND r.start < s.stop AND s.start < r.start + r.length GROUP BY 1""")
+def _(t):
+    spans = t.raw("documents").filter("doc_id % 20 < 11").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    spans = spans.select("doc_id", (F.col("k") * 10).cast("long").alias("start"), (F.col("k") * 10 + 2).cast("long").alias("stop"))
+    return digest.overlaps(digest.diff_runs(binary_twins(t), "doc_id", 4096), spans, "doc_id", 4096)
+
+
+MARKUP = "SELECT page_id, html AS a, CASE page_id % 4 WHEN 0 THEN replace(html, 'class=\"ad\"', 'class=\"xy\"') WHEN 1 THEN replace(html, '<article>', '<articlf>') WHEN 2 THEN html || ' ' ELSE html END AS b FROM {pages}"
+
+
+@query("h6_identifier_masked", f"""WITH m AS ({MARKUP}) SELECT page_id, CASE WHEN a = b THEN 'Equal' WHEN length(a) <> length(b) THEN 'LengthMismatch' WHEN NOT regexp_matches(a, '[\\s</]class="[A-Za-z0-9]{{1,128}}"') THEN 'Unparsable'
+  WHEN regexp_replace(a, '([\\s</]class=")[A-Za-z0-9]*"', '\\1"', 'g') = regexp_replace(b, '([\\s</]class=")[A-Za-z0-9]*"', '\\1"', 'g') THEN 'IdentifiersOnly' ELSE 'EssenceDiffers' END AS state FROM m""")
+def _(t):
+    return digest.identifiers_only(t.sql(MARKUP), "page_id", ("class",))
+
+
+CHUNKS = """WITH lines AS (SELECT l_orderkey AS rel, l_suppkey % 2 AS track, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 2 ORDER BY l_partkey, l_suppkey, l_extendedprice) AS chunk_no FROM {lineitem}),
+  chunks AS (SELECT rel, track, CAST(chunk_no AS INT) AS chunk_no, CAST(chunk_no * 60 - (rel + track) % 7 * 5 AS BIGINT) AS offset FROM lines)"""
+SPANNED = CHUNKS + """, ranged AS (SELECT *, CASE WHEN chunk_no < 3 THEN 2 ELSE 1 END AS n FROM chunks), counted AS (SELECT *, sum(n) OVER (PARTITION BY rel, track ORDER BY chunk_no) AS upto FROM ranged),
+  spans AS (SELECT rel, track, chunk_no, offset AS start, CAST(offset + 10 * n + (upto * (upto + 1) - (upto - n) * (upto - n + 1)) / 2 AS BIGINT) AS stop FROM counted)"""
+
+
+def chunk_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    chunks = t.sql(CHUNKS + " SELECT rel, track, chunk_no, offset FROM chunks")
+    tracks = chunks.groupBy("rel", "track").agg(F.count("*").alias("n"))
+    ranges = tracks.select("rel", "track", F.explode(F.array(F.struct(F.lit(1).alias("f"), F.lit(2).alias("s")), F.struct(F.lit(3).alias("f"), F.lit(1).alias("s")))).alias("x"))
+    sizes = tracks.select("rel", "track", F.explode(F.sequence(F.lit(1), (F.col("n") * 2).cast("int"))).alias("sample_no")).withColumn("size", (F.col("sample_no") + 10).cast("long"))
+    return chunks, ranges.select("rel", "track", F.col("x.f").alias("first_chunk"), F.col("x.s").alias("samples_per_chunk")), sizes
+
+
+@query("h7_chunk_spans", SPANNED + " SELECT * FROM spans")
+def _(t):
+    return digest.chunk_spans(*chunk_tables(t))
+
+
+@query("h8_span_overlap", SPANNED + " SELECT DISTINCT m.rel FROM spans m JOIN spans e ON e.rel = m.rel AND m.track = 0 AND e.track = 1 AND m.start < e.stop AND e.start < m.stop")
+def _(t):
+    spans = digest.chunk_spans(*chunk_tables(t)).withColumn("kind", F.when(F.col("track") == 0, "meta").otherwise("essence"))
+    return digest.overlapping(spans, "rel", 256)
+
+
+FACTS = """SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND doc_id % 3 = 0 THEN 'arw' ELSE 'mp4' END AS ext, length(t1) AS len_a, length(t2) + CASE WHEN doc_id % 70 = 10 THEN 1 ELSE 0 END AS len_b, doc_id % 110 <> 20 AS parsed, doc_id % 130 <> 40 AS structure_equal,
+  CAST(doc_id % 60 AS INT) AS samples, CASE WHEN doc_id % 170 = 50 THEN 0 ELSE 3 END AS essence_spans, CASE WHEN t1 <> t2 THEN 1 + doc_id % 9 ELSE 0 END AS differing, doc_id % 190 <> 70 AS structure_stable, CASE WHEN doc_id % 80 = 70 THEN 4 ELSE 0 END AS essence_overlap FROM twin_text WHERE doc_id % 10 = 0 AND length(t1) > 0"""
+
+
+@query("h9_accounting_ladder", f"""WITH f AS ({FACTS}) SELECT doc_id, CASE WHEN ext <> 'mp4' THEN 'NotPinnedContainer' WHEN len_a <> len_b THEN 'LengthMismatch' WHEN NOT parsed THEN 'Unparsable' WHEN NOT structure_equal THEN 'MoovDiffers' WHEN essence_spans = 0 THEN 'Unparsable'
+  WHEN samples < 32 THEN 'TooFewSamples' WHEN differing > floor(len_a * 0.02) THEN 'TooMuchDiffers' WHEN NOT structure_stable THEN 'MoovNotStable' WHEN essence_overlap > 0 THEN 'EssenceDiffers' ELSE 'Accounted' END AS state, round(differing / len_a, 6) AS share FROM f""")
+def _(t):
+    return digest.account(t.sql(FACTS)).select("doc_id", "state", "share")
+
+
+KEPT_FILES = "SELECT session_id, rel, c2 AS want FROM tuples WHERE p % 211 = 0 AND c2 IS NOT NULL"
+KEPT_READ = "SELECT session_id, rel, 'A' AS slot, c2 AS hash FROM tuples WHERE p % 211 = 0 UNION ALL SELECT session_id, rel, 'B', CASE WHEN p % 422 = 0 THEN c1 ELSE c2 END FROM tuples WHERE p % 211 = 0"
+
+
+@query("h10_kept_proven", f"""WITH k AS ({KEPT_FILES}), r AS ({KEPT_READ}) SELECT k.session_id, k.rel, bool_and(coalesce(r.hash = k.want, FALSE)) AS proven, count(r.hash) AS destinations FROM k LEFT JOIN r ON r.session_id = k.session_id AND r.rel = k.rel GROUP BY 1, 2""")
+def _(t):
+    return digest.kept_proven(t.sql(KEPT_FILES), t.sql(KEPT_READ))
+
+
+# ---- sources, sinks ----
+@query("s1_s2_inventory")
+def _(t):
+    found = files.inventory(t.spark, t.sf_dir, "*.parquet").select("rel", "size")
+    return found.unionByName(files.destination(t.spark, f"{t.sf_dir}/not-there").select("rel", "size"))
+
+
+WRITTEN = "SELECT session_id * 10 + p % 2 AS manifest_id, rel, size, mtime, substr(md5(rel), 1, 16) AS hash FROM files WHERE p % 5 = 0"
+
+
+def round_trip(t: Tables, asc: bool) -> DataFrame:
+    path = scratch(t.spark)
+    lines = (manifests.asc_mhl if asc else manifests.mhl)(t.sql(WRITTEN))
+    files.write_manifests(manifests.documents(lines, "hashlist", "2.0" if asc else "1.1"), path)
+    rows = files.manifest_entries(t.spark, f"{path}/*/*.txt")
+    return rows.select(F.regexp_extract("manifest", r"manifest_id=(\d+)", 1).cast("long").alias("manifest_id"), "rel", "size", "mtime", "hash")
+
+
+@query("s3_s8_mhl_round_trip", WRITTEN)
+def _(t):
+    return round_trip(t, asc=False)
+
+
+@query("s4_s9_asc_mhl_round_trip", WRITTEN)
+def _(t):
+    return round_trip(t, asc=True)
+
+
+@query("s7_manifest_status", ENTRIES + " SELECT * FROM status")
+def _(t):
+    return recheck.manifest_status(checked_entries(t))
+
+
+@query("s6_foreign_algorithms", ENTRIES + " SELECT manifest_id, rel FROM entries WHERE error = 'hashed by another algorithm'")
+def _(t):
+    return checked_entries(t).filter("error = 'hashed by another algorithm'").select("manifest_id", "rel")
+
+
+@query("s10_chain_lines")
+def _(t):
+    return manifests.chain(t.sql(GENS).withColumn("name", F.format_string("%04d_x.mhl", "sequence")))
+
+
+LISTED = "SELECT folder, CASE WHEN manifest_id % 9 = 0 THEN 'notes.txt' ELSE lpad(CAST(manifest_id AS STRING), 4, '0') || '_x.mhl' END AS name, CASE WHEN manifest_id % 14 = 1 THEN 'md5' ELSE 'xxh64' END AS algorithm FROM (SELECT DISTINCT folder, manifest_id FROM manifest_entries)"
+
+
+@query("s12_foreign_directories", f"""WITH l AS ({LISTED}) SELECT folder, min(CASE WHEN algorithm <> 'xxh64' THEN 'chain uses ' || algorithm WHEN NOT regexp_matches(name, '^[0-9]{{4}}_.+\\.mhl$') THEN 'unknown file ' || name END) AS reason, count(*) AS files,
+  min(CASE WHEN algorithm <> 'xxh64' OR NOT regexp_matches(name, '^[0-9]{{4}}_.+\\.mhl$') THEN 1 END) IS NOT NULL AS foreign FROM l GROUP BY 1""".replace("AS foreign", 'AS "foreign"'))
+def _(t):
+    return manifests.foreign(t.sql(LISTED))
+
+
+@query("s14_s15_history_jsonl", "SELECT kind, at, CAST(seq AS VARCHAR) AS session, failures FROM history")
+def _(t):
+    path = scratch(t.spark)
+    rows = t.history.select("kind", "at", F.col("seq").cast("string").alias("session"), "failures")
+    files.append_history(rows, path)
+    return files.json_rows(t.spark, path, files.HISTORY).select("kind", "at", "session", "failures")
+
+
+@query("s17_log_lines", "SELECT session_id, event_id, strftime(at, '%H:%M:%S') || '  ' || rpad(level, 5, ' ') || '  ' || rpad(stage, 10, ' ') || '  ' || msg AS value FROM telemetry WHERE event = 'log'")
+def _(t):
+    return files.log_lines(t.telemetry)
+
+
+ARTIFACTS = "SELECT session_id, a AS artifact FROM sessions CROSS JOIN (SELECT 'manifest' AS a UNION ALL SELECT 'log' UNION ALL SELECT 'record') x"
+LISTING = "SELECT DISTINCT session_id, 'manifest' AS artifact FROM manifest_entries UNION ALL SELECT DISTINCT session_id, 'log' FROM telemetry"
+
+
+@query("s18_bundle", f"WITH e AS ({ARTIFACTS}), l AS ({LISTING}) SELECT e.session_id, e.artifact, l.artifact IS NOT NULL AS gathered FROM e LEFT JOIN l ON l.session_id = e.session_id AND l.artifact = e.artifact")
+def _(t):
+    return files.bundle(t.sql(ARTIFACTS), t.sql(LISTING))
+
+
+FOLDERS = """SELECT CASE WHEN session_id % 4 = 0 THEN '2026-01-02_shoot' || CAST(session_id AS STRING) || '/' || rel WHEN p % 3 = 0 THEN 'card' || CAST(session_id AS STRING) || '/m' || CAST(p % 2 AS STRING) || '.mhl' WHEN p % 3 = 1 AND session_id % 4 = 1 THEN 'x' || CAST(session_id AS STRING) || '/ascmhl/0001_x.mhl' ELSE 'plain' || CAST(session_id AS STRING) || '/' || rel END AS rel FROM files"""
+
+
+@query("s20_session_folders", f"""WITH l AS ({FOLDERS}), x AS (SELECT split_part(rel, '/', 1) AS folder, rel FROM l) SELECT folder, coalesce(string_agg(DISTINCT CASE WHEN rel LIKE '%.mhl' THEN rel END, ',' ORDER BY CASE WHEN rel LIKE '%.mhl' THEN rel END), '') AS manifests FROM x WHERE folder NOT LIKE 'plain%' GROUP BY 1""")
+def _(t):
+    return files.session_folders(t.sql(FOLDERS))
+
+
+# ---- streams: each over the events table as a stream, to its end ----
+def stream(t: Tables) -> DataFrame:
+    raw = t.spark.readStream.schema(t.raw("events").schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 4).parquet(f"{t.sf_dir}/events.parquet*")
+    c = F.col
+    kind = F.when(c("event_type") == "view", "bytes").when(c("event_type") == "click", "throughput").when(c("event_type") == "purchase", "queue").when(c("event_type") == "signup", "phase").otherwise("log")
+    dev = F.get(F.array(*[F.lit(d) for d in ("C1", "C2", "A", "B", "C")]), (c("event_id") % 5).cast("int"))
+    return raw.select((c("user_id") % 20).alias("session_id"), "event_id", c("ts").cast("timestamp").alias("at"), kind.alias("event"), dev.alias("dev"), F.floor(c("value") * 1000).cast("long").alias("delta"), c("value").alias("mbps"), (c("event_id") % 5).cast("int").alias("depth"), F.lit(4).alias("cap"))
+
+
+@query("t1_durable_events", "SELECT session_id, event_id, event FROM telemetry WHERE event NOT IN ('bytes', 'queue', 'throughput')")
+def _(t):
+    kept, _lossy = live.split_sinks(stream(t))
+    return live.drained(kept.select("session_id", "event_id", "event"), scratch(t.spark)).drop("batch")
+
+
+COALESCED = "SELECT session_id, dev, time_bucket(INTERVAL '100 milliseconds', at) AS at, CAST(sum(delta) AS BIGINT) AS bytes, round(sum(delta) / 1e6 / 0.1, 6) AS mbps FROM telemetry WHERE event = 'bytes' GROUP BY 1, 2, 3"
+
+
+@query("t2_coalesced_batch", COALESCED)
+def _(t):
+    return telemetry.coalesced(t.telemetry)
+
+
+@query("t2_coalesced_stream", COALESCED)
+def _(t):
+    rows = live.drained(live.coalesced(stream(t)), scratch(t.spark), "update")
+    newest = Window.partitionBy("session_id", "dev", "at").orderBy(F.desc("batch"))
+    return rows.withColumn("k", F.row_number().over(newest)).filter("k = 1").drop("k", "batch")
+
+
+@query("t3_device_state", """SELECT session_id, dev, CAST(sum(CASE WHEN event = 'bytes' THEN delta ELSE 0 END) AS BIGINT) AS done, count(*) AS events, coalesce(arg_max(depth, struct_pack(ms := (epoch_us(at) // 1000), e := event_id)) FILTER (WHERE event = 'queue') >= 4, FALSE) AS "full" FROM telemetry GROUP BY 1, 2""")
+def _(t):
+    rows = live.drained(live.device_state(stream(t)), scratch(t.spark), "update")
+    newest = Window.partitionBy("session_id", "dev").orderBy(F.desc("batch"))
+    return rows.withColumn("k", F.row_number().over(newest)).filter("k = 1").drop("k", "batch")
+
+
+@query("t5_idle_gaps")
+def _(t):
+    rows = live.drained(live.idle_gaps(stream(t)), scratch(t.spark), "append")
+    return rows.drop("batch")
+
+
+@query("t6_t7_completion", "SELECT event_id // 5 % 20 AS session_id, CAST(event_id // 5 AS VARCHAR) AS rel, 'A,B,C,C1,C2' AS slots, count(DISTINCT event_type) = 1 AS agree FROM events GROUP BY 1, 2 HAVING count(DISTINCT event_id % 5) = 5")
+def _(t):
+    group = F.floor(F.col("event_id") / 5)
+    rows = stream(t).select((group % 20).cast("long").alias("session_id"), group.cast("string").alias("rel"), F.col("dev").alias("slot"), F.col("event").alias("hash"))
+    return live.drained(live.completed(rows, 5), scratch(t.spark)).drop("batch")
+
+
+# ---- whole jobs ----
+@query("q1_preflight", HAZARDS + "," + CHECKED[5:] + "," + PAIRS[5:] + """, volumes_need AS (SELECT v.session_id, coalesce(n.b, 0) > v.free_bytes AS full_ FROM volumes v LEFT JOIN (SELECT session_id, device, sum(size) AS b FROM checked WHERE NOT done GROUP BY 1, 2) n ON n.session_id = v.session_id AND n.device = v.slot WHERE v.slot NOT IN ('C1', 'C2'))
+  SELECT s.session_id, (SELECT count(*) FROM haz h WHERE h.session_id = s.session_id) AS name_hazards, (SELECT count(*) FROM checked c WHERE c.session_id = s.session_id AND dest_size IS NOT NULL AND NOT done) AS clashes,
+    coalesce((SELECT bool_or(full_) FROM volumes_need v WHERE v.session_id = s.session_id), FALSE) AS no_room, (SELECT count(*) FROM pairs p WHERE p.session_id = s.session_id AND state = 'SameDevice') AS shared_disks,
+    (SELECT count(*) FROM volumes v WHERE v.session_id = s.session_id AND write_mbps <= 50) AS slow_links FROM sessions s""")
+def _(t):
+    ids = t.sessions.select("session_id")
+    hazards = inventory.name_hazards(card_files(t)).groupBy("session_id").agg(F.count("*").alias("name_hazards"))
+    clashes = plan.clashes(checked(t)).groupBy("session_id").agg(F.count("*").alias("clashes"))
+    room = plan.bytes_needed(checked(t), t.volumes).groupBy("session_id").agg(F.bool_or("refused").alias("no_room"))
+    shared = devices.pairs(t.volumes).filter("state = 'SameDevice'").groupBy("session_id").agg(F.count("*").alias("shared_disks"))
+    slow = t.volumes.filter(formats.slow_link(F.col("write_mbps").cast("double"), F.lit(0)).isNotNull()).groupBy("session_id").agg(F.count("*").alias("slow_links"))
+    for x in (hazards, clashes, room, shared, slow):
+        ids = ids.join(x, "session_id", "left")
+    return ids.select("session_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("name_hazards", "clashes")], F.coalesce("no_room", F.lit(False)).alias("no_room"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("shared_disks", "slow_links")])
+
+
+@query("q2_offload_verdict", LADDER + f" SELECT l.session_id, l.verdict, m.headline, m.exit_code, m.authorises_erase, array_to_string(l.reasons, '; ') AS reasons, l.files_failed, l.files FROM laddered l JOIN {MEANS} ON m.verdict = l.verdict")
+def _(t):
+    rows = verdict.ladder(assessed(t)).join(F.broadcast(verdict.dimension(t.spark)), "verdict")
+    return rows.select("session_id", "verdict", "headline", "exit_code", "authorises_erase", F.array_join("reasons", "; ").alias("reasons"), "files_failed", "files")
+
+
+@query("q3_drive_recheck", SWEPT + " SELECT count(*) AS folders, count(*) FILTER (WHERE clean) AS clean_folders, bool_and(clean) AS drive_clean, CAST(sum(bad) AS BIGINT) AS bad, CAST(sum(matched) AS BIGINT) AS matched FROM swept")
+def _(t):
+    rows = recheck.sweep(t.device_files, checked_entries(t))
+    return rows.agg(F.count("*").alias("folders"), F.count_if("clean").alias("clean_folders"), F.bool_and("clean").alias("drive_clean"), F.sum("bad").alias("bad"), F.sum("matched").alias("matched"))
+
+
+@query("q4_device_history", DEVICE + " SELECT serial, label, sessions, formats, suspect, coalesce(warning, '') AS warning FROM device WHERE sessions > 0 OR formats > 0")
+def _(t):
+    return history.summarise(t.history).filter("sessions > 0 OR formats > 0").select("serial", "label", "sessions", "formats", "suspect", F.coalesce("warning", F.lit("")).alias("warning"))
+
+
+@query("q6_retention_plan", KEPT + " SELECT dir, path FROM lg WHERE k > 30")
+def _(t):
+    return retention.plan(t.session_logs).filter("gone").select("dir", "path")
