@@ -936,3 +936,91 @@ def _(t):
 @query("q6_retention_plan", KEPT + " SELECT dir, path FROM lg WHERE k > 30")
 def _(t):
     return retention.plan(t.session_logs).filter("gone").select("dir", "path")
+
+
+# ---- more sources and streams, each over data written from the tables first ----
+HEADERS = "SELECT session_id, 'op' || CAST(session_id % 3 AS STRING) AS name, 'host' || CAST(session_id % 5 AS STRING) AS hostname, 'tool 1' AS tool, started_at AS start, started_at + INTERVAL 1 HOUR AS finish FROM sessions"
+
+
+@query("s5_manifest_headers", f"WITH h AS ({HEADERS}) SELECT name, hostname, tool, start, finish FROM h")
+def _(t):
+    path = scratch(t.spark)
+    head = F.to_xml(F.struct("name", "hostname", "tool", formats.rfc3339(F.col("start")).alias("startdate"), formats.rfc3339(F.col("finish")).alias("finishdate")), {"rowTag": "creatorinfo"})
+    t.sql(HEADERS).select(F.concat(F.lit('<hashlist version="1.1">'), head, F.lit("</hashlist>")).alias("value"), F.col("session_id").alias("part")).repartition("part").write.partitionBy("part").text(path)
+    return files.manifest_headers(t.spark, f"{path}/*/*.txt").drop("manifest")
+
+
+@query("s11_generations")
+def _(t):
+    """Manifests written as folders by name, read as files with the digest of their bytes."""
+    path = scratch(t.spark)
+    files.write_manifests(manifests.documents(manifests.mhl(t.sql(WRITTEN)), "hashlist", "1.1"), path)
+    found = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    rows = found.select(F.regexp_extract("path", r"manifest_id=(\d+)", 1).cast("long").alias("manifest_id"), F.col("length").alias("bytes"), digest.xxh64(F.col("content")).alias("hash"))
+    return rows
+
+
+RECORDS = "SELECT 'tool 1' AS tool, CAST(session_id AS STRING) AS session, started_at AS start, label AS formatted_after FROM sessions"
+
+
+@query("s13_session_records", f"WITH r AS ({RECORDS}) SELECT tool, session, start, formatted_after FROM r")
+def _(t):
+    path = scratch(t.spark)
+    t.sql(RECORDS).write.json(path)
+    return t.spark.read.schema(files.SESSION).json(path).select("tool", "session", "start", "formatted_after")
+
+
+@query("s16_telemetry_jsonl", "SELECT at, event, dev, delta, mbps FROM telemetry WHERE event_id % 2 = 0")
+def _(t):
+    path = scratch(t.spark)
+    t.telemetry.filter("event_id % 2 = 0").select("at", "event", "dev", "delta", "mbps").withColumn("at", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).write.json(path)
+    return files.json_rows(t.spark, path, files.TELEMETRY).select("at", "event", "dev", "delta", "mbps")
+
+
+@query("s19_volumes_feed", "SELECT slot AS dev, root, label, CAST(serial AS BIGINT) AS serial, guid, CAST(device_number AS INT) AS device_number, CAST(free_bytes AS BIGINT) AS free_bytes FROM volumes")
+def _(t):
+    path = scratch(t.spark)
+    volume = F.struct("root", "label", F.col("serial").cast("long").alias("serial"), "guid", F.col("device_number").cast("int").alias("device_number"))
+    t.volumes.select(F.lit("device").alias("event"), F.col("slot").alias("dev"), F.struct(volume.alias("volume"), F.col("free_bytes").cast("long").alias("free_bytes")).alias("info")).write.json(path)
+    return files.volumes_of(files.json_rows(t.spark, path, files.TELEMETRY)).select("dev", "root", "label", "serial", "guid", "device_number", "free_bytes")
+
+
+@query("t9_continuous_history", DEVICE + " SELECT serial, sessions, retries, formats, suspect FROM device")
+def _(t):
+    path = scratch(t.spark)
+    rows = t.history
+    rows.repartition(3).write.parquet(f"{path}/in")
+    fed = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    return live.rolling_history(fed, f"{path}/run").select("serial", "sessions", "retries", "formats", "suspect")
+
+
+@query("t10_arriving_manifests", ENTRIES + " SELECT * FROM outcomes")
+def _(t):
+    path = scratch(t.spark)
+    entries = recheck.readable(checked_entries(t))
+    entries.repartition(4, "manifest_id").write.parquet(f"{path}/in")
+    fed = t.spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    device = t.device_files
+    return live.drained(recheck.recheck(fed, device), path).drop("batch")
+
+
+@query("q5_session_monitor", """SELECT session_id, CAST(sum(CASE WHEN event = 'bytes' THEN delta ELSE 0 END) AS BIGINT) AS done, count(*) AS events FROM telemetry GROUP BY 1""")
+def _(t):
+    rows = live.drained(live.device_state(stream(t)), scratch(t.spark), "update")
+    newest = Window.partitionBy("session_id", "dev").orderBy(F.desc("batch"))
+    now = rows.withColumn("k", F.row_number().over(newest)).filter("k = 1")
+    return now.groupBy("session_id").agg(F.sum("done").alias("done"), F.sum("events").alias("events"))
+
+
+@query("u2_u5_hazard_union", HAZARDS + " SELECT session_id, count(*) FILTER (WHERE device = 'C1') AS on_c1, count(*) FILTER (WHERE device = 'C2') AS on_c2 FROM haz GROUP BY 1")
+def _(t):
+    both = inventory.name_hazards(card_files(t).filter("device = 'C1'")).unionByName(inventory.name_hazards(card_files(t).filter("device = 'C2'")))
+    return both.groupBy("session_id").agg(F.count_if(F.col("device") == "C1").alias("on_c1"), F.count_if(F.col("device") == "C2").alias("on_c2"))
+
+
+@query("f13_f14_json_field", "SELECT seq, kind, 'after' AS formatted_after FROM history")
+def _(t):
+    made = F.to_json(F.struct(F.col("seq").cast("string").alias("session"), "kind"))
+    text = formats.with_field(made, "session string, kind string, formatted_after string", "formatted_after", F.lit("after"))
+    back = F.from_json(text, "session string, kind string, formatted_after string")
+    return t.history.select(back.alias("r")).select(F.col("r.session").cast("long").alias("seq"), "r.kind", "r.formatted_after")

@@ -81,3 +81,11 @@ def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
     return stream.sparkSession.read.parquet(f"{path}/out")
+
+
+def rolling_history(entries: DataFrame, path: str) -> DataFrame:
+    """The device summary kept up with a stream of history entries: each batch is appended, and the whole summed again."""
+    from ..operators import history
+
+    kept = drained(entries, path)
+    return history.summarise(kept.drop("batch"))
