@@ -63,6 +63,18 @@ def anchors(weights: list[tuple[str, str, float]], threshold: float) -> list[str
     return sorted(found)
 
 
+def reachable(terms: Column, weights: list[tuple[str, str, float]], threshold: float) -> Column:
+    """Whether the terms shared with some template weigh enough for the threshold (see anchors): no line that reaches it fails."""
+    names = sorted({k for k, _, _ in weights})
+    squares = {t: [0.0] * len(names) for _, t, _ in weights}
+    for k, t, w in weights:
+        squares[t][names.index(k)] = w * w
+    table = F.create_map(*[x for t, v in squares.items() for x in (F.lit(t), F.array(*map(F.lit, v)))])
+    shared = F.array_intersect(terms, F.array(*map(F.lit, squares)))
+    sums = F.aggregate(shared, F.array(*[F.lit(0.0) for _ in names]), lambda acc, t: F.zip_with(acc, F.element_at(table, t), lambda x, y: x + y))
+    return F.array_max(sums) >= threshold * threshold - 1e-9
+
+
 def matches(files: DataFrame, templates: Mapping[str, str], threshold: float) -> DataFrame:
     """(path, line_no, license_id, score) of all lines and templates with a cosine of at least the threshold."""
     spark = files.sparkSession
@@ -70,8 +82,11 @@ def matches(files: DataFrame, templates: Mapping[str, str], threshold: float) ->
     table = F.broadcast(spark.createDataFrame([(k, t, w) for k, t, w in weights], "license_id string, term string, weight double"))  # the templates' size
     common = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
     lines = files.select("path", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "line"))
-    lines = lines.filter(F.col("line").rlike("|".join(map(re.escape, anchors(weights, threshold)))))
-    terms = lines.select("path", "line_no", F.explode(F.regexp_extract_all("line", F.lit(TERM), F.lit(0))).alias("term"))
+    lines = lines.filter(F.col("line").rlike(rf"(?<![a-z0-9])(?:{'|'.join(map(re.escape, anchors(weights, threshold)))})(?![a-z0-9])"))
+    # A generator's column is computed once, however often the filter above it names it.
+    lines = lines.select("path", "line_no", F.explode(F.array(F.regexp_extract_all("line", F.lit(TERM), F.lit(0)))).alias("terms"))
+    lines = lines.filter(reachable(F.col("terms"), weights, threshold))
+    terms = lines.select("path", "line_no", F.explode("terms").alias("term"))
     terms = terms.groupBy("path", "line_no", "term").agg(F.count("*").alias("tf")).join(common, "term", "left")
     terms = terms.withColumn("value", F.col("tf") * F.coalesce("idf", F.lit(other)))
     length = terms.groupBy("path", "line_no").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("length"))
