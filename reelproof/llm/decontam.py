@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -21,6 +21,8 @@ UNITS = (
 NUMBER = rf"[$€£]?\d+(?:[.,]\d+)*(?:\s?(?:[%€£$]|(?:{'|'.join(UNITS)})(?!\p{{L}})))?"
 #: A capitalised word that does not start a sentence.
 NAME = r"(?<=[\p{Ll}\p{Nd},;:]\s)\p{Lu}\p{Ll}+"
+#: An item's first word that is a name to template() where a document has it amid a sentence.
+STARTS_LIKE_NAME = r"^[^\p{L}\p{Nd}]*\p{Lu}\p{Ll}+"
 NUMBER_SLOT, UNIT_SLOT, NAME_SLOT = "\u0001n", "\u0001u", "\u0001a"
 
 
@@ -44,6 +46,11 @@ def windows(words: Column, size: int) -> Column:
     return F.when(F.size(words) >= size, F.transform(at, lambda i: F.xxhash64(F.slice(words, i, size)))).otherwise(F.array().cast("array<long>"))
 
 
+def plain(text: Column) -> Column:
+    """The text's letters and digits in lower case, one space between words and at both ends."""
+    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " ")), F.lit(" "))
+
+
 def is_slot(word: Column) -> Column:
     return F.startswith(word, F.lit("\u0001"))
 
@@ -53,19 +60,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarit
 
     A document holds an item if it has at least `similarity` of the item's template windows, anywhere, and if the
     values in the slots agree: each value of the item stands for one value in the document throughout, so a question
-    with other numbers and names is caught, and a passage that shares a shape alone is not. An item of fewer words
+    with other numbers and names is caught, and a passage that shares a shape alone is not; an item that is there word
+    for word, values too, is always held. An item's first word may be a name's slot amid a document's sentence, but for items
+    of one or two words, of which too little would be left. An item of fewer words
     than a window is one window of all its words; an item without words is never held. Null and empty texts hold
     nothing; rows of equal doc_id count as one document, so repeated rows give one row; equal items give one each;
     an empty table on either side gives none; further columns, whatever their names, are not looked at.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), template(F.col("text")).alias("words"), slots(F.col("text")).alias("values")).filter("size(words) > 0")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), template(F.col("text")).alias("words"), slots(F.col("text")).alias("values"), plain(F.col("text")).alias("plain"), F.col("text").rlike(STARTS_LIKE_NAME).alias("named")).filter("size(words) > 0")
     items = saved(items)
     short = [r[0] for r in items.filter(F.size("words") < window).select(F.size("words")).distinct().collect()]  # fewer numbers than a window has words
     size = F.least(F.size("words"), F.lit(window))
     at = F.sequence(F.lit(1), F.size("words") - size + 1)
     asked = items.select("item_id", F.posexplode(F.transform(at, lambda i: F.xxhash64(F.slice("words", i, size)))).alias("pos", "h"))
+    amid = F.concat(F.array(F.lit(NAME_SLOT)), F.slice("words", 2, size - 1))
+    asked = asked.unionByName(items.filter("named AND size(words) >= 3").select("item_id", F.lit(0).alias("pos"), F.xxhash64(amid).alias("h")))
     n_asked = asked.count()
-    total = asked.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    total = items.select("item_id", size.alias("size"), F.size("words").alias("n")).groupBy("item_id").agg(F.sum((F.col("n") - F.col("size") + 1).cast("long")).alias("n_windows"))
     if n_asked <= most:
         asked, total = F.broadcast(asked), F.broadcast(total)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), template(F.col("text")).alias("words"))
@@ -85,14 +96,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarit
 
 
 def unlike(docs: DataFrame, met: DataFrame, pairs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, item_id) of the pairs in which one value of the item stands for several in the document."""
+    """(doc_id, item_id) of the pairs in which one value of the item stands for several in the document.
+
+    Each window of the item is looked at in one place: of those near the best shift, the one in the longest run of
+    windows that keep their distance, so that equal windows side by side are not mistaken for each other.
+    """
     here = met.join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
     shift = here.groupBy("doc_id", "item_id", (F.col("at") - F.col("pos")).alias("shift")).agg(F.countDistinct("pos").alias("n"))
     best = shift.groupBy("doc_id", "item_id").agg(F.max_by("shift", F.struct("n", -F.col("shift"))).alias("best"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    texts = texts.groupBy("doc_id").agg(F.first("text").alias("text")).select("doc_id", template(F.col("text")).alias("own"), slots(F.col("text")).alias("own_values"))
-    both = here.join(best, ["doc_id", "item_id"]).filter(F.abs(F.col("at") - F.col("pos") - F.col("best")) <= DRIFT)
-    both = both.join(pairs.select("doc_id", "item_id", "words", "values"), ["doc_id", "item_id"]).join(texts, "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.first("text").alias("text")).select("doc_id", template(F.col("text")).alias("own"), slots(F.col("text")).alias("own_values"), plain(F.col("text")).alias("own_plain"))
+    both = here.distinct().withColumn("shift", F.col("at") - F.col("pos")).join(best, ["doc_id", "item_id"]).filter(F.abs(F.col("shift") - F.col("best")) <= DRIFT)
+    run = Window.partitionBy("doc_id", "item_id", "shift")
+    both = both.withColumn("run", F.col("pos") - F.row_number().over(run.orderBy("pos")))
+    both = both.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "item_id", "shift", "run")))
+    one = F.struct("n", -F.abs(F.col("shift") - F.col("best")), -F.col("shift"))
+    both = both.groupBy("doc_id", "item_id", "pos").agg(F.max_by("at", one).alias("at"))
+    both = both.join(pairs.select("doc_id", "item_id", "words", "values", "plain"), ["doc_id", "item_id"]).join(texts, "doc_id")
+    both = both.filter(~F.contains("own_plain", "plain"))
     both = both.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(window), F.size("words") - F.col("pos")))))
     i, j = F.col("pos") + F.col("k"), F.col("at") + F.col("k")
     both = both.filter(is_slot(F.get("words", i - 1)))

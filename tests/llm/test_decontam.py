@@ -39,3 +39,29 @@ def test_planted_leaks(spark):
         assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want)
     assert decontam.leaks(df.limit(0), bench).count() == 0
     assert decontam.leaks(df, bench.limit(0)).count() == 0
+
+
+def test_one_alignment_and_exact_copies(spark):
+    run = "what is the next number in the row 2 4 6 8 10 12"
+    ops = "work out 3 plus 4 plus 5 plus 6 plus 7 and say it"
+    short = "Paris lies on which river bank"
+    two = "how many eggs are left if Ida has 5 eggs and eats 5 eggs today"
+    items = [(1, run), (2, ops), (3, short), (4, two)]
+    docs = {
+        10: f"a few lines before {run} and after",
+        11: run.replace("2 4 6 8 10 12", "3 5 7 9 11 13"),
+        12: f"so they said {ops} at once",
+        13: ops.replace("3 plus 4", "9 plus 8"),
+        14: f"and then, {short}, they asked",
+        15: f"they asked whether {short} or not",
+        16: "so Rome lies on which river bank",
+        17: two.replace("5 eggs and", "6 eggs and"),
+        18: f"{two.replace('5 eggs and', '6 eggs and')} {'other words here ' * 9} {two}",
+        19: "what is then the next number in the row 2 4 6 8 10 12",
+        20: "The row 2 4 6 8 10 12 is long",
+    }
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    rows = decontam.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {(10, 1), (11, 1), (12, 2), (13, 2), (14, 3), (15, 3), (16, 3), (18, 4), (19, 1)}
+    assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want)
+    assert all(r.n_found <= r.n_windows for r in rows)
