@@ -15,26 +15,30 @@ def low(t):
 class Brute:
     """The model, from its definition, by dictionaries."""
 
-    def __init__(self, texts, least, top):
-        self.uni, self.two = Counter(), defaultdict(Counter)
+    def __init__(self, texts, top):
+        self.c = [None, Counter(), defaultdict(Counter), defaultdict(Counter)]
         for t in texts:
-            seq = [None, *low(t), None]
-            self.uni.update(seq[1:])
-            for a, b in zip(seq, seq[1:], strict=False):
-                self.two[a][b] += 1
+            seq = [None, None, *low(t), None]
+            for u, v, w in zip(seq, seq[1:], seq[2:], strict=False):
+                self.c[1][w] += 1
+                self.c[2][v][w] += 1
+                self.c[3][u, v][w] += 1
+        self.uni = self.c[1]
         self.n, self.v = sum(self.uni.values()), len(self.uni)
-        d1 = self.discount(Counter(self.uni.values()), top)
-        d2 = self.discount(Counter(c for x in self.two.values() for c in x.values()), top)
-        q = {w: d1.get(c, 1) * c / self.n for w, c in self.uni.items()}
+        d = [None, self.discount(Counter(self.uni.values()), top), *(self.discount(Counter(c for x in self.c[k].values() for c in x.values()), top) for k in (2, 3))]
+        q = {w: d[1].get(c, 1) * c / self.n for w, c in self.uni.items()}
         shrink = self.n / (self.n + 1) if sum(q.values()) > 1 - 1e-9 else 1
         self.q = {w: x * shrink for w, x in q.items()}
         self.unknown = 1 - sum(self.q.values())
-        self.p, self.back = {}, {}
-        for a, x in self.two.items():
-            mass = {b: d2.get(c, 1) * c for b, c in x.items() if c >= least}
-            room = self.uni[a] + (sum(mass.values()) > self.uni[a] * (1 - 1e-9))
-            self.p[a] = {b: m / room for b, m in mass.items()}
-            self.back[a] = (1 - sum(self.p[a].values())) / (1 - sum(self.q[b] for b in mass)) if mass else 1
+        self.p, self.back = [None, None, {}, {}], [None, None, {}, {}]
+        for k in (2, 3):
+            for a, x in self.c[k].items():
+                mass = {b: d[k].get(c, 1) * c for b, c in x.items()}
+                total = sum(x.values())
+                room = total + (sum(mass.values()) > total * (1 - 1e-9))
+                self.p[k][a] = {b: m / room for b, m in mass.items()}
+                below = sum(self.q[b] if k == 2 else self.p[2][a[1]][b] for b in mass)
+                self.back[k][a] = (1 - sum(self.p[k][a].values())) / (1 - below)
 
     @staticmethod
     def discount(n, top):
@@ -45,33 +49,38 @@ class Brute:
             out[r] = d if 0 < d < 1 else (r - 0.5) / r
         return out
 
-    def prob(self, a, b):
-        if b in self.p.get(a, {}):
-            return self.p[a][b]
-        return self.back.get(a, 1) * self.q.get(b, self.unknown)
+    def two(self, v, w):
+        if w in self.p[2].get(v, {}):
+            return self.p[2][v][w]
+        return self.back[2].get(v, 1) * self.q.get(w, self.unknown)
+
+    def prob(self, u, v, w):
+        if w in self.p[3].get((u, v), {}):
+            return self.p[3][u, v][w]
+        return self.back[3].get((u, v), 1) * self.two(v, w)
 
     def score(self, t):
-        seq = [None, *low(t), None]
-        return sum(math.log10(self.prob(a, b)) for a, b in zip(seq, seq[1:], strict=False))
+        seq = [None, None, *low(t), None]
+        return sum(math.log10(self.prob(*x)) for x in zip(seq, seq[1:], seq[2:], strict=False))
 
 
 def is_held(i):
     return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
 
 
-@pytest.mark.parametrize("least,hot", [(1, 1 / 500), (3, 1 / 20)])
-def test_matches_brute_force(spark, monkeypatch, least, hot):
-    monkeypatch.setattr(lm, "PART_BYTES", 3000)
-    monkeypatch.setattr(lm, "BLOCK_BYTES", 5000)
-    monkeypatch.setattr(lm.frequent, "__defaults__", (hot,))
-    rng = random.Random(least)
+@pytest.mark.parametrize("tokens,block", [(1 << 20, 5000), (60, 900)])
+def test_matches_brute_force(spark, monkeypatch, tokens, block):
+    """In one part, and in many, with hot words and hot pairs of words."""
+    monkeypatch.setattr(lm, "PART_TOKENS", tokens)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", block)
+    rng = random.Random(tokens)
     words = ["the", "The", "of", *(f"w{i}" for i in range(80))]
     texts = [" ".join(rng.choice(words[: rng.choice((3, 20, 83))]) for _ in range(rng.randrange(1, 60))) for _ in range(150)]
-    texts += [None, "", " \n", "é É", texts[0], "q " * 3000]
+    texts += [None, "", " \n", "é É", texts[0], "q " * 3000, "the of " * 300]
     rows = [(i, t, "x", 1) for i, t in enumerate(texts)] + [(None, "the of", "x", 1), (3, texts[3], "x", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score string, block int").repartition(3)
-    got = lm.scores(df, least).collect()
-    brute = Brute([t for i, t, *_ in rows if not is_held(i)], least, lm.GOOD_TURING)
+    got = lm.scores(df).collect()
+    brute = Brute([t for i, t, *_ in rows if not is_held(i)], lm.GOOD_TURING)
     assert len(got) == len(rows)
     known = dict((i, t) for i, t, *_ in rows)
     for r in got:
@@ -80,10 +89,10 @@ def test_matches_brute_force(spark, monkeypatch, least, hot):
         assert (r.held_out, r.n_tokens, r.train_tokens) == (is_held(r.doc_id), len(tokens), brute.n)
         assert r.n_known == sum(brute.uni[w] > 0 for w in tokens)
         assert r.base_score == pytest.approx(sum(math.log10((brute.uni[w] + 1) / (brute.n + brute.v + 1)) for w in tokens), rel=1e-9)
-        assert r.score == pytest.approx(brute.score(t), rel=1e-9)
+        assert r.score == pytest.approx(brute.score(t), rel=1e-6)
     vocabulary = set(brute.uni)
-    for a in [*list(vocabulary)[:40], b"never"]:
-        assert sum(brute.prob(a, b) for b in vocabulary) + brute.back.get(a, 1) * brute.unknown == pytest.approx(1)
+    for u, v in [*list(brute.c[3])[:60], (b"the", b"never"), (b"never", b"the")]:
+        assert sum(brute.prob(u, v, w) for w in vocabulary) + brute.prob(u, v, b"not there") == pytest.approx(1)
 
 
 def test_small_tables(spark):
