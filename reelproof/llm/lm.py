@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 GOOD_TURING = 5
 #: Text that is packed into one block, in bytes, and tokens of a part: what one task holds in memory. A word or pair of
 #: PART_TOKENS or more is dealt over several parts.
-BLOCK_BYTES, PART_TOKENS = 8 << 20, 1 << 20
+BLOCK_BYTES, PART_TOKENS = 16 << 20, 3 << 19
 EDGE = b"\n"  # start and end: no word has white space
 MUL1, MUL2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 PACKED = "part int, block long, n_train int, data binary, doc_id array<long>, tokens array<int>"
