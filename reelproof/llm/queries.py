@@ -32,21 +32,25 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def license_sql() -> str:
-    idf, other, weights = license_scan.weigh(license_scan.NOTICES)
-    rows = lambda found: ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE" for v in r) + ")" for r in found)
+    idf, other, weights = license_scan.weigh(license_scan.TEMPLATES)
+    rows = lambda found: ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v}" if isinstance(v, int) else f"{v!r}::DOUBLE" for v in r) + ")" for r in found)
     return f"""
 WITH files AS (SELECT doc_id, {PATH} AS path, text FROM documents),
 common(term, idf) AS (VALUES {rows(idf.items())}),
-weights(license_id, term, weight) AS (VALUES {rows(weights)}),
-lines AS (SELECT path, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT path, string_split(lower(text), chr(10)) AS l FROM files)),
-words AS (SELECT path, line_no, unnest(regexp_extract_all(line, '{license_scan.TERM}')) AS term FROM lines),
-terms AS (SELECT path, line_no, w.term, count(*) * coalesce(any_value(idf), {other!r}::DOUBLE) AS v
-          FROM words w LEFT JOIN common c ON c.term = w.term GROUP BY path, line_no, w.term),
-length AS (SELECT path, line_no, sqrt(sum(v * v)) AS n FROM terms GROUP BY path, line_no),
-scores AS (SELECT t.path, t.line_no, license_id, sum(v * weight) AS dot FROM terms t JOIN weights w ON w.term = t.term GROUP BY t.path, t.line_no, license_id),
+weights(license_id, template, term, weight) AS (VALUES {rows(weights)}),
+lines AS (SELECT path, list_filter(string_split(lower(text), chr(10)), lambda x: regexp_matches(x, '\\S')) AS l FROM files),
+marked AS (SELECT path, l, pos, l[pos] AS line FROM (SELECT path, l, unnest(range(1, len(l) + 1)) AS pos FROM lines) WHERE regexp_matches(l[pos], '{license_scan.LICENCE_WORDS}')),
+units AS (SELECT path, pos, w AS k, array_to_string(l[pos:pos + w - 1], ' ') AS passage FROM (SELECT *, unnest({list(license_scan.WINDOWS)}) AS w FROM marked) WHERE w = 1 OR pos + w // 2 <= len(l)
+  UNION ALL SELECT path, pos, -k, s[k] FROM (SELECT path, pos, s, unnest(range(1, len(s) + 1)) AS k FROM (
+    SELECT path, pos, string_split(regexp_replace(line, '([.;!?])\\s+', '\\1' || chr(10), 'g'), chr(10)) AS s FROM marked) WHERE len(s) > 1) WHERE regexp_matches(s[k], '{license_scan.LICENCE_WORDS}')),
+words AS (SELECT path, pos, k, unnest(regexp_extract_all(passage, '{license_scan.TERM}')) AS term FROM units),
+terms AS (SELECT path, pos, k, w.term, count(*) * coalesce(any_value(idf), {other!r}::DOUBLE) AS v
+          FROM words w LEFT JOIN common c ON c.term = w.term GROUP BY path, pos, k, w.term),
+length AS (SELECT path, pos, k, sqrt(sum(v * v)) AS n FROM terms GROUP BY path, pos, k),
+scores AS (SELECT t.path, t.pos, t.k, license_id, template, sum(v * weight) AS dot FROM terms t JOIN weights w ON w.term = t.term GROUP BY t.path, t.pos, t.k, license_id, template),
 own AS (SELECT path, license_id, score FROM (
           SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, license_id) AS k FROM (
-            SELECT s.path, license_id, round(max(dot / n), 6) AS score FROM scores s JOIN length l ON l.path = s.path AND l.line_no = s.line_no
+            SELECT s.path, license_id, round(max(dot / n), 6) AS score FROM scores s JOIN length l ON l.path = s.path AND l.pos = s.pos AND l.k = s.k
             GROUP BY s.path, license_id) WHERE score >= {license_scan.THRESHOLD}) WHERE k = 1),
 spoken AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, license_id, path) AS k FROM (
           SELECT *, regexp_replace(path, '/[^/]*$', '') AS dir FROM own WHERE path LIKE '%/LICENSE-%')) WHERE k = 1),

@@ -1,5 +1,6 @@
 import math
 import re
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -8,28 +9,48 @@ import pytest
 from reelproof.llm import license_scan, queries
 
 
-def cosine(line):
-    idf, other, weights = license_scan.weigh(license_scan.NOTICES)
-    own = {t: n * idf.get(t, other) for t, n in Counter(re.findall(license_scan.TERM, line.lower())).items()}
+def cosine(passage):
+    idf, other, weights = license_scan.weigh(license_scan.TEMPLATES)
+    own = {t: n * idf.get(t, other) for t, n in Counter(re.findall(license_scan.TERM, passage.lower())).items()}
     length = math.sqrt(sum(v * v for v in own.values())) or 1
     out = Counter()
-    for k, t, w in weights:
-        out[k] += own.get(t, 0) * w / length
+    for k, i, t, w in weights:
+        out[k, i] += own.get(t, 0) * w / length
     return out
 
 
 def test_templates_match_themselves_best():
-    for k, t in license_scan.NOTICES.items():
+    for i, (k, t) in enumerate(license_scan.TEMPLATES):
         found = cosine(t)
-        assert found[k] == pytest.approx(1) and max(v for o, v in found.items() if o != k) < 0.98
+        assert found[k, i] == pytest.approx(1) and max(v for (o, _), v in found.items() if o != k) < 0.995
+        assert re.search(license_scan.LICENCE_WORDS, t.lower())
 
 
-def test_anchors_lose_nothing():
-    _, _, weights = license_scan.weigh(license_scan.NOTICES)
-    words = license_scan.anchors(weights, license_scan.THRESHOLD)
-    for t in license_scan.NOTICES.values():
-        rest = " ".join(w for w in re.findall(license_scan.TERM, t.lower()) if not any(a in w for a in words))
-        assert max([0, *cosine(rest).values()]) < license_scan.THRESHOLD
+def wrapped(text, prefix=""):
+    return "\n".join(prefix + x for x in textwrap.wrap(text, 72))
+
+
+def test_files_and_headers(spark):
+    texts = license_scan.TEXTS
+    files = {
+        "mit": f"MIT License\n\nCopyright (c) 2024 Jane Doe\n\n{wrapped(texts['MIT'])}\n",
+        "mit-grant": "words before\n" + wrapped(license_scan.GRANT, "// ") + "\nand words after, of no matter",
+        "mit-title": "MIT License\nCopyright (c)",
+        "bsd3": "Copyright 2020, Some People\nAll rights reserved.\n\n" + wrapped(texts["BSD-3-Clause"]),
+        "bsd2": wrapped(texts["BSD-2-Clause"]),
+        "isc": wrapped(texts["ISC"]),
+        "apache-heading": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n",
+        "apache-header": wrapped("Copyright 2021 The Authors. " + texts["Apache-2.0"], " * ") + "\n */\npackage a.b;\nimport c.d;\n" + "int x = f(y);\n" * 40,
+        "gpl3": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Some Foundation\n Everyone is permitted to copy and distribute verbatim copies\n" + "of this document and of many more words\n" * 200,
+        "gpl2": wrapped(texts["GPL-2.0"], "# "),
+        "spdx": "# SPDX-License-Identifier: Apache-2.0\nimport x",
+        "inline": "We thank all who helped with it over the years. Released under the MIT License. The rest of this long line is about other things.",
+        "prose": "they were permitted to walk there, and the warrant was shown\nlicensed fishermen met them at the gate",
+        "none": "nothing at all",
+    }
+    want = {"mit": "MIT", "mit-grant": "MIT", "mit-title": "MIT", "bsd3": "BSD-3-Clause", "bsd2": "BSD-2-Clause", "isc": "ISC", "apache-heading": "Apache-2.0", "apache-header": "Apache-2.0", "gpl3": "GPL-3.0", "gpl2": "GPL-2.0", "spdx": "Apache-2.0", "inline": "MIT", "prose": None, "none": None}
+    df = spark.createDataFrame(list(files.items()), "path string, text string")
+    assert {r.path: r.license_id for r in license_scan.licenses(df).collect()} == want
 
 
 def test_inheritance(spark):
