@@ -18,9 +18,8 @@ from .common import GAP
 SAMPLES = 64
 #: Gamma(2, 1) is drawn by inverse transform from this many equally likely values.
 GRID = 4096
-#: Rows per range of ids, and the most ranges.
-RANGE_ROWS, RANGES = 500, 4096
-FINE = 64
+#: Rows per range of documents, and the most ranges. Their bounds are found in two steps, of so many at a time.
+RANGE_ROWS, RANGES, FINE = 500, 1 << 16, 256
 
 
 def gamma2(p: float) -> float:
@@ -81,43 +80,53 @@ def likeness(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / F.size(a)
 
 
+def place(doc_id: Column, text: Column) -> Column:
+    """What documents are ordered by, as one string: doc_id, none before all, then the text's hash."""
+    digits = lambda n: F.lpad(F.hex(n.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.when(doc_id.isNull(), "0").otherwise("1"), digits(F.coalesce(doc_id, F.lit(0).cast("long"))), digits(F.xxhash64(text)))
+
+
 def ranged(docs: DataFrame) -> DataFrame:
-    """docs with (bucket, guest): ranges of doc_id, each with the first row of the next range below as a guest.
+    """docs with (place, bucket, guest): ranges of documents, each with the first row of the next range below as a guest.
 
-    Ordered by guest and then by descending doc_id, a bucket then holds each of its own rows before the next document
+    Ordered by guest and then by descending place, a bucket then holds each of its own rows before the next document
     of the whole table; after the last document comes the first. So a window over a bucket does the work of one over
-    the table. The driver gets the ranges' bounds and largest ids: RANGES numbers at most.
+    the table. Bounds are the documents whose places' hashes are divisible by the wanted size of a range, so ranges are
+    of that size on average, and rows of one doc_id (or none) with different texts are split as well. The driver gets
+    the ranges' bounds and last places: RANGES of either, or a few more.
     """
-    spark, ids = docs.sparkSession, docs.select("doc_id")
-    n = min(RANGES, 1 + ids.count() // RANGE_ROWS)
-    bounds = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else []
-    bounds = sorted(set(bounds or []))
+    spark, docs = docs.sparkSession, docs.withColumn("place", place(F.col("doc_id"), F.col("text")))
+    n = docs.count()
+    size = max(RANGE_ROWS, n // RANGES)
+    bounds = docs.select("place").filter(F.pmod(F.xxhash64("place"), F.lit(size)) == 0).distinct() if n > size else docs.select("place").limit(0)
+    bounds = sorted(r[0] for r in bounds.collect())
     chunks = [bounds[i : i + FINE] for i in range(0, len(bounds), FINE)]
     if chunks:
         below = lambda bs, x: F.size(F.filter(bs, lambda b: b <= x))
-        coarse = below(F.lit([c[0] for c in chunks]), F.col("doc_id"))
+        coarse = below(F.lit([c[0] for c in chunks]), F.col("place"))
         fine = F.get(F.array(*[F.lit(c) for c in chunks]), coarse - 1)
-        bucket = F.coalesce(F.when(coarse > 0, (coarse - 1) * FINE + below(fine, F.col("doc_id"))), F.lit(0))
+        bucket = F.coalesce(F.when(coarse > 0, (coarse - 1) * FINE + below(fine, F.col("place"))), F.lit(0))
     else:
         bucket = F.lit(0)
     docs = docs.withColumn("bucket", bucket)
-    tops = sorted(tuple(r) for r in docs.groupBy("bucket").agg(F.max("doc_id")).collect())
+    tops = sorted(tuple(r) for r in docs.groupBy("bucket").agg(F.max("place")).collect())
     guests = [(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)]
-    guests = F.broadcast(spark.createDataFrame(guests, "top long, for_bucket int"))
-    both = docs.join(guests, F.col("doc_id").eqNullSafe(F.col("top")), "left")
+    guests = F.broadcast(spark.createDataFrame(guests, "top string, for_bucket int"))
+    both = docs.join(guests, F.col("place") == F.col("top"), "left")
     homes = F.array(F.struct("bucket", F.lit(False).alias("guest")), F.struct(F.col("for_bucket").alias("bucket"), F.lit(True).alias("guest")))
-    return both.select("doc_id", "text", F.inline(homes)).filter("bucket IS NOT NULL")
+    return both.select("doc_id", "text", "place", F.inline(homes)).filter("bucket IS NOT NULL")
 
 
 def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how like they are to each other and to the next text.
 
     The edited text has its last half replaced by as much of the start of the next document, in descending doc_id.
-    A null text counts as empty; a null doc_id comes last; rows of equal doc_id follow each other in the order of
-    their texts' hashes; equal rows give equal rows; an empty table gives none; other columns are not looked at.
+    A null text counts as empty; very long ones are read whole; a null doc_id comes last; rows of equal doc_id follow
+    each other in the falling order of their texts' hashes; repeated rows give a row each; an empty table gives none;
+    other columns, whatever their names, are not looked at.
     """
     rows = ranged(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")))
-    order = Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
+    order = Window.partitionBy("bucket").orderBy("guest", F.desc("place"))
     rows = rows.select("bucket", "guest", "doc_id", "text", F.lead("text").over(order).alias("next"), F.row_number().over(order).alias("pos"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")

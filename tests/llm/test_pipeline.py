@@ -4,8 +4,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 from test_line_dedup import brute as brute_lines
-from test_simhash import brute as brute_fingerprints
-from test_simhash import groups
+from test_near_copies import brute as brute_copies
 
 import corpus_pipeline
 from reelproof.llm import quality
@@ -20,9 +19,8 @@ def brute(docs, labels, items):
     model = quality.train(x[[rows[i] for i, _ in learn]], np.array([float(q) for _, q in learn]))
     docs = {i: t for (i, t), s in zip(docs.items(), model.score(x), strict=True) if s >= 0.5}
     docs = brute_lines(docs)
-    ids = sorted(docs)
-    label = groups(brute_fingerprints([docs[i] for i in ids]), ids, 2)
-    docs = {i: docs[i] for i, c in zip(ids, label, strict=True) if i == c}
+    best, _ = brute_copies(list(docs.items()))
+    docs = {i: t for i, t in docs.items() if (False, i) in best.values()}
     def grams(t):
         words = "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
         return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
@@ -53,3 +51,18 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         df = corpus_pipeline.saved(stage(spark, df, SF))
     assert df.count() == 0
+
+
+def test_odd_rows(spark, monkeypatch):
+    """Nulls, empty and very long texts, ties, repeated rows, shared and missing ids, clashing names: each stage keeps every document that it should."""
+    good = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) > 500").orderBy("doc_id").limit(4).collect()
+    words = [w for r in good for w in r.text.split()]
+    texts = [" ".join(words[k * 97 : k * 97 + 80]) for k in range(6)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (7, None), (8, ""), (9, " ".join(f"{w}{i}" for i, w in enumerate(words * 40))), (10, texts[4]), (10, texts[4] + " " + texts[5])]
+    df = spark.createDataFrame([(i, t, None, None, len(t or ""), 3, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, item_id int, h string")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        df = corpus_pipeline.saved(stage(spark, df, SF))
+        assert df.columns == ["doc_id", "text", "lang", "source", "n_chars", "item_id", "h"]
+    ids = sorted((r.doc_id is None, r.doc_id or 0) for r in df.collect())
+    assert ids == [(False, 1), (False, 1), (False, 7), (False, 9), (False, 10), (False, 10), (True, 0), (True, 0)]
+    assert sum(r.n_tokens for r in corpus_pipeline.packed(spark, df, SF).collect()) == sum(len((r.text or "").split()) + 1 for r in df.collect())
