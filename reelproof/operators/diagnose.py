@@ -34,7 +34,7 @@ def suspect() -> Column:
     return F.when(votes(F.col("c1")) > votes(F.col("c2")), "C2").when(votes(F.col("c2")) > votes(F.col("c1")), "C1")
 
 
-def diagnose(wide: DataFrame, missing_: DataFrame | None = None) -> DataFrame:
+def diagnose(wide: DataFrame, missing_: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """The first diagnosis that fits: (session_id, rel, kind, suspect, dests, devs).
 
     Every test asks for values that were measured: a null is never equal to anything, nor different.
@@ -63,7 +63,12 @@ def diagnose(wide: DataFrame, missing_: DataFrame | None = None) -> DataFrame:
     else:
         rows = rows.withColumn("devs", F.lit(None).cast("string"))
     told = F.when(F.col("kind") == "BadDestination", F.col("off")).when(F.col("kind").isin("SourceReadCorrupt", "Systematic"), F.col("all"))
-    return rows.select("session_id", "rel", "kind", F.when(F.col("kind") == "TwinMismatch", F.col("suspect")).alias("suspect"), told.alias("dests"), "devs")
+    return rows.select("session_id", "rel", "kind", F.when(F.col("kind") == "TwinMismatch", F.col("suspect")).alias("suspect"), told.alias("dests"), "devs", *keep)
+
+
+def diagnosed_rows(wide: DataFrame) -> DataFrame:
+    """A11 of files as they complete: (session_id, rel, at, kind); row by row, so it works on streams too."""
+    return diagnose(wide, keep=("at",)).select("session_id", "rel", "at", "kind")
 
 
 def unexcused(diagnoses: DataFrame, *excuses: DataFrame) -> DataFrame:

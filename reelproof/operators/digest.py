@@ -55,17 +55,22 @@ def chain_audit(recorded: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select("folder", "sequence", state.alias("state"))
 
 
-def diff_runs(twins: DataFrame, key: str, chunk: int = CHUNK) -> DataFrame:
-    """(key, start, length) of runs of differing bytes of a and b (binary, of one length); runs end at chunk edges.
+def chunked(files: DataFrame, key: str, content: str, chunk: int = CHUNK) -> DataFrame:
+    """(key, no, content): files cut into chunk rows; each row carries its own bytes alone. An empty file has chunk 0."""
+    last = F.floor(F.greatest(F.octet_length(content) - 1, F.lit(0)) / chunk).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col(content), i * chunk + 1, F.lit(chunk)))
+    return files.filter(F.col(content).isNotNull()).select(key, F.posexplode(cut).alias("no", "content"))
 
-    Chunks are compared whole first, so only those that differ are taken apart.
+
+def diff_runs(one: DataFrame, other: DataFrame, key: str, chunk: int = CHUNK) -> DataFrame:
+    """(key, start, length) of runs of differing bytes of twins of one length, given as chunk rows (see chunked).
+
+    Chunks are joined by key and number and compared whole, so only those that differ are taken apart; runs end at
+    chunk edges.
     """
-    last = F.floor((F.octet_length("a") - 1) / chunk).cast("int")
-    chunks = twins.filter("octet_length(a) > 0").select(key, F.explode(F.sequence(F.lit(0), last)).alias("no"), "a", "b")
-    at = F.col("no") * chunk + 1
-    chunks = chunks.select(key, "no", F.substring("a", at, F.lit(chunk)).alias("a"), F.substring("b", at, F.lit(chunk)).alias("b")).filter("a <> b")
-    off = F.filter(F.sequence(F.lit(1), F.octet_length("a")), lambda i: F.substring(F.col("a"), i, F.lit(1)) != F.substring(F.col("b"), i, F.lit(1)))
-    bytes_ = chunks.select(key, "no", F.explode(off).alias("i")).withColumn("pos", F.col("no").cast("long") * chunk + F.col("i") - 1)
+    both = one.select(key, "no", F.col("content").alias("a")).join(other.select(key, "no", F.col("content").alias("b")), [key, "no"]).filter("a <> b")
+    pair = F.zip_with(F.split(F.regexp_replace(F.hex("a"), "(..)", "$1 "), " "), F.split(F.regexp_replace(F.hex("b"), "(..)", "$1 "), " "), lambda x, y: x != y)
+    bytes_ = both.select(key, "no", F.posexplode(pair).alias("i", "off")).filter("off").withColumn("pos", F.col("no").cast("long") * chunk + F.col("i"))
     island = F.col("pos") - F.row_number().over(Window.partitionBy(key, "no").orderBy("pos"))
     return bytes_.withColumn("island", island).groupBy(key, "no", "island").agg(F.min("pos").alias("start"), F.count("*").alias("length")).select(key, "start", "length")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RETRY_CEILING = 5
@@ -36,14 +36,15 @@ def summarise(history: DataFrame) -> DataFrame:
 def warnings(volumes: DataFrame, summary: DataFrame) -> DataFrame:
     """today's devices with a bad history."""
     bad = summary.filter("suspect").select("serial", "warning")
-    return volumes.select("session_id", "slot", (F.col("serial") % 50).alias("serial")).join(bad, "serial").select("session_id", "slot", "serial", "warning")
+    return volumes.select("session_id", "slot", "serial").join(bad, "serial").select("session_id", "slot", "serial", "warning")
 
 
 def trail(history: DataFrame) -> DataFrame:
-    """Each session with the formats that came after it on the same serial."""
-    formats = history.filter("kind = 'format'").select("serial", F.col("seq").alias("format_seq"))
-    rows = history.filter("kind = 'session'").select("seq", "serial").join(formats, "serial", "left").withColumn("format_seq", F.when(F.col("format_seq") > F.col("seq"), F.col("format_seq")))
-    return rows.groupBy("seq", "serial").agg(F.min("format_seq").alias("formatted_after"), F.count("format_seq").alias("formats_after"))
+    """Each session with the formats that came after it on the same serial: the first, and how many."""
+    later = Window.partitionBy("serial").orderBy("seq").rangeBetween(1, Window.unboundedFollowing)
+    own = F.when(F.col("kind") == "format", F.col("seq"))
+    rows = history.withColumns({"formatted_after": F.min(own).over(later), "formats_after": F.count(own).over(later)})
+    return rows.filter("kind = 'session'").groupBy("seq", "serial").agg(F.min("formatted_after").alias("formatted_after"), F.max("formats_after").alias("formats_after"))
 
 
 def timeline(history: DataFrame) -> DataFrame:

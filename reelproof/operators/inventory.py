@@ -50,8 +50,8 @@ def hazard_summary(sessions: DataFrame, files: DataFrame, first: int = 10) -> Da
     told = name_hazards(files).select("session_id", F.concat_ws(": ", "hazard", "rel").alias("line"))
     told = told.unionByName(case_collisions(files).select("session_id", F.concat(F.lit("case: "), F.col("rels")).alias("line")))
     order = F.row_number().over(Window.partitionBy("session_id").orderBy("line"))
-    told = told.withColumn("k", order)
-    lines = F.concat_ws(" ; ", F.array_sort(F.collect_list(F.when(F.col("k") <= first, F.col("line")))))
-    groups = told.groupBy("session_id").agg(F.count("*").alias("n"), lines.alias("first"))
+    shown = told.withColumn("k", order).filter(F.col("k") <= first)  # a limit of each group before the sort
+    shown = shown.groupBy("session_id").agg(F.concat_ws(" ; ", F.array_sort(F.collect_list("line"))).alias("first"))
+    groups = told.groupBy("session_id").agg(F.count("*").alias("n")).join(shown, "session_id")
     rows = sessions.select("session_id").join(groups, "session_id", "left")
     return rows.select("session_id", F.coalesce("n", F.lit(0)).alias("hazards"), F.coalesce("first", F.lit("")).alias("preview"), (F.coalesce("n", F.lit(0)) > 0).alias("refused"))

@@ -25,12 +25,21 @@ def next_generations(asked: DataFrame, taken: DataFrame) -> DataFrame:
 
 
 def free_names(asked: DataFrame, taken: DataFrame) -> DataFrame:
-    """Names for new files (folder, id, ord): the id, or with -2, -3 and so on, past those taken (folder, name)."""
-    k = F.row_number().over(Window.partitionBy("folder", "id").orderBy("ord"))
-    used = taken.withColumn("id", F.regexp_replace("name", r"-\d+$", "")).withColumn("n", F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("name", r"-(\d+)$", 1), F.lit("")), F.lit("999999")).cast("int"), F.lit(1)))
-    top = used.groupBy("folder", "id").agg(F.max("n").alias("top"))
-    n = F.coalesce("top", F.lit(0)) + k
-    return asked.join(top, ["folder", "id"], "left").select("folder", "id", "ord", F.when(n == 1, F.col("id")).otherwise(F.concat("id", F.lit("-"), n.cast("string"))).alias("name"))
+    """Names for new files (folder, id, ord), each the first free of id, id-2, id-3 and so on, taken names being (folder, name).
+
+    An id's candidates are as many as it is asked for and has names that may be taken, so the free ones suffice. A name
+    that is itself asked for as an id is left to that id.
+    """
+    used = taken.select("folder", "name").distinct()
+    ids = asked.select("folder", F.col("id").alias("name")).distinct()
+    mine = F.array_distinct(F.array(F.col("name"), F.regexp_replace("name", r"-\d+$", "")))
+    tries = used.unionByName(ids).select("folder", F.explode(mine).alias("id")).unionByName(asked.select("folder", "id")).groupBy("folder", "id").agg(F.count("*").alias("n"))
+    named = F.when(F.col("k") == 1, F.col("id")).otherwise(F.concat("id", F.lit("-"), F.col("k").cast("string")))
+    tries = tries.join(asked.select("folder", "id").distinct(), ["folder", "id"], "left_semi").select("folder", "id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k")).withColumn("name", named)
+    own = Window.partitionBy("folder", "id")
+    free = tries.join(used, ["folder", "name"], "left_anti").join(ids.withColumn("asked", F.lit(True)), ["folder", "name"], "left").filter("k = 1 OR asked IS NULL").withColumn("nth", F.row_number().over(own.orderBy("k")))
+    rows = asked.withColumn("nth", F.row_number().over(own.orderBy("ord")))
+    return rows.join(free, ["folder", "id", "nth"]).select("folder", "id", "ord", "name")
 
 
 def mhl(entries: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Rechecks: what a device holds against what its manifests say."""
+"""Rechecks: what a device holds against what its manifests say. A folder is one of its session's drive: drives may share names."""
 
 from __future__ import annotations
 
@@ -25,14 +25,14 @@ def manifest_status(checked: DataFrame) -> DataFrame:
 
 
 def readable(checked: DataFrame) -> DataFrame:
-    bad = manifest_status(checked).filter("NOT readable").select("manifest_id")
-    return checked.join(bad, "manifest_id", "left_anti")
+    bad = manifest_status(checked).filter("NOT readable").select("session_id", "manifest_id")
+    return checked.join(bad, ["session_id", "manifest_id"], "left_anti")
 
 
 def recheck(entries: DataFrame, device: DataFrame) -> DataFrame:
     """Each entry against the device, by digest alone."""
-    there = device.select("folder", "rel", F.col("hash").alias("found"), F.lit(True).alias("there"))
-    rows = entries.join(there, ["folder", "rel"], "left")
+    there = device.select("session_id", "folder", "rel", F.col("hash").alias("found"), F.lit(True).alias("there"))
+    rows = entries.join(there, ["session_id", "folder", "rel"], "left")
     outcome = F.when(F.col("there").isNull(), "Missing").when(F.col("found").isNull(), "Unreadable").when(F.col("found") == F.col("hash"), "Matched").otherwise("Changed")
     return rows.select("session_id", "folder", "manifest_id", "rel", "size", outcome.alias("outcome"))
 
@@ -40,19 +40,19 @@ def recheck(entries: DataFrame, device: DataFrame) -> DataFrame:
 def extras(entries: DataFrame, device: DataFrame) -> DataFrame:
     """Files of the device that a manifest of the folder does not list, litter and sidecars apart."""
     files = device.filter(~paths.in_litter_dir(F.col("rel")) & ~paths.is_litter_file(F.col("rel")) & ~paths.is_sidecar(F.col("rel"))).select("session_id", "folder", "rel")
-    manifests = entries.select("folder", "manifest_id").distinct()
-    return files.join(manifests, "folder").join(entries.select("manifest_id", "rel"), ["manifest_id", "rel"], "left_anti").select("session_id", "folder", "manifest_id", "rel")
+    manifests = entries.select("session_id", "folder", "manifest_id").distinct()
+    return files.join(manifests, ["session_id", "folder"]).join(entries.select("session_id", "manifest_id", "rel"), ["session_id", "manifest_id", "rel"], "left_anti").select("session_id", "folder", "manifest_id", "rel")
 
 
 def residual(entries: DataFrame, device: DataFrame) -> DataFrame:
     """Files that no manifest of the folder lists."""
     files = device.filter(~paths.in_litter_dir(F.col("rel")) & ~paths.is_litter_file(F.col("rel")) & ~paths.is_sidecar(F.col("rel"))).select("session_id", "folder", "rel")
-    return files.join(entries.select("folder", "rel").distinct(), ["folder", "rel"], "left_anti").select("session_id", "folder", "rel")
+    return files.join(entries.select("session_id", "folder", "rel").distinct(), ["session_id", "folder", "rel"], "left_anti").select("session_id", "folder", "rel")
 
 
 def unvouched(device: DataFrame, entries: DataFrame) -> DataFrame:
     """Folders without a manifest."""
-    return device.select("session_id", "folder").distinct().join(entries.select("folder").distinct(), "folder", "left_anti").select("session_id", "folder")
+    return device.select("session_id", "folder").distinct().join(entries.select("session_id", "folder").distinct(), ["session_id", "folder"], "left_anti").select("session_id", "folder")
 
 
 def headline(outcomes: DataFrame) -> DataFrame:
@@ -64,13 +64,13 @@ def headline(outcomes: DataFrame) -> DataFrame:
 
 def sweep(device: DataFrame, checked: DataFrame) -> DataFrame:
     """The state of each folder, the first that fits, and whether it is vouched for."""
-    status = manifest_status(checked).groupBy("folder").agg(F.bool_and("readable").alias("readable"), F.count("*").alias("manifests"))
+    status = manifest_status(checked).groupBy("session_id", "folder").agg(F.bool_and("readable").alias("readable"), F.count("*").alias("manifests"))
     good = readable(checked)
-    counts = recheck(good, device).groupBy("folder").agg(F.count_if(F.col("outcome") != "Matched").alias("bad"), F.count_if(F.col("outcome") == "Matched").alias("matched"))
-    rest = residual(good, device).groupBy("folder").agg(F.count("*").alias("residual"))
+    counts = recheck(good, device).groupBy("session_id", "folder").agg(F.count_if(F.col("outcome") != "Matched").alias("bad"), F.count_if(F.col("outcome") == "Matched").alias("matched"))
+    rest = residual(good, device).groupBy("session_id", "folder").agg(F.count("*").alias("residual"))
     rows = device.select("session_id", "folder").unionByName(checked.select("session_id", "folder")).distinct()
     for x in (status, counts, rest):
-        rows = rows.join(x, "folder", "left")
+        rows = rows.join(x, ["session_id", "folder"], "left")
     n = {c: F.coalesce(c, F.lit(0)) for c in ("bad", "matched", "residual")}
     state = F.when(F.col("manifests").isNull(), "NO MANIFEST").when(~F.col("readable"), "UNREADABLE").when(n["bad"] > 0, "DAMAGED").when(n["residual"] > 0, "INTACT").when(n["matched"] == 0, "EMPTY MANIFEST").otherwise("INTACT")
     vouched = F.col("manifests").isNotNull() & F.coalesce("readable", F.lit(False)) & (n["bad"] == 0) & (n["residual"] == 0) & (n["matched"] > 0)
@@ -84,5 +84,5 @@ def drive(swept: DataFrame) -> DataFrame:
 
 def first_lines(outcomes: DataFrame, n: int = 5) -> DataFrame:
     """K5: the first lines of each folder that are not matched."""
-    order = Window.partitionBy("folder").orderBy("rel", "manifest_id")
-    return outcomes.filter("outcome <> 'Matched'").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= n).select("folder", "k", "rel", "outcome")
+    order = Window.partitionBy("session_id", "folder").orderBy("rel", "manifest_id")
+    return outcomes.filter("outcome <> 'Matched'").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= n).select("session_id", "folder", "k", "rel", "outcome")

@@ -39,8 +39,9 @@ def cumulative(rows: DataFrame) -> DataFrame:
     return rows.filter("event = 'bytes'").select("session_id", "phase_no", "dev", "event_id", "ms", F.sum("delta").over(w).alias("done"))
 
 
-def rates(rows: DataFrame, planned: int = 50_000_000) -> DataFrame:
-    """Bytes a second over the last 12 s, and seconds to go of a plan of so many bytes."""
+def rates(rows: DataFrame, plans: DataFrame) -> DataFrame:
+    """Bytes a second over the last 12 s, and seconds to go of each session's plan (session_id, bytes), if it has one."""
+    plans = plans.select("session_id", F.col("bytes").alias("planned"))
     phase = Window.partitionBy("session_id", "phase_no").orderBy("ms", "event_id")
     run = rows.filter("event = 'bytes'").withColumn("done", F.sum("delta").over(phase.rowsBetween(Window.unboundedPreceding, 0)))
     recent = Window.partitionBy("session_id", "phase_no").orderBy("ms").rangeBetween(-RATE_MS, 0)
@@ -48,7 +49,8 @@ def rates(rows: DataFrame, planned: int = 50_000_000) -> DataFrame:
     dt, db = F.col("ms") - F.col("ms0"), F.col("done") - F.col("done0")
     rate = F.when((dt >= MIN_MS) & (db > 0), db * 1000.0 / dt)
     elapsed = F.col("ms") - F.col("start")
-    left = F.greatest(F.lit(planned) - F.col("done"), F.lit(0))
+    run = run.join(plans, "session_id", "left")
+    left = F.greatest(F.col("planned") - F.col("done"), F.col("planned") * 0)  # null where there is no plan
     mean = F.try_divide(F.col("done") * 1000.0, elapsed)
     eta = F.when(left == 0, 0.0).when((F.col("done") > 0) & (elapsed >= MIN_MS), F.try_divide(left, F.coalesce(rate, mean)))
     return run.select("session_id", "phase_no", "event_id", F.round(rate, 3).alias("rate"), F.round(eta, 3).alias("eta"))
@@ -97,10 +99,12 @@ def moved(rows: DataFrame) -> DataFrame:
     return per.groupBy("session_id", "phase_no", "phase").agg(F.when(F.col("phase") == "VERIFY", F.sum("n")).otherwise(most).alias("moved"))
 
 
-def progress(rows: DataFrame, planned: int = 500_000) -> DataFrame:
-    """The share of a plan that each device has done in a phase, from 0 to 1; 1 of an empty plan."""
+def progress(rows: DataFrame, plans: DataFrame) -> DataFrame:
+    """The share of its plan (session_id, dev, bytes) that each device has done in a phase, from 0 to 1; 0 of none, 1 of an empty one."""
     done = rows.filter("event = 'bytes'").groupBy("session_id", "phase_no", "dev").agg(F.sum("delta").alias("done"))
-    share = F.lit(1.0) if planned == 0 else F.least(F.greatest(F.col("done") / F.lit(planned), F.lit(0.0)), F.lit(1.0))
+    done = done.join(plans.select("session_id", "dev", "bytes"), ["session_id", "dev"], "left")
+    part = F.least(F.greatest(F.try_divide(F.col("done"), F.col("bytes")), F.lit(0.0)), F.lit(1.0))
+    share = F.when(F.col("bytes").isNull(), 0.0).when(F.col("bytes") == 0, 1.0).otherwise(part)
     return done.select("session_id", "phase_no", "dev", F.round(share, 6).alias("share"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,9 +19,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None):
+def query(name: str, oracle: str | None = None, keep: tuple[str, ...] = ()):
+    """Registers a query; keep names tables that it reads several times."""
+
     def register(f: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            tables = Tables(spark, sf_dir)
+            tables.keep(scratch, *keep)
+            return f(tables)
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = sql(oracle, duck=True)
         return f
@@ -32,8 +40,8 @@ def scratch(spark: SparkSession) -> str:
     """A new folder among those that driver and executors share."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
     return f"{base}/custody-{uuid.uuid4().hex}"
 
@@ -87,9 +95,9 @@ CHECKED = RECON + """, checked AS (SELECT r.session_id, v.slot AS device, r.rel,
 EXPECTED = """WITH expected AS (SELECT i.session_id, i.rel, i.size, v.slot FROM items i JOIN volumes v ON v.session_id = i.session_id
   WHERE CASE v.slot WHEN 'C1' THEN i.pairing <> 'OnlyOnC2' WHEN 'C2' THEN i.pairing <> 'OnlyOnC1' ELSE TRUE END),
   lost AS (SELECT e.session_id, e.rel, string_agg(e.slot, ',' ORDER BY list_position(['C1', 'C2', 'A', 'B', 'C'], e.slot)) AS devs FROM expected e ANTI JOIN measurements m ON m.session_id = e.session_id AND m.rel = e.rel AND m.slot = e.slot GROUP BY 1, 2)"""
-DIAGNOSED = EXPECTED + """, d0 AS (SELECT t.*, coalesce(c1, c2) AS card, list_filter([CASE WHEN a <> coalesce(c1, c2) THEN 'A' END, CASE WHEN b <> coalesce(c1, c2) THEN 'B' END], lambda x: x IS NOT NULL) AS off,
-    list_filter([a, b], lambda x: x IS NOT NULL) AS vals, array_to_string(list_filter([CASE WHEN a IS NOT NULL THEN 'A' END, CASE WHEN b IS NOT NULL THEN 'B' END], lambda x: x IS NOT NULL), ',') AS alls,
-    coalesce(CAST(a = c1 AS INT), 0) + coalesce(CAST(b = c1 AS INT), 0) + coalesce(CAST(sc = c1 AS INT), 0) AS v1, coalesce(CAST(a = c2 AS INT), 0) + coalesce(CAST(b = c2 AS INT), 0) + coalesce(CAST(sc = c2 AS INT), 0) AS v2 FROM tuples t),
+DIAGNOSED = EXPECTED + """, d0 AS (SELECT t.*, coalesce(c1, c2) AS card, list_filter([CASE WHEN a <> coalesce(c1, c2) THEN 'A' END, CASE WHEN b <> coalesce(c1, c2) THEN 'B' END, CASE WHEN c <> coalesce(c1, c2) THEN 'C' END], lambda x: x IS NOT NULL) AS off,
+    list_filter([a, b, c], lambda x: x IS NOT NULL) AS vals, array_to_string(list_filter([CASE WHEN a IS NOT NULL THEN 'A' END, CASE WHEN b IS NOT NULL THEN 'B' END, CASE WHEN c IS NOT NULL THEN 'C' END], lambda x: x IS NOT NULL), ',') AS alls,
+    coalesce(CAST(a = c1 AS INT), 0) + coalesce(CAST(b = c1 AS INT), 0) + coalesce(CAST(c = c1 AS INT), 0) + coalesce(CAST(sc = c1 AS INT), 0) AS v1, coalesce(CAST(a = c2 AS INT), 0) + coalesce(CAST(b = c2 AS INT), 0) + coalesce(CAST(c = c2 AS INT), 0) + coalesce(CAST(sc = c2 AS INT), 0) AS v2 FROM tuples t),
   d1 AS (SELECT *, CASE WHEN c1 <> c2 THEN 'TwinMismatch' WHEN card IS NULL OR len(vals) = 0 THEN 'Unclassified' WHEN (sc IS NULL OR sc = card) AND len(off) = 0 THEN 'Clean'
     WHEN (sc IS NULL OR sc = card) AND len(vals) >= 2 AND len(off) = len(vals) AND len(list_distinct(vals)) = 1 THEN 'Systematic' WHEN sc IS NULL OR sc = card THEN 'BadDestination'
     WHEN len(off) = 0 THEN 'UnrepeatableSourceRead' WHEN len(list_filter(vals, lambda x: x = sc)) = len(vals) THEN 'SourceReadCorrupt' ELSE 'Unclassified' END AS k FROM d0),
@@ -106,14 +114,14 @@ ENTRIES = """WITH entries AS (SELECT session_id, folder, manifest_id, regexp_rep
   status AS (SELECT session_id, folder, manifest_id, min(error) AS error, count(*) AS entries, min(error) IS NULL AS readable FROM entries GROUP BY 1, 2, 3),
   good AS (SELECT * FROM entries SEMI JOIN (SELECT * FROM status WHERE readable) s USING (manifest_id)),
   outcomes AS (SELECT e.session_id, e.folder, e.manifest_id, e.rel, e.size, CASE WHEN d.rel IS NULL THEN 'Missing' WHEN d.hash IS NULL THEN 'Unreadable' WHEN d.hash = e.hash THEN 'Matched' ELSE 'Changed' END AS outcome
-    FROM good e LEFT JOIN device_files d ON d.folder = e.folder AND d.rel = e.rel),
-  rest AS (SELECT session_id, folder, rel FROM device_files d ANTI JOIN good g ON g.folder = d.folder AND g.rel = d.rel)"""
+    FROM good e LEFT JOIN device_files d ON d.session_id = e.session_id AND d.folder = e.folder AND d.rel = e.rel),
+  rest AS (SELECT session_id, folder, rel FROM device_files d ANTI JOIN good g ON g.session_id = d.session_id AND g.folder = d.folder AND g.rel = d.rel)"""
 SWEPT = ENTRIES + """, folders AS (SELECT session_id, folder FROM device_files UNION SELECT session_id, folder FROM entries),
   swept AS (SELECT f.session_id, f.folder, CASE WHEN s.n IS NULL THEN 'NO MANIFEST' WHEN NOT s.readable THEN 'UNREADABLE' WHEN coalesce(o.bad, 0) > 0 THEN 'DAMAGED' WHEN coalesce(r.n, 0) > 0 THEN 'INTACT' WHEN coalesce(o.ok, 0) = 0 THEN 'EMPTY MANIFEST' ELSE 'INTACT' END AS state,
     coalesce(s.n IS NOT NULL AND s.readable AND coalesce(o.bad, 0) = 0 AND coalesce(r.n, 0) = 0 AND coalesce(o.ok, 0) > 0, FALSE) AS clean, coalesce(o.ok, 0) AS matched, coalesce(o.bad, 0) AS bad, coalesce(r.n, 0) AS residual
-  FROM folders f LEFT JOIN (SELECT folder, count(*) AS n, bool_and(readable) AS readable FROM status GROUP BY 1) s ON s.folder = f.folder
-    LEFT JOIN (SELECT folder, count(*) FILTER (WHERE outcome <> 'Matched') AS bad, count(*) FILTER (WHERE outcome = 'Matched') AS ok FROM outcomes GROUP BY 1) o ON o.folder = f.folder
-    LEFT JOIN (SELECT folder, count(*) AS n FROM rest GROUP BY 1) r ON r.folder = f.folder)"""
+  FROM folders f LEFT JOIN (SELECT session_id, folder, count(*) AS n, bool_and(readable) AS readable FROM status GROUP BY 1, 2) s ON s.session_id = f.session_id AND s.folder = f.folder
+    LEFT JOIN (SELECT session_id, folder, count(*) FILTER (WHERE outcome <> 'Matched') AS bad, count(*) FILTER (WHERE outcome = 'Matched') AS ok FROM outcomes GROUP BY 1, 2) o ON o.session_id = f.session_id AND o.folder = f.folder
+    LEFT JOIN (SELECT session_id, folder, count(*) AS n FROM rest GROUP BY 1, 2) r ON r.session_id = f.session_id AND r.folder = f.folder)"""
 DEVICE = """WITH dev AS (SELECT serial, count(DISTINCT CASE WHEN kind = 'session' THEN seq END) AS sessions, CAST(sum(CASE WHEN kind = 'session' THEN retries ELSE 0 END) AS BIGINT) AS retries,
     count(DISTINCT CASE WHEN kind = 'session' AND suspect THEN seq END) AS twin_mismatches, count(DISTINCT CASE WHEN kind <> 'session' THEN seq END) AS formats, max(CASE WHEN kind = 'session' THEN at END) AS last_seen,
     arg_max(label, seq) FILTER (WHERE label <> '') AS label FROM history GROUP BY 1),
@@ -166,8 +174,8 @@ def _(t):
     return recheck.recheck(recheck.readable(checked_entries(t)), t.device_files)
 
 
-@query("j7_extras", ENTRIES + """ SELECT d.session_id, d.folder, m.manifest_id, d.rel FROM device_files d JOIN (SELECT DISTINCT folder, manifest_id FROM good) m ON m.folder = d.folder
-  WHERE NOT EXISTS (SELECT 1 FROM good g WHERE g.manifest_id = m.manifest_id AND g.rel = d.rel)""")
+@query("j7_extras", ENTRIES + """ SELECT d.session_id, d.folder, m.manifest_id, d.rel FROM device_files d JOIN (SELECT DISTINCT session_id, folder, manifest_id FROM good) m ON m.session_id = d.session_id AND m.folder = d.folder
+  WHERE NOT EXISTS (SELECT 1 FROM good g WHERE g.session_id = d.session_id AND g.manifest_id = m.manifest_id AND g.rel = d.rel)""")
 def _(t):
     return recheck.extras(recheck.readable(checked_entries(t)), t.device_files)
 
@@ -182,7 +190,7 @@ def _(t):
     return plan.expected(t.items, t.volumes).select("session_id", "rel", "slot")
 
 
-@query("j10_missing_copies", EXPECTED + " SELECT * FROM lost")
+@query("j10_missing_copies", EXPECTED + " SELECT * FROM lost", keep=("items", "tuples"))
 def _(t):
     return diagnose.missing(plan.expected(t.items, t.volumes), t.measurements)
 
@@ -208,12 +216,16 @@ def _(t):
     return devices.resolve_slots(t.slot_memory, t.volumes)
 
 
-@query("j15_history_warnings", DEVICE + " SELECT v.session_id, v.slot, v.serial % 50 AS serial, d.warning FROM volumes v JOIN device d ON d.serial = v.serial % 50 WHERE d.suspect")
+#: Today's devices, under serials of which the history has some and others not.
+TODAY = "SELECT session_id, slot, serial - 1000 AS serial FROM volumes"
+
+
+@query("j15_history_warnings", DEVICE + f" SELECT v.session_id, v.slot, v.serial, d.warning FROM ({TODAY}) v JOIN device d ON d.serial = v.serial WHERE d.suspect")
 def _(t):
-    return history.warnings(t.volumes, history.summarise(t.history))
+    return history.warnings(t.sql(TODAY), history.summarise(t.history))
 
 
-@query("j16_suspect_serials", DIAGNOSED + " SELECT DISTINCT d.session_id, v.serial FROM diagnosed d JOIN volumes v ON v.session_id = d.session_id AND v.slot = d.suspect WHERE kind = 'TwinMismatch'")
+@query("j16_suspect_serials", DIAGNOSED + " SELECT DISTINCT d.session_id, v.serial FROM diagnosed d JOIN volumes v ON v.session_id = d.session_id AND v.slot = d.suspect WHERE kind = 'TwinMismatch'", keep=("items", "tuples"))
 def _(t):
     return history.suspects(diagnoses(t), t.volumes)
 
@@ -228,7 +240,7 @@ def _(t):
     return attempts.unrepeatable(t.rereads)
 
 
-@query("j19_manifest_contents", """WITH x AS (SELECT i.session_id, i.rel, i.size, i.mtime, coalesce(t.a, t.b) AS hash FROM items i JOIN tuples t ON t.session_id = i.session_id AND t.rel = i.rel WHERE i.p % 199 <> 1)
+@query("j19_manifest_contents", """WITH x AS (SELECT i.session_id, i.rel, i.size, i.mtime, coalesce(t.a, t.b, t.c) AS hash FROM items i JOIN tuples t ON t.session_id = i.session_id AND t.rel = i.rel WHERE i.p % 199 <> 1)
   SELECT * FROM x WHERE session_id NOT IN (SELECT session_id FROM x WHERE hash IS NULL)""")
 def _(t):
     return manifests.contents(t.items.filter("p % 199 <> 1"), t.tuples)
@@ -237,7 +249,7 @@ def _(t):
 EXCUSED = "SELECT session_id, rel FROM items WHERE p % 227 = 0"
 
 
-@query("j20_failures_minus_excused", DIAGNOSED + f" SELECT session_id, rel, kind FROM diagnosed WHERE kind <> 'Clean' AND (session_id, rel) NOT IN ({EXCUSED})")
+@query("j20_failures_minus_excused", DIAGNOSED + f" SELECT session_id, rel, kind FROM diagnosed WHERE kind <> 'Clean' AND (session_id, rel) NOT IN ({EXCUSED})", keep=("items", "tuples"))
 def _(t):
     return diagnose.unexcused(diagnoses(t), t.sql(EXCUSED)).select("session_id", "rel", "kind")
 
@@ -247,7 +259,7 @@ def _(t):
     return history.trail(t.history)
 
 
-@query("j22_no_manifest", "SELECT DISTINCT session_id, folder FROM device_files WHERE folder NOT IN (SELECT folder FROM manifest_entries)")
+@query("j22_no_manifest", "SELECT DISTINCT session_id, folder FROM device_files WHERE (session_id, folder) NOT IN (SELECT session_id, folder FROM manifest_entries)")
 def _(t):
     return recheck.unvouched(t.device_files, t.manifest_entries)
 
@@ -309,12 +321,12 @@ def _(t):
     return plan.verify_plan(plan.expected(t.items, t.volumes))
 
 
-@query("a10_hash_tuple", "SELECT session_id, rel, sc, c1, c2, a, b, CAST(NULL AS VARCHAR) AS c FROM tuples WHERE coalesce(sc, c1, c2, a, b) IS NOT NULL")
+@query("a10_hash_tuple", "SELECT session_id, rel, sc, c1, c2, a, b, c FROM tuples WHERE coalesce(sc, c1, c2, a, b, c) IS NOT NULL")
 def _(t):
     return diagnose.tuples(t.measurements)
 
 
-@query("a11_a12_diagnosis", DIAGNOSED + " SELECT * FROM diagnosed")
+@query("a11_a12_diagnosis", DIAGNOSED + " SELECT * FROM diagnosed", keep=("items", "tuples"))
 def _(t):
     return diagnoses(t)
 
@@ -350,17 +362,17 @@ def assessed(t: Tables) -> DataFrame:
     return verdict.assessment(t.sessions, summary, t.volumes, devices.session_state(t.volumes), attempts.retries(t.copy_attempts), errors, failures)
 
 
-@query("a13_assessment", ASSESSED + " SELECT session_id, failures, most_retries, dest_count, sure_dests, network_dests, scan_errors, conflicts, untwinned, files, twin_matched, dests, cards, dest_on_card FROM assessed")
+@query("a13_assessment", ASSESSED + " SELECT session_id, failures, most_retries, dest_count, sure_dests, network_dests, scan_errors, conflicts, untwinned, files, twin_matched, dests, cards, dest_on_card FROM assessed", keep=("items", "tuples"))
 def _(t):
     return assessed(t).select("session_id", "failures", "most_retries", "dest_count", "sure_dests", "network_dests", "scan_errors", "conflicts", "untwinned", "files", "twin_matched", "dests", "cards", "dest_on_card")
 
 
-@query("a14_verdict_ladder", LADDER + " SELECT session_id, verdict, array_to_string(reasons, '; ') AS reasons, files_failed, files, twin_matched FROM laddered")
+@query("a14_verdict_ladder", LADDER + " SELECT session_id, verdict, array_to_string(reasons, '; ') AS reasons, files_failed, files, twin_matched FROM laddered", keep=("items", "tuples"))
 def _(t):
     return verdict.ladder(assessed(t)).withColumn("reasons", F.array_join("reasons", "; "))
 
 
-@query("a14_reason_rows", LADDER + " SELECT session_id, verdict, CAST(unnest(range(0, len(reasons))) AS INT) AS ord, unnest(reasons) AS reason FROM laddered")
+@query("a14_reason_rows", LADDER + " SELECT session_id, verdict, CAST(unnest(range(0, len(reasons))) AS INT) AS ord, unnest(reasons) AS reason FROM laddered", keep=("items", "tuples"))
 def _(t):
     return verdict.reason_rows(verdict.ladder(assessed(t)))
 
@@ -411,9 +423,19 @@ def _(t):
     return telemetry.moved(events(t))
 
 
-@query("a23_progress", PHASED + " SELECT session_id, phase_no, dev, round(least(greatest(sum(delta) / 500000.0, 0.0), 1.0), 6)::DOUBLE AS share FROM ph WHERE event = 'bytes' GROUP BY 1, 2, 3")
+#: What each device is to read or write, as verify plans say; sessions and devices without one occur.
+PLANS = "SELECT e.session_id, e.slot AS dev, CAST(sum(e.size) / 1000 AS BIGINT) AS bytes FROM expected e WHERE e.session_id % 7 <> 6 GROUP BY e.session_id, e.slot"
+
+
+def plans_of(t: Tables) -> DataFrame:
+    rows = plan.verify_plan(plan.expected(t.items, t.volumes)).filter("slot IS NOT NULL AND session_id % 7 <> 6")
+    return rows.select("session_id", F.col("slot").alias("dev"), (F.col("bytes") / 1000).cast("decimal(20,3)").alias("x")).select("session_id", "dev", F.round("x").cast("long").alias("bytes"))
+
+
+@query("a23_progress", EXPECTED + "," + PHASED[5:] + f""", pl AS ({PLANS}), d AS (SELECT session_id, phase_no, dev, sum(delta) AS n FROM ph WHERE event = 'bytes' GROUP BY 1, 2, 3)
+  SELECT d.session_id, d.phase_no, d.dev, round(CASE WHEN bytes IS NULL THEN 0.0 WHEN bytes = 0 THEN 1.0 ELSE least(greatest(n / CAST(bytes AS DOUBLE), 0.0), 1.0) END, 6)::DOUBLE AS share FROM d LEFT JOIN pl ON pl.session_id = d.session_id AND pl.dev = d.dev""")
 def _(t):
-    return telemetry.progress(events(t))
+    return telemetry.progress(events(t), plans_of(t))
 
 
 @query("a24_phase_totals", SPANS + " SELECT session_id, phase, CAST(sum(length_ms) AS BIGINT) AS ms, count(*) AS intervals FROM times GROUP BY 1, 2")
@@ -427,7 +449,7 @@ def _(t):
 
 
 @query("a26_all_errors", DIAGNOSED + """ SELECT session_id, 'copy ' || device || ' ' || rel || ': ' || min(error) AS line FROM copy_attempts WHERE pass = 2 GROUP BY session_id, device, rel
-  UNION ALL SELECT session_id, 'scan ' || device || ': ' || msg FROM scan_errors UNION ALL SELECT session_id, 'verify ' || rel || ': ' || kind FROM diagnosed WHERE kind <> 'Clean'""")
+  UNION ALL SELECT session_id, 'scan ' || device || ': ' || msg FROM scan_errors UNION ALL SELECT session_id, 'verify ' || rel || ': ' || kind FROM diagnosed WHERE kind <> 'Clean'""", keep=("items", "tuples"))
 def _(t):
     return attempts.all_errors(t.copy_attempts, t.scan_errors, diagnose.unexcused(diagnoses(t)))
 
@@ -456,12 +478,12 @@ def _(t):
 
 
 # ---- windows ----
-@query("w1_w2_rate_eta", PHASED + """, r0 AS (SELECT *, CAST(sum(delta) OVER (PARTITION BY session_id, phase_no ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS done FROM ph WHERE event = 'bytes'),
+@query("w1_w2_rate_eta", EXPECTED + "," + PHASED[5:] + f""", pl AS ({PLANS}), r0 AS (SELECT *, CAST(sum(delta) OVER (PARTITION BY session_id, phase_no ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS done FROM ph WHERE event = 'bytes'),
   r1 AS (SELECT *, min(ms) OVER w AS ms0, min(done) OVER w AS done0, min(ms) OVER (PARTITION BY session_id, phase_no) AS start FROM r0 WINDOW w AS (PARTITION BY session_id, phase_no ORDER BY ms RANGE BETWEEN 12000 PRECEDING AND CURRENT ROW)),
-  r2 AS (SELECT *, CASE WHEN ms - ms0 >= 2000 AND done > done0 THEN (done - done0) * 1000.0::DOUBLE / (ms - ms0) END AS rate, greatest(50000000 - done, 0) AS lft FROM r1)
+  r2 AS (SELECT *, CASE WHEN ms - ms0 >= 2000 AND done > done0 THEN (done - done0) * 1000.0::DOUBLE / (ms - ms0) END AS rate, greatest(planned - done, planned * 0) AS lft FROM r1 LEFT JOIN (SELECT session_id, CAST(sum(bytes) AS BIGINT) AS planned FROM pl GROUP BY 1) q USING (session_id))
   SELECT session_id, phase_no, event_id, round(rate, 3) AS rate, round(CASE WHEN lft = 0 THEN 0.0::DOUBLE WHEN done > 0 AND ms - start >= 2000 THEN lft / coalesce(rate, done * 1000.0::DOUBLE / (ms - start)) END, 3) AS eta FROM r2""")
 def _(t):
-    return telemetry.rates(events(t))
+    return telemetry.rates(events(t), plans_of(t).groupBy("session_id").agg(F.sum("bytes").alias("bytes")))
 
 
 @query("w3_w4_a27_smoothed", """WITH th AS (SELECT *, (epoch_us(at) // 1000) AS ms FROM telemetry WHERE event = 'throughput')
@@ -493,21 +515,24 @@ def _(t):
 
 
 ASKED = "SELECT DISTINCT folder, CAST(manifest_id AS STRING) AS name FROM manifest_entries"
-TAKEN = "SELECT 'session-' || CAST(session_id AS STRING) AS folder, CAST(session_id % 4 AS INT) AS sequence FROM sessions WHERE session_id % 4 > 0"
+TAKEN = "SELECT 'day-' || CAST(session_id % 5 AS STRING) AS folder, CAST(session_id % 4 AS INT) AS sequence FROM sessions WHERE session_id % 4 > 0"
 
 
-@query("w9_generation_numbers", f"""WITH asked AS ({ASKED}), taken AS ({TAKEN}), n AS (SELECT a.folder, a.name, CAST(coalesce(t.sequence, 0) + row_number() OVER (PARTITION BY a.folder ORDER BY a.name) AS INT) AS sequence FROM asked a LEFT JOIN taken t ON t.folder = a.folder)
+@query("w9_generation_numbers", f"""WITH asked AS ({ASKED}), taken AS ({TAKEN}), n AS (SELECT a.folder, a.name, CAST(coalesce(t.sequence, 0) + row_number() OVER (PARTITION BY a.folder ORDER BY a.name) AS INT) AS sequence FROM asked a LEFT JOIN (SELECT folder, max(sequence) AS sequence FROM taken GROUP BY 1) t ON t.folder = a.folder)
   SELECT folder, name, sequence, lpad(CAST(sequence AS VARCHAR), 4, '0') AS digits FROM n""")
 def _(t):
     return manifests.next_generations(t.sql(ASKED), t.sql(TAKEN))
 
 
-NAMED = "SELECT 'd' || CAST(session_id % 7 AS STRING) AS folder, 'shoot' || CAST(session_id % 2 AS STRING) AS id, session_id AS ord FROM sessions"
-USED = "SELECT 'd' || CAST(session_id AS STRING) AS folder, CASE WHEN session_id = 1 THEN 'shoot0' ELSE 'shoot1-4' END AS name FROM sessions WHERE session_id IN (1, 2)"
+NAMED = """SELECT 'd' || CAST(session_id % 7 AS STRING) AS folder, '20260115-14300' || CAST(session_id % 2 AS STRING) AS id, session_id AS ord FROM sessions
+  UNION ALL SELECT 'd' || CAST(session_id % 7 AS STRING), 'shoot' || CAST(session_id % 3 AS STRING), session_id FROM sessions"""
+USED = """SELECT 'd' || CAST(session_id % 7 AS STRING) AS folder, CASE session_id % 4 WHEN 0 THEN '20260115-143000' WHEN 1 THEN 'shoot1-3' WHEN 2 THEN 'shoot0-4' ELSE '20260115-143001-2' END AS name FROM sessions WHERE session_id % 5 <> 0"""
 
 
-@query("w10_free_names", f"""WITH asked AS ({NAMED}), used AS (SELECT folder, regexp_replace(name, '-[0-9]+$', '') AS id, CASE WHEN name = 'shoot0' THEN 1 ELSE 4 END AS n FROM ({USED})),
-  k AS (SELECT a.*, coalesce(u.n, 0) + row_number() OVER (PARTITION BY a.folder, a.id ORDER BY a.ord) AS n FROM asked a LEFT JOIN used u ON u.folder = a.folder AND u.id = a.id) SELECT folder, id, ord, CASE WHEN n = 1 THEN id ELSE id || '-' || CAST(n AS VARCHAR) END AS name FROM k""")
+@query("w10_free_names", f"""WITH asked AS ({NAMED}), used AS (SELECT DISTINCT folder, name FROM ({USED})), free AS (SELECT a.folder, a.id, k, row_number() OVER (PARTITION BY a.folder, a.id ORDER BY k) AS nth FROM (SELECT DISTINCT folder, id FROM asked) a, (SELECT unnest(range(1, 200)) AS k)
+    WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.folder = a.folder AND u.name = CASE WHEN k = 1 THEN a.id ELSE a.id || '-' || CAST(k AS VARCHAR) END) AND (k = 1 OR NOT EXISTS (SELECT 1 FROM asked b WHERE b.folder = a.folder AND b.id = a.id || '-' || CAST(k AS VARCHAR)))),
+  n AS (SELECT *, row_number() OVER (PARTITION BY folder, id ORDER BY ord) AS nth FROM asked)
+  SELECT n.folder, n.id, n.ord, CASE WHEN k = 1 THEN n.id ELSE n.id || '-' || CAST(k AS VARCHAR) END AS name FROM n JOIN free f ON f.folder = n.folder AND f.id = n.id AND f.nth = n.nth""")
 def _(t):
     return manifests.free_names(t.sql(NAMED), t.sql(USED))
 
@@ -537,6 +562,23 @@ def _(t):
 
 
 # ---- sorts, limits, sets ----
+@query("k2_item_order", """WITH s AS (SELECT session_id, rel, hash, string_agg(slot, ' = ' ORDER BY list_position(['SC', 'C1', 'C2', 'A', 'B', 'C'], slot)) AS names FROM measurements GROUP BY 1, 2, 3), l AS (SELECT session_id, rel, string_agg(names || ' ' || substr(hash, 1, 8), ' | ' ORDER BY hash) AS line FROM s GROUP BY 1, 2)
+  SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY rel) AS INT) AS place, rel, line FROM l""")
+def _(t):
+    lines = diagnose.result_lines(diagnose.tuples(t.measurements))
+    return lines.select("session_id", F.row_number().over(Window.partitionBy("session_id").orderBy("rel")).alias("place"), "rel", "line")
+
+
+@query("k6_orders", """SELECT 'generation' AS what, folder AS parent, CAST(sequence AS VARCHAR) AS name, CAST(row_number() OVER (PARTITION BY folder ORDER BY sequence) AS INT) AS place FROM (SELECT DISTINCT folder, CAST(manifest_id AS INT) AS sequence FROM manifest_entries)
+  UNION ALL SELECT 'device', '', CAST(serial AS VARCHAR), CAST(row_number() OVER (ORDER BY serial) AS INT) FROM (SELECT DISTINCT serial FROM history)""")
+def _(t):
+    made = t.sql("SELECT DISTINCT folder, CAST(manifest_id AS INT) AS sequence FROM manifest_entries")
+    made = made.select(F.lit("generation").alias("what"), F.col("folder").alias("parent"), F.col("sequence").cast("string").alias("name"), F.row_number().over(Window.partitionBy("folder").orderBy("sequence")).alias("place"))
+    serials = t.history.select("serial").distinct()
+    known = serials.select(F.lit("device").alias("what"), F.lit("").alias("parent"), F.col("serial").cast("string").alias("name"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("serial")).alias("place"))
+    return made.unionByName(known)
+
+
 @query("k1_k3_error_order", """SELECT session_id, device, rel, pass, CAST(row_number() OVER (PARTITION BY session_id ORDER BY rel, list_position(['C1', 'C2', 'A', 'B', 'C'], device), pass) AS INT) AS place FROM copy_attempts""")
 def _(t):
     order = Window.partitionBy("session_id").orderBy("rel", plan.rank(F.col("device")), "pass")
@@ -553,7 +595,7 @@ def _(t):
     return names.select("session_id", F.concat(F.array_join("l", ", "), more).alias("preview"))
 
 
-@query("k5_first_lines", ENTRIES + " SELECT folder, CAST(k AS INT) AS k, rel, outcome FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY rel, manifest_id) AS k FROM outcomes WHERE outcome <> 'Matched') WHERE k <= 5")
+@query("k5_first_lines", ENTRIES + " SELECT session_id, folder, CAST(k AS INT) AS k, rel, outcome FROM (SELECT *, row_number() OVER (PARTITION BY session_id, folder ORDER BY rel, manifest_id) AS k FROM outcomes WHERE outcome <> 'Matched') WHERE k <= 5")
 def _(t):
     return recheck.first_lines(recheck.recheck(recheck.readable(checked_entries(t)), t.device_files))
 
@@ -571,16 +613,16 @@ def _(t):
     return reconciled(t).select("session_id", "rel")
 
 
-@query("u3_common_extras", ENTRIES + """ SELECT DISTINCT folder, rel FROM rest r SEMI JOIN good g ON g.folder = r.folder""")
+@query("u3_common_extras", ENTRIES + """ SELECT DISTINCT session_id, folder, rel FROM rest r SEMI JOIN good g ON g.session_id = r.session_id AND g.folder = r.folder""")
 def _(t):
     found = recheck.extras(recheck.readable(checked_entries(t)), t.device_files)
-    all_of = recheck.readable(checked_entries(t)).groupBy("folder").agg(F.countDistinct("manifest_id").alias("n"))
-    return found.groupBy("folder", "rel").agg(F.countDistinct("manifest_id").alias("k")).join(all_of, "folder").filter("k = n").select("folder", "rel")
+    all_of = recheck.readable(checked_entries(t)).groupBy("session_id", "folder").agg(F.countDistinct("manifest_id").alias("n"))
+    return found.groupBy("session_id", "folder", "rel").agg(F.countDistinct("manifest_id").alias("k")).join(all_of, ["session_id", "folder"]).filter("k = n").select("session_id", "folder", "rel")
 
 
-@query("u4_present_minus_listed", "SELECT folder, rel FROM device_files EXCEPT SELECT folder, regexp_replace(rel, '^(\\./)+', '') FROM manifest_entries")
+@query("u4_present_minus_listed", "SELECT session_id, folder, rel FROM device_files EXCEPT SELECT session_id, folder, regexp_replace(rel, '^(\\./)+', '') FROM manifest_entries")
 def _(t):
-    return t.device_files.select("folder", "rel").subtract(checked_entries(t).select("folder", "rel"))
+    return t.device_files.select("session_id", "folder", "rel").subtract(checked_entries(t).select("session_id", "folder", "rel"))
 
 
 # ---- predicates and functions ----
@@ -626,7 +668,7 @@ def _(t):
     return verdict.ladder(assessed(t)).select("session_id", "verdict").join(F.broadcast(means), "verdict")
 
 
-@query("p18_descriptions", DIAGNOSED + " SELECT session_id, rel, CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in formats.DIAGNOSES.items()) + " END AS text FROM diagnosed")
+@query("p18_descriptions", DIAGNOSED + " SELECT session_id, rel, CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in formats.DIAGNOSES.items()) + " END AS text FROM diagnosed", keep=("items", "tuples"))
 def _(t):
     return diagnoses(t).select("session_id", "rel", formats.describe(F.col("kind")).alias("text"))
 
@@ -641,7 +683,7 @@ def _(t):
     return devices.refusals(t.volumes)
 
 
-@query("p22_result_lines", """WITH s AS (SELECT session_id, rel, hash, string_agg(slot, ' = ' ORDER BY list_position(['SC', 'C1', 'C2', 'A', 'B'], slot)) AS names FROM measurements GROUP BY 1, 2, 3)
+@query("p22_result_lines", """WITH s AS (SELECT session_id, rel, hash, string_agg(slot, ' = ' ORDER BY list_position(['SC', 'C1', 'C2', 'A', 'B', 'C'], slot)) AS names FROM measurements GROUP BY 1, 2, 3)
   SELECT session_id, rel, string_agg(names || ' ' || substr(hash, 1, 8), ' | ' ORDER BY hash) AS line FROM s GROUP BY 1, 2""")
 def _(t):
     return diagnose.result_lines(diagnose.tuples(t.measurements))
@@ -665,8 +707,12 @@ TWINS = "SELECT doc_id, t1, t2 FROM twin_text"
 
 
 def binary_twins(t: Tables) -> DataFrame:
-    rows = t.twin_text.select("doc_id", F.col("t1").cast("binary").alias("a"), F.col("t2").cast("binary").alias("b"))
-    return rows.filter(F.octet_length("a") == F.octet_length("b"))
+    return t.twin_text.select("doc_id", F.col("t1").cast("binary").alias("a"), F.col("t2").cast("binary").alias("b")).filter(F.octet_length("a") == F.octet_length("b"))
+
+
+def twin_runs(t: Tables) -> DataFrame:
+    twins = binary_twins(t)
+    return digest.diff_runs(digest.chunked(twins, "doc_id", "a", 4096), digest.chunked(twins, "doc_id", "b", 4096), "doc_id", 4096)
 
 
 @query("h1_content_digest")
@@ -677,9 +723,7 @@ def _(t):
 @query("h1_chunked_digest")
 def _(t):
     rows = t.raw("documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
-    n = F.floor(F.octet_length("content") / 1000).cast("int")
-    chunks = rows.select("path", F.explode(F.sequence(F.lit(0), n)).alias("chunk_no"), "content").withColumn("content", F.substring("content", F.col("chunk_no") * 1000 + 1, F.lit(1000)))
-    return digest.chunk_digests(chunks)
+    return digest.chunk_digests(digest.chunked(rows, "path", "content", 1000).withColumnRenamed("no", "chunk_no"))
 
 
 @query("h2_two_reads", "SELECT a.session_id, a.rel, a.hash = b.hash AS agree FROM measurements a JOIN measurements b ON a.session_id = b.session_id AND a.rel = b.rel AND a.slot = 'SC' AND b.slot = 'C1'")
@@ -703,7 +747,7 @@ RUNS = "WITH runs AS (SELECT doc_id, CAST(strlen(substr(t1, 1, 1)) AS BIGINT) AS
 
 @query("h4_w13_diff_runs", RUNS + " SELECT * FROM runs")
 def _(t):
-    return digest.diff_runs(binary_twins(t), "doc_id", 4096)
+    return twin_runs(t)
 
 
 @query("h5_protected_overlap", RUNS + """, spans AS (SELECT doc_id, k * 10 AS start, k * 10 + 2 AS stop FROM twin_text, (SELECT unnest(range(0, 3)) AS k) WHERE doc_id % 20 < 11)
@@ -711,7 +755,7 @@ def _(t):
 def _(t):
     spans = t.raw("documents").filter("doc_id % 20 < 11").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
     spans = spans.select("doc_id", (F.col("k") * 10).cast("long").alias("start"), (F.col("k") * 10 + 2).cast("long").alias("stop"))
-    return digest.overlaps(digest.diff_runs(binary_twins(t), "doc_id", 4096), spans, "doc_id", 4096)
+    return digest.overlaps(twin_runs(t), spans, "doc_id", 4096)
 
 
 MARKUP = "SELECT page_id, html AS a, CASE page_id % 4 WHEN 0 THEN replace(html, 'class=\"ad\"', 'class=\"xy\"') WHEN 1 THEN replace(html, '<article>', '<articlf>') WHEN 2 THEN html || ' ' ELSE html END AS b FROM {pages}"
@@ -749,7 +793,7 @@ def _(t):
 
 
 FACTS = """SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND doc_id % 3 = 0 THEN 'arw' ELSE 'mp4' END AS ext, length(t1) AS len_a, length(t2) + CASE WHEN doc_id % 70 = 10 THEN 1 ELSE 0 END AS len_b, doc_id % 110 <> 20 AS parsed, doc_id % 130 <> 40 AS structure_equal,
-  CAST(doc_id % 60 AS INT) AS samples, CASE WHEN doc_id % 170 = 50 THEN 0 ELSE 3 END AS essence_spans, CASE WHEN t1 <> t2 THEN 1 + doc_id % 9 ELSE 0 END AS differing, doc_id % 190 <> 70 AS structure_stable, CASE WHEN doc_id % 80 = 70 THEN 4 ELSE 0 END AS essence_overlap FROM twin_text WHERE doc_id % 10 = 0 AND length(t1) > 0"""
+  CAST(doc_id % 60 AS INT) AS samples, CASE WHEN doc_id % 170 = 50 THEN 0 ELSE 3 END AS essence_spans, CASE WHEN t1 <> t2 THEN 1 + doc_id % 9 ELSE 0 END AS differing, doc_id % 190 <> 70 AS structure_stable, CASE WHEN doc_id % 80 = 70 THEN 4 ELSE 0 END AS essence_overlap FROM twin_text WHERE length(t1) > 0"""
 
 
 @query("h9_accounting_ladder", f"""WITH f AS ({FACTS}) SELECT doc_id, CASE WHEN ext <> 'mp4' THEN 'NotPinnedContainer' WHEN len_a <> len_b THEN 'LengthMismatch' WHEN NOT parsed THEN 'Unparsable' WHEN NOT structure_equal THEN 'MoovDiffers' WHEN essence_spans = 0 THEN 'Unparsable'
@@ -774,7 +818,7 @@ def _(t):
     return found.unionByName(files.destination(t.spark, f"{t.sf_dir}/not-there").select("rel", "size"))
 
 
-WRITTEN = "SELECT session_id * 10 + p % 2 AS manifest_id, rel, size, mtime, substr(md5(rel), 1, 16) AS hash FROM files WHERE p % 5 = 0"
+WRITTEN = "SELECT session_id * 10 + p % 2 AS manifest_id, rel, size, mtime, substr(md5(rel), 1, 16) AS hash FROM files"
 
 
 def round_trip(t: Tables, asc: bool) -> DataFrame:
@@ -886,51 +930,103 @@ def _(t):
     return rows.withColumn("k", F.row_number().over(newest)).filter("k = 1").drop("k", "batch")
 
 
-@query("t5_idle_gaps")
+@query("t5_idle_gaps", """WITH th AS (SELECT session_id, dev, at, CASE WHEN epoch_us(at) - lag(epoch_us(at)) OVER (PARTITION BY session_id, dev ORDER BY at) <= 750000 THEN 0 ELSE 1 END AS fresh FROM telemetry WHERE event = 'throughput'),
+  n AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id, dev ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spell FROM th)
+  SELECT session_id, dev, min(at) AS active_from, max(at) + INTERVAL 750 MILLISECOND AS idle_from, count(*) AS samples FROM n GROUP BY session_id, dev, spell""")
 def _(t):
-    rows = live.drained(live.idle_gaps(stream(t)), scratch(t.spark), "append")
-    return rows.drop("batch")
+    rows = live.drained(live.idle_gaps(stream(t)), scratch(t.spark), "update")
+    newest = Window.partitionBy("session_id", "dev", "active_from").orderBy(F.desc("batch"))
+    return rows.withColumn("k", F.row_number().over(newest)).filter("k = 1 AND samples > 0").drop("k", "batch")
 
 
-@query("t6_t7_completion", "SELECT event_id // 5 % 20 AS session_id, CAST(event_id // 5 AS VARCHAR) AS rel, 'A,B,C,C1,C2' AS slots, count(DISTINCT event_type) = 1 AS agree FROM events GROUP BY 1, 2 HAVING count(DISTINCT event_id % 5) = 5")
-def _(t):
+#: Five events in a row stand for the measurements of one file, their kinds for hashes.
+MEASURED = """WITH g AS (SELECT event_id // 5 % 20 AS session_id, CAST(event_id // 5 AS VARCHAR) AS rel, max(at) AS at, max(CASE WHEN dev = 'C1' THEN event END) AS c1, max(CASE WHEN dev = 'C2' THEN event END) AS c2, max(CASE WHEN dev = 'A' THEN event END) AS a,
+  max(CASE WHEN dev = 'B' THEN event END) AS b, max(CASE WHEN dev = 'C' THEN event END) AS c FROM telemetry GROUP BY 1, 2 HAVING count(DISTINCT dev) = 5)"""
+
+
+def measured_stream(t: Tables) -> DataFrame:
     group = F.floor(F.col("event_id") / 5)
-    rows = stream(t).select((group % 20).cast("long").alias("session_id"), group.cast("string").alias("rel"), F.col("dev").alias("slot"), F.col("event").alias("hash"))
-    return live.drained(live.completed(rows, 5), scratch(t.spark)).drop("batch")
+    return stream(t).select((group % 20).cast("long").alias("session_id"), group.cast("string").alias("rel"), F.col("dev").alias("slot"), F.col("event").alias("hash"), "at")
+
+
+@query("t6_completion", MEASURED + " SELECT session_id, rel, at, c1, c2, a, b, c FROM g")
+def _(t):
+    return live.drained(live.completed(measured_stream(t), 5), scratch(t.spark)).select("session_id", "rel", "at", "c1", "c2", "a", "b", "c")
+
+
+@query("t7_abort_signal", MEASURED + " SELECT session_id, rel, at FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY at, rel) AS k FROM g WHERE c1 = c2 AND a = b AND b = c AND a <> c1) WHERE k = 1")
+def _(t):
+    path = scratch(t.spark)
+    done = live.drained(live.completed(measured_stream(t), 5), path)
+    fed = t.spark.readStream.schema(done.drop("batch").schema).parquet(f"{path}/out/batch=*")
+    return live.drained(live.aborts(diagnose.diagnosed_rows(fed)), scratch(t.spark)).drop("batch")
+
+
+@query("t8_dropped_events", """SELECT event, CAST(sum(n) AS BIGINT) AS seen, CAST(sum(n - 1) AS BIGINT) AS dropped FROM (SELECT session_id, dev, event, time_bucket(INTERVAL '100 milliseconds', at) AS w, count(*) AS n FROM telemetry WHERE event IN ('bytes', 'queue', 'throughput') GROUP BY 1, 2, 3, 4) GROUP BY 1""")
+def _(t):
+    _kept, lossy = live.split_sinks(stream(t))
+    return live.view(lossy, scratch(t.spark))
 
 
 # ---- whole jobs ----
-@query("q1_preflight", HAZARDS + "," + CHECKED[5:] + "," + PAIRS[5:] + """, volumes_need AS (SELECT v.session_id, coalesce(n.b, 0) > v.free_bytes AS full_ FROM volumes v LEFT JOIN (SELECT session_id, device, sum(size) AS b FROM checked WHERE NOT done GROUP BY 1, 2) n ON n.session_id = v.session_id AND n.device = v.slot WHERE v.slot NOT IN ('C1', 'C2'))
-  SELECT s.session_id, (SELECT count(*) FROM haz h WHERE h.session_id = s.session_id) AS name_hazards, (SELECT count(*) FROM checked c WHERE c.session_id = s.session_id AND dest_size IS NOT NULL AND NOT done) AS clashes,
-    coalesce((SELECT bool_or(full_) FROM volumes_need v WHERE v.session_id = s.session_id), FALSE) AS no_room, (SELECT count(*) FROM pairs p WHERE p.session_id = s.session_id AND state = 'SameDevice') AS shared_disks,
-    (SELECT count(*) FROM volumes v WHERE v.session_id = s.session_id AND write_mbps <= 50) AS slow_links FROM sessions s""")
-def _(t):
-    ids = t.sessions.select("session_id")
-    hazards = inventory.name_hazards(card_files(t)).groupBy("session_id").agg(F.count("*").alias("name_hazards"))
-    clashes = plan.clashes(checked(t)).groupBy("session_id").agg(F.count("*").alias("clashes"))
-    room = plan.bytes_needed(checked(t), t.volumes).groupBy("session_id").agg(F.bool_or("refused").alias("no_room"))
-    shared = devices.pairs(t.volumes).filter("state = 'SameDevice'").groupBy("session_id").agg(F.count("*").alias("shared_disks"))
-    slow = t.volumes.filter(formats.slow_link(F.col("write_mbps").cast("double"), F.lit(0)).isNotNull()).groupBy("session_id").agg(F.count("*").alias("slow_links"))
-    for x in (hazards, clashes, room, shared, slow):
+@query("q1_preflight", HAZARDS + "," + CHECKED[5:] + "," + REFUSED[5:] + "," + DEVICE[5:] + f""", volumes_need AS (SELECT v.session_id, coalesce(n.b, 0) > v.free_bytes AS full_ FROM volumes v LEFT JOIN (SELECT session_id, device, sum(size) AS b FROM checked WHERE NOT done GROUP BY 1, 2) n ON n.session_id = v.session_id AND n.device = v.slot WHERE v.slot NOT IN ('C1', 'C2')),
+  cased AS (SELECT session_id, 'case: ' || string_agg(rel, ' | ' ORDER BY rel) AS line FROM f GROUP BY session_id, device, lower(rel) HAVING count(*) > 1), told AS (SELECT session_id, hazard || ': ' || rel AS line FROM haz UNION ALL SELECT * FROM cased),
+  shown AS (SELECT session_id, string_agg(line, ' ; ' ORDER BY line) AS preview FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line) AS k FROM told) WHERE k <= 10 GROUP BY 1),
+  gone AS (SELECT m.session_id, count(*) AS n FROM slot_memory m ANTI JOIN volumes v ON v.session_id = m.session_id AND v.serial = m.serial GROUP BY 1),
+  warned AS (SELECT v.session_id, count(*) AS n FROM ({TODAY}) v JOIN device d ON d.serial = v.serial WHERE d.suspect GROUP BY 1)
+  SELECT s.session_id, (SELECT count(*) FROM haz h WHERE h.session_id = s.session_id) AS name_hazards, (SELECT count(*) FROM cased h WHERE h.session_id = s.session_id) AS case_collisions, coalesce((SELECT preview FROM shown h WHERE h.session_id = s.session_id), '') AS hazard_preview,
+    (SELECT count(*) FROM checked c WHERE c.session_id = s.session_id AND dest_size IS NOT NULL AND NOT done) AS clashes, coalesce((SELECT bool_or(full_) FROM volumes_need v WHERE v.session_id = s.session_id), FALSE) AS no_room,
+    (SELECT count(*) FROM pairs p WHERE p.session_id = s.session_id AND state = 'SameDevice') AS shared_disks, (SELECT count(*) FROM pairs p WHERE p.session_id = s.session_id AND state = 'Unproven') AS unproven_pairs,
+    (SELECT count(*) FROM pairs p WHERE p.session_id = s.session_id AND role = 'destinations' AND same_label) AS same_labels, (SELECT count(*) FROM volumes v WHERE v.session_id = s.session_id AND write_mbps <= 50) AS slow_links,
+    coalesce((SELECT n FROM warned w WHERE w.session_id = s.session_id), 0) AS history_warnings, coalesce((SELECT n FROM gone g WHERE g.session_id = s.session_id), 0) AS absent_slots,
+    coalesce((SELECT string_agg(DISTINCT reason, '; ' ORDER BY reason) FROM refusals r WHERE r.session_id = s.session_id), '') AS refusals FROM sessions s""", keep=("files", "items"))
+def _(t):
+    ids, count = t.sessions.select("session_id"), lambda df, name: df.groupBy("session_id").agg(F.count("*").alias(name))
+    listed = card_files(t)
+    todo = checked(t).groupBy("session_id", "device").agg(F.count_if(F.col("dest_size").isNotNull() & ~F.col("done")).alias("clashes"), F.sum(F.when(~F.col("done"), F.col("size"))).alias("need"))
+    room = t.volumes.filter("slot NOT IN ('C1', 'C2')").select("session_id", F.col("slot").alias("device"), "free_bytes").join(todo, ["session_id", "device"], "left")
+    room = room.groupBy("session_id").agg(F.coalesce(F.sum("clashes"), F.lit(0)).alias("clashes"), F.bool_or(F.coalesce("need", F.lit(0)) > F.col("free_bytes")).alias("no_room"))
+    pair = devices.pairs(t.volumes).groupBy("session_id").agg(
+        F.count_if(F.col("state") == "SameDevice").alias("shared_disks"), F.count_if(F.col("state") == "Unproven").alias("unproven_pairs"), F.count_if((F.col("role") == "destinations") & F.col("same_label")).alias("same_labels")
+    )
+    slow = t.volumes.groupBy("session_id").agg(F.count_if(formats.slow_link(F.col("write_mbps").cast("double"), F.lit(0)).isNotNull()).alias("slow_links"))
+    told = inventory.hazard_summary(t.sessions, listed).select("session_id", F.col("preview").alias("hazard_preview"))
+    warned = count(history.warnings(t.sql(TODAY), history.summarise(t.history)), "history_warnings")
+    gone = count(devices.resolve_slots(t.slot_memory, t.volumes).filter("absent"), "absent_slots")
+    refused = verdict.refused(devices.refusals(t.volumes)).select("session_id", F.array_join("reasons", "; ").alias("refusals"))
+    for x in (count(inventory.name_hazards(listed), "name_hazards"), count(inventory.case_collisions(listed), "case_collisions"), told, room, pair, slow, warned, gone, refused):
         ids = ids.join(x, "session_id", "left")
-    return ids.select("session_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("name_hazards", "clashes")], F.coalesce("no_room", F.lit(False)).alias("no_room"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("shared_disks", "slow_links")])
+    return ids.na.fill(0).na.fill(False).na.fill("")
 
 
-@query("q2_offload_verdict", LADDER + f" SELECT l.session_id, l.verdict, m.headline, m.exit_code, m.authorises_erase, array_to_string(l.reasons, '; ') AS reasons, l.files_failed, l.files FROM laddered l JOIN {MEANS} ON m.verdict = l.verdict")
+@query("q2_offload_verdict", LADDER + f" SELECT l.session_id, l.verdict, m.headline, m.exit_code, m.authorises_erase, array_to_string(l.reasons, '; ') AS reasons, l.files_failed, l.files FROM laddered l JOIN {MEANS} ON m.verdict = l.verdict", keep=("items", "tuples"))
 def _(t):
     rows = verdict.ladder(assessed(t)).join(F.broadcast(verdict.dimension(t.spark)), "verdict")
     return rows.select("session_id", "verdict", "headline", "exit_code", "authorises_erase", F.array_join("reasons", "; ").alias("reasons"), "files_failed", "files")
 
 
-@query("q3_drive_recheck", SWEPT + " SELECT count(*) AS folders, count(*) FILTER (WHERE clean) AS clean_folders, bool_and(clean) AS drive_clean, CAST(sum(bad) AS BIGINT) AS bad, CAST(sum(matched) AS BIGINT) AS matched FROM swept")
+@query("q3_drive_recheck", SWEPT + """ SELECT session_id, count(*) AS folders, count(*) FILTER (WHERE clean) AS clean_folders, bool_and(clean) AS drive_clean, count(*) FILTER (WHERE state = 'NO MANIFEST') AS without_manifest, count(*) FILTER (WHERE state = 'UNREADABLE') AS unreadable,
+  CAST(sum(bad) AS BIGINT) AS bad, CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(residual) AS BIGINT) AS unlisted FROM swept GROUP BY 1""", keep=("files",))
 def _(t):
     rows = recheck.sweep(t.device_files, checked_entries(t))
-    return rows.agg(F.count("*").alias("folders"), F.count_if("clean").alias("clean_folders"), F.bool_and("clean").alias("drive_clean"), F.sum("bad").alias("bad"), F.sum("matched").alias("matched"))
+    state = lambda x: F.count_if(F.col("state") == x)
+    return rows.groupBy("session_id").agg(
+        F.count("*").alias("folders"), F.count_if("clean").alias("clean_folders"), F.bool_and("clean").alias("drive_clean"), state("NO MANIFEST").alias("without_manifest"), state("UNREADABLE").alias("unreadable"),
+        F.sum("bad").alias("bad"), F.sum("matched").alias("matched"), F.sum("residual").alias("unlisted"),
+    )
 
 
-@query("q4_device_history", DEVICE + " SELECT serial, label, sessions, formats, suspect, coalesce(warning, '') AS warning FROM device WHERE sessions > 0 OR formats > 0")
+@query("q4_device_history", DEVICE + """, later AS (SELECT s.seq, s.serial, count(f.seq) > 0 AS erased FROM history s LEFT JOIN history f ON f.serial = s.serial AND f.kind = 'format' AND f.seq > s.seq WHERE s.kind = 'session' GROUP BY 1, 2),
+  line AS (SELECT seq, kind, string_agg(slot || ' ' || CASE WHEN label = '' THEN CAST(serial AS VARCHAR) ELSE label END, ', ' ORDER BY slot, label, serial) AS cards, max(failures) AS failures FROM history GROUP BY 1, 2),
+  newest AS (SELECT h.serial, arg_max(h.kind || ': ' || l.cards || ', failed ' || CAST(l.failures AS VARCHAR), h.seq) AS newest FROM history h JOIN line l ON l.seq = h.seq AND l.kind = h.kind GROUP BY 1)
+  SELECT d.serial, label, sessions, formats, suspect, coalesce(warning, '') AS warning, coalesce(e.n, 0) AS erased_after, coalesce(e.m, 0) AS not_erased, w.newest FROM device d LEFT JOIN (SELECT serial, count(*) FILTER (WHERE erased) AS n, count(*) FILTER (WHERE NOT erased) AS m FROM later GROUP BY 1) e ON e.serial = d.serial
+  LEFT JOIN newest w ON w.serial = d.serial WHERE sessions > 0 OR formats > 0""")
 def _(t):
-    return history.summarise(t.history).filter("sessions > 0 OR formats > 0").select("serial", "label", "sessions", "formats", "suspect", F.coalesce("warning", F.lit("")).alias("warning"))
+    rows = history.summarise(t.history).filter("sessions > 0 OR formats > 0").select("serial", "label", "sessions", "formats", "suspect", F.coalesce("warning", F.lit("")).alias("warning"))
+    after = history.trail(t.history).groupBy("serial").agg(F.count_if(F.col("formats_after") > 0).alias("erased_after"), F.count_if(F.col("formats_after") == 0).alias("not_erased"))
+    line = F.concat("kind", F.lit(": "), "cards", F.lit(", failed "), F.col("failures").cast("string"))
+    newest = t.history.select("serial", "seq", "kind").join(history.timeline(t.history), ["seq", "kind"]).groupBy("serial").agg(F.max_by(line, "seq").alias("newest"))
+    return rows.join(after, "serial", "left").join(newest, "serial", "left").na.fill(0, ["erased_after", "not_erased"])
 
 
 @query("q6_retention_plan", KEPT + " SELECT dir, path FROM lg WHERE k > 30")
@@ -970,10 +1066,10 @@ def _(t):
     return t.spark.read.schema(files.SESSION).json(path).select("tool", "session", "start", "formatted_after")
 
 
-@query("s16_telemetry_jsonl", "SELECT at, event, dev, delta, mbps FROM telemetry WHERE event_id % 2 = 0")
+@query("s16_telemetry_jsonl", "SELECT at, event, dev, delta, mbps FROM telemetry")
 def _(t):
     path = scratch(t.spark)
-    t.telemetry.filter("event_id % 2 = 0").select("at", "event", "dev", "delta", "mbps").withColumn("at", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).write.json(path)
+    t.telemetry.select("at", "event", "dev", "delta", "mbps").withColumn("at", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).write.json(path)
     return files.json_rows(t.spark, path, files.TELEMETRY).select("at", "event", "dev", "delta", "mbps")
 
 
@@ -1012,7 +1108,7 @@ def _(t):
     return now.groupBy("session_id").agg(F.sum("done").alias("done"), F.sum("events").alias("events"))
 
 
-@query("u2_u5_hazard_union", HAZARDS + " SELECT session_id, count(*) FILTER (WHERE device = 'C1') AS on_c1, count(*) FILTER (WHERE device = 'C2') AS on_c2 FROM haz GROUP BY 1")
+@query("u2_hazard_union", HAZARDS + " SELECT session_id, count(*) FILTER (WHERE device = 'C1') AS on_c1, count(*) FILTER (WHERE device = 'C2') AS on_c2 FROM haz GROUP BY 1")
 def _(t):
     both = inventory.name_hazards(card_files(t).filter("device = 'C1'")).unionByName(inventory.name_hazards(card_files(t).filter("device = 'C2'")))
     return both.groupBy("session_id").agg(F.count_if(F.col("device") == "C1").alias("on_c1"), F.count_if(F.col("device") == "C2").alias("on_c2"))

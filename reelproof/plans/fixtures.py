@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 SOURCES = ("lineitem", "orders", "events", "documents", "pages", "conversations", "customer")
@@ -33,15 +35,15 @@ TABLES = {
          CASE WHEN s2 IS NULL THEN NULL WHEN p % 211 = 0 THEN md5(rel || 'c2') ELSE md5(rel) END AS c2,
          CASE WHEN p % 173 = 0 THEN NULL WHEN p % 199 = 0 THEN md5(rel || 'x') WHEN p % 293 = 0 THEN md5(rel || 'sr') WHEN p % 241 = 0 THEN md5(rel || 'u2') ELSE md5(rel) END AS a,
          CASE WHEN p % 398 = 0 THEN md5(rel || 'x') WHEN p % 293 = 0 THEN md5(rel || 'sr') ELSE md5(rel) END AS b,
-         CAST(NULL AS STRING) AS c
+         CASE WHEN session_id % 9 <> 4 THEN NULL WHEN p % 179 = 0 THEN md5(rel || 'x') WHEN p % 293 = 0 THEN md5(rel || 'sr') ELSE md5(rel) END AS c
        FROM items""",
     "measurements": """SELECT session_id, rel, slot, CAST(1 AS INT) AS pass, hash FROM (
          SELECT session_id, rel, 'SC' AS slot, sc AS hash FROM tuples UNION ALL SELECT session_id, rel, 'C1', c1 FROM tuples
          UNION ALL SELECT session_id, rel, 'C2', c2 FROM tuples UNION ALL SELECT session_id, rel, 'A', a FROM tuples
-         UNION ALL SELECT session_id, rel, 'B', b FROM tuples) WHERE hash IS NOT NULL""",
+         UNION ALL SELECT session_id, rel, 'B', b FROM tuples UNION ALL SELECT session_id, rel, 'C', c FROM tuples) WHERE hash IS NOT NULL""",
     "rereads": """SELECT session_id, rel, slot, pass, hash FROM measurements UNION ALL
        SELECT session_id, rel, 'SC', CAST(2 AS INT), CASE WHEN p % 29 = 0 THEN md5(rel || 'again') ELSE sc END FROM tuples WHERE sc IS NOT NULL AND p % 13 = 0""",
-    "slots": "SELECT 'C1' AS slot, 1 AS rank UNION ALL SELECT 'C2', 2 UNION ALL SELECT 'A', 3 UNION ALL SELECT 'B', 4",
+    "slots": "SELECT 'C1' AS slot, 1 AS rank UNION ALL SELECT 'C2', 2 UNION ALL SELECT 'A', 3 UNION ALL SELECT 'B', 4 UNION ALL SELECT 'C', 5",
     "volumes": """SELECT s.session_id, t.slot, t.rank AS slot_rank, 1000 + (s.session_id % 11) * 10 + t.rank AS serial,
          CASE WHEN t.slot IN ('A', 'B') AND s.session_id % 8 = 3 THEN 'BACKUP' ELSE 'VOL_' || t.slot END AS label,
          CASE WHEN s.session_id % 6 = 1 THEN NULL ELSE 'guid-' || CAST(s.session_id AS STRING) || t.slot END AS guid,
@@ -50,7 +52,7 @@ TABLES = {
          CASE WHEN t.slot IN ('C1', 'C2') THEN CASE WHEN s.session_id % 10 = 4 THEN 'E:/' WHEN t.slot = 'C2' AND s.session_id % 14 = 2 THEN 'F:/c1' ELSE 'F:/' || t.slot END ELSE 'G:/' || t.slot END AS root,
          CASE WHEN s.session_id % 7 = 2 THEN 1000000000 ELSE 4000000000000 END AS free_bytes,
          CASE WHEN s.session_id % 5 = 1 THEN 30.0 WHEN s.session_id % 5 = 2 THEN NULL ELSE 120.0 END AS write_mbps
-       FROM sessions s CROSS JOIN slots t WHERE s.had_card2 OR t.slot <> 'C2'""",
+       FROM sessions s CROSS JOIN slots t WHERE (s.had_card2 OR t.slot <> 'C2') AND (t.slot <> 'C' OR s.session_id % 9 = 4)""",
     "dest_files": """SELECT i.session_id, t.slot AS device, i.rel, CASE WHEN i.p % 83 = 0 THEN i.size + 5 ELSE i.size END AS size,
          CASE WHEN i.p % 59 = 0 THEN i.mtime + INTERVAL 3 SECOND WHEN i.p % 53 = 0 THEN i.mtime + INTERVAL 2 SECOND ELSE i.mtime END AS mtime,
          CAST(CASE WHEN i.p % 67 = 0 THEN 4194304 ELSE 32 END AS INT) AS attrs
@@ -59,12 +61,12 @@ TABLES = {
        FROM items i CROSS JOIN (SELECT 'A' AS slot, 1 AS pass UNION ALL SELECT 'B', 1 UNION ALL SELECT 'A', 2 UNION ALL SELECT 'B', 2) t
        WHERE i.p % 113 = 0 AND (t.pass = 1 OR i.p % 226 = 0)""",
     "scan_errors": "SELECT session_id, 'C1' AS device, 'cannot read a folder' AS msg FROM sessions WHERE session_id % 13 = 4",
-    "manifest_entries": """SELECT session_id, session_id * 10 + p % 2 AS manifest_id, 'session-' || CAST(session_id AS STRING) AS folder,
+    "manifest_entries": """SELECT session_id, session_id * 10 + p % 2 AS manifest_id, 'day-' || CAST(session_id % 5 AS STRING) AS folder,
          CASE WHEN p % 157 = 0 THEN '../' || rel WHEN p % 5 = 0 THEN './' || rel ELSE rel END AS rel,
          CASE WHEN p % 149 = 0 AND session_id % 4 = 1 THEN NULL ELSE size END AS size, CASE WHEN p % 151 = 0 AND session_id % 4 = 1 THEN NULL ELSE md5(rel) END AS hash,
          CASE WHEN p % 151 = 0 AND session_id % 8 = 1 THEN md5(rel) END AS other_hash
        FROM files WHERE p % 3 <> 0 AND session_id % 6 <> 5""",
-    "device_files": """SELECT session_id, 'session-' || CAST(session_id AS STRING) AS folder, rel, size,
+    "device_files": """SELECT session_id, 'day-' || CAST(session_id % 5 AS STRING) AS folder, rel, size,
          CASE WHEN p % 131 = 0 THEN NULL WHEN p % 61 = 0 THEN md5(rel || 'rot') ELSE md5(rel) END AS hash FROM files WHERE p % 71 <> 0""",
     "telemetry": """SELECT user_id % 20 AS session_id, event_id, CAST(ts AS TIMESTAMP) AS at,
          CASE event_type WHEN 'view' THEN 'bytes' WHEN 'click' THEN 'throughput' WHEN 'purchase' THEN 'queue' WHEN 'signup' THEN 'phase' ELSE 'log' END AS event,
@@ -83,35 +85,55 @@ TABLES = {
 }
 
 
-def sql(query: str, duck: bool) -> str:
+#: What Spark reads instead, the same rows in one pass.
+SPARK = {
+    "measurements": """SELECT session_id, rel, slot, CAST(1 AS INT) AS pass, hash FROM (
+         SELECT session_id, rel, stack(6, 'SC', sc, 'C1', c1, 'C2', c2, 'A', a, 'B', b, 'C', c) AS (slot, hash) FROM tuples) WHERE hash IS NOT NULL""",
+}
+
+
+def sql(query: str, duck: bool, kept: tuple[str, ...] = ()) -> str:
     """A query over the custody tables, with those that it needs in front."""
     import re
 
+    tables = TABLES if duck else TABLES | SPARK
     wanted, todo = set(), [query]
     while todo:
         text = todo.pop()
         for name in TABLES:
-            if name not in wanted and re.search(rf"\b(?:FROM|JOIN|TABLE)\s+{name}\b", text):
+            if name not in wanted and name not in kept and re.search(rf"\b(?:FROM|JOIN|TABLE)\s+{name}\b", text):
                 wanted.add(name)
-                todo.append(TABLES[name])
-    text = ",\n".join(f"{name} AS ({TABLES[name]})" for name in TABLES if name in wanted)
+                todo.append(tables[name])
+    text = ",\n".join(f"{name} AS {'MATERIALIZED ' if duck else ''}({tables[name]})" for name in TABLES if name in wanted)
     query = query.strip()
     text = (f"WITH {text}" + (f",\n{query[5:]}" if query.startswith("WITH ") else f"\n{query}")) if text else query
-    for name in SOURCES:
-        text = text.replace("{" + name + "}", name if duck else f"{{{name}}}")
+    for name in SOURCES if duck else ():
+        text = text.replace("{" + name + "}", name)
+    for name in kept:
+        text = re.sub(rf"\b(FROM|JOIN)\s+{name}\b", rf"\1 {{{name}}}", text)
     return re.sub(r'(?<!")\b(at|offset)\b(?!")', r'"\1"', text) if duck else text  # words that DuckDB keeps to itself
 
 
 class Tables:
-    """The custody tables over one folder of the driver's; each a DataFrame, made when asked for."""
+    """The custody tables over one folder of the driver's; each a DataFrame, made when asked for.
+
+    keep() writes tables that a query reads several times, so that they are derived once.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.kept = spark, sf_dir, {}
+
+    def keep(self, folder: Callable[[SparkSession], str], *names: str) -> None:
+        for name in names:
+            path = folder(self.spark)
+            table = self.sql(f"SELECT * FROM {name}")
+            table.write.parquet(path)
+            self.kept[name] = self.spark.read.schema(table.schema).parquet(path)
 
     def sql(self, query: str) -> DataFrame:
-        text = sql(query, duck=False)
-        used = {n: self.spark.read.parquet(f"{self.sf_dir}/{n}.parquet") for n in SOURCES if "{" + n + "}" in text}
-        return self.spark.sql(text, **used)
+        text = sql(query, False, tuple(self.kept))
+        used = {n: self.raw(n) for n in SOURCES if "{" + n + "}" in text}
+        return self.spark.sql(text, **used, **{n: t for n, t in self.kept.items() if "{" + n + "}" in text})
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -119,4 +141,4 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.sql(f"SELECT * FROM {name}")
+        return self.kept[name] if name in self.kept else self.sql(f"SELECT * FROM {name}")

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import formats
 
 LATE = "10 minutes"
+FORGET_MS = 86_400_000
 
 
 def split_sinks(events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -27,56 +28,140 @@ def coalesced(events: DataFrame) -> DataFrame:
     return out.select("session_id", "dev", F.col("w.start").alias("at"), "bytes", F.round(F.col("bytes") / 1e6 / 0.1, 6).alias("mbps"))
 
 
-def idle_gaps(events: DataFrame, gap: str = "750 milliseconds") -> DataFrame:
-    """T5: a device's spells of activity; the end of one is when it fell idle."""
-    rows = events.filter("event = 'throughput'").withWatermark("at", LATE)
-    out = rows.groupBy("session_id", "dev", F.session_window("at", gap).alias("w")).agg(F.count("*").alias("samples"))
-    return out.select("session_id", "dev", F.col("w.start").alias("active_from"), F.col("w.end").alias("idle_from"), "samples")
+def idle_gaps(events: DataFrame, gap_ms: int = 750) -> DataFrame:
+    """T5: a device's spells of activity, each told again when it changes; the end of one is when the device falls idle.
+
+    The newest row of each (session_id, dev, active_from) holds; one of no samples has become part of an earlier spell.
+    State holds the spells that late events may still change, and ends with them.
+    """
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        spells = [list(x) for x in zip(*state.get, strict=True)] if state.exists else []
+        before = {s[0]: s for s in spells}
+        spells += [[ms, ms + gap_ms * 1000, 1] for b in batches for ms in b["us"].tolist()]
+        merged: list[list[int]] = []
+        for start, stop, n in sorted(spells):
+            if merged and start <= merged[-1][1]:
+                merged[-1][1], merged[-1][2] = max(stop, merged[-1][1]), merged[-1][2] + n
+            else:
+                merged.append([start, stop, n])
+        now = {s[0]: s for s in merged}
+        told = [s for s in merged if before.get(s[0]) != s] + [[x, before[x][1], 0] for x in before if x not in now]
+        open_ = [s for s in merged if s[1] > state.getCurrentWatermarkMs() * 1000] or merged[-1:]
+        state.update(tuple(map(list, zip(*open_, strict=True))))
+        state.setTimeoutTimestamp(max(open_[-1][1] // 1000, state.getCurrentWatermarkMs()) + 1)
+        at = lambda k: pd.to_datetime([s[k] for s in told], unit="us")
+        yield pd.DataFrame({"session_id": [key[0]] * len(told), "dev": [key[1]] * len(told), "active_from": at(0), "idle_from": at(1), "samples": [s[2] for s in told]})
+
+    rows = events.filter("event = 'throughput'").withWatermark("at", LATE).select("session_id", "dev", "at", F.unix_micros("at").alias("us"))
+    return rows.groupBy("session_id", "dev").applyInPandasWithState(
+        fold, "session_id long, dev string, active_from timestamp, idle_from timestamp, samples long", "start array<long>, stop array<long>, n array<long>", "update", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def device_state(events: DataFrame) -> DataFrame:
-    """Each device's totals and newest queue, updated with every batch; `full` says that its queue is."""
+    """Each device's totals and newest queue, updated with every batch; `full` says that its queue is.
+
+    A device that nothing is heard of for a day is forgotten.
+    """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, samples, depth, cap, newest = state.get if state.exists else (0, 0, -1, 0, -1)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        done, samples, depth, cap, newest, last = state.get if state.exists else (0, 0, -1, 0, -1, 0)
         for b in batches:
             done += int(b.loc[b["event"] == "bytes", "delta"].sum())
             samples += len(b)
+            last = max(last, int(b["ms"].max()))
             queue = b[b["event"] == "queue"].sort_values(["ms", "event_id"])
             if len(queue) and int(queue["ms"].iloc[-1]) >= newest:
                 depth, cap, newest = int(queue["depth"].iloc[-1]), int(queue["cap"].iloc[-1]), int(queue["ms"].iloc[-1])
-        state.update((done, samples, depth, cap, newest))
+        state.update((done, samples, depth, cap, newest, last))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + FORGET_MS)
         yield pd.DataFrame({"session_id": [key[0]], "dev": [key[1]], "done": [done], "events": [samples], "full": [cap > 0 and depth >= cap]})
 
-    rows = events.select("session_id", "dev", "event", "event_id", "delta", "depth", "cap", F.unix_millis("at").alias("ms"))
+    rows = events.withWatermark("at", LATE).select("session_id", "dev", "event", "event_id", "delta", "depth", "cap", "at", F.unix_millis("at").alias("ms"))
     return rows.groupBy("session_id", "dev").applyInPandasWithState(
-        fold, "session_id long, dev string, done long, events long, full boolean", "done long, samples long, depth int, cap int, newest long", "update", GroupStateTimeout.NoTimeout
+        fold, "session_id long, dev string, done long, events long, full boolean", "done long, samples long, depth int, cap int, newest long, last long", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def completed(measured: DataFrame, wanted: int) -> DataFrame:
-    """Files (session_id, rel) whose `wanted` measurements (slot, hash) have all come, once, and whether all agree."""
+    """Files whose `wanted` measurements (session_id, rel, slot, hash, at) have all come: their hashes by slot, as diagnose() reads them.
+
+    (session_id, rel, at, sc, c1, c2, a, b, c), at that of the last. State ends once told; of a file that is never
+    complete, a day after its last measurement.
+    """
 
     def barrier(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, hashes, told = state.get if state.exists else ("", "", False)
-        slots, values = set(filter(None, seen.split(","))), set(filter(None, hashes.split(",")))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        slots, hashes, last = state.get if state.exists else ([], [], 0)
+        seen = dict(zip(slots, hashes, strict=True))
         for b in batches:
-            slots |= set(b["slot"])
-            values |= set(b["hash"])
-        done = len(slots) >= wanted
-        state.update((",".join(sorted(slots)), ",".join(sorted(values)), told or done))
-        if done and not told:
-            yield pd.DataFrame({"session_id": [key[0]], "rel": [key[1]], "slots": [",".join(sorted(slots))], "agree": [len(values) == 1]})
-
-    return measured.select("session_id", "rel", "slot", "hash").groupBy("session_id", "rel").applyInPandasWithState(
-        barrier, "session_id long, rel string, slots string, agree boolean", "seen string, hashes string, told boolean", "append", GroupStateTimeout.NoTimeout
+            seen |= dict(zip(b["slot"], b["hash"], strict=True))
+            last = max(last, int(b["us"].max()))
+        if len(seen) >= wanted:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"session_id": [key[0]], "rel": [key[1]], "at": pd.to_datetime([last], unit="us"), **{s.lower(): [seen.get(s)] for s in ("SC", "C1", "C2", "A", "B", "C")}})
+        else:
+            state.update((list(seen), list(seen.values()), last))
+            state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + FORGET_MS)
+
+    rows = measured.withWatermark("at", LATE).select("session_id", "rel", "slot", "hash", "at", F.unix_micros("at").alias("us"))
+    return rows.groupBy("session_id", "rel").applyInPandasWithState(
+        barrier, "session_id long, rel string, at timestamp, sc string, c1 string, c2 string, a string, b string, c string", "slots array<string>, hashes array<string>, last long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
+def aborts(diagnosed: DataFrame) -> DataFrame:
+    """Each session's signal to stop, once: the first file (session_id, rel, kind, at) with a systematic fault."""
+
+    def first(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        found = pd.concat(list(batches)).sort_values(["at", "rel"])
+        told = state.exists
+        state.update((True,))
+        state.setTimeoutTimestamp(max(int(found["ms"].max()), state.getCurrentWatermarkMs()) + FORGET_MS)
+        if not told:
+            yield found[["session_id", "rel", "at"]].head(1)
+
+    rows = diagnosed.filter("kind = 'Systematic'").withWatermark("at", LATE).select("session_id", "rel", "at", F.unix_millis("at").alias("ms"))
+    return rows.groupBy("session_id").applyInPandasWithState(first, "session_id long, rel string, at timestamp", "told boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def view(stream: DataFrame, path: str, every: str = "100 milliseconds") -> DataFrame:
+    """Feeds the lossy view, and counts by kind of event what it leaves out: (event, seen, dropped), over all batches.
+
+    The view gets the newest event of each kind, device and 100 ms; its rows are at path/view, a folder a batch.
+    """
+
+    def put(batch: DataFrame, n: int) -> None:
+        newest = batch.groupBy("session_id", "dev", "event", F.window("at", every).alias("w")).agg(F.max_by(F.struct(*batch.columns), F.struct("at", "event_id")).alias("r"), F.count("*").alias("seen"))
+        newest.select("r.*", "seen").write.mode("overwrite").parquet(f"{path}/view/batch={n}")
+        kept = batch.sparkSession.read.parquet(f"{path}/view/batch={n}")
+        kept.groupBy("event").agg(F.sum("seen").alias("seen"), F.sum(F.col("seen") - 1).alias("dropped")).write.mode("overwrite").parquet(f"{path}/counts/batch={n}")
+
+    stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return stream.sparkSession.read.parquet(f"{path}/counts").groupBy("event").agg(F.sum("seen").alias("seen"), F.sum("dropped").alias("dropped"))
+
+
 def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """What a stream has to give of the input that is there, through a table at path (T8: progress is the query's own)."""
+    """What a stream has to give of the input that is there, through a table at path: a folder for each batch.
+
+    A batch that is tried again writes its folder again, so its rows are there once.
+    """
+
     def put(batch: DataFrame, n: int) -> None:
-        batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{path}/out")
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()

@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from reelproof.functions import formats, paths
-from reelproof.operators import devices, diagnose, digest, history, reconcile, verdict
+from reelproof.operators import devices, diagnose, digest, history, manifests, recheck, reconcile, verdict
 from reelproof.sources import files
 
 
@@ -99,7 +99,7 @@ def test_diff_runs_and_overlaps(spark):
     for i in (0, 1, 2, 15, 16, 17, 50):
         b[i] = 1
     df = spark.createDataFrame([(1, bytes(a), bytes(b)), (2, bytes(a), bytes(a)), (3, b"", b"")], "k long, a binary, b binary")
-    runs = digest.diff_runs(df, "k", 16)
+    runs = digest.diff_runs(digest.chunked(df, "k", "a", 16), digest.chunked(df, "k", "b", 16), "k", 16)
     assert sorted((r.start, r.length) for r in runs.collect()) == [(0, 3), (15, 1), (16, 2), (50, 1)]
     spans = spark.createDataFrame([(1, 2, 17), (1, 40, 60)], "k long, start long, stop long")
     assert digest.overlaps(runs, spans, "k", 8).first().bytes == 1 + 1 + 1 + 1
@@ -149,3 +149,27 @@ def test_paths(spark):
     assert one(formats.human_bytes(lit(1_500_000))) == "1.5 MB" and one(formats.parse_hex(lit("AB"))) == "00000000000000ab"
     assert one(formats.with_field(lit('{"a":"x"}'), "a string, b string", "b", lit("y"))) == '{"a":"x","b":"y"}'
     assert one(verdict.preview(F.array(*[lit(x) for x in "abcd"]))) == "a, b, c and 1 more"
+
+
+def test_free_names(spark):
+    """The first name that is free, whatever gaps others leave; session ids have a hyphen and digits of their own."""
+    taken = [("d", "20260115-143000"), ("d", "shoot"), ("d", "shoot-3"), ("d", "shoot-3"), ("e", "shoot-4"), ("d", "x-2")]
+    asked = [("d", "20260115-143000", 1), ("d", "20260115-143000", 2), ("d", "shoot", 1), ("d", "shoot", 2), ("e", "shoot", 1), ("d", "x", 1), ("d", "x", 2), ("d", "x-2", 1), ("f", "y", 1), ("f", "y", 2), ("f", "y-2", 1)]
+    rows = manifests.free_names(spark.createDataFrame(asked, "folder string, id string, ord long"), spark.createDataFrame(taken, "folder string, name string")).collect()
+    got = {(r.folder, r.id, r.ord): r.name for r in rows}
+    assert got == {("d", "20260115-143000", 1): "20260115-143000-2", ("d", "20260115-143000", 2): "20260115-143000-3", ("d", "shoot", 1): "shoot-2", ("d", "shoot", 2): "shoot-4", ("e", "shoot", 1): "shoot", ("d", "x", 1): "x", ("d", "x", 2): "x-3", ("d", "x-2", 1): "x-2-2", ("f", "y", 1): "y", ("f", "y", 2): "y-3", ("f", "y-2", 1): "y-2"}
+
+
+def test_drives_may_share_folder_names(spark):
+    entries = spark.createDataFrame([(1, "shoot", 10, "a", 1, "h"), (2, "shoot", 20, "b", 1, "h")], "session_id long, folder string, manifest_id long, rel string, size long, hash string")
+    device = spark.createDataFrame([(1, "shoot", "a", 1, "h"), (2, "shoot", "b", 1, "h")], "session_id long, folder string, rel string, size long, hash string")
+    assert sorted((r.session_id, r.outcome) for r in recheck.recheck(entries, device).collect()) == [(1, "Matched"), (2, "Matched")]
+    assert recheck.extras(entries, device).count() == recheck.residual(entries, device).count() == 0
+    checked = recheck.validated(entries.withColumn("other_hash", F.lit(None).cast("string")))
+    assert {r.state for r in recheck.sweep(device, checked).collect()} == {"INTACT"} and all(r.clean for r in recheck.sweep(device, checked).collect())
+
+
+def test_warnings_are_of_the_same_serial(spark):
+    summary = spark.createDataFrame([(4, True, "bad")], "serial long, suspect boolean, warning string")
+    volumes = spark.createDataFrame([(1, "C1", 1004), (1, "C2", 54), (2, "C1", 4)], "session_id long, slot string, serial long")
+    assert [(r.session_id, r.slot, r.serial) for r in history.warnings(volumes, summary).collect()] == [(2, "C1", 4)]
