@@ -531,10 +531,11 @@ def scores(docs: DataFrame, top: int = GOOD_TURING) -> DataFrame:
     common, both, tokens = frequent(docs, PART_TOKENS)
     parts = 1 + math.ceil(tokens / PART_TOKENS)
     words, pairs = Hot(common, PART_TOKENS), Hot(both, PART_TOKENS)
-    blocks = packed(docs, parts, words, pairs).repartition("part")  # the one exchange of the occurrences, for counting and for scoring
-    sent = blocks.groupBy("part").applyInArrow(sender(parts, words, pairs, top), SENT)
+    tasks = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # so a task's share does not grow with the table
+    blocks = packed(docs, parts, words, pairs).repartition(tasks, "part")  # the one exchange of the occurrences, for counting and for scoring
+    sent = blocks.groupBy("part").applyInArrow(sender(parts, words, pairs, top), SENT).repartition(tasks, "part")
     # One exchange for both readers: the values are one array and no filter stands above it, so none goes below it.
-    said = sent.groupBy("part").applyInArrow(answerer(top), "part int, v array<long>").repartition("part")
+    said = sent.groupBy("part").applyInArrow(answerer(top), "part int, v array<long>").repartition(tasks, "part")
     width = 2 * (top + 1) + 1
     # A row of part -1 is numbers to be added up by key: few keys, four and one for each hot context.
     sums = said.groupBy(F.when(F.col("part") == -1, F.get("v", F.lit(0))).alias("key")).agg(*[F.sum(F.when(F.col("part") == -1, F.coalesce(F.get("v", F.lit(i)), F.lit(0)))).alias(f"n{i}") for i in range(1, width)])
