@@ -531,7 +531,7 @@ def scores(docs: DataFrame, top: int = GOOD_TURING) -> DataFrame:
     common, both, tokens = frequent(docs, PART_TOKENS)
     parts = 1 + math.ceil(tokens / PART_TOKENS)
     words, pairs = Hot(common, PART_TOKENS), Hot(both, PART_TOKENS)
-    tasks = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # so a task's share does not grow with the table
+    tasks = max(2 * parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # so a task's share does not grow with the table
     blocks = packed(docs, parts, words, pairs).repartition(tasks, "part")  # the one exchange of the occurrences, for counting and for scoring
     sent = blocks.groupBy("part").applyInArrow(sender(parts, words, pairs, top), SENT).repartition(tasks, "part")
     # One exchange for both readers: the values are one array and no filter stands above it, so none goes below it.
