@@ -24,9 +24,14 @@ def missing(expected: DataFrame, measurements: DataFrame) -> DataFrame:
     return rows.groupBy("session_id", "rel").agg(F.array_join(F.transform(named, lambda x: x["slot"]), ",").alias("devs"))
 
 
+def witnesses() -> Column:
+    """The digests that bear witness to a card: of the copies, and of the bytes read while copying."""
+    return F.array_compact(F.array("a", "b", "c", "sc"))
+
+
 def votes(card: Column) -> Column:
-    """Witnesses (copies, and the bytes read while copying) that agree with a card."""
-    return sum((F.coalesce((F.col(w) == card).cast("int"), F.lit(0)) for w in ("a", "b", "c", "sc")), F.lit(0))
+    """Witnesses that agree with a card; none do with a card that was not measured."""
+    return F.size(F.filter(witnesses(), lambda w: w == card))
 
 
 def suspect() -> Column:

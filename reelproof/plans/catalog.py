@@ -1046,24 +1046,65 @@ def _(t):
     return files.manifest_headers(t.spark, f"{path}/*/*.txt").drop("manifest")
 
 
+def written_generations(t: Tables) -> DataFrame:
+    """Each session's files in two manifests, written under the names of generations; the second has the number 3."""
+    path = scratch(t.spark)
+    named = t.sql("SELECT CAST(session_id AS STRING) || '/' || CASE WHEN p % 2 = 0 THEN '0001_x.mhl' WHEN session_id % 4 = 1 THEN 'notes.mhl' ELSE '0003_x.mhl' END AS manifest_id, rel, size, mtime, substr(md5(rel), 1, 16) AS hash FROM files")
+    lines = manifests.documents(manifests.mhl(named), "hashlist", "1.1")
+    files.write_manifests(lines.withColumn("manifest_id", F.translate("manifest_id", "/", "~")), path)
+    place = lambda k: F.regexp_extract("path", r"manifest_id=([^/~]+)~([^/]+)", k)
+    return files.generations(t.spark, path, "*.txt", place(1), place(2))
+
+
 @query("s11_generations")
 def _(t):
-    """Manifests written as folders by name, read as files with the digest of their bytes."""
-    path = scratch(t.spark)
-    files.write_manifests(manifests.documents(manifests.mhl(t.sql(WRITTEN)), "hashlist", "1.1"), path)
-    found = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
-    rows = found.select(F.regexp_extract("path", r"manifest_id=(\d+)", 1).cast("long").alias("manifest_id"), F.col("length").alias("bytes"), digest.xxh64(F.col("content")).alias("hash"))
-    return rows
+    return written_generations(t)
 
 
-RECORDS = "SELECT 'tool 1' AS tool, CAST(session_id AS STRING) AS session, started_at AS start, label AS formatted_after FROM sessions"
+@query("s11_generation_numbers", """SELECT DISTINCT CAST(session_id AS STRING) AS folder, CASE WHEN p % 2 = 0 THEN 1 WHEN session_id % 4 <> 1 THEN 3 END AS sequence,
+  CASE WHEN p % 2 = 0 THEN '0001_x.mhl' WHEN session_id % 4 = 1 THEN 'notes.mhl' ELSE '0003_x.mhl' END AS name FROM files""")
+def _(t):
+    return written_generations(t).orderBy("folder", "sequence").select("folder", "sequence", "name")
 
 
-@query("s13_session_records", f"WITH r AS ({RECORDS}) SELECT tool, session, start, formatted_after FROM r")
+RECORDS = """SELECT 'tool 1' AS tool, CAST(s.session_id AS STRING) AS session, min(started_at) AS start, min(label) AS formatted_after, bool_or(s.had_card2) AS had_card2, count(CASE WHEN pairing = 'Twinned' THEN 1 END) AS twinned,
+  min(CASE WHEN pairing = 'OnlyOnC1' THEN i.rel END) AS one_1, CAST(coalesce(sum(i.size), 0) AS BIGINT) AS ms, min(aborted) AS aborted FROM sessions s LEFT JOIN items i ON i.session_id = s.session_id GROUP BY s.session_id"""
+
+
+@query("s13_session_records", f"""WITH r AS ({RECORDS}) SELECT tool, session, start, formatted_after, 'COPY ' || CAST(ms // 22000 AS STRING) || ', VERIFY ' || CAST(ms // 166000 AS STRING) AS phases, twinned, coalesce(one_1, '') AS only_c1, had_card2,
+  CASE WHEN aborted IS NULL THEN 'VERIFIED_ONE_COPY' ELSE 'FAILED' END AS state, coalesce(aborted, '') AS reasons FROM r""")
 def _(t):
-    path = scratch(t.spark)
-    t.sql(RECORDS).write.json(path)
-    return t.spark.read.schema(files.SESSION).json(path).select("tool", "session", "start", "formatted_after")
+    """Nested records, a document a session."""
+    path, some = scratch(t.spark), lambda c: F.array_compact(F.array(c))
+    phase = lambda name, rate: F.struct(F.lit(name).alias("phase"), F.floor(F.col("ms") / rate).alias("ms"))
+    state = F.when(F.col("aborted").isNull(), "VERIFIED_ONE_COPY").otherwise("FAILED")
+    files.write_sessions(t.sql(RECORDS).select(
+        "tool", "session", "start", "formatted_after", F.array(phase("COPY", 22000), phase("VERIFY", 166000)).alias("phases"), F.struct("twinned", some("one_1").alias("only_c1"), "had_card2").alias("reconciliation"),
+        F.struct(state.alias("state"), some("aborted").alias("reasons")).alias("verdict"),
+    ), path)
+    told = F.transform("phases", lambda p: F.concat(p["phase"], F.lit(" "), p["ms"].cast("string")))
+    joined = lambda c: F.coalesce(F.array_join(c, ", "), F.lit(""))
+    return files.sessions(t.spark, path).select(
+        "tool", "session", "start", "formatted_after", F.array_join(told, ", ").alias("phases"), "reconciliation.twinned", joined("reconciliation.only_c1").alias("only_c1"), "reconciliation.had_card2", "verdict.state", joined("verdict.reasons").alias("reasons")
+    )
+
+
+@query("k2_verdict_files", DIAGNOSED + " SELECT session_id, rel, kind, CAST(row_number() OVER (PARTITION BY session_id ORDER BY rel) AS INT) AS ord FROM diagnosed WHERE kind <> 'Clean'", keep=("items", "tuples"))
+def _(t):
+    """Failures of each session in the order of its items."""
+    rows = diagnose.unexcused(diagnoses(t)).select("session_id", "rel", "kind")
+    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("session_id").orderBy("rel"))).orderBy("session_id", "ord")
+
+
+@query("k6_devices_by_serial", DEVICE + " SELECT serial, label, sessions, suspect FROM device ORDER BY serial")
+def _(t):
+    return history.summarise(t.history).select("serial", "label", "sessions", "suspect").orderBy("serial")
+
+
+@query("u5_witnesses", """SELECT session_id, rel, CAST(a IS NOT NULL AS INT) + CAST(b IS NOT NULL AS INT) + CAST(c IS NOT NULL AS INT) + CAST(sc IS NOT NULL AS INT) AS witnesses,
+  coalesce(CAST(a = c1 AS INT), 0) + coalesce(CAST(b = c1 AS INT), 0) + coalesce(CAST(c = c1 AS INT), 0) + coalesce(CAST(sc = c1 AS INT), 0) AS for_c1 FROM tuples""")
+def _(t):
+    return t.tuples.select("session_id", "rel", F.size(diagnose.witnesses()).alias("witnesses"), diagnose.votes(F.col("c1")).alias("for_c1"))
 
 
 @query("s16_telemetry_jsonl", "SELECT at, event, dev, delta, mbps FROM telemetry")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, paths
@@ -61,11 +61,16 @@ def manifest_headers(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("manifest"), "name", "hostname", "tool", formats.parse_rfc3339(F.col("startdate")).alias("start"), formats.parse_rfc3339(F.col("finishdate")).alias("finish"))
 
 
-def generations(spark: SparkSession, root: str) -> DataFrame:
-    """Manifests of ASC directories by the number in their names, with the digest of their bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.mhl").load(root)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.try_to_number(F.nullif(F.regexp_extract(name, r"^(\d+)_", 1), F.lit("")), F.lit("999999")).cast("int").alias("sequence"), name.alias("name"), digest.xxh64(F.col("content")).alias("hash"))
+def generations(spark: SparkSession, root: str, pattern: str = "*.mhl", folder: Column | None = None, name: Column | None = None) -> DataFrame:
+    """Manifests of ASC directories by the number in their names, with the digest of their bytes.
+
+    What lies in the directory counts, whatever its chain lists. folder and name say where in `path` these stand, if not
+    as the file's own.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    name = F.element_at(F.split("path", "/"), -1) if name is None else name
+    folder = F.regexp_replace("path", "/[^/]*$", "") if folder is None else folder
+    return files.select(folder.alias("folder"), F.try_to_number(F.nullif(F.regexp_extract(name, r"^(\d+)_", 1), F.lit("")), F.lit("999999")).cast("int").alias("sequence"), name.alias("name"), digest.xxh64(F.col("content")).alias("hash"))
 
 
 def write_manifests(lines: DataFrame, path: str) -> None:
@@ -90,9 +95,15 @@ def append_history(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def write_sessions(records: DataFrame, path: str) -> None:
+    """A folder a session, with its record as one JSON document."""
+    rows = records.withColumn("part", F.col("session"))
+    rows.repartition("part").write.partitionBy("part").json(path)
+
+
 def sessions(spark: SparkSession, path: str) -> DataFrame:
     """Session records, one JSON document a file."""
-    return spark.read.schema(SESSION).option("multiLine", "true").json(path)
+    return spark.read.schema(SESSION).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
 
 
 def volumes_of(telemetry: DataFrame) -> DataFrame:
