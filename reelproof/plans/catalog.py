@@ -849,7 +849,8 @@ def _(t):
     return checked_entries(t).filter("error = 'hashed by another algorithm'").select("manifest_id", "rel")
 
 
-@query("s10_chain_lines")
+@query("s10_chain_lines", f"""WITH g AS ({GENS}) SELECT folder, sequence, '<hashlist sequencenr="' || CAST(sequence AS STRING) || '">' || chr(10) || '    <path>' || lpad(CAST(sequence AS STRING), 4, '0') || '_x.mhl</path>' || chr(10)
+  || '    <hash type="xxh64">' || hash || '</hash>' || chr(10) || '</hashlist>' AS value FROM g""")
 def _(t):
     return manifests.chain(t.sql(GENS).withColumn("name", F.format_string("%04d_x.mhl", "sequence")))
 
