@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, html_extract, license_scan, line_dedup, lm, merkle, packing, quality, sharding, simhash
+from . import decontam, fingerprints, hard_negatives, html_extract, license_scan, line_dedup, lm, merkle, packing, quality, sharding, simhash
 from .common import table
 
 
@@ -97,6 +97,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "lines_before", "lines_removed", "text")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mined(rows, F.col("vec_id") % 100 == 0)
+
+
+HARD_NEGATIVES = """
+WITH own AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v, row_number() OVER () AS id
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scores AS (SELECT a.id AS anchor, a.vec_id AS anchor_id, b.id, b.vec_id, a.label = b.label AS alike, coalesce(list_sum([p[1] * p[2] FOR p IN list_zip(a.v, b.v, TRUE)]), 0)::BIGINT AS score
+  FROM own a JOIN own b ON a.id <> b.id WHERE a.vec_id % 100 = 0),
+good AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, id) AS place FROM scores WHERE alike) WHERE place <= 5),
+bad AS (SELECT g.anchor_id, g.vec_id AS positive_id, row_number() OVER (PARTITION BY g.anchor, g.place ORDER BY s.score DESC, s.vec_id NULLS LAST, s.id) AS rank, s.vec_id AS negative_id, g.score AS positive_score, s.score AS negative_score
+  FROM good g JOIN scores s ON s.anchor = g.anchor AND NOT s.alike WHERE 30 * g.score <= 100 * s.score AND 100 * s.score <= 90 * g.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM bad WHERE rank <= 10"""
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
@@ -144,9 +162,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op2_license_scan": license_sql(),
+    "op11_hard_negatives": HARD_NEGATIVES,
     "op13_merkle_manifest": merkle_sql(),
 }
