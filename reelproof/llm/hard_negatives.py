@@ -97,6 +97,11 @@ class Best:
         self.score, self.order, self.at = score[first], order[first], at[first]
 
 
+def surely(low: np.ndarray, most: int) -> float:
+    """What the `most` first of rows of these lower bounds reach at least."""
+    return float(np.partition(low, len(low) - most)[len(low) - most]) if len(low) >= most else -np.inf
+
+
 def reach(values: np.ndarray, up: bool) -> np.ndarray:
     return values + np.abs(values) * SLACK if up else values - np.abs(values) * SLACK
 
@@ -130,12 +135,14 @@ def walked(block: pa.StructScalar, group: pa.StructScalar, most: int, windows: l
                 wide = float(edge[node]) * (1 + SLACK) * norm
                 lo, hi = low[parent[node]] - wide, high[parent[node]] + wide
             if windows is None:
-                wanted = (own == own_label[node]) & (who != own_uid[node]) & (hi >= found[node][0].floor())
+                wanted = (own == own_label[node]) & (who != own_uid[node])
+                wanted &= hi >= max(found[node][0].floor(), surely(lo[wanted], most))
             else:
-                wanted = np.zeros(len(at), bool)
+                other, wanted = own != own_label[node], np.zeros(len(at), bool)
                 for (least, top), best in zip(windows[node], found[node], strict=True):
-                    wanted |= (hi >= max(least, best.floor())) & (lo <= top)
-                wanted &= own != own_label[node]
+                    inside = other & (lo >= least) & (hi <= top)
+                    wanted |= (hi >= max(least, best.floor(), surely(lo[inside], most))) & (lo <= top)
+                wanted &= other
             hit = np.flatnonzero(wanted)
             if len(hit):
                 score = exact(rows, a[node], safe)[hit] if safe and 2 * len(hit) > len(at) else exact(rows[hit], a[node], safe)
