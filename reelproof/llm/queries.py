@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, hard_negatives, html_extract, license_scan, line_dedup, lm, merkle, packing, quality, sharding, simhash
+from . import decontam, fingerprints, hard_negatives, html_extract, license_scan, line_dedup, lm, merkle, packing, quality, sharding, simhash, substring_dedup
 from .common import table
 
 
@@ -115,6 +115,21 @@ bad AS (SELECT g.anchor_id, g.vec_id AS positive_id, row_number() OVER (PARTITIO
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM bad WHERE rank <= 10"""
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.deduped(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SUBSTRING_DEDUP = r"""
+WITH docs AS (SELECT row_number() OVER () AS id, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+places AS (SELECT id, doc_id, i, array_to_string(w[i:i + 12], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM docs)),
+firsts AS (SELECT run, min(doc_id) AS doc_id FROM places GROUP BY run),
+gone AS (SELECT DISTINCT id, unnest(range(i, i + 13)) AS k FROM places p JOIN firsts f ON f.run = p.run WHERE f.doc_id < p.doc_id),
+words AS (SELECT id, k, w[k] AS word FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS k FROM docs)),
+kept AS (SELECT id, string_agg(word, ' ' ORDER BY k) AS text, count(*) AS n FROM words ANTI JOIN gone USING (id, k) GROUP BY id)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (id)"""
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
@@ -163,10 +178,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op2_license_scan": license_sql(),
     "op11_hard_negatives": HARD_NEGATIVES,
+    "op12_substring_dedup": SUBSTRING_DEDUP,
     "op13_merkle_manifest": merkle_sql(),
 }
