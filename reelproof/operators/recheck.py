@@ -62,10 +62,10 @@ def headline(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("session_id", "folder", "manifest_id").agg(F.count_if(ok).alias("matched"), F.count_if(~ok).alias("failures"), F.bool_and(ok).alias("intact"), read.alias("bytes_hashed"))
 
 
-def sweep(device: DataFrame, checked: DataFrame) -> DataFrame:
-    """The state of each folder, the first that fits, and whether it is vouched for."""
+def sweep(device: DataFrame, checked: DataFrame, good: DataFrame | None = None) -> DataFrame:
+    """The state of each folder, the first that fits, and whether it is vouched for. good: what readable(checked) gives."""
     status = manifest_status(checked).groupBy("session_id", "folder").agg(F.bool_and("readable").alias("readable"), F.count("*").alias("manifests"))
-    good = readable(checked)
+    good = readable(checked) if good is None else good
     counts = recheck(good, device).groupBy("session_id", "folder").agg(F.count_if(F.col("outcome") != "Matched").alias("bad"), F.count_if(F.col("outcome") == "Matched").alias("matched"))
     rest = residual(good, device).groupBy("session_id", "folder").agg(F.count("*").alias("residual"))
     rows = device.select("session_id", "folder").unionByName(checked.select("session_id", "folder")).distinct()

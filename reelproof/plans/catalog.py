@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import formats, paths
 from ..operators import attempts, devices, diagnose, digest, history, inventory, manifests, plan, recheck, reconcile, retention, telemetry, verdict
 from ..sources import files
+from ..sources.shared import scratch
 from ..streaming import live
 from .fixtures import Tables, sql
 
@@ -36,16 +35,6 @@ def query(name: str, oracle: str | None = None, keep: tuple[str, ...] = ()):
     return register
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder among those that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/custody-{uuid.uuid4().hex}"
-
-
 def card_files(t: Tables) -> DataFrame:
     """Both cards' files as one inventory, with litter and awkward names strewn in."""
     return t.sql(CARD_FILES)

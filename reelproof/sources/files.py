@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, paths
 from ..operators import digest
+from . import ranges
 
 HISTORY = (
     "kind string, at timestamp, session string, verdict string, devices array<struct<slot:string,serial:bigint,label:string>>, retries map<string,bigint>, "
@@ -27,26 +30,47 @@ ENTRY = (
 )
 
 
-def inventory(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """(rel, size, mtime) of every file below a folder; contents are not read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(root).select("path", "length", "modificationTime")
-    name = root.rstrip("/").rsplit("/", 1)[-1]
-    rel = F.regexp_extract("path", rf"/{name}/(.*)$", 1)
-    return files.select(rel.alias("rel"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+def inventory(spark: SparkSession, root: str, pattern: str | None = None, litter: bool = False) -> DataFrame:
+    """(path, rel, size, mtime, skipped) of the files below a folder, empty and hidden ones too; contents are not read.
+
+    Litter directories are not entered (P1); litter files are left out, unless asked for, and are then marked as skipped
+    (P2). rel is what stands in a file's path after the root's own, whatever characters either has. A store that only
+    Spark can open is listed by Spark, which leaves out empty files and names that begin with a dot or an underscore.
+    """
+    if ranges.reachable(root):
+        found = ranges.walked(spark, root, paths.LITTER_DIRS)
+        found = found.filter(F.element_at(F.split("rel", "/"), -1).rlike(glob(pattern))) if pattern else found
+    else:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        named = re.sub(r"([\\\[\]{}*?])", r"\\\1", root)  # no pattern, but a name
+        found = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(named).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+        found = found.select("path", F.substring("path", len(whole) + 2, 1 << 30).alias("rel"), "size", "mtime").filter(~paths.in_litter_dir(F.col("rel")))
+    found = found.withColumn("skipped", paths.is_litter_file(F.col("rel")))
+    return found if litter else found.filter(~F.col("skipped"))
+
+
+def glob(pattern: str) -> str:
+    return "^" + re.escape(pattern).replace(r"\*", ".*").replace(r"\?", ".") + "$"
 
 
 def destination(spark: SparkSession, root: str) -> DataFrame:
     """Like inventory; a folder that is not there has no files."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], "rel string, size bigint, mtime timestamp")
+        return spark.createDataFrame([], "path string, rel string, size bigint, mtime timestamp, skipped boolean")
     return inventory(spark, root)
 
 
-def manifest_entries(spark: SparkSession, path: str) -> DataFrame:
+def plain_path(path: Column) -> Column:
+    """A path as inventory() has it, from that of a file's metadata, where special characters are escaped."""
+    return F.url_decode(F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), r"\+", "%2B"))
+
+
+def manifest_entries(spark: SparkSession, path: str, reader: DataFrameReader | None = None) -> DataFrame:
     """Entries of manifests of both dialects under one schema; other_hash is of an algorithm not used here."""
-    rows = spark.read.format("xml").option("rowTag", "hash").option("ignoreNamespace", "true").schema(ENTRY).load(path)
+    rows = (reader or spark.read).format("xml").option("rowTag", "hash").option("ignoreNamespace", "true").schema(ENTRY).load(path)
     other = F.coalesce("md5", "sha1", "sha256", "xxh3._VALUE", "xxh128._VALUE", "c4._VALUE")
     return rows.select(
         F.col("_metadata.file_path").alias("manifest"), paths.normalise(F.coalesce("file", "path._VALUE")).alias("rel"), F.coalesce("size", "path._size").cast("bigint").alias("size"),
@@ -55,9 +79,9 @@ def manifest_entries(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def manifest_headers(spark: SparkSession, path: str) -> DataFrame:
+def manifest_headers(spark: SparkSession, path: str, reader: DataFrameReader | None = None) -> DataFrame:
     """Who wrote each manifest, and when."""
-    rows = spark.read.format("xml").option("rowTag", "creatorinfo").option("ignoreNamespace", "true").schema("name string, hostname string, tool string, startdate string, finishdate string").load(path)
+    rows = (reader or spark.read).format("xml").option("rowTag", "creatorinfo").option("ignoreNamespace", "true").schema("name string, hostname string, tool string, startdate string, finishdate string").load(path)
     return rows.select(F.col("_metadata.file_path").alias("manifest"), "name", "hostname", "tool", formats.parse_rfc3339(F.col("startdate")).alias("start"), formats.parse_rfc3339(F.col("finishdate")).alias("finish"))
 
 
@@ -122,11 +146,20 @@ def bundle(expected: DataFrame, listing: DataFrame) -> DataFrame:
     return expected.join(there, ["session_id", "artifact"], "left").select("session_id", "artifact", F.coalesce("there", F.lit(False)).alias("gathered"))
 
 
-def session_folders(listing: DataFrame) -> DataFrame:
-    """Direct children that hold a manifest, an ascmhl folder, or have a session's name, with their manifests."""
+def session_folders(listing: DataFrame, drive: list[str] | None = None) -> DataFrame:
+    """Direct children that hold a manifest, an ascmhl folder, or have a session's name, with their manifests.
+
+    drive names columns of the listing that say which drive a file is on, if there are several.
+    """
+    drive = drive or []
     parts = F.split("rel", "/")
     rows = listing.filter(F.size(parts) > 1).withColumn("folder", F.get(parts, F.lit(0))).withColumn("below", F.slice(parts, F.lit(2), F.size(parts)))
-    is_manifest = (F.size("below") == 1) & F.lower(F.get("below", F.lit(0))).endswith(".mhl") | (F.size("below") == 2) & (F.lower(F.get("below", F.lit(0))) == "ascmhl") & F.lower(F.get("below", F.lit(1))).endswith(".mhl")
     has_asc = F.exists("below", lambda c: F.lower(c) == "ascmhl")
-    found = rows.groupBy("folder").agg(F.array_join(F.array_sort(F.collect_set(F.when(is_manifest, F.col("rel")))), ",").alias("manifests"), F.bool_or(has_asc).alias("asc"))
-    return found.filter((F.col("manifests") != "") | F.col("asc") | paths.is_session_name(F.col("folder"))).select("folder", "manifests")
+    found = rows.groupBy(*drive, "folder").agg(F.array_join(F.array_sort(F.collect_set(F.when(is_manifest(F.col("below")), F.col("rel")))), ",").alias("manifests"), F.bool_or(has_asc).alias("asc"))
+    return found.filter((F.col("manifests") != "") | F.col("asc") | paths.is_session_name(F.col("folder"))).select(*drive, "folder", "manifests")
+
+
+def is_manifest(below: Column) -> Column:
+    """Whether the path below a session's folder, as an array, is that of one of its manifests."""
+    name = lambda k: F.lower(F.get(below, F.lit(k)))
+    return (F.size(below) == 1) & name(0).endswith(".mhl") | (F.size(below) == 2) & (name(0) == "ascmhl") & name(1).endswith(".mhl")
