@@ -20,6 +20,7 @@ def hex64(x: Column) -> Column:
 
 
 def hex64_short(x: Column) -> Column:
+    """the first eight."""
     return F.substring(hex64(x), 1, 8)
 
 
@@ -43,13 +44,25 @@ def parse_rfc3339(text: Column) -> Column:
     return F.try_to_timestamp(text)
 
 
+def local(ts: Column, tz: Column, pattern: str) -> Column:
+    """an instant as the operator's own clock shows it."""
+    return F.date_format(F.from_utc_timestamp(ts, tz), pattern)
+
+
 def session_id(ts: Column, tz: Column) -> Column:
     """the operator's own date and time."""
-    return F.date_format(F.from_utc_timestamp(ts, tz), "yyyyMMdd-HHmmss")
+    return local(ts, tz, "yyyyMMdd-HHmmss")
 
 
 def local_clock(ts: Column, tz: Column) -> Column:
-    return F.date_format(F.from_utc_timestamp(ts, tz), "HH:mm:ss")
+    """F4"""
+    return local(ts, tz, "HH:mm:ss.SSS")
+
+
+def local_offset(ts: Column, tz: Column) -> Column:
+    """how far the operator's clock is from UTC."""
+    minutes = F.floor((F.unix_seconds(F.from_utc_timestamp(ts, tz)) - F.unix_seconds(ts)) / 60)
+    return F.concat(F.when(minutes < 0, "-").otherwise("+"), F.format_string("%02d:%02d", F.floor(F.abs(minutes) / 60), F.abs(minutes) % 60))
 
 
 def thousands(n: Column) -> Column:
@@ -61,19 +74,32 @@ def gigabytes(n: Column) -> Column:
     return F.concat(F.format_string("%.1f", n / F.lit(1e9)), F.lit(" GB"))
 
 
-def detail_line(files: Column, size: Column, sources: Column, copies: Column) -> Column:
-    """what a verdict speaks of, in one line."""
-    return F.concat_ws(" · ", F.concat(thousands(files), F.lit(" files")), gigabytes(size), F.concat(sources.cast("string"), F.lit(" source(s)")), F.concat(copies.cast("string"), F.lit(" copies")))
+def detail_line(files: Column, size: Column, twin_matched: Column, distinct: Column, failed: Column) -> Column:
+    """what a verdict has established, in one line."""
+    failures = F.when(failed > 0, F.concat(failed.cast("string"), F.lit(" FAILED")))
+    return F.concat_ws(" · ", F.concat(thousands(files), F.lit(" files")), gigabytes(size), F.when(twin_matched, "twin-matched"), F.when(distinct, "2 distinct volumes"), failures)
+
+
+def scaled(n: Column, units: tuple[tuple[str, float], ...], form: str, bare: Column) -> Column:
+    out = F.when(n >= units[0][1], F.concat(F.format_string(form, n / F.lit(units[0][1])), F.lit(f" {units[0][0]}")))
+    for unit, by in units[1:]:
+        out = out.when(n >= by, F.concat(F.format_string(form, n / F.lit(by)), F.lit(f" {unit}")))
+    return out.otherwise(bare)
 
 
 def human_bytes(n: Column) -> Column:
-    """F8: in the largest of GB, MB, kB and B that it reaches."""
-    scaled = lambda by, unit, form: F.concat(F.format_string(form, n / F.lit(by)), F.lit(unit))
-    return F.when(n >= 1e9, scaled(1e9, " GB", "%.1f")).when(n >= 1e6, scaled(1e6, " MB", "%.1f")).when(n >= 1e3, scaled(1e3, " kB", "%.0f")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+    """F8: in the largest of GB, MB, KB and B that it reaches."""
+    return scaled(n, (("GB", 1e9), ("MB", 1e6), ("KB", 1e3)), "%.1f", F.concat(n.cast("string"), F.lit(" B")))
+
+
+def fixed_bytes(n: Column) -> Column:
+    """F8: in a fixed width, up to TB."""
+    return scaled(n, (("TB", 1e12), ("GB", 1e9), ("MB", 1e6), ("kB", 1e3)), "%7.2f", F.format_string("%7d B ", n))
 
 
 def mbps(rate: Column) -> Column:
-    return F.format_string("%7.1f MB/s", rate)
+    """F8: in a fixed width; a dash for a device that does nothing."""
+    return F.when(rate <= 0, F.lit("—".rjust(11))).otherwise(F.format_string("%6.0f MB/s", rate))
 
 
 def plain_duration(seconds: Column) -> Column:

@@ -15,6 +15,12 @@ def tuples(measurements: DataFrame) -> DataFrame:
     return wide.select("session_id", "rel", *[F.col(s).alias(s.lower()) for s in SLOTS])
 
 
+def evidence(measurements: DataFrame) -> DataFrame:
+    """(session_id, slot, from_device, cached): whether all that was measured of a slot was read from the device, and how many files were not."""
+    device = F.coalesce(F.col("read_mode") == "device", F.lit(False))
+    return measurements.groupBy("session_id", "slot").agg(F.bool_and(device).alias("from_device"), F.count_if(~device).alias("cached"))
+
+
 def missing(expected: DataFrame, measurements: DataFrame) -> DataFrame:
     """Per file the devices that were expected and not measured, in their order."""
     from .plan import rank

@@ -13,7 +13,7 @@ from ..functions import formats
 
 #: XXH64 of this number, seed 42, is 0; hashed before the content it gives XXH64 with seed 0.
 SEED_ZERO = -365884300664092260
-CHUNK = 4 << 20
+CHUNK, BLOCK = 4 << 20, 4096
 
 
 def xxh64(content: Column) -> Column:
@@ -65,12 +65,16 @@ def chunked(files: DataFrame, key: str, content: str, chunk: int = CHUNK) -> Dat
 def diff_runs(one: DataFrame, other: DataFrame, key: str, chunk: int = CHUNK) -> DataFrame:
     """(key, start, length) of runs of differing bytes of twins of one length, given as chunk rows (see chunked).
 
-    Chunks are joined by key and number and compared whole, so only those that differ are taken apart; runs end at
-    chunk edges.
+    Chunks are joined by key and number and compared whole; of those that differ blocks are compared, and only blocks
+    that differ are looked at byte by byte. Runs end at chunk edges.
     """
     both = one.select(key, "no", F.col("content").alias("a")).join(other.select(key, "no", F.col("content").alias("b")), [key, "no"]).filter("a <> b")
-    pair = F.zip_with(F.split(F.regexp_replace(F.hex("a"), "(..)", "$1 "), " "), F.split(F.regexp_replace(F.hex("b"), "(..)", "$1 "), " "), lambda x, y: x != y)
-    bytes_ = both.select(key, "no", F.posexplode(pair).alias("i", "off")).filter("off").withColumn("pos", F.col("no").cast("long") * chunk + F.col("i"))
+    block = lambda c, i: F.substring(F.col(c), i * BLOCK + 1, F.lit(BLOCK))
+    blocks = F.sequence(F.lit(0), F.floor((F.octet_length("a") - 1) / BLOCK).cast("int"))
+    unlike = both.select(key, "no", F.explode(F.filter(F.transform(blocks, lambda i: F.struct(i.alias("_block"), block("a", i).alias("a"), block("b", i).alias("b"))), lambda x: x["a"] != x["b"])).alias("x"))
+    unlike = unlike.select(key, "no", "x.*")
+    places = F.filter(F.sequence(F.lit(1), F.octet_length("a")), lambda k: F.substring(F.col("a"), k, F.lit(1)) != F.substring(F.col("b"), k, F.lit(1)))
+    bytes_ = unlike.select(key, "no", "_block", F.explode(places).alias("_byte")).withColumn("pos", F.col("no").cast("long") * chunk + F.col("_block") * BLOCK + F.col("_byte") - 1)
     island = F.col("pos") - F.row_number().over(Window.partitionBy(key, "no").orderBy("pos"))
     return bytes_.withColumn("island", island).groupBy(key, "no", "island").agg(F.min("pos").alias("start"), F.count("*").alias("length")).select(key, "start", "length")
 
@@ -107,7 +111,9 @@ def identifiers_only(twins: DataFrame, key: str, attributes: tuple[str, ...]) ->
 
 
 def chunk_spans(chunks: DataFrame, ranges: DataFrame, sizes: DataFrame) -> DataFrame:
-    """H7: the bytes [start, stop) of each chunk: as many samples as the last range that begins at or before it says.
+    """H7: the bytes [start, stop) of each chunk: as many samples as the last range that begins at or before it says, or one.
+
+    Where the table of sizes ends, chunks end; those without any sample left are no spans.
 
     chunks (rel, track, chunk_no, offset), ranges (rel, track, first_chunk, samples_per_chunk), sizes (rel, track, sample_no, size).
     """
@@ -115,14 +121,16 @@ def chunk_spans(chunks: DataFrame, ranges: DataFrame, sizes: DataFrame) -> DataF
     marks = ranges.select(*track, F.col("first_chunk").alias("at"), F.lit(0).alias("kind"), "samples_per_chunk", F.lit(None).cast("long").alias("offset"))
     marks = marks.unionByName(chunks.select(*track, F.col("chunk_no").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("samples_per_chunk"), "offset"))
     before = Window.partitionBy(*track).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    per = marks.withColumn("n", F.last("samples_per_chunk", ignorenulls=True).over(before)).filter("kind = 1")
+    per = marks.withColumn("n", F.coalesce(F.last("samples_per_chunk", ignorenulls=True).over(before), F.lit(1))).filter("kind = 1")
     per = per.withColumn("upto", F.sum("n").over(Window.partitionBy(*track).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
     sums = sizes.withColumn("sum", F.sum("size").over(Window.partitionBy(*track).orderBy("sample_no").rowsBetween(Window.unboundedPreceding, 0))).select(*track, "sample_no", "sum")
     end = sums.select(*track, F.col("sample_no").alias("upto"), F.col("sum").alias("sum1"))
     begin = sums.select(*track, F.col("sample_no").alias("from"), F.col("sum").alias("sum0"))
-    rows = per.withColumn("from", F.col("upto") - F.col("n")).join(end, [*track, "upto"]).join(begin, [*track, "from"], "left")
+    count = sizes.groupBy(*track).agg(F.max("sample_no").alias("count"))
+    per = per.withColumn("from", F.col("upto") - F.col("n")).join(count, track).filter("from < count").withColumn("upto", F.least("upto", "count"))
+    rows = per.join(end, [*track, "upto"]).join(begin, [*track, "from"], "left")
     size = F.col("sum1") - F.coalesce("sum0", F.lit(0))
-    return rows.select(*track, F.col("at").alias("chunk_no"), F.col("offset").alias("start"), (F.col("offset") + size).alias("stop"))
+    return rows.select(*track, F.col("at").alias("chunk_no"), F.col("offset").alias("start"), (F.col("offset") + size).alias("stop")).filter("stop > start")
 
 
 def overlapping(spans: DataFrame, key: str, grid: int = CHUNK) -> DataFrame:
@@ -133,20 +141,6 @@ def overlapping(spans: DataFrame, key: str, grid: int = CHUNK) -> DataFrame:
     return meta.join(own, [key, "cell"]).filter("s < e2 AND s2 < e").select(key).distinct()
 
 
-def account(facts: DataFrame) -> DataFrame:
-    """H9: whether a twin difference is known to be harmless, the first refusal that fits.
-
-    facts: ext, len_a, len_b, parsed, structure_equal, samples, essence_spans, differing, structure_stable, essence_overlap.
-    """
-    c = F.col
-    state = (
-        F.when(c("ext") != "mp4", "NotPinnedContainer").when(c("len_a") != c("len_b"), "LengthMismatch").when(~c("parsed"), "Unparsable").when(~c("structure_equal"), "MoovDiffers")
-        .when(c("essence_spans") == 0, "Unparsable").when(c("samples") < 32, "TooFewSamples").when(c("differing") > F.floor(c("len_a") * 0.02), "TooMuchDiffers")
-        .when(~c("structure_stable"), "MoovNotStable").when(c("essence_overlap") > 0, "EssenceDiffers").otherwise("Accounted")
-    )
-    return facts.withColumn("state", state).withColumn("share", F.round(F.try_divide(c("differing"), c("len_a")), 6))
-
-
 def kept_proven(kept: DataFrame, measured: DataFrame) -> DataFrame:
     """Kept files whose digest on every destination is the other card's: kept (session_id, rel, want)."""
     rows = kept.join(measured.select("session_id", "rel", "slot", "hash"), ["session_id", "rel"], "left")

@@ -41,7 +41,7 @@ def warnings(volumes: DataFrame, summary: DataFrame) -> DataFrame:
 
 def trail(history: DataFrame) -> DataFrame:
     """Each session with the formats that came after it on the same serial: the first, and how many."""
-    later = Window.partitionBy("serial").orderBy("seq").rangeBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("serial").orderBy(F.desc("seq")).rangeBetween(Window.unboundedPreceding, -1)  # a frame that only grows
     own = F.when(F.col("kind") == "format", F.col("seq"))
     rows = history.withColumns({"formatted_after": F.min(own).over(later), "formats_after": F.count(own).over(later)})
     return rows.filter("kind = 'session'").groupBy("seq", "serial").agg(F.min("formatted_after").alias("formatted_after"), F.max("formats_after").alias("formats_after"))

@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from .plan import rank
 
 RATE_MS, MIN_MS, SMOOTH, STALE_MS, HISTORY = 12_000, 2_000, 10, 750, 120
 
 
+def placed(rows: DataFrame, key: str) -> DataFrame:
+    """K6: rows with their place in the order of a key, from 1, over all rows: numbered range by range, not in one task."""
+    parts = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    dealt = kept(rows.repartitionByRange(parts, key).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("n"))
+    before = sizes.select(F.col("_range").alias("_above"), F.col("n"))
+    starts = sizes.select("_range").join(F.broadcast(before), F.col("_above") < F.col("_range"), "left").groupBy("_range").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    return dealt.withColumn("_own", own).join(F.broadcast(starts), "_range").withColumn("place", F.col("_start") + F.col("_own")).drop("_range", "_own", "_start")
+
+
 def phased(events: DataFrame) -> DataFrame:
     """Events with the number of their phase: it goes up only where the phase changes, not where it is said again."""
     session = Window.partitionBy("session_id").orderBy("at", "event_id")

@@ -23,17 +23,22 @@ def dimension(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(VERDICTS, "verdict string, headline string, exit_code int, authorises_erase boolean, copy_is_good boolean, something_is_wrong boolean")
 
 
-def assessment(sessions: DataFrame, summary: DataFrame, volumes: DataFrame, states: DataFrame, retries: DataFrame, scan_errors: DataFrame, failures: DataFrame) -> DataFrame:
-    """Everything that a verdict looks at, a row a session, sessions without files included."""
+def assessment(sessions: DataFrame, summary: DataFrame, volumes: DataFrame, states: DataFrame, retries: DataFrame, scan_errors: DataFrame, failures: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Everything that a verdict looks at, a row a session, sessions without files included.
+
+    evidence (session_id, slot, from_device): a destination of which anything was not read from its device is no surer
+    than one on a network, nor is one that nothing was read of.
+    """
     failed = failures.groupBy("session_id").agg(F.count("*").alias("failures"))
     over = retries.groupBy("session_id").agg(F.max("retries").alias("most_retries"))
     dest = ~F.col("slot").isin("C1", "C2")
-    sure = paths.is_verifiable(F.col("drive_type"))
-    disks = volumes.groupBy("session_id").agg(F.count_if(dest).alias("dest_count"), F.count_if(dest & sure).alias("sure_dests"), F.count_if(dest & ~sure).alias("network_dests"))
+    local, read = paths.is_verifiable(F.col("drive_type")), F.coalesce("from_device", F.lit(False))
+    volumes = volumes.join(evidence, ["session_id", "slot"], "left")
+    disks = volumes.groupBy("session_id").agg(F.count_if(dest).alias("dest_count"), F.count_if(dest & local & read).alias("sure_dests"), F.count_if(dest & local & ~read).alias("cached_dests"), F.count_if(dest & ~local).alias("network_dests"))
     rows = sessions.join(summary.drop("had_card2"), "session_id", "left")
     for x in (failed, over, disks, states, scan_errors):
         rows = rows.join(x, "session_id", "left")
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("failures", "most_retries", "dest_count", "sure_dests", "network_dests", "scan_errors", "conflicts", "untwinned", "twinned")}
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("failures", "most_retries", "dest_count", "sure_dests", "cached_dests", "network_dests", "scan_errors", "conflicts", "untwinned", "twinned")}
     rows = rows.withColumns(zero).withColumns({"dests": F.coalesce("dests", F.lit("Unproven")), "dest_on_card": F.coalesce("dest_on_card", F.lit(False))})
     return rows.withColumns({"files": F.col("twinned") + F.col("untwinned"), "twin_matched": F.col("had_card2") & (F.col("untwinned") == 0) & (F.col("conflicts") == 0)})
 
@@ -45,14 +50,14 @@ def ladder(rows: DataFrame) -> DataFrame:
     listed = lambda *xs: F.array_compact(F.array(*xs))
     broken = listed(say(c("aborted").isNotNull(), "aborted"), say(c("failures") > 0, "failures"), say(c("conflicts") > 0, "conflicts"))
     two = c("dest_count") >= 2
-    network = c("network_dests") > 0
-    leaning = network & ~((c("sure_dests") >= 2) & (c("dests") == "Distinct"))
+    network, cached = c("network_dests") > 0, c("cached_dests") > 0
+    leaning = ~((c("sure_dests") >= 2) & (c("dests") == "Distinct"))  # on destinations that prove less
     faults = listed(
         say(c("files") == 0, "no files"), say(c("dest_on_card"), "destination on a card"), say(c("scan_errors") > 0, "scan errors"), say(c("most_retries") > RETRY_CEILING, "too many retries"),
-        say(F.coalesce(c("cards") == "SameDevice", F.lit(False)), "cards are one device"), say(leaning, "network destination"),
+        say(F.coalesce(c("cards") == "SameDevice", F.lit(False)), "cards are one device"), say(leaning & network, "network destination"), say(leaning & cached, "destination not read from its device"),
         say(two & (c("dests") == "SameDevice"), "destinations are one device"), say(two & (c("dests") == "Unproven"), "destinations not proven distinct"),
     )
-    notes = listed(say(network & ~leaning, "network note"))
+    notes = listed(say(network & ~leaning, "network note"), say(cached & ~leaning, "cached read note"))
     gaps = F.concat(notes, listed(
         say(~two, "one destination"), F.when(~c("twin_matched"), F.when(~c("had_card2"), "no second card").otherwise("not all twinned")), say(~c("twin_matched") & c("card_mode").isNotNull() & (c("card_mode") != "Backup"), "card mode"),
     ))

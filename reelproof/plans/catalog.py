@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats, paths
-from ..operators import attempts, devices, diagnose, digest, history, inventory, manifests, plan, recheck, reconcile, retention, telemetry, verdict
-from ..sources import files
+from ..operators import account, attempts, devices, diagnose, digest, history, inventory, manifests, plan, recheck, reconcile, retention, telemetry, verdict
+from ..sources import files, ranges
 from ..sources.shared import scratch
 from ..streaming import live
+from . import drives
 from .fixtures import Tables, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,15 +225,16 @@ def _(t):
     return attempts.resolved(t.copy_attempts).select("session_id", "device", "rel", "outcome")
 
 
-@query("j18_unrepeatable_read", "SELECT a.session_id, a.rel FROM rereads a JOIN rereads b ON a.session_id = b.session_id AND a.rel = b.rel AND a.slot = 'SC' AND b.slot = 'SC' AND a.pass = 1 AND b.pass = 2 AND a.hash <> b.hash")
+@query("j18_unrepeatable_read", "SELECT session_id, rel FROM rereads WHERE slot = 'SC' GROUP BY 1, 2 HAVING max(hash) FILTER (WHERE pass = 1) <> max(hash) FILTER (WHERE pass = 2)")
 def _(t):
     return attempts.unrepeatable(t.rereads)
 
 
-@query("j19_manifest_contents", """WITH x AS (SELECT i.session_id, i.rel, i.size, i.mtime, coalesce(t.a, t.b, t.c) AS hash FROM items i JOIN tuples t ON t.session_id = i.session_id AND t.rel = i.rel WHERE i.p % 199 <> 1)
+@query("j19_manifest_contents", """WITH x AS (SELECT i.session_id, i.rel, i.size, i.mtime, coalesce(t.a, t.b, t.c) AS hash FROM items i JOIN tuples t ON t.session_id = i.session_id AND t.rel = i.rel
+  )
   SELECT * FROM x WHERE session_id NOT IN (SELECT session_id FROM x WHERE hash IS NULL)""")
 def _(t):
-    return manifests.contents(t.items.filter("p % 199 <> 1"), t.tuples)
+    return manifests.contents(t.items, t.tuples)
 
 
 EXCUSED = "SELECT session_id, rel FROM items WHERE p % 227 = 0"
@@ -323,19 +325,21 @@ def _(t):
 STATES = PAIRS.replace("WITH pairs", "pairs") + """, states AS (SELECT v.session_id, coalesce((SELECT arg_min(state, ra * 10 + rb) FROM pairs p WHERE p.session_id = v.session_id AND role = 'destinations'), 'Unproven') AS dests,
     (SELECT max(state) FROM pairs p WHERE p.session_id = v.session_id AND role = 'cards') AS cards, coalesce((SELECT bool_or(state = 'SameDevice') FROM pairs p WHERE p.session_id = v.session_id AND role = 'card and destination'), FALSE) AS dest_on_card
     FROM (SELECT DISTINCT session_id FROM volumes) v)"""
-ASSESSED = DIAGNOSED + "," + SUMMARY[5:] + "," + RETRIED[5:] + "," + STATES + f""", assessed AS (SELECT s.session_id, s.had_card2, s.aborted, s.manifests_written, {MODE.replace("had_card2", "s.had_card2")} AS card_mode, m.conflicts, m.only_c1 + m.only_c2 AS untwinned, m.twinned + m.only_c1 + m.only_c2 AS files,
+READS = "reads AS (SELECT session_id, slot, bool_and(read_mode = 'device') AS sure FROM measurements GROUP BY 1, 2)"
+ASSESSED = DIAGNOSED + "," + READS + "," + SUMMARY[5:] + "," + RETRIED[5:] + "," + STATES + f""", assessed AS (SELECT s.session_id, s.had_card2, s.aborted, s.manifests_written, {MODE.replace("had_card2", "s.had_card2")} AS card_mode, m.conflicts, m.only_c1 + m.only_c2 AS untwinned, m.twinned + m.only_c1 + m.only_c2 AS files,
     s.had_card2 AND m.only_c1 + m.only_c2 = 0 AND m.conflicts = 0 AS twin_matched, st.dests, st.cards, st.dest_on_card,
-    (SELECT count(*) FROM diagnosed d WHERE d.session_id = s.session_id AND kind <> 'Clean' AND s.session_id % 3 = 0) AS failures, (SELECT count(*) FROM scan_errors e WHERE e.session_id = s.session_id) AS scan_errors,
+    (SELECT count(*) FROM diagnosed d WHERE d.session_id = s.session_id AND kind <> 'Clean') AS failures, (SELECT count(*) FROM scan_errors e WHERE e.session_id = s.session_id) AS scan_errors,
     coalesce((SELECT max(n) FROM (SELECT count(*) AS n FROM one o ANTI JOIN two w USING (session_id, device, rel) WHERE o.session_id = s.session_id GROUP BY device)), 0) AS most_retries,
-    (SELECT count(*) FROM volumes v WHERE v.session_id = s.session_id AND slot NOT IN ('C1', 'C2')) AS dest_count, (SELECT count(*) FROM volumes v WHERE v.session_id = s.session_id AND slot NOT IN ('C1', 'C2') AND drive_type <> 4) AS sure_dests,
+    (SELECT count(*) FROM volumes v WHERE v.session_id = s.session_id AND slot NOT IN ('C1', 'C2')) AS dest_count, (SELECT count(*) FROM volumes v LEFT JOIN reads r ON r.session_id = v.session_id AND r.slot = v.slot WHERE v.session_id = s.session_id AND v.slot NOT IN ('C1', 'C2') AND drive_type <> 4 AND coalesce(r.sure, FALSE)) AS sure_dests,
+    (SELECT count(*) FROM volumes v LEFT JOIN reads r ON r.session_id = v.session_id AND r.slot = v.slot WHERE v.session_id = s.session_id AND v.slot NOT IN ('C1', 'C2') AND drive_type <> 4 AND NOT coalesce(r.sure, FALSE)) AS cached_dests,
     (SELECT count(*) FROM volumes v WHERE v.session_id = s.session_id AND slot NOT IN ('C1', 'C2') AND drive_type = 4) AS network_dests
   FROM sessions s JOIN summ m ON m.session_id = s.session_id LEFT JOIN states st ON st.session_id = s.session_id)"""
 LADDER = ASSESSED + """, l0 AS (SELECT *, list_filter([CASE WHEN aborted IS NOT NULL THEN 'aborted' END, CASE WHEN failures > 0 THEN 'failures' END, CASE WHEN conflicts > 0 THEN 'conflicts' END], lambda x: x IS NOT NULL) AS broken,
-    network_dests > 0 AND NOT (sure_dests >= 2 AND dests = 'Distinct') AS leaning FROM assessed),
+    NOT (sure_dests >= 2 AND dests = 'Distinct') AS leaning FROM assessed),
   l1 AS (SELECT *, list_filter([CASE WHEN files = 0 THEN 'no files' END, CASE WHEN dest_on_card THEN 'destination on a card' END, CASE WHEN scan_errors > 0 THEN 'scan errors' END, CASE WHEN most_retries > 5 THEN 'too many retries' END, CASE WHEN cards = 'SameDevice' THEN 'cards are one device' END,
-      CASE WHEN leaning THEN 'network destination' END, CASE WHEN dest_count >= 2 AND dests = 'SameDevice' THEN 'destinations are one device' END, CASE WHEN dest_count >= 2 AND dests = 'Unproven' THEN 'destinations not proven distinct' END], lambda x: x IS NOT NULL) AS faults,
-    CASE WHEN network_dests > 0 AND NOT leaning THEN ['network note'] ELSE [] END AS notes,
-    list_filter([CASE WHEN network_dests > 0 AND NOT leaning THEN 'network note' END, CASE WHEN dest_count < 2 THEN 'one destination' END, CASE WHEN NOT twin_matched THEN CASE WHEN NOT had_card2 THEN 'no second card' ELSE 'not all twinned' END END,
+      CASE WHEN leaning AND network_dests > 0 THEN 'network destination' END, CASE WHEN leaning AND cached_dests > 0 THEN 'destination not read from its device' END, CASE WHEN dest_count >= 2 AND dests = 'SameDevice' THEN 'destinations are one device' END, CASE WHEN dest_count >= 2 AND dests = 'Unproven' THEN 'destinations not proven distinct' END], lambda x: x IS NOT NULL) AS faults,
+    list_filter([CASE WHEN network_dests > 0 AND NOT leaning THEN 'network note' END, CASE WHEN cached_dests > 0 AND NOT leaning THEN 'cached read note' END], lambda x: x IS NOT NULL) AS notes,
+    list_filter([CASE WHEN network_dests > 0 AND NOT leaning THEN 'network note' END, CASE WHEN cached_dests > 0 AND NOT leaning THEN 'cached read note' END, CASE WHEN dest_count < 2 THEN 'one destination' END, CASE WHEN NOT twin_matched THEN CASE WHEN NOT had_card2 THEN 'no second card' ELSE 'not all twinned' END END,
       CASE WHEN NOT twin_matched AND card_mode <> 'Backup' THEN 'card mode' END], lambda x: x IS NOT NULL) AS gaps FROM l0),
   laddered AS (SELECT session_id, CASE WHEN len(broken) > 0 OR NOT manifests_written THEN 'FAILED' WHEN len(faults) > 0 THEN 'VERIFIED_DO_NOT_FORMAT' WHEN len(gaps) = 0 OR twin_matched AND dest_count >= 2 AND files > 0 AND len(gaps) = len(notes) THEN 'SAFE_TO_FORMAT'
       WHEN dest_count < 2 THEN 'VERIFIED_ONE_COPY' ELSE 'VERIFIED_ONE_SOURCE' END AS verdict, CASE WHEN len(broken) > 0 THEN broken WHEN NOT manifests_written THEN ['manifests not written'] WHEN len(faults) > 0 THEN list_concat(faults, gaps) ELSE gaps END AS reasons,
@@ -346,14 +350,14 @@ CARDS_OK = "c1 = c2 OR c1 IS NULL OR c2 IS NULL"
 
 def assessed(t: Tables) -> DataFrame:
     summary = reconcile.summary(t.sessions, reconciled(t))
-    failures = diagnose.unexcused(diagnoses(t)).filter("session_id % 3 = 0")  # the other sessions' failures count as excused here, so that every verdict occurs
+    failures = diagnose.unexcused(diagnoses(t))
     errors = inventory.scan_error_counts(t.sessions, t.scan_errors)
-    return verdict.assessment(t.sessions, summary, t.volumes, devices.session_state(t.volumes), attempts.retries(t.copy_attempts), errors, failures)
+    return verdict.assessment(t.sessions, summary, t.volumes, devices.session_state(t.volumes), attempts.retries(t.copy_attempts), errors, failures, diagnose.evidence(t.measurements))
 
 
-@query("a13_assessment", ASSESSED + " SELECT session_id, failures, most_retries, dest_count, sure_dests, network_dests, scan_errors, conflicts, untwinned, files, twin_matched, dests, cards, dest_on_card FROM assessed", keep=("items", "tuples"))
+@query("a13_assessment", ASSESSED + " SELECT session_id, failures, most_retries, dest_count, sure_dests, cached_dests, network_dests, scan_errors, conflicts, untwinned, files, twin_matched, dests, cards, dest_on_card FROM assessed", keep=("items", "tuples"))
 def _(t):
-    return assessed(t).select("session_id", "failures", "most_retries", "dest_count", "sure_dests", "network_dests", "scan_errors", "conflicts", "untwinned", "files", "twin_matched", "dests", "cards", "dest_on_card")
+    return assessed(t).select("session_id", "failures", "most_retries", "dest_count", "sure_dests", "cached_dests", "network_dests", "scan_errors", "conflicts", "untwinned", "files", "twin_matched", "dests", "cards", "dest_on_card")
 
 
 @query("a14_verdict_ladder", LADDER + " SELECT session_id, verdict, array_to_string(reasons, '; ') AS reasons, files_failed, files, twin_matched FROM laddered", keep=("items", "tuples"))
@@ -563,8 +567,8 @@ def _(t):
 def _(t):
     made = t.sql("SELECT DISTINCT folder, CAST(manifest_id AS INT) AS sequence FROM manifest_entries")
     made = made.select(F.lit("generation").alias("what"), F.col("folder").alias("parent"), F.col("sequence").cast("string").alias("name"), F.row_number().over(Window.partitionBy("folder").orderBy("sequence")).alias("place"))
-    serials = t.history.select("serial").distinct()
-    known = serials.select(F.lit("device").alias("what"), F.lit("").alias("parent"), F.col("serial").cast("string").alias("name"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("serial")).alias("place"))
+    serials = telemetry.placed(t.history.select("serial").distinct(), "serial")
+    known = serials.select(F.lit("device").alias("what"), F.lit("").alias("parent"), F.col("serial").cast("string").alias("name"), F.col("place").cast("int"))
     return made.unionByName(known)
 
 
@@ -604,9 +608,8 @@ def _(t):
 
 @query("u3_common_extras", ENTRIES + """ SELECT DISTINCT session_id, folder, rel FROM rest r SEMI JOIN good g ON g.session_id = r.session_id AND g.folder = r.folder""")
 def _(t):
-    found = recheck.extras(recheck.readable(checked_entries(t)), t.device_files)
-    all_of = recheck.readable(checked_entries(t)).groupBy("session_id", "folder").agg(F.countDistinct("manifest_id").alias("n"))
-    return found.groupBy("session_id", "folder", "rel").agg(F.countDistinct("manifest_id").alias("k")).join(all_of, ["session_id", "folder"]).filter("k = n").select("session_id", "folder", "rel")
+    good = recheck.readable(checked_entries(t))
+    return recheck.residual(good, t.device_files).join(good.select("session_id", "folder").distinct(), ["session_id", "folder"], "left_semi")
 
 
 @query("u4_present_minus_listed", "SELECT session_id, folder, rel FROM device_files EXCEPT SELECT session_id, folder, regexp_replace(rel, '^(\\./)+', '') FROM manifest_entries")
@@ -621,28 +624,66 @@ def _(t):
     return inventory.split_litter(card_files(t)).select("session_id", "device", "rel", "skipped")
 
 
-@query("p3_p13_flags", "SELECT session_id, device, rel, (attrs & 4460544) <> 0 AS placeholder, lower(rel) = 'private/database/database.bin' AND size <= 268435456 AS card_index, '_twin/' || device || '/' || rel AS kept FROM dest_files")
+#: Destinations' files, some of them where cards keep their index, one kind of those too large for it.
+INDEXED = "SELECT session_id, device, attrs, CASE WHEN size % 7 = 0 THEN CASE WHEN size % 2 = 0 THEN 'PRIVATE/database/DATABASE.BIN' ELSE 'private/DATABASE/database.bin' END WHEN size % 7 = 1 THEN 'x/private/database/database.bin' ELSE rel END AS rel, CASE WHEN size % 3 = 0 THEN size * 100 ELSE size END AS size FROM dest_files"
+
+
+@query("p3_p13_flags", f"SELECT session_id, device, rel, size, (attrs & 4460544) <> 0 AS placeholder, lower(rel) = 'private/database/database.bin' AND size <= 268435456 AS card_index, '_twin/' || device || '/' || rel AS kept FROM ({INDEXED})")
 def _(t):
     rel = F.col("rel")
-    return t.dest_files.select("session_id", "device", "rel", paths.is_cloud_placeholder(F.col("attrs")).alias("placeholder"), paths.is_card_index(rel, F.col("size")).alias("card_index"), paths.kept_rel(F.col("device"), rel).alias("kept"))
+    return t.sql(INDEXED).select("session_id", "device", "rel", "size", paths.is_cloud_placeholder(F.col("attrs")).alias("placeholder"), paths.is_card_index(rel, F.col("size")).alias("card_index"), paths.kept_rel(F.col("device"), rel).alias("kept"))
 
 
-@query("p4_f12_relative", "SELECT session_id, rel, 'D:/in/' || rel AS path, rel AS below, '' AS outside FROM files")
+@query("p4_f12_relative", "SELECT session_id, rel, 'D:/in/' || rel AS path, rel AS below, CASE WHEN p % 2 = 0 THEN 'in/' || rel ELSE '' END AS subpath FROM files")
 def _(t):
     path = F.concat(F.lit("D:/in/"), F.col("rel"))
-    return t.files.select("session_id", "rel", path.alias("path"), paths.relative(F.lit("D:\\in\\"), path).alias("below"), paths.subpath(F.lit("E:/"), path).alias("outside"))
+    root = F.when(F.col("p") % 2 == 0, "D:/").otherwise("E:/")
+    return t.files.select("session_id", "rel", path.alias("path"), paths.relative(F.lit("D:\\in\\"), path).alias("below"), paths.subpath(root, path).alias("subpath"))
+
+
+#: Manifest paths, some of the engine's own files, of which not all that look like them are.
+OWN_FILES = """SELECT manifest_id, rel, CASE coalesce(size, 0) % 9 WHEN 0 THEN 'ASCMHL/0001_x.mhl' WHEN 1 THEN 'x/ascmhl/chain.xml' WHEN 2 THEN 'custody_1.mhl' WHEN 3 THEN 'day/custody_x.json' WHEN 4 THEN '.custody-write-probe' WHEN 5 THEN 'ascmhl/notes.txt' WHEN 6 THEN 'other_1.mhl' ELSE regexp_replace(rel, '^(\\./)+', '') END AS name FROM manifest_entries"""
 
 
-@query("p5_p6_p7_manifest_paths", "SELECT manifest_id, rel, regexp_replace(rel, '^(\\./)+', '') AS plain, rel NOT LIKE '../%' AS inside, FALSE AS sidecar FROM manifest_entries")
+@query("p5_p6_p7_manifest_paths", f"SELECT manifest_id, rel, name, regexp_replace(rel, '^(\\./)+', '') AS plain, rel NOT LIKE '../%' AS inside, name IN ('ASCMHL/0001_x.mhl', 'x/ascmhl/chain.xml', 'custody_1.mhl', 'day/custody_x.json', '.custody-write-probe') AS sidecar FROM ({OWN_FILES})")
 def _(t):
     plain = paths.normalise(F.col("rel"))
-    return t.manifest_entries.select("manifest_id", "rel", plain.alias("plain"), paths.is_contained(plain).alias("inside"), paths.is_sidecar(plain).alias("sidecar"))
+    rows = t.manifest_entries.select("manifest_id", "rel", (F.coalesce("size", F.lit(0)) % 9).alias("k"))
+    name = F.when(F.col("k") < 7, F.get(F.array(*[F.lit(x) for x in ("ASCMHL/0001_x.mhl", "x/ascmhl/chain.xml", "custody_1.mhl", "day/custody_x.json", ".custody-write-probe", "ascmhl/notes.txt", "other_1.mhl")]), F.col("k").cast("int"))).otherwise(plain)
+    return rows.withColumn("name", name).select("manifest_id", "rel", "name", plain.alias("plain"), paths.is_contained(plain).alias("inside"), paths.is_sidecar(F.col("name")).alias("sidecar"))
 
 
-@query("p8_p9_p10_names", """SELECT session_id, CASE WHEN session_id % 2 = 0 THEN '2026-01-02' ELSE '2026-01-01' END || '_Shoot ' || CAST(session_id AS VARCHAR) || '- day-1' AS folder, TRUE AS is_session, 'x' AS base FROM sessions""")
+#: Where a session's manifest may lie, and names that a folder may have.
+PLACES = """SELECT session_id, started_at, tz, label, CASE session_id % 4 WHEN 0 THEN 'drive/day' || CAST(session_id AS STRING) || '/ascmhl/0001_x.mhl' WHEN 1 THEN 'drive/day/custody_1.mhl' WHEN 2 THEN 'AscMHL/0001_x.mhl' ELSE 'custody_1.mhl' END AS manifest,
+  CASE session_id % 5 WHEN 0 THEN '2026-01-02_' WHEN 1 THEN '2026-1-02_x' WHEN 2 THEN 'x2026-01-02_x' WHEN 3 THEN '2026-01-02_x' ELSE '2026-01-02-x' END AS name FROM sessions"""
+
+
+@query("p8_p9_p10_names", f"""SELECT session_id, CASE WHEN session_id % 2 = 0 THEN '2026-01-02' ELSE '2026-01-01' END || '_Shoot ' || CAST(session_id AS VARCHAR) || '- day-1' AS folder, TRUE AS is_session, session_id % 5 = 3 AS name_is_session,
+  CASE session_id % 4 WHEN 0 THEN 'drive/day' || CAST(session_id AS VARCHAR) WHEN 1 THEN 'drive/day' ELSE '' END AS base FROM ({PLACES})""")
 def _(t):
     folder = paths.session_folder(F.col("started_at"), F.col("tz"), F.col("label"))
-    return t.sessions.select("session_id", folder.alias("folder"), paths.is_session_name(folder).alias("is_session"), paths.manifest_base(F.lit("x/ascmhl/0001_x.mhl")).alias("base"))
+    return t.sql(PLACES).select("session_id", folder.alias("folder"), paths.is_session_name(folder).alias("is_session"), paths.is_session_name(F.col("name")).alias("name_is_session"), paths.manifest_base(F.col("manifest")).alias("base"))
+
+
+#: A session's start, to the millisecond.
+STARTS = "SELECT session_id, tz, started_at + session_id * INTERVAL 1234 MILLISECOND AS at FROM sessions"
+
+
+@query("f4_clocks", f"""SELECT session_id, strftime(l, '%Y%m%d-%H%M%S') AS id, strftime(l, '%Y-%m-%d') AS day, strftime(l, '%H:%M:%S.%g') AS clock, CASE WHEN tz = 'UTC' THEN '+00:00' ELSE '+02:00' END AS zone
+  FROM (SELECT *, CASE WHEN tz = 'UTC' THEN at ELSE at + INTERVAL 2 HOUR END AS l FROM ({STARTS}))""")
+def _(t):
+    at, tz = F.col("at"), F.col("tz")
+    rows = t.sql("SELECT session_id, tz, started_at FROM sessions").withColumn("at", F.timestamp_micros(F.unix_micros("started_at") + F.col("session_id") * 1_234_000))
+    return rows.select("session_id", formats.session_id(at, tz).alias("id"), formats.local(at, tz, "yyyy-MM-dd").alias("day"), formats.local_clock(at, tz).alias("clock"), formats.local_offset(at, tz).alias("zone"))
+
+
+@query("f1_f8_short_forms", """SELECT session_id, rel, lower(lpad(printf('%x', size), 16, '0'))[1:8] AS short, CASE WHEN n >= 1000000000000 THEN printf('%7.2f', n / 1e12) || ' TB' WHEN n >= 1000000000 THEN printf('%7.2f', n / 1e9) || ' GB' WHEN n >= 1000000 THEN printf('%7.2f', n / 1e6) || ' MB'
+    WHEN n >= 1000 THEN printf('%7.2f', n / 1e3) || ' kB' ELSE lpad(CAST(n AS VARCHAR), 7, ' ') || ' B ' END AS fixed, CASE WHEN n >= 1000000000 THEN printf('%.1f', n / 1e9) || ' GB' WHEN n >= 1000000 THEN printf('%.1f', n / 1e6) || ' MB' WHEN n >= 1000 THEN printf('%.1f', n / 1e3) || ' KB' ELSE CAST(n AS VARCHAR) || ' B' END AS human,
+    CASE WHEN p % 3 = 0 THEN '          —' ELSE printf('%6.0f', CAST(p AS DOUBLE)) || ' MB/s' END AS rate FROM (SELECT *, CASE p % 5 WHEN 0 THEN size * 1000 + 13 WHEN 1 THEN size * 1000000 + 13 WHEN 2 THEN p - p % 100 + 37 WHEN 3 THEN size // 100000 ELSE size - size % 100 + 37 END AS n FROM files)""")
+def _(t):
+    size, p = F.col("size"), F.col("p")
+    n = F.when(p % 5 == 0, size * 1000 + 13).when(p % 5 == 1, size * 1000000 + 13).when(p % 5 == 2, p - p % 100 + 37).when(p % 5 == 3, F.floor(size / 100000)).otherwise(size - size % 100 + 37)  # no halves, which the two sides round apart
+    return t.files.select("session_id", "rel", formats.hex64_short(size).alias("short"), formats.fixed_bytes(n).alias("fixed"), formats.human_bytes(n).alias("human"), formats.mbps(F.when(p % 3 == 0, 0.0).otherwise(p.cast("double"))).alias("rate"))
 
 
 @query("p15_p16_log_filter", "SELECT session_id, event_id FROM telemetry WHERE event NOT IN ('bytes', 'queue', 'throughput') AND level = 'ERROR' AND (contains(lower(msg), 'e 1') OR contains(stage, 'e 1'))")
@@ -715,7 +756,7 @@ def _(t):
     return digest.chunk_digests(digest.chunked(rows, "path", "content", 1000).withColumnRenamed("no", "chunk_no"))
 
 
-@query("h2_two_reads", "SELECT a.session_id, a.rel, a.hash = b.hash AS agree FROM measurements a JOIN measurements b ON a.session_id = b.session_id AND a.rel = b.rel AND a.slot = 'SC' AND b.slot = 'C1'")
+@query("h2_two_reads", "SELECT * FROM (SELECT session_id, rel, max(hash) FILTER (WHERE slot = 'SC') = max(hash) FILTER (WHERE slot = 'C1') AS agree FROM measurements GROUP BY 1, 2) WHERE agree IS NOT NULL")
 def _(t):
     a, b = (t.measurements.filter(F.col("slot") == s).select("session_id", "rel", F.col("hash").alias(s)) for s in ("SC", "C1"))
     return a.join(b, ["session_id", "rel"]).select("session_id", "rel", (F.col("SC") == F.col("C1")).alias("agree"))
@@ -739,10 +780,10 @@ def _(t):
     return twin_runs(t)
 
 
-@query("h5_protected_overlap", RUNS + """, spans AS (SELECT doc_id, k * 10 AS start, k * 10 + 2 AS stop FROM twin_text, (SELECT unnest(range(0, 3)) AS k) WHERE doc_id % 20 < 11)
+@query("h5_protected_overlap", RUNS + """, spans AS (SELECT doc_id, k * 10 AS start, k * 10 + 2 AS stop FROM twin_text, (SELECT unnest(range(0, 3)) AS k))
   SELECT r.doc_id, CAST(sum(least(r.start + r.length, s.stop) - greatest(r.start, s.start)) AS BIGINT) AS bytes FROM runs r JOIN spans s ON s.doc_id = r.doc_id AND r.start < s.stop AND s.start < r.start + r.length GROUP BY 1""")
 def _(t):
-    spans = t.raw("documents").filter("doc_id % 20 < 11").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    spans = t.raw("documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
     spans = spans.select("doc_id", (F.col("k") * 10).cast("long").alias("start"), (F.col("k") * 10 + 2).cast("long").alias("stop"))
     return digest.overlaps(twin_runs(t), spans, "doc_id", 4096)
 
@@ -781,14 +822,48 @@ def _(t):
     return digest.overlapping(spans, "rel", 256)
 
 
-FACTS = """SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND doc_id % 3 = 0 THEN 'arw' ELSE 'mp4' END AS ext, length(t1) AS len_a, length(t2) + CASE WHEN doc_id % 70 = 10 THEN 1 ELSE 0 END AS len_b, doc_id % 110 <> 20 AS parsed, doc_id % 130 <> 40 AS structure_equal,
-  CAST(doc_id % 60 AS INT) AS samples, CASE WHEN doc_id % 170 = 50 THEN 0 ELSE 3 END AS essence_spans, CASE WHEN t1 <> t2 THEN 1 + doc_id % 9 ELSE 0 END AS differing, doc_id % 190 <> 70 AS structure_stable, CASE WHEN doc_id % 80 = 70 THEN 4 ELSE 0 END AS essence_overlap FROM twin_text WHERE length(t1) > 0"""
-
-
-@query("h9_accounting_ladder", f"""WITH f AS ({FACTS}) SELECT doc_id, CASE WHEN ext <> 'mp4' THEN 'NotPinnedContainer' WHEN len_a <> len_b THEN 'LengthMismatch' WHEN NOT parsed THEN 'Unparsable' WHEN NOT structure_equal THEN 'MoovDiffers' WHEN essence_spans = 0 THEN 'Unparsable'
-  WHEN samples < 32 THEN 'TooFewSamples' WHEN differing > floor(len_a * 0.02) THEN 'TooMuchDiffers' WHEN NOT structure_stable THEN 'MoovNotStable' WHEN essence_overlap > 0 THEN 'EssenceDiffers' ELSE 'Accounted' END AS state, round(differing / len_a, 6) AS share FROM f""")
-def _(t):
-    return digest.account(t.sql(FACTS)).select("doc_id", "state", "share")
+#: Documents as twins on two cards, the second changed in one of several ways.
+TWIN_FILES = """SELECT doc_id, CASE WHEN doc_id % 11 = 7 THEN 'arw' ELSE 'mp4' END AS ext, text AS a, CASE doc_id % 13 WHEN 1 THEN text || '!' WHEN 2 THEN '#' || substr(text, 2) WHEN 3 THEN replace(text, 'e', '3')
+    WHEN 4 THEN substr(text, 1, 24 + CAST(doc_id % 16 AS INT)) || '#' || substr(text, 26 + CAST(doc_id % 16 AS INT)) WHEN 5 THEN substr(text, 1, CAST(floor(length(text) / 2) AS INT)) || '#' || substr(text, CAST(floor(length(text) / 2) AS INT) + 2)
+    WHEN 6 THEN substr(text, 1, 18) || '#' || substr(text, 20) WHEN 7 THEN substr(text, 1, 22) || '##' || substr(text, 25, 32) || '#' || substr(text, 58) ELSE text END AS b FROM {documents} WHERE text IS NOT NULL AND length(text) > 0"""
+#: What was read of their containers: where the structure is, how it was digested, and sample tables of two tracks.
+BOXES = f"""WITH t AS ({TWIN_FILES}), s AS (SELECT doc_id, 'a' AS side, a AS x FROM t UNION ALL SELECT doc_id, 'b', b FROM t)
+  SELECT doc_id, side, CAST(0 AS BIGINT) AS start, CAST(CASE WHEN side = 'b' AND doc_id % 19 = 4 THEN 15 ELSE 16 END AS BIGINT) AS stop, x, doc_id % 23 = 5 AS stale FROM s WHERE doc_id % 17 <> 3"""
+
+
+def twin_tables(t: Tables) -> tuple[DataFrame, ...]:
+    """Twins written as files, with the tables that account.facts() asks for."""
+    rows, root = t.sql(TWIN_FILES), scratch(t.spark)
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("."), F.col("ext"))
+    both = rows.select(F.explode(F.array(*[F.struct(F.concat(F.lit(f"{side}/"), name).alias("rel"), F.lit(0).alias("part"), F.col(side).alias("value")) for side in "ab"])).alias("r")).select("r.*")
+    ranges.written(both, root).write.format("noop").mode("overwrite").save()
+    at = lambda side: F.concat(F.lit(f"{root.removeprefix('file:')}/{side}/"), name)
+    size = lambda side: F.octet_length(side).cast("long")
+    rel = F.col("doc_id").alias("rel")
+    pairs = rows.select(rel, at("a").alias("a"), at("b").alias("b"), size("a").alias("size_a"), size("b").alias("size_b"), "ext")
+    read = F.when(F.col("stale"), F.upper("x")).otherwise(F.col("x")).cast("binary")
+    structures = t.sql(BOXES).select(rel, "side", "start", "stop", F.md5(F.substring(read, F.lit(1), F.col("stop").cast("int"))).alias("hash"))
+    counts = rows.select(rel, F.greatest(F.floor((F.octet_length("a") - 16) / 20), F.lit(0)).cast("int").alias("n"), (F.col("doc_id") % 29 == 6).alias("crossed"), F.explode(F.array(F.lit(1), F.lit(2))).alias("track")).filter("track = 1 OR rel % 31 <> 8")
+    kinds = counts.select("rel", "track", F.when(F.col("track") == 1, "meta").otherwise("essence").alias("kind"))
+    chunk = counts.filter("n > 0").select("rel", "track", "crossed", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("chunk_no"))
+    first = F.when(F.col("track") == 1, 0).when(F.col("crossed"), 4).otherwise(8)
+    chunks = chunk.select("rel", "track", "chunk_no", (16 + 20 * (F.col("chunk_no") - 1) + first).cast("long").alias("offset"))
+    spans = counts.select("rel", "track", F.lit(1).alias("first_chunk"), F.when(F.col("track") == 1, 2).otherwise(1).alias("samples_per_chunk"))
+    each = counts.filter("n > 0").withColumn("sample_no", F.explode(F.sequence(F.lit(1), F.col("n") * F.when(F.col("track") == 1, 2).otherwise(1))))
+    return pairs, structures, kinds, chunks, spans, each.select("rel", "track", "sample_no", F.when(F.col("track") == 1, 3).otherwise(10).cast("long").alias("size"))
+
+
+@query("h9_accounting_ladder", f"""WITH t AS ({TWIN_FILES}), w AS (SELECT *, strlen(a) AS la, strlen(b) AS lb, hex(encode(a)) AS ha, hex(encode(b)) AS hb FROM t),
+  off AS (SELECT doc_id, i FROM (SELECT doc_id, unnest(range(0, la)) AS i, unnest(regexp_extract_all(ha, '..')) AS x, unnest(regexp_extract_all(hb, '..')) AS y FROM w WHERE la = lb AND ha <> hb) WHERE x <> y),
+  n AS (SELECT doc_id, count(*) AS differing, count(*) FILTER (WHERE i >= 24 AND (i - 16) % 20 >= 8 AND (i - 16) % 20 < 18 AND (i - 16) // 20 < (la - 16) // 20) AS inside FROM off JOIN w USING (doc_id) GROUP BY 1),
+  f AS (SELECT w.doc_id AS rel, ext, la, lb, greatest((la - 16) // 20, 0) AS k, w.doc_id % 17 <> 3 AS parsed, w.doc_id % 19 <> 4 AND CASE WHEN w.doc_id % 23 = 5 THEN hex(encode(upper(a)))[1:32] = hex(encode(upper(b)))[1:32] ELSE ha[1:32] = hb[1:32] END AS same,
+    CASE WHEN w.doc_id % 23 = 5 THEN hex(encode(upper(a)))[1:32] = ha[1:32] ELSE TRUE END AS stable, w.doc_id % 31 <> 8 AS loud, w.doc_id % 29 = 6 AS crossed, coalesce(differing, 0) AS differing, coalesce(inside, 0) AS inside FROM w LEFT JOIN n ON n.doc_id = w.doc_id),
+  s AS (SELECT *, CASE WHEN ext <> 'mp4' THEN 'NotPinnedContainer' WHEN la <> lb THEN 'LengthMismatch' WHEN NOT parsed THEN 'Unparsable' WHEN NOT same THEN 'MoovDiffers' WHEN k = 0 OR NOT loud OR crossed THEN 'Unparsable' WHEN 2 * k < 32 THEN 'TooFewSamples'
+    WHEN differing > floor(la * 0.02) THEN 'TooMuchDiffers' WHEN NOT stable THEN 'MoovNotStable' WHEN inside > 0 THEN 'EssenceDiffers' ELSE 'Accounted' END AS state FROM f)
+  SELECT rel, state, CASE WHEN state IN ('MoovNotStable', 'EssenceDiffers', 'Accounted') THEN differing END AS differing, CASE WHEN state IN ('MoovNotStable', 'EssenceDiffers', 'Accounted') THEN inside END AS essence_overlap,
+    CASE WHEN state IN ('MoovNotStable', 'EssenceDiffers', 'Accounted') THEN round(differing / la, 6) END AS share FROM s""")
+def _(t):
+    return account.ladder(account.facts(*twin_tables(t), algorithm="md5"))
 
 
 KEPT_FILES = "SELECT session_id, rel, c2 AS want FROM tuples WHERE p % 211 = 0 AND c2 IS NOT NULL"
@@ -801,10 +876,48 @@ def _(t):
 
 
 # ---- sources, sinks ----
-@query("s1_s2_inventory")
+#: Documents as the files of three archive drives, six folders each: some changed or lost since, some that no manifest lists.
+ARCHIVE = """SELECT doc_id, CAST(doc_id % 3 AS STRING) AS session_id, '2026-02-0' || CAST(1 + CAST(floor(doc_id / 3) AS BIGINT) % 6 AS STRING) || '_shoot' AS folder, CAST(floor(doc_id / 3) AS BIGINT) % 6 + 1 AS day, 'DCIM/clip ' || CAST(doc_id AS STRING) || '.txt' AS rel, coalesce(text, '') AS text,
+  CASE WHEN CAST(floor(doc_id / 3) AS BIGINT) % 6 < 2 AND doc_id % 7 = 4 AND length(text) > 0 THEN '#' || substr(text, 2) ELSE coalesce(text, '') END AS now, CAST(floor(doc_id / 3) AS BIGINT) % 6 = 2 AND doc_id % 7 = 2 AS lost, CAST(floor(doc_id / 3) AS BIGINT) % 6 = 3 AND doc_id % 7 IN (0, 4) AS unlisted FROM {documents}"""
+
+
+def archive(t: Tables) -> str:
+    """The drives written to disk, with manifests of both dialects, none in the sixth folder and a bad one in a fifth; and litter."""
+    root, rows = scratch(t.spark), t.sql(ARCHIVE)
+    folder = F.concat("session_id", F.lit("/"), "folder", F.lit("/"))
+    content = rows.filter("NOT lost").select(F.concat(folder, "rel").alias("rel"), F.lit(0).alias("part"), F.lit("").alias("line"), F.col("now").alias("value"))
+    litter = rows.filter("doc_id % 5 = 0").select(F.concat(folder, F.lit("$Recycle.Bin/"), "rel").alias("rel"), F.lit(0).alias("part"), F.lit("").alias("line"), F.lit("x").alias("value"))
+    size = F.when(~((F.col("session_id") == "1") & (F.col("day") == 5) & (F.col("doc_id") % 7 < 3)), F.octet_length("text"))
+    entries = rows.filter("NOT unlisted AND day < 6").select(F.concat(folder, F.when(F.col("day") % 2 == 0, "ascmhl/0001_x.mhl").otherwise("custody_1.mhl")).alias("manifest_id"), "rel", size.alias("size"), F.lit(None).cast("timestamp").alias("mtime"), digest.xxh64(F.col("text").cast("binary")).alias("hash"))
+    asc = F.col("manifest_id").contains("ascmhl")
+    lines = manifests.documents(manifests.mhl(entries.filter(~asc)), "hashlist", "1.1").unionByName(manifests.documents(manifests.asc_mhl(entries.filter(asc)), "hashlist", "2.0"))
+    lines = lines.select(F.col("manifest_id").alias("rel"), "part", F.col("rel").alias("line"), F.concat("value", F.lit("\n")).alias("value"))
+    files_ = content.unionByName(litter).unionByName(lines).select("rel", F.struct("part", "line").alias("part"), "value")
+    ranges.written(files_, root).write.format("noop").mode("overwrite").save()
+    return root
+
+
+@query("s1_s2_inventory", f"WITH x AS ({ARCHIVE}) SELECT session_id || '/' || folder || '/' || rel AS rel, CAST(strlen(now) AS BIGINT) AS size FROM x WHERE NOT lost")
+def _(t):
+    root = archive(t)
+    found = files.inventory(t.spark, root).filter("rel NOT LIKE '%.mhl'").select("rel", "size")
+    return found.unionByName(files.destination(t.spark, f"{root}/not-there").select("rel", "size"))
+
+
+@query("h1_file_digests", f"WITH x AS ({ARCHIVE}) SELECT session_id || '/' || folder || '/' || rel AS rel, CAST(strlen(now) AS BIGINT) AS bytes, md5(now) AS hash, CAST(greatest(1, ceil(strlen(now) / 1000)) AS BIGINT) AS ranges FROM x WHERE NOT lost")
+def _(t):
+    """Each file's digest, and how many values of at most 1,000 bytes it is read as."""
+    root = archive(t)
+    found = files.inventory(t.spark, root).filter("rel NOT LIKE '%.mhl'")
+    parts = ranges.registered(t.spark).read.format("byte_ranges").option("range", 1000).load(root).groupBy("path").agg(F.count("*").alias("ranges"))
+    return found.select("path", "rel").join(ranges.digests(found, "md5"), "path").join(parts, "path").select("rel", "bytes", "hash", "ranges")
+
+
+@query("q3_drive_files", f"""WITH x AS (SELECT *, day < 6 AND NOT unlisted AS listed, session_id = '1' AND day = 5 AS torn FROM ({ARCHIVE})),
+  f AS (SELECT session_id, folder, max(day) AS day, bool_or(torn) AS torn, count(*) FILTER (WHERE listed AND (lost OR now <> text)) AS bad, count(*) FILTER (WHERE listed AND NOT lost AND now = text) AS matched, count(*) FILTER (WHERE NOT lost AND NOT listed) AS unlisted, count(*) FILTER (WHERE NOT lost) AS files FROM x GROUP BY 1, 2)
+  SELECT session_id, folder, CASE WHEN day = 6 THEN 'NO MANIFEST' WHEN torn THEN 'UNREADABLE' WHEN bad > 0 THEN 'DAMAGED' ELSE 'INTACT' END AS state, day < 6 AND NOT torn AND bad = 0 AND unlisted = 0 AS clean, CASE WHEN torn THEN 0 ELSE matched END AS matched, CASE WHEN torn THEN 0 ELSE bad END AS bad, CASE WHEN torn THEN files ELSE unlisted END AS residual FROM f""")
 def _(t):
-    found = files.inventory(t.spark, t.sf_dir, "*.parquet").select("rel", "size")
-    return found.unionByName(files.destination(t.spark, f"{t.sf_dir}/not-there").select("rel", "size"))
+    return drives.recheck_drives(t.spark, archive(t))[0]
 
 
 WRITTEN = "SELECT session_id * 10 + p % 2 AS manifest_id, rel, size, mtime, substr(md5(rel), 1, 16) AS hash FROM files"

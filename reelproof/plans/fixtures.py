@@ -22,22 +22,23 @@ TABLES = {
          CASE WHEN session_id % 2 = 0 THEN 'Europe/Athens' ELSE 'UTC' END AS tz, session_id % 17 <> 3 AS manifests_written,
          CASE WHEN session_id % 19 = 5 THEN 'cancelled' END AS aborted
        FROM (SELECT DISTINCT session_id, session_id % 5 <> 0 AS had_card2 FROM files UNION ALL SELECT CAST(37 AS BIGINT), TRUE)""",
-    "c1": "SELECT session_id, p, rel, size, mtime FROM files WHERE p % 50 <> 0",
-    "c2": """SELECT session_id, p, rel, size + CASE WHEN p % 97 = 0 THEN 1 ELSE 0 END AS size, mtime
-       FROM files WHERE p % 41 <> 0 AND session_id % 5 <> 0""",
+    "c1": "SELECT session_id, p, rel, size, mtime FROM files WHERE p % 50 <> 0 OR session_id % 4 = 2",
+    "c2": """SELECT session_id, p, rel, size + CASE WHEN p % 97 = 0 AND session_id % 4 = 3 THEN 1 ELSE 0 END AS size, mtime
+       FROM files WHERE (p % 41 <> 0 OR session_id % 4 = 2) AND session_id % 5 <> 0""",
     "items": """SELECT f.session_id, f.p, f.rel, f.mtime, coalesce(c1.size, c2.size) AS size, c1.size AS s1, c2.size AS s2,
          CASE WHEN c1.size IS NOT NULL AND c2.size IS NOT NULL THEN 'Twinned' WHEN c1.size IS NOT NULL THEN 'OnlyOnC1' ELSE 'OnlyOnC2' END AS pairing
        FROM files f LEFT JOIN c1 ON c1.session_id = f.session_id AND c1.rel = f.rel LEFT JOIN c2 ON c2.session_id = f.session_id AND c2.rel = f.rel
        WHERE (c1.size IS NOT NULL OR c2.size IS NOT NULL) AND (c1.size IS NULL OR c2.size IS NULL OR c1.size = c2.size)""",
+    "injected": """SELECT *, session_id % 3 = 0 AS ill, session_id % 12 = 7 AND p % 173 = 0 AS unread FROM items""",
     "tuples": """SELECT session_id, rel, p,
-         CASE WHEN p % 7 = 0 THEN NULL WHEN p % 307 = 0 THEN md5(rel || 'sc') WHEN p % 293 = 0 THEN md5(rel || 'sr') WHEN p % 241 = 0 THEN md5(rel || 'u1') ELSE md5(rel) END AS sc,
-         CASE WHEN s1 IS NULL THEN NULL WHEN p % 227 = 0 THEN md5(rel || 'c1') ELSE md5(rel) END AS c1,
-         CASE WHEN s2 IS NULL THEN NULL WHEN p % 211 = 0 THEN md5(rel || 'c2') ELSE md5(rel) END AS c2,
-         CASE WHEN p % 173 = 0 THEN NULL WHEN p % 199 = 0 THEN md5(rel || 'x') WHEN p % 293 = 0 THEN md5(rel || 'sr') WHEN p % 241 = 0 THEN md5(rel || 'u2') ELSE md5(rel) END AS a,
-         CASE WHEN p % 398 = 0 THEN md5(rel || 'x') WHEN p % 293 = 0 THEN md5(rel || 'sr') ELSE md5(rel) END AS b,
-         CASE WHEN session_id % 9 <> 4 THEN NULL WHEN p % 179 = 0 THEN md5(rel || 'x') WHEN p % 293 = 0 THEN md5(rel || 'sr') ELSE md5(rel) END AS c
-       FROM items""",
-    "measurements": """SELECT session_id, rel, slot, CAST(1 AS INT) AS pass, hash FROM (
+         CASE WHEN p % 7 = 0 THEN NULL WHEN ill AND p % 307 = 0 THEN md5(rel || 'sc') WHEN ill AND p % 293 = 0 THEN md5(rel || 'sr') WHEN ill AND p % 241 = 0 THEN md5(rel || 'u1') ELSE md5(rel) END AS sc,
+         CASE WHEN s1 IS NULL THEN NULL WHEN ill AND p % 227 = 0 THEN md5(rel || 'c1') ELSE md5(rel) END AS c1,
+         CASE WHEN s2 IS NULL THEN NULL WHEN ill AND p % 211 = 0 THEN md5(rel || 'c2') ELSE md5(rel) END AS c2,
+         CASE WHEN unread OR ill AND p % 173 = 0 THEN NULL WHEN ill AND p % 199 = 0 THEN md5(rel || 'x') WHEN ill AND p % 293 = 0 THEN md5(rel || 'sr') WHEN ill AND p % 241 = 0 THEN md5(rel || 'u2') ELSE md5(rel) END AS a,
+         CASE WHEN unread THEN NULL WHEN ill AND p % 398 = 0 THEN md5(rel || 'x') WHEN ill AND p % 293 = 0 THEN md5(rel || 'sr') ELSE md5(rel) END AS b,
+         CASE WHEN unread OR session_id % 9 <> 4 AND session_id % 9 <> 0 THEN NULL WHEN ill AND p % 179 = 0 THEN md5(rel || 'x') WHEN ill AND p % 293 = 0 THEN md5(rel || 'sr') ELSE md5(rel) END AS c
+       FROM injected""",
+    "measurements": """SELECT session_id, rel, slot, CAST(1 AS INT) AS pass, hash, CASE WHEN session_id % 7 = 1 AND slot = 'A' THEN 'cache' ELSE 'device' END AS read_mode FROM (
          SELECT session_id, rel, 'SC' AS slot, sc AS hash FROM tuples UNION ALL SELECT session_id, rel, 'C1', c1 FROM tuples
          UNION ALL SELECT session_id, rel, 'C2', c2 FROM tuples UNION ALL SELECT session_id, rel, 'A', a FROM tuples
          UNION ALL SELECT session_id, rel, 'B', b FROM tuples UNION ALL SELECT session_id, rel, 'C', c FROM tuples) WHERE hash IS NOT NULL""",
@@ -52,14 +53,14 @@ TABLES = {
          CASE WHEN t.slot IN ('C1', 'C2') THEN CASE WHEN s.session_id % 10 = 4 THEN 'E:/' WHEN t.slot = 'C2' AND s.session_id % 14 = 2 THEN 'F:/c1' ELSE 'F:/' || t.slot END ELSE 'G:/' || t.slot END AS root,
          CASE WHEN s.session_id % 7 = 2 THEN 1000000000 ELSE 4000000000000 END AS free_bytes,
          CASE WHEN s.session_id % 5 = 1 THEN 30.0 WHEN s.session_id % 5 = 2 THEN NULL ELSE 120.0 END AS write_mbps
-       FROM sessions s CROSS JOIN slots t WHERE (s.had_card2 OR t.slot <> 'C2') AND (t.slot <> 'C' OR s.session_id % 9 = 4)""",
+       FROM sessions s CROSS JOIN slots t WHERE (s.had_card2 OR t.slot <> 'C2') AND (t.slot <> 'C' OR s.session_id % 9 IN (0, 4)) AND (t.slot <> 'B' OR s.session_id % 13 <> 6)""",
     "dest_files": """SELECT i.session_id, t.slot AS device, i.rel, CASE WHEN i.p % 83 = 0 THEN i.size + 5 ELSE i.size END AS size,
          CASE WHEN i.p % 59 = 0 THEN i.mtime + INTERVAL 3 SECOND WHEN i.p % 53 = 0 THEN i.mtime + INTERVAL 2 SECOND ELSE i.mtime END AS mtime,
          CAST(CASE WHEN i.p % 67 = 0 THEN 4194304 ELSE 32 END AS INT) AS attrs
        FROM items i CROSS JOIN (SELECT 'A' AS slot UNION ALL SELECT 'B') t WHERE (t.slot <> 'A' OR i.p % 173 <> 0) AND i.p % 3 = 0""",
     "copy_attempts": """SELECT i.session_id, t.slot AS device, i.rel, t.pass, CASE WHEN i.p % 226 = 0 THEN 'write error' ELSE 'read error' END AS error
        FROM items i CROSS JOIN (SELECT 'A' AS slot, 1 AS pass UNION ALL SELECT 'B', 1 UNION ALL SELECT 'A', 2 UNION ALL SELECT 'B', 2) t
-       WHERE i.p % 113 = 0 AND (t.pass = 1 OR i.p % 226 = 0)""",
+       WHERE i.p % 113 = 0 AND i.session_id % 5 IN (0, 3) AND (t.pass = 1 OR i.p % 226 = 0)""",
     "scan_errors": "SELECT session_id, 'C1' AS device, 'cannot read a folder' AS msg FROM sessions WHERE session_id % 13 = 4",
     "manifest_entries": """SELECT session_id, session_id * 10 + p % 2 AS manifest_id, 'day-' || CAST(session_id % 5 AS STRING) AS folder,
          CASE WHEN p % 157 = 0 THEN '../' || rel WHEN p % 5 = 0 THEN './' || rel ELSE rel END AS rel,
@@ -87,7 +88,7 @@ TABLES = {
 
 #: What Spark reads instead, the same rows in one pass.
 SPARK = {
-    "measurements": """SELECT session_id, rel, slot, CAST(1 AS INT) AS pass, hash FROM (
+    "measurements": """SELECT session_id, rel, slot, CAST(1 AS INT) AS pass, hash, CASE WHEN session_id % 7 = 1 AND slot = 'A' THEN 'cache' ELSE 'device' END AS read_mode FROM (
          SELECT session_id, rel, stack(6, 'SC', sc, 'C1', c1, 'C2', c2, 'A', a, 'B', b, 'C', c) AS (slot, hash) FROM tuples) WHERE hash IS NOT NULL""",
 }
 

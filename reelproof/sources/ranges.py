@@ -220,23 +220,31 @@ def runs_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def diff_runs(pairs: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
-    """H4: (keys, start, length) of the runs of differing bytes in ranges of two files (keys, a, b, offset, length).
+    """H4: (keys, start, length) of the runs of differing bytes in ranges of two files (keys, a, b, offset, length, budget).
 
-    Both files' range is read by one task, a read at a time; runs end where reads do.
+    Both files' range is read by one task, a read at a time; runs end where reads do. Where more than `budget` bytes
+    differ, reading stops, and the range has one row that says how many there were until then, with a null start.
     """
-    schema = pairs.select(*keys).withColumns({"start": F.lit(0).cast("long"), "length": F.lit(0).cast("long")}).schema
+    schema = pairs.select(*keys).withColumns({"start": F.lit(None).cast("long"), "length": F.lit(None).cast("long")}).schema
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, (one, other, offset, length) in enumerate(zip(*(b.column(c).to_pylist() for c in ("a", "b", "offset", "length")), strict=True)):
+            for k, (one, other, offset, length, budget) in enumerate(zip(*(b.column(c).to_pylist() for c in ("a", "b", "offset", "length", "budget")), strict=True)):
+                starts, sizes, differing = [], [], 0
                 for x, y in zip(pieces(one, offset, length), pieces(other, offset, length), strict=True):
                     start, size = runs_of(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8))
-                    if len(start):
-                        own = [pa.array([b.column(c)[k].as_py()] * len(start), b.schema.field(c).type) for c in keys]
-                        yield pa.RecordBatch.from_arrays([*own, pa.array(start + offset, pa.int64()), pa.array(size, pa.int64())], [*keys, "start", "length"])
+                    differing += int(size.sum())
+                    if differing > budget:
+                        starts, sizes = [[None]], [[differing]]
+                        break
+                    starts.append(start + offset)
+                    sizes.append(size)
                     offset += len(x)
+                starts, sizes = [int(v) if v is not None else None for p in starts for v in p], [int(v) for p in sizes for v in p]
+                own = [pa.array([b.column(c)[k].as_py()] * len(starts), b.schema.field(c).type) for c in keys]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], [*keys, "start", "length"])
 
-    return dealt(pairs.select(*keys, "a", "b", "offset", "length"), tasks).mapInArrow(each, schema)
+    return dealt(pairs.select(*keys, "a", "b", "offset", "length", "budget"), tasks).mapInArrow(each, schema)
 
 
 def written(rows: DataFrame, root: str) -> DataFrame:

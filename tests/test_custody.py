@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from reelproof.functions import formats, paths
-from reelproof.operators import devices, diagnose, digest, history, manifests, recheck, reconcile, verdict
+from reelproof.operators import devices, diagnose, digest, history, manifests, recheck, reconcile, telemetry, verdict
 from reelproof.sources import files
 
 
@@ -44,8 +44,8 @@ def test_all_4096_tuples(spark):
             assert got[i].suspect == ("C2" if one > two else "C1" if two > one else None)
 
 
-BASE = {"session_id": 1, "had_card2": True, "aborted": None, "manifests_written": True, "card_mode": "Backup", "conflicts": 0, "untwinned": 0, "files": 2, "twin_matched": True, "dests": "Distinct", "cards": "Distinct", "dest_on_card": False, "failures": 0, "scan_errors": 0, "most_retries": 0, "dest_count": 2, "sure_dests": 2, "network_dests": 0}
-SCHEMA = "session_id long, had_card2 boolean, aborted string, manifests_written boolean, card_mode string, conflicts long, untwinned long, files long, twin_matched boolean, dests string, cards string, dest_on_card boolean, failures long, scan_errors long, most_retries long, dest_count long, sure_dests long, network_dests long"
+BASE = {"session_id": 1, "had_card2": True, "aborted": None, "manifests_written": True, "card_mode": "Backup", "conflicts": 0, "untwinned": 0, "files": 2, "twin_matched": True, "dests": "Distinct", "cards": "Distinct", "dest_on_card": False, "failures": 0, "scan_errors": 0, "most_retries": 0, "dest_count": 2, "sure_dests": 2, "cached_dests": 0, "network_dests": 0}
+SCHEMA = "session_id long, had_card2 boolean, aborted string, manifests_written boolean, card_mode string, conflicts long, untwinned long, files long, twin_matched boolean, dests string, cards string, dest_on_card boolean, failures long, scan_errors long, most_retries long, dest_count long, sure_dests long, cached_dests long, network_dests long"
 
 
 @pytest.mark.parametrize(
@@ -54,7 +54,7 @@ SCHEMA = "session_id long, had_card2 boolean, aborted string, manifests_written
         ({}, "SAFE_TO_FORMAT"), ({"dests": "SameDevice"}, "VERIFIED_DO_NOT_FORMAT"), ({"failures": 1}, "FAILED"), ({"conflicts": 1, "twin_matched": False}, "FAILED"), ({"aborted": "x"}, "FAILED"),
         ({"had_card2": False, "twin_matched": False, "card_mode": None, "cards": None}, "VERIFIED_ONE_SOURCE"), ({"dest_count": 1, "sure_dests": 1, "dests": "Unproven"}, "VERIFIED_ONE_COPY"), ({"files": 0}, "VERIFIED_DO_NOT_FORMAT"),
         ({"most_retries": 5}, "SAFE_TO_FORMAT"), ({"most_retries": 6}, "VERIFIED_DO_NOT_FORMAT"), ({"manifests_written": False}, "FAILED"), ({"network_dests": 1, "sure_dests": 1}, "VERIFIED_DO_NOT_FORMAT"), ({"network_dests": 1, "sure_dests": 2, "dest_count": 3}, "SAFE_TO_FORMAT"),
-        ({"cards": "SameDevice"}, "VERIFIED_DO_NOT_FORMAT"), ({"scan_errors": 1}, "VERIFIED_DO_NOT_FORMAT"), ({"dest_on_card": True}, "VERIFIED_DO_NOT_FORMAT"), ({"dests": "Unproven"}, "VERIFIED_DO_NOT_FORMAT"), ({"untwinned": 1, "twin_matched": False, "card_mode": "Mixed"}, "VERIFIED_ONE_SOURCE"),
+        ({"cached_dests": 1, "sure_dests": 1}, "VERIFIED_DO_NOT_FORMAT"), ({"cached_dests": 1, "sure_dests": 2, "dest_count": 3}, "SAFE_TO_FORMAT"), ({"cards": "SameDevice"}, "VERIFIED_DO_NOT_FORMAT"), ({"scan_errors": 1}, "VERIFIED_DO_NOT_FORMAT"), ({"dest_on_card": True}, "VERIFIED_DO_NOT_FORMAT"), ({"dests": "Unproven"}, "VERIFIED_DO_NOT_FORMAT"), ({"untwinned": 1, "twin_matched": False, "card_mode": "Mixed"}, "VERIFIED_ONE_SOURCE"),
     ],
 )
 def test_verdicts(spark, change, want):
@@ -63,6 +63,32 @@ def test_verdicts(spark, change, want):
     assert verdict.ladder(df).first().verdict == want
 
 
+def test_evidence(spark):
+    rows = [(1, "A", "device"), (1, "A", "cache"), (1, "B", "device"), (2, "A", None)]
+    got = {(r.session_id, r.slot): (r.from_device, r.cached) for r in diagnose.evidence(spark.createDataFrame(rows, "session_id long, slot string, read_mode string")).collect()}
+    assert got == {(1, "A"): (False, 1), (1, "B"): (True, 0), (2, "A"): (False, 1)}
+
+
+def test_trail_with_ties(spark):
+    rows = [("session", 1, 7), ("format", 1, 7), ("format", 3, 7), ("session", 3, 7), ("format", 5, 7), ("session", 9, 7), ("session", 2, 8)]
+    got = {(r.seq, r.serial): (r.formatted_after, r.formats_after) for r in history.trail(spark.createDataFrame(rows, "kind string, seq long, serial long")).collect()}
+    assert got == {(1, 7): (3, 2), (3, 7): (5, 1), (9, 7): (None, 0), (2, 8): (None, 0)}
+
+
+def test_places_over_ranges(spark):
+    got = sorted((r.k, r.place) for r in telemetry.placed(spark.range(0, 500, 3).withColumnRenamed("id", "k"), "k").collect())
+    assert got == [(k, i + 1) for i, k in enumerate(range(0, 500, 3))]
+
+
+def test_renderings(spark):
+    n = spark.createDataFrame([(999, 0.0), (1500, 12.4), (2_340_000, -1.0), (5_120_000_000_000, 1234.6)], "n long, r double")
+    got = [(r[0], r[1], r[2]) for r in n.select(formats.fixed_bytes(F.col("n")), formats.human_bytes(F.col("n")), formats.mbps(F.col("r"))).collect()]
+    assert got == [("    999 B ", "999 B", "          —"), ("   1.50 kB", "1.5 KB", "    12 MB/s"), ("   2.34 MB", "2.3 MB", "          —"), ("   5.12 TB", "5120.0 GB", "  1235 MB/s")]
+    line = lambda *x: spark.range(1).select(formats.detail_line(*map(F.lit, x))).first()[0]
+    assert line(12_345, 66_000_000_000, True, True, 0) == "12,345 files · 66.0 GB · twin-matched · 2 distinct volumes"
+    assert line(2, 1_040_000_000, False, False, 3) == "2 files · 1.0 GB · 3 FAILED"
+
+
 def test_only_one_verdict_authorises():
     assert [v[0] for v in verdict.VERDICTS if v[3]] == ["SAFE_TO_FORMAT"] and [v[2] for v in verdict.VERDICTS] == [0, 10, 11, 12, 20]
 

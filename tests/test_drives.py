@@ -5,6 +5,7 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
+from reelproof.operators import account
 from reelproof.plans import drives
 from reelproof.sources import files, ranges
 
@@ -70,9 +71,55 @@ def test_differences_between_files(spark, tmp_path, monkeypatch):
         for k in range(at, at + n):
             b[k] ^= 255
     one, other = put(tmp_path, "a", bytes(a)), put(tmp_path, "b", bytes(b))
-    cuts = ranges.cut(spark.createDataFrame([("k", str(one), str(other), 30_000)], "key string, a string, b string, size long"), 10_000)
+    cuts = ranges.cut(spark.createDataFrame([("k", str(one), str(other), 30_000)], "key string, a string, b string, size long"), 10_000).withColumn("budget", F.lit(10))
     got = sorted((r.key, r.start, r.length) for r in ranges.diff_runs(cuts, ["key"]).collect())
     assert got == [("k", 0, 3), ("k", 999, 2), ("k", 5000, 1), ("k", 8190, 4), ("k", 29_998, 2)]
+    less = ranges.diff_runs(cuts.withColumn("budget", F.lit(3)), ["key"]).collect()
+    assert sorted((r.start, r.length) for r in less if r.start is not None) == [(29_998, 2)] and [r.length for r in less if r.start is None] == [10]
+
+
+def twins(spark, tmp_path, cases):
+    """Files of twins and their tables: 16 bytes of structure, then chunks of 20 bytes: 6 of metadata, 2 free, 10 of essence, 2 free."""
+    pairs, structures, kinds, chunks, spans, sizes = [], [], [], [], [], []
+    for name, (a, b, c) in cases.items():
+        put(tmp_path, f"a/{name}", a), put(tmp_path, f"b/{name}", b)
+        pairs.append((name, str(tmp_path / "a" / name), str(tmp_path / "b" / name), len(a), len(b), name.split(".")[-1]))
+        if c.get("structure", True):
+            structures += [(name, side, 0, 16, xxhash.xxh64_hexdigest(c.get("stale") or x[:16])) for side, x in (("a", a), ("b", b))]
+        n = c.get("chunks", (len(a) - 16) // 20)
+        kinds += [(name, 1, "meta"), (name, 2, "essence")] if c.get("essence", True) else [(name, 1, "meta")]
+        chunks += [(name, t, k + 1, 16 + 20 * k + (8 - c.get("shift", 0)) * (t - 1)) for t in ((1, 2) if c.get("essence", True) else (1,)) for k in range(n)]
+        spans += [(name, 1, 1, 2), (name, 2, 1, 1)]
+        sizes += [(name, t, k + 1, 3 if t == 1 else 10) for t in (1, 2) for k in range(n * (2 if t == 1 else 1))]
+    make = spark.createDataFrame
+    return (
+        make(pairs, "rel string, a string, b string, size_a long, size_b long, ext string"), make(structures, "rel string, side string, start long, stop long, hash string"), make(kinds, "rel string, track int, kind string"),
+        make(chunks, "rel string, track int, chunk_no int, offset long"), make(spans, "rel string, track int, first_chunk int, samples_per_chunk int"), make(sizes, "rel string, track int, sample_no int, size long"),
+    )
+
+
+def test_twins_accounted_for(spark, tmp_path, monkeypatch):
+    base = bytes(random.Random(6).randbytes(16 + 20 * 40))
+
+    def changed(*at, of=base):
+        out = bytearray(of)
+        for k in at:
+            out[k] ^= 1
+        return bytes(out)
+
+    meta, essence, free = [16 + 20 * k for k in range(40)], [16 + 20 * k + 9 for k in range(40)], 16 + 7
+    cases = {
+        "meta.mp4": (base, changed(*meta[:5], free), {}), "same.mp4": (base, base, {}), "essence.mp4": (base, changed(meta[3], *essence[:2]), {}), "much.mp4": (base, changed(*meta[:17]), {}),
+        "just.mp4": (base, changed(*meta[:16]), {}), "long.mp4": (base, base + b"x", {}), "photo.arw": (base, changed(meta[0]), {}), "moov.mp4": (base, changed(3), {}), "bare.mp4": (base, changed(meta[0]), {"structure": False}),
+        "stale.mp4": (base, changed(meta[0]), {"stale": b"other"}), "few.mp4": (base[:216], changed(meta[0], of=base[:216]), {}), "mute.mp4": (base, changed(meta[0]), {"essence": False}), "cross.mp4": (base, changed(meta[0]), {"shift": 4}),
+    }
+    facts = account.facts(*twins(spark, tmp_path, cases), size=64)
+    got = {r.rel: (r.state, r.differing, r.essence_overlap) for r in account.ladder(facts).collect()}
+    assert got == {
+        "meta.mp4": ("Accounted", 6, 0), "same.mp4": ("Accounted", 0, 0), "essence.mp4": ("EssenceDiffers", 3, 2), "much.mp4": ("TooMuchDiffers", None, None), "just.mp4": ("Accounted", 16, 0), "long.mp4": ("LengthMismatch", None, None),
+        "photo.arw": ("NotPinnedContainer", None, None), "moov.mp4": ("MoovDiffers", None, None), "bare.mp4": ("Unparsable", None, None), "stale.mp4": ("MoovNotStable", 1, 0), "few.mp4": ("TooFewSamples", None, None),
+        "mute.mp4": ("Unparsable", None, None), "cross.mp4": ("Unparsable", None, None),
+    }
 
 
 def mhl(entries, head=True):
