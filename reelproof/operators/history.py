@@ -16,23 +16,53 @@ def suspects(diagnoses: DataFrame, volumes: DataFrame, excused: DataFrame | None
     return bad.select("session_id", F.col("suspect").alias("slot")).join(volumes.select("session_id", "slot", "serial"), ["session_id", "slot"]).select("session_id", "serial").distinct()
 
 
-def summarise(history: DataFrame) -> DataFrame:
-    """A row a serial. history: an entry and slot a row (kind, seq, at, serial, slot, label, retries, suspect).
+def exploded(entries: DataFrame) -> DataFrame:
+    """A row a device of each entry (kind, seq, at, devices, retries, suspect_cards), as summarise() takes them.
 
-    A session counts once for a serial, whatever slots it fills; the label is the last that is not empty, in the order
-    of entry, formats included; formats do not touch last_seen; what makes a card suspect is never taken back.
+    Suspect cards that are none of the entry's devices have a row of their own, without a slot or a label.
     """
+    own = entries.select("kind", "seq", "at", F.explode("devices").alias("d"), "retries", "suspect_cards")
+    retries = F.coalesce(F.try_element_at("retries", F.col("d.slot")), F.lit(0)).cast("long")
+    own = own.select("kind", "seq", "at", "d.serial", "d.slot", "d.label", retries.alias("retries"), F.coalesce(F.array_contains("suspect_cards", F.col("d.serial")), F.lit(False)).alias("suspect"))
+    others = F.array_except(F.coalesce("suspect_cards", F.array().cast("array<bigint>")), F.coalesce(F.transform("devices", lambda d: d["serial"]), F.array().cast("array<bigint>")))
+    more = entries.select("kind", "seq", "at", F.explode(others).alias("serial"), F.lit(None).cast("string").alias("slot"), F.lit("").alias("label"), F.lit(0).cast("long").alias("retries"), F.lit(True).alias("suspect"))
+    return own.unionByName(more)
+
+
+def partial(rows: DataFrame) -> DataFrame:
+    """Sums of a row a serial that merged() adds up. An entry's rows must all be among them."""
     session = F.col("kind") == "session"
-    rows = history.groupBy("serial").agg(
+    named = F.col("label") != ""
+    return rows.groupBy("serial").agg(
         F.countDistinct(F.when(session, F.col("seq"))).alias("sessions"), F.sum(F.when(session, F.col("retries")).otherwise(0)).alias("retries"),
         F.countDistinct(F.when(session & F.col("suspect"), F.col("seq"))).alias("twin_mismatches"), F.countDistinct(F.when(~session, F.col("seq"))).alias("formats"),
-        F.max(F.when(session, F.col("at"))).alias("last_seen"), F.max_by(F.when(F.col("label") != "", F.col("label")), F.when(F.col("label") != "", F.struct("seq", "slot"))).alias("label"),
+        F.max(F.when(session & F.col("slot").isNotNull(), F.col("at"))).alias("last_seen"), F.max(F.when(named, F.struct("seq", "slot", "label"))).alias("newest"),
     )
+
+
+def merged(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Two partial() sums as one; what either has is added, or the greater taken."""
+    add = [F.sum(c).alias(c) for c in ("sessions", "retries", "twin_mismatches", "formats")]
+    return one.unionByName(other).groupBy("serial").agg(*add, F.max("last_seen").alias("last_seen"), F.max("newest").alias("newest"))
+
+
+def finished(sums: DataFrame) -> DataFrame:
+    """The summary of partial() sums."""
+    rows = sums.withColumn("label", F.col("newest.label")).drop("newest")
     suspect = (F.col("twin_mismatches") > 0) | (F.col("retries") > RETRY_CEILING)
     warning = F.when(F.col("twin_mismatches") > 0, F.format_string("%d twin mismatch(es)", "twin_mismatches")).when(F.col("retries") > RETRY_CEILING, F.format_string("%d retries", "retries"))
     return rows.withColumns({"suspect": suspect, "warning": warning})
 
 
+def summarise(history: DataFrame) -> DataFrame:
+    """A row a serial. history: an entry and slot a row (kind, seq, at, serial, slot, label, retries, suspect).
+
+    A session counts once for a serial, whatever slots it fills; the label is the last that is not empty, in the order
+    of entry, formats included; formats do not touch last_seen; what makes a card suspect is never taken back.
+    """
+    return finished(partial(history))
+
+
 def warnings(volumes: DataFrame, summary: DataFrame) -> DataFrame:
     """today's devices with a bad history."""
     bad = summary.filter("suspect").select("serial", "warning")

@@ -11,7 +11,7 @@ from ..functions import formats, paths
 from ..operators import account, attempts, devices, diagnose, digest, history, inventory, manifests, plan, recheck, reconcile, retention, telemetry, verdict
 from ..sources import files, ranges
 from ..sources.shared import scratch
-from ..streaming import live
+from ..streaming import live, monitor
 from . import drives
 from .fixtures import Tables, sql
 
@@ -1002,7 +1002,7 @@ def stream(t: Tables) -> DataFrame:
     c = F.col
     kind = F.when(c("event_type") == "view", "bytes").when(c("event_type") == "click", "throughput").when(c("event_type") == "purchase", "queue").when(c("event_type") == "signup", "phase").otherwise("log")
     dev = F.get(F.array(*[F.lit(d) for d in ("C1", "C2", "A", "B", "C")]), (c("event_id") % 5).cast("int"))
-    return raw.select((c("user_id") % 20).alias("session_id"), "event_id", c("ts").cast("timestamp").alias("at"), kind.alias("event"), dev.alias("dev"), F.floor(c("value") * 1000).cast("long").alias("delta"), c("value").alias("mbps"), (c("event_id") % 5).cast("int").alias("depth"), F.lit(4).alias("cap"))
+    return raw.select((c("user_id") % 20).alias("session_id"), "event_id", c("ts").cast("timestamp").alias("at"), kind.alias("event"), dev.alias("dev"), F.floor(c("value") * 1000).cast("long").alias("delta"), c("value").alias("mbps"), (c("event_id") % 5).cast("int").alias("depth"), F.lit(4).alias("cap"), F.when(kind == "phase", F.get(F.array(*[F.lit(x) for x in ("COPY", "FLUSH", "VERIFY")]), (c("event_id") % 3).cast("int"))).alias("phase"))
 
 
 @query("t1_durable_events", "SELECT session_id, event_id, event FROM telemetry WHERE event NOT IN ('bytes', 'queue', 'throughput')")
@@ -1026,11 +1026,26 @@ def _(t):
     return rows.withColumn("k", F.row_number().over(newest)).filter("k = 1").drop("k", "batch")
 
 
-@query("t3_device_state", """SELECT session_id, dev, CAST(sum(CASE WHEN event = 'bytes' THEN delta ELSE 0 END) AS BIGINT) AS done, count(*) AS events, coalesce(arg_max(depth, struct_pack(ms := (epoch_us(at) // 1000), e := event_id)) FILTER (WHERE event = 'queue') >= 4, FALSE) AS "full" FROM telemetry GROUP BY 1, 2""")
+#: Windows of 100 ms that the stream is done with: all but those of its last ten minutes.
+TICKS = """WITH tick AS (SELECT session_id, dev, list_position(['C1', 'C2', 'A', 'B', 'C'], dev) AS k, time_bucket(INTERVAL '100 milliseconds', at) AS b, sum(CASE WHEN event = 'bytes' THEN delta ELSE 0 END) AS bytes, count(*) AS events, count(*) FILTER (WHERE event = 'bytes') AS moves,
+    arg_max(depth >= cap AND cap > 0, struct_pack(a := at, e := event_id)) FILTER (WHERE event = 'queue') AS is_full, max(epoch_ms(at)) FILTER (WHERE event = 'throughput') AS sampled, arg_max(phase, struct_pack(a := at, e := event_id)) FILTER (WHERE event = 'phase') AS said
+    FROM telemetry GROUP BY 1, 2, 3, 4 HAVING epoch_ms(b) + 100 <= (SELECT max(epoch_ms(at)) - 600000 FROM telemetry)),
+  t0 AS (SELECT *, last_value(said IGNORE NULLS) OVER o AS phase FROM tick WINDOW o AS (PARTITION BY session_id ORDER BY b, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  t1 AS (SELECT *, CASE WHEN phase IS NOT NULL AND phase IS DISTINCT FROM lag(phase) OVER (PARTITION BY session_id ORDER BY b, k) THEN 1 ELSE 0 END AS fresh FROM t0),
+  t2 AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY b, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS no FROM t1),
+  top AS (SELECT session_id, max(no) AS last, arg_max(phase, no) FILTER (WHERE phase IS NOT NULL) AS phase FROM t2 GROUP BY 1),
+  devs AS (SELECT t2.session_id, dev, k, any_value(top.phase) AS phase, any_value(last) AS phase_no, CAST(coalesce(sum(bytes) FILTER (WHERE no = last), 0) AS BIGINT) AS done, CAST(sum(events) AS BIGINT) AS device_events, coalesce(arg_max(is_full, b) FILTER (WHERE is_full IS NOT NULL), FALSE) AS is_full, max(sampled) AS sampled
+    FROM t2 JOIN top ON top.session_id = t2.session_id GROUP BY 1, 2, 3)"""
+PLANNED = "SELECT DISTINCT session_id, 100000 * (1 + session_id) AS planned FROM telemetry WHERE session_id % 7 <> 6"
+
+
+def monitored(t: Tables) -> DataFrame:
+    return monitor.newest(live.drained(monitor.watched(stream(t), t.sql(PLANNED)), scratch(t.spark)))
+
+
+@query("t3_device_state", TICKS + " SELECT session_id, dev, phase, CAST(phase_no AS BIGINT) AS phase_no, done, device_events, is_full AS \"full\" FROM devs")
 def _(t):
-    rows = live.drained(live.device_state(stream(t)), scratch(t.spark), "update")
-    newest = Window.partitionBy("session_id", "dev").orderBy(F.desc("batch"))
-    return rows.withColumn("k", F.row_number().over(newest)).filter("k = 1").drop("k", "batch")
+    return monitored(t).select("session_id", "dev", "phase", "phase_no", "done", "device_events", "full")
 
 
 @query("t5_idle_gaps", """WITH th AS (SELECT session_id, dev, at, CASE WHEN epoch_us(at) - lag(epoch_us(at)) OVER (PARTITION BY session_id, dev ORDER BY at) <= 750000 THEN 0 ELSE 1 END AS fresh FROM telemetry WHERE event = 'throughput'),
@@ -1042,33 +1057,37 @@ def _(t):
     return rows.withColumn("k", F.row_number().over(newest)).filter("k = 1 AND samples > 0").drop("k", "batch")
 
 
-#: Five events in a row stand for the measurements of one file, their kinds for hashes.
-MEASURED = """WITH g AS (SELECT event_id // 5 % 20 AS session_id, CAST(event_id // 5 AS VARCHAR) AS rel, max(at) AS at, max(CASE WHEN dev = 'C1' THEN event END) AS c1, max(CASE WHEN dev = 'C2' THEN event END) AS c2, max(CASE WHEN dev = 'A' THEN event END) AS a,
-  max(CASE WHEN dev = 'B' THEN event END) AS b, max(CASE WHEN dev = 'C' THEN event END) AS c FROM telemetry GROUP BY 1, 2 HAVING count(DISTINCT dev) = 5)"""
+#: Five events in a row stand for the measurements of one file, their kinds for hashes; sessions have two, three or five devices.
+FILES_OF = """SELECT CAST(floor(event_id / 5) AS BIGINT) % 20 AS session_id, CAST(CAST(floor(event_id / 5) AS BIGINT) AS STRING) AS rel, dev AS slot, event AS hash, at, event_id FROM telemetry"""
+WANTED = f"SELECT session_id, rel, slot FROM ({FILES_OF}) WHERE slot IN ('C1', 'A') OR slot = 'B' AND session_id % 3 > 0 OR session_id % 3 = 2"
+MEASURED = f"""WITH m AS (SELECT * FROM ({FILES_OF}) WHERE event_id % 53 <> 7), w AS (SELECT session_id, rel, count(DISTINCT slot) AS wanted FROM ({WANTED}) GROUP BY 1, 2),
+  g AS (SELECT m.session_id, m.rel, any_value(wanted) AS wanted, max(at) AS at, max(CASE WHEN slot = 'C1' THEN hash END) AS c1, max(CASE WHEN slot = 'C2' THEN hash END) AS c2, max(CASE WHEN slot = 'A' THEN hash END) AS a, max(CASE WHEN slot = 'B' THEN hash END) AS b, max(CASE WHEN slot = 'C' THEN hash END) AS c,
+    count(DISTINCT slot) = any_value(wanted) AS complete FROM m JOIN w USING (session_id, rel) SEMI JOIN ({WANTED}) e ON e.session_id = m.session_id AND e.rel = m.rel AND e.slot = m.slot GROUP BY 1, 2)"""
 
 
 def measured_stream(t: Tables) -> DataFrame:
     group = F.floor(F.col("event_id") / 5)
-    return stream(t).select((group % 20).cast("long").alias("session_id"), group.cast("string").alias("rel"), F.col("dev").alias("slot"), F.col("event").alias("hash"), "at")
+    return stream(t).filter("event_id % 53 <> 7").select((group % 20).cast("long").alias("session_id"), group.cast("string").alias("rel"), F.col("dev").alias("slot"), F.col("event").alias("hash"), "at")
 
 
-@query("t6_completion", MEASURED + " SELECT session_id, rel, at, c1, c2, a, b, c FROM g")
+@query("t6_completion", MEASURED + " SELECT session_id, rel, CAST(wanted AS INT) AS wanted, at, complete, c1, c2, a, b, c FROM g WHERE complete OR epoch_ms(at) + 3600000 < (SELECT max(epoch_ms(at)) - 600000 FROM m)")
 def _(t):
-    return live.drained(live.completed(measured_stream(t), 5), scratch(t.spark)).select("session_id", "rel", "at", "c1", "c2", "a", "b", "c")
+    return live.drained(live.completed(measured_stream(t), t.sql(WANTED)), scratch(t.spark)).select("session_id", "rel", "wanted", "at", "complete", "c1", "c2", "a", "b", "c")
 
 
-@query("t7_abort_signal", MEASURED + " SELECT session_id, rel, at FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY at, rel) AS k FROM g WHERE c1 = c2 AND a = b AND b = c AND a <> c1) WHERE k = 1")
+@query("t7_abort_signal", MEASURED + """ SELECT session_id, rel, at FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY at, rel) AS k FROM g WHERE complete AND (c2 IS NULL OR c1 = c2) AND a <> c1 AND len(list_filter([a, b, c], lambda x: x IS NOT NULL)) >= 2 AND len(list_distinct(list_filter([a, b, c], lambda x: x IS NOT NULL))) = 1) WHERE k = 1""")
 def _(t):
     path = scratch(t.spark)
-    done = live.drained(live.completed(measured_stream(t), 5), path)
-    fed = t.spark.readStream.schema(done.drop("batch").schema).parquet(f"{path}/out/batch=*")
+    done = live.drained(live.completed(measured_stream(t), t.sql(WANTED)), path)
+    fed = t.spark.readStream.schema(done.drop("batch").schema).parquet(f"{path}/out/batch=*").filter("complete")
     return live.drained(live.aborts(diagnose.diagnosed_rows(fed)), scratch(t.spark)).drop("batch")
 
 
-@query("t8_dropped_events", """SELECT event, CAST(sum(n) AS BIGINT) AS seen, CAST(sum(n - 1) AS BIGINT) AS dropped FROM (SELECT session_id, dev, event, time_bucket(INTERVAL '100 milliseconds', at) AS w, count(*) AS n FROM telemetry WHERE event IN ('bytes', 'queue', 'throughput') GROUP BY 1, 2, 3, 4) GROUP BY 1""")
+@query("t8_dropped_events", """SELECT event, CAST(sum(n) AS BIGINT) AS seen, CAST(sum(greatest(n - 2, 0)) AS BIGINT) AS dropped FROM (SELECT session_id, dev, event, epoch_ms(at) // 3600000 AS w, count(*) AS n FROM telemetry WHERE event IN ('bytes', 'queue', 'throughput') GROUP BY 1, 2, 3, 4) GROUP BY 1""")
 def _(t):
+    """A view that takes two events of a kind and device in an hour, so slow that it loses some of these sparse events."""
     _kept, lossy = live.split_sinks(stream(t))
-    return live.view(lossy, scratch(t.spark))
+    return live.view(lossy, scratch(t.spark), 2, 3_600_000)[1]
 
 
 # ---- whole jobs ----
@@ -1225,31 +1244,59 @@ def _(t):
     return files.volumes_of(files.json_rows(t.spark, path, files.TELEMETRY)).select("dev", "root", "label", "serial", "guid", "device_number", "free_bytes")
 
 
-@query("t9_continuous_history", DEVICE + " SELECT serial, sessions, retries, formats, suspect FROM device")
+@query("t9_continuous_history", DEVICE + " SELECT serial, sessions, retries, formats, suspect, label, last_seen FROM device")
 def _(t):
-    path = scratch(t.spark)
-    rows = t.history
-    rows.repartition(3).write.parquet(f"{path}/in")
-    fed = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    return live.rolling_history(fed, f"{path}/run").select("serial", "sessions", "retries", "formats", "suspect")
+    """History written as JSON lines in four files, which arrive one by one."""
+    path, c = scratch(t.spark), F.col
+    one = t.history.select("kind", "seq", "at", F.array(F.struct("slot", "serial", "label")).alias("devices"), F.create_map("slot", c("retries").cast("long")).alias("retries"), F.when(c("suspect"), F.array("serial")).alias("suspect_cards"))
+    one.withColumn("part", c("seq") % 4).repartition("part").write.partitionBy("part").json(f"{path}/in")
+    fed = live.json_lines(t.spark, f"{path}/in", f"{files.HISTORY}, seq bigint", 1)
+    summary, read = live.rolling_history(fed, f"{path}/run")
+    if read.agg(F.sum("entries")).first()[0] != t.history.count():
+        raise AssertionError("entries were read twice or never")
+    return summary.select("serial", "sessions", "retries", "formats", "suspect", "label", "last_seen")
 
 
-@query("t10_arriving_manifests", ENTRIES + " SELECT * FROM outcomes")
+@query("t10_arriving_manifests", """WITH e AS (SELECT session_id, folder, manifest_id, regexp_replace(rel, '^(\\./)+', '') AS rel, size, CASE WHEN hash IS NOT NULL THEN substr(hash, 1, 16) END AS hash, CASE WHEN size IS NULL OR hash IS NULL OR rel LIKE '../%' THEN 1 END AS bad FROM manifest_entries),
+  good AS (SELECT * FROM e SEMI JOIN (SELECT manifest_id FROM e GROUP BY 1 HAVING count(bad) = 0) USING (manifest_id))
+  SELECT CAST(e.session_id AS VARCHAR) AS session_id, e.folder, CAST(e.manifest_id AS VARCHAR) AS manifest_id, e.rel, e.size, CASE WHEN d.rel IS NULL THEN 'Missing' WHEN d.hash IS NULL THEN 'Unreadable' WHEN substr(d.hash, 1, 16) = e.hash THEN 'Matched' ELSE 'Changed' END AS outcome
+  FROM good e LEFT JOIN device_files d ON d.session_id = e.session_id AND d.folder = e.folder AND d.rel = e.rel""")
 def _(t):
+    """Manifests written as documents, which arrive as files, and are checked against the device of each time."""
     path = scratch(t.spark)
-    entries = recheck.readable(checked_entries(t))
-    entries.repartition(4, "manifest_id").write.parquet(f"{path}/in")
-    fed = t.spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    device = t.device_files
-    return live.drained(recheck.recheck(fed, device), path).drop("batch")
+    place = F.concat_ws("~", F.col("session_id").cast("string"), "folder", F.col("manifest_id").cast("string"))
+    lines = manifests.mhl(t.manifest_entries.select(place.alias("manifest_id"), "rel", "size", F.lit(None).cast("timestamp").alias("mtime"), F.substring("hash", 1, 16).alias("hash")))
+    files.write_manifests(manifests.documents(lines, "hashlist", "1.1"), f"{path}/in")
+    of = lambda k: F.regexp_extract("manifest", "manifest_id=([^~/]+)~([^~/]+)~([^~/]+)/", k)
+    device = t.device_files.select(F.col("session_id").cast("string"), "folder", "rel", F.substring("hash", 1, 16).alias("hash"))
+    n = max(1, t.manifest_entries.select("manifest_id").distinct().count() // 4)
+    return live.arriving_manifests(t.spark, f"{path}/in", (of(1), of(2), of(3)), lambda: device, f"{path}/run", n)[0].drop("batch")
 
 
-@query("q5_session_monitor", """SELECT session_id, CAST(sum(CASE WHEN event = 'bytes' THEN delta ELSE 0 END) AS BIGINT) AS done, count(*) AS events FROM telemetry GROUP BY 1""")
+@query("s16_telemetry_stream", "SELECT at, event, dev, delta, mbps FROM telemetry")
 def _(t):
-    rows = live.drained(live.device_state(stream(t)), scratch(t.spark), "update")
-    newest = Window.partitionBy("session_id", "dev").orderBy(F.desc("batch"))
-    now = rows.withColumn("k", F.row_number().over(newest)).filter("k = 1")
-    return now.groupBy("session_id").agg(F.sum("done").alias("done"), F.sum("events").alias("events"))
+    """Telemetry lines arriving in four files, with some that are torn."""
+    path = scratch(t.spark)
+    whole = t.telemetry.select("at", "event", "dev", "delta", "mbps").withColumn("at", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).select(F.to_json(F.struct("*")).alias("value"), (F.col("delta") % 4).alias("part"))
+    torn = whole.filter(F.col("value").contains("queue")).withColumn("value", F.expr("substr(value, 1, 30)"))
+    whole.unionByName(torn).repartition("part").write.partitionBy("part").text(f"{path}/in")
+    with live.Counts(t.spark) as counts:
+        rows = live.drained(live.json_lines(t.spark, f"{path}/in", files.TELEMETRY, 1).select("at", "event", "dev", "delta", "mbps"), f"{path}/run").drop("batch")
+    if counts.found["lines"]["bad"] != torn.count():
+        raise AssertionError("torn lines were not counted")
+    return rows
+
+
+@query("q5_session_monitor", TICKS + f""", moved AS (SELECT t2.session_id, epoch_ms(b) AS ms, sum(bytes) OVER (PARTITION BY t2.session_id ORDER BY b, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS done, row_number() OVER (PARTITION BY t2.session_id ORDER BY b DESC, k DESC) AS back FROM t2 JOIN top ON top.session_id = t2.session_id AND no = last WHERE moves > 0),
+  last_move AS (SELECT session_id, ms, done FROM moved WHERE back = 1), first_move AS (SELECT session_id, min(ms) AS began FROM moved GROUP BY 1),
+  recent AS (SELECT m.session_id, min(m.ms) AS ms0, min(m.done) AS done0 FROM moved m JOIN last_move l ON l.session_id = m.session_id AND m.ms >= l.ms - 12000 GROUP BY 1),
+  rated AS (SELECT l.session_id, l.done, l.ms - began AS elapsed, CASE WHEN l.ms - ms0 >= 2000 AND l.done > done0 THEN (l.done - done0) * 1000.0 / (l.ms - ms0) END AS rate FROM last_move l JOIN recent r ON r.session_id = l.session_id JOIN first_move f ON f.session_id = l.session_id)
+  SELECT d.session_id, any_value(d.phase) AS phase, coalesce(any_value(r.done), 0)::BIGINT AS done, round(any_value(rate), 3) AS rate, any_value(CASE WHEN r.done IS NULL OR planned IS NULL THEN NULL WHEN planned <= r.done THEN 0.0 WHEN r.done > 0 AND elapsed >= 2000 THEN round((planned - r.done) / coalesce(rate, r.done * 1000.0 / elapsed), 3) END)::DOUBLE AS eta,
+    arg_min(dev, k) FILTER (WHERE is_full) AS blocked, coalesce(string_agg(dev, ',' ORDER BY k) FILTER (WHERE sampled + 750 <= (SELECT max(epoch_ms(at)) - 600000 FROM telemetry)), '') AS idle
+  FROM devs d LEFT JOIN rated r ON r.session_id = d.session_id LEFT JOIN ({PLANNED}) p ON p.session_id = d.session_id GROUP BY 1""")
+def _(t):
+    """One query from events to a row for each session: its phase, rate and time to go, who blocks it, who is idle."""
+    return monitored(t).select("session_id", "phase", F.col("session_done").alias("done"), "rate", "eta", "blocked", "idle").distinct()
 
 
 @query("u2_hazard_union", HAZARDS + " SELECT session_id, count(*) FILTER (WHERE device = 'C1') AS on_c1, count(*) FILTER (WHERE device = 'C2') AS on_c2 FROM haz GROUP BY 1")

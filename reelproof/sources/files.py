@@ -70,12 +70,16 @@ def plain_path(path: Column) -> Column:
 
 def manifest_entries(spark: SparkSession, path: str, reader: DataFrameReader | None = None) -> DataFrame:
     """Entries of manifests of both dialects under one schema; other_hash is of an algorithm not used here."""
-    rows = (reader or spark.read).format("xml").option("rowTag", "hash").option("ignoreNamespace", "true").schema(ENTRY).load(path)
+    return entries_of((reader or spark.read).format("xml").option("rowTag", "hash").option("ignoreNamespace", "true").schema(ENTRY).load(path))
+
+
+def entries_of(rows: DataFrame, *more: Column) -> DataFrame:
+    """Entries of both dialects, read under ENTRY from files or a stream of them, and more of the files' metadata."""
     other = F.coalesce("md5", "sha1", "sha256", "xxh3._VALUE", "xxh128._VALUE", "c4._VALUE")
     return rows.select(
         F.col("_metadata.file_path").alias("manifest"), paths.normalise(F.coalesce("file", "path._VALUE")).alias("rel"), F.coalesce("size", "path._size").cast("bigint").alias("size"),
         formats.parse_rfc3339(F.coalesce("lastmodificationdate", "path._lastmodificationdate")).alias("mtime"),
-        formats.parse_hex(F.coalesce("xxhash64be", "xxhash64", "xxh64._VALUE")).alias("hash"), other.alias("other_hash"),
+        formats.parse_hex(F.coalesce("xxhash64be", "xxhash64", "xxh64._VALUE")).alias("hash"), other.alias("other_hash"), *more,
     )
 
 

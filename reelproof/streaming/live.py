@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import threading
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import formats
+from ..operators import history, recheck
+from ..sources import files
 
 LATE = "10 minutes"
 FORGET_MS = 86_400_000
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def with_rocks(spark: SparkSession) -> None:
+    """State of several variables needs the RocksDB store; a session's own choice of it stays."""
+    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
 def split_sinks(events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,62 +75,64 @@ def idle_gaps(events: DataFrame, gap_ms: int = 750) -> DataFrame:
     )
 
 
-def device_state(events: DataFrame) -> DataFrame:
-    """Each device's totals and newest queue, updated with every batch; `full` says that its queue is.
+SLOTS = ("SC", "C1", "C2", "A", "B", "C")
+COMPLETED = "session_id long, rel string, at timestamp, wanted int, complete boolean, sc string, c1 string, c2 string, a string, b string, c string"
 
-    A device that nothing is heard of for a day is forgotten.
-    """
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        done, samples, depth, cap, newest, last = state.get if state.exists else (0, 0, -1, 0, -1, 0)
-        for b in batches:
-            done += int(b.loc[b["event"] == "bytes", "delta"].sum())
-            samples += len(b)
-            last = max(last, int(b["ms"].max()))
-            queue = b[b["event"] == "queue"].sort_values(["ms", "event_id"])
-            if len(queue) and int(queue["ms"].iloc[-1]) >= newest:
-                depth, cap, newest = int(queue["depth"].iloc[-1]), int(queue["cap"].iloc[-1]), int(queue["ms"].iloc[-1])
-        state.update((done, samples, depth, cap, newest, last))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + FORGET_MS)
-        yield pd.DataFrame({"session_id": [key[0]], "dev": [key[1]], "done": [done], "events": [samples], "full": [cap > 0 and depth >= cap]})
-
-    rows = events.withWatermark("at", LATE).select("session_id", "dev", "event", "event_id", "delta", "depth", "cap", "at", F.unix_millis("at").alias("ms"))
-    return rows.groupBy("session_id", "dev").applyInPandasWithState(
-        fold, "session_id long, dev string, done long, events long, full boolean", "done long, samples long, depth int, cap int, newest long, last long", "update", GroupStateTimeout.EventTimeTimeout
-    )
+class Barrier(StatefulProcessor):
+    """A file's measurements until all that are wanted have come, or the newest is `wait` ms old."""
 
+    def __init__(self, wait: int):
+        self.wait = wait
 
-def completed(measured: DataFrame, wanted: int) -> DataFrame:
-    """Files whose `wanted` measurements (session_id, rel, slot, hash, at) have all come: their hashes by slot, as diagnose() reads them.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "slot string", "hash string")
+        self.last = handle.getValueState("last", "us long, wanted int, told boolean")
 
-    (session_id, rel, at, sc, c1, c2, a, b, c), at that of the last. State ends once told; of a file that is never
-    complete, a day after its last measurement.
-    """
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        last, wanted, told = self.last.get() if self.last.exists() else (0, 0, False)
+        for r in rows:
+            self.seen.updateValue((r["slot"],), (r["hash"],))
+            last, wanted = max(last, r["us"]), r["wanted"]
+        seen = {} if told else {k[0]: v[0] for k, v in self.seen.iterator()}
+        done = not told and len(seen) >= wanted
+        self.last.update((last, wanted, told or done))
+        self.handle.registerTimer(max(last // 1000, timerValues.getCurrentWatermarkInMs()) + self.wait)
+        if done:
+            self.seen.clear()
+            yield self.row(key, last, wanted, True, seen)
 
-    def barrier(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        if not self.last.exists():
             return
-        slots, hashes, last = state.get if state.exists else ([], [], 0)
-        seen = dict(zip(slots, hashes, strict=True))
-        for b in batches:
-            seen |= dict(zip(b["slot"], b["hash"], strict=True))
-            last = max(last, int(b["us"].max()))
-        if len(seen) >= wanted:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"session_id": [key[0]], "rel": [key[1]], "at": pd.to_datetime([last], unit="us"), **{s.lower(): [seen.get(s)] for s in ("SC", "C1", "C2", "A", "B", "C")}})
-        else:
-            state.update((list(seen), list(seen.values()), last))
-            state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + FORGET_MS)
+        last, wanted, told = self.last.get()
+        if expiredTimerInfo.getExpiryTimeInMs() < last // 1000 + self.wait:
+            return  # set before the newest measurement, which has set its own
+        seen = {k[0]: v[0] for k, v in self.seen.iterator()}
+        self.last.clear()
+        self.seen.clear()
+        if not told:
+            yield self.row(key, last, wanted, False, seen)
 
+    def row(self, key, last: int, wanted: int, complete: bool, seen: dict[str, str]) -> Row:
+        return Row(session_id=key[0], rel=key[1], at=pd.Timestamp(last, unit="us", tz="UTC").to_pydatetime(), wanted=wanted, complete=complete, **{s.lower(): seen.get(s) for s in SLOTS})
+
+
+def completed(measured: DataFrame, expected: DataFrame, wait: str = "1 hour") -> DataFrame:
+    """Each file once: when all measurements that J9 expects of it have come, or as incomplete, `wait` after the newest.
+
+    measured (session_id, rel, slot, hash, at); expected (session_id, rel, slot), a table: a file waits for as many as it
+    has rows there, and others' measurements are left out. COMPLETED: hashes by slot, as diagnose() reads them, and
+    whether they are all; an incomplete file is one of missing copies (J10). Files of which nothing ever comes are not
+    told of here. State ends `wait` after a file's newest measurement; what comes later counts as a file of its own.
+    """
+    with_rocks(measured.sparkSession)
+    counts = expected.groupBy("session_id", "rel").agg(F.countDistinct("slot").cast("int").alias("wanted"))
     rows = measured.withWatermark("at", LATE).select("session_id", "rel", "slot", "hash", "at", F.unix_micros("at").alias("us"))
-    return rows.groupBy("session_id", "rel").applyInPandasWithState(
-        barrier, "session_id long, rel string, at timestamp, sc string, c1 string, c2 string, a string, b string, c string", "slots array<string>, hashes array<string>, last long", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    rows = rows.join(expected.select("session_id", "rel", "slot").distinct(), ["session_id", "rel", "slot"]).join(counts, ["session_id", "rel"])
+    ms = int(pd.Timedelta(wait).total_seconds() * 1000)
+    return rows.groupBy("session_id", "rel").transformWithState(Barrier(ms), COMPLETED, "Append", "EventTime")
 
 
 def aborts(diagnosed: DataFrame) -> DataFrame:
@@ -138,39 +153,161 @@ def aborts(diagnosed: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").applyInPandasWithState(first, "session_id long, rel string, at timestamp", "told boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def view(stream: DataFrame, path: str, every: str = "100 milliseconds") -> DataFrame:
-    """Feeds the lossy view, and counts by kind of event what it leaves out: (event, seen, dropped), over all batches.
+class Limit(StatefulProcessor):
+    """Lets so many events of a key through in each `every` ms of event time, in the order in which they come."""
 
-    The view gets the newest event of each kind, device and 100 ms; its rows are at path/view, a folder a batch.
-    """
+    def __init__(self, most: int, every: int, late: int):
+        self.most, self.every, self.late = most, every, late
 
-    def put(batch: DataFrame, n: int) -> None:
-        newest = batch.groupBy("session_id", "dev", "event", F.window("at", every).alias("w")).agg(F.max_by(F.struct(*batch.columns), F.struct("at", "event_id")).alias("r"), F.count("*").alias("seen"))
-        newest.select("r.*", "seen").write.mode("overwrite").parquet(f"{path}/view/batch={n}")
-        kept = batch.sparkSession.read.parquet(f"{path}/view/batch={n}")
-        kept.groupBy("event").agg(F.sum("seen").alias("seen"), F.sum(F.col("seen") - 1).alias("dropped")).write.mode("overwrite").parquet(f"{path}/counts/batch={n}")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.used = handle.getValueState("used", "at array<long>, n array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        used = dict(zip(*self.used.get(), strict=True)) if self.used.exists() else {}
+        for r in sorted(rows, key=lambda r: (r["at"], r["event_id"])):
+            slot = r["ms"] // self.every
+            used[slot] = used.get(slot, 0) + 1
+            if used[slot] <= self.most:
+                yield Row(**{c: r[c] for c in r.__fields__ if c != "ms"})
+        open_ = {k: v for k, v in used.items() if (k + 1) * self.every > timerValues.getCurrentWatermarkInMs()}
+        self.used.update((list(open_), list(open_.values())))
+        self.handle.registerTimer((max(used) + 1) * self.every + self.late)
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        if self.used.exists() and all((k + 1) * self.every <= timerValues.getCurrentWatermarkInMs() for k in self.used.get()[0]):
+            self.used.clear()
+        return iter(())
+
+
+def limited(lossy: DataFrame, most: int = 1, every_ms: int = 100) -> DataFrame:
+    """What a view that takes `most` events of each session, device and kind in every_ms gets of a lossy stream."""
+    with_rocks(lossy.sparkSession)
+    rows = lossy.withWatermark("at", LATE)
+    return rows.withColumn("ms", F.unix_millis("at")).groupBy("session_id", "dev", "event").transformWithState(Limit(most, every_ms, 1000), rows.schema, "Append", "EventTime")
+
+
+class Counts(StreamingQueryListener):
+    """Adds up what observe() has seen under each name, over all batches of one query. Use as a context around its run."""
 
-    stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return stream.sparkSession.read.parquet(f"{path}/counts").groupBy("event").agg(F.sum("seen").alias("seen"), F.sum("dropped").alias("dropped"))
+    def __init__(self, spark: SparkSession):
+        self.spark, self.found, self.ended, self.runs = spark, {}, threading.Event(), set()
 
+    def __enter__(self) -> Counts:
+        self.spark.streams.addListener(self)
+        return self
 
-def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    def __exit__(self, *_) -> None:
+        self.ended.wait(60)
+        self.spark.streams.removeListener(self)
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        for name, row in event.progress.observedMetrics.items():
+            own = self.found.setdefault(name, {})
+            for k, v in row.asDict().items():
+                own[k] = own.get(k, 0) + (v or 0)
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.set()
+
+
+def tallied(stream: DataFrame, name: str, kinds: tuple[str, ...]) -> DataFrame:
+    """stream, its rows of each kind of event counted under a name as they pass."""
+    return stream.observe(name, F.count("*").alias("all"), *[F.count_if(F.col("event") == k).alias(k) for k in kinds])
+
+
+def view(stream: DataFrame, path: str, most: int = 1, every_ms: int = 100, kinds: tuple[str, ...] = ("bytes", "queue", "throughput")) -> tuple[DataFrame, DataFrame]:
+    """Feeds a view as fast as it may take, and counts what it does not get: the view's rows, and (event, seen, dropped).
+
+    Both counts are observed while the query runs: before the limit, and after it.
+    """
+    spark = stream.sparkSession
+    with Counts(spark) as counts:
+        fed = tallied(limited(tallied(stream, "seen", kinds), most, every_ms), "shown", kinds)
+        shown = drained(fed, path)
+    seen, got = (counts.found.get(k, {}) for k in ("seen", "shown"))
+    rows = [(k, seen[k], seen[k] - got.get(k, 0)) for k in kinds if seen.get(k)]
+    return shown, spark.createDataFrame(rows, "event string, seen long, dropped long")
+
+
+def drained(stream: DataFrame, path: str, mode: str = "append", each: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """What a stream has to give of the input that is there, through a table at path: a folder for each batch.
 
-    A batch that is tried again writes its folder again, so its rows are there once.
+    A batch that is tried again writes its folder again, so its rows are there once. each makes of a batch and its number
+    what is written, if not the batch itself. A stream that gives nothing has an empty table.
     """
+    spark = stream.sparkSession
+    made: list[DataFrame] = []
 
     def put(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+        rows = each(batch, n) if each else batch
+        made[:] = [rows]
+        rows.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
-    return stream.sparkSession.read.parquet(f"{path}/out")
+    schema = made[0].schema if made else each(spark.createDataFrame([], stream.schema), -1).schema if each else stream.schema
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/out")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", IntegerType())])).parquet(f"{path}/out")
+
+
+def rolling_history(entries: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """The device summary kept up with a stream of history entries (kind, seq, at, devices, retries, suspect_cards).
+
+    Each batch is summed by itself and merged into the sums so far, one version of them for each batch, so an entry is
+    read once and only sums are read again. A batch that is tried again merges into the version before it. Returns the
+    summary, and how many entries each batch has read (batch, entries, serials).
+    """
+    spark = entries.sparkSession
+    read: list[tuple[int, int, int]] = []
+    versions: list[int] = []
+
+    def put(batch: DataFrame, n: int) -> None:
+        own = history.partial(history.exploded(batch))
+        before = [v for v in versions if v < n]
+        sums = history.merged(spark.read.parquet(f"{path}/sums/batch={before[-1]}"), own) if before else own
+        obs = batch.select(F.count("*").alias("n"))
+        sums.write.mode("overwrite").parquet(f"{path}/sums/batch={n}")
+        read.append((n, obs.first()[0], spark.read.parquet(f"{path}/sums/batch={n}").count()))
+        versions.append(n)
+
+    query = entries.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(put).start()
+    query.awaitTermination()
+    sums = spark.read.parquet(f"{path}/sums/batch={versions[-1]}") if versions else history.partial(history.exploded(spark.createDataFrame([], entries.schema)))
+    return history.finished(sums), spark.createDataFrame(read, "batch int, entries long, serials long")
+
+
+def json_lines(spark: SparkSession, path: str, schema: str, files_at_once: int | None = None) -> DataFrame:
+    """JSON lines as a stream of files; those that are no JSON are counted, as `bad` of all, under the name lines."""
+    reader = spark.readStream.option("recursiveFileLookup", "true")
+    rows = (reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader).text(path).select(F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    rows = rows.select("r.*").observe("lines", F.count("*").alias("all"), F.count_if(F.col("_bad").isNotNull()).alias("bad"))
+    return rows.filter("_bad IS NULL").drop("_bad")
+
+
+def arriving_manifests(spark: SparkSession, path: str, where: tuple[Column, Column, Column], device: Callable[[], DataFrame], out: str, files_at_once: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Manifests checked as their files arrive: outcomes of their entries, and the state of each manifest.
+
+    where says, of a file's path, its session, folder and manifest. A manifest arrives whole, so one bad entry makes it
+    unreadable (S7) when it is read. device gives what the device holds by then; each batch asks for it anew.
+    """
+    reader = spark.readStream.format("xml").option("rowTag", "hash").option("ignoreNamespace", "true").option("recursiveFileLookup", "true").schema(files.ENTRY)
+    said = files.entries_of((reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader).load(path), F.col("_metadata.file_modification_time").alias("arrived"))
+    said = said.withWatermark("arrived", LATE).withColumn("manifest", files.plain_path(F.col("manifest")))
+    names = [c.alias(n) for c, n in zip(where, ("session_id", "folder", "manifest_id"), strict=True)]
 
+    def checked(batch: DataFrame) -> DataFrame:
+        return recheck.validated(batch.select(*names, "rel", "size", "hash", "other_hash"))
 
-def rolling_history(entries: DataFrame, path: str) -> DataFrame:
-    """The device summary kept up with a stream of history entries: each batch is appended, and the whole summed again."""
-    from ..operators import history
+    def put(batch: DataFrame, n: int) -> DataFrame:
+        if n >= 0:
+            recheck.manifest_status(checked(batch)).write.mode("overwrite").parquet(f"{out}/status/batch={n}")
+        return recheck.recheck(recheck.readable(checked(batch)), device())
 
-    kept = drained(entries, path)
-    return history.summarise(kept.drop("batch"))
+    outcomes = drained(said, out, each=put)
+    return outcomes, spark.read.schema("session_id string, folder string, manifest_id string, error string, entries long, readable boolean, batch int").parquet(f"{out}/status")
