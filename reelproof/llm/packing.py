@@ -91,12 +91,13 @@ def packed(docs: DataFrame, lengths: Sequence[int] = LENGTHS, tokens: Column | N
     rows; further columns, whatever their names, are not looked at.
     """
     lengths, longest = tuple(sorted(lengths)), max(lengths)
-    groups = 1 + docs.count() // group
     n = (words_and_end(F.col("text")) if tokens is None else tokens.cast("long")).alias("n")
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n, F.xxhash64("text").alias("h")).filter("n > 0")
     pieces = whole.select("doc_id", "n", "h", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / longest).cast("int"))).alias("piece"))
     start = F.col("piece").cast("long") * longest
     pieces = pieces.select("doc_id", "h", "piece", start.alias("start"), F.least(F.lit(longest), F.col("n") - start).cast("int").alias("n_tokens"))
+    number = whole.select(((F.col("n") - 1) / longest).cast("long").alias("more")).agg(F.count("*") + F.coalesce(F.sum("more"), F.lit(0))).first()[0]
+    groups = 1 + number // group
     pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "h", "piece"), F.lit(groups))).drop("h")
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -1,6 +1,9 @@
+from collections import Counter
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from reelproof.llm import packing
 
@@ -98,3 +101,11 @@ def test_tables(spark):
     assert len({b for b, _ in bins}) == len(bins)
     assert full / sum(size for _, size in bins) > 0.95
     assert packing.packed(df.limit(0)).count() == 0
+
+
+def test_few_long_documents_spread_over_groups(spark):
+    """Groups follow the number of pieces, not of documents."""
+    df = spark.createDataFrame([(i, 4096 * 50) for i in range(40)], "doc_id long, n long").withColumn("text", F.lit("x"))
+    rows = packing.packed(df, tokens=F.col("n"), group=100).select((F.col("bin_id") / (1 << 32)).cast("int").alias("part"), "doc_id").collect()
+    size = Counter(r.part for r in rows)
+    assert len(rows) == 2000 and len(size) == 21 and max(size.values()) < 200
