@@ -25,7 +25,7 @@ UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, tk, line_no, line) of each line that is not blank, white space at its ends removed; tk tells texts of one doc_id apart."""
-    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.hash("text").alias("tk"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("tk"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     return rows.withColumn("line", F.btrim("line", F.lit(BLANK))).filter("line <> ''")
 
 
@@ -100,7 +100,7 @@ def variants(lines: DataFrame) -> DataFrame:
                 keys, at = np.concatenate([k for _, k in found]), np.concatenate([np.array(at, np.int32) for at, _ in found])
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(at), *(b.column(i).take(times) for i in range(3))], ["key", "at", "doc_id", "tk", "line_no"])
 
-    return lines.select("doc_id", "tk", "line_no", "line").mapInArrow(each, "key long, at int, doc_id long, tk int, line_no int")
+    return lines.select("doc_id", "tk", "line_no", "line").mapInArrow(each, "key long, at int, doc_id long, tk long, line_no int")
 
 
 def near_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def near_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
             a, c = (b.column(i).cast(pa.binary()) for i in (3, 4))
             yield b.select([0, 1, 2]).filter(pa.array([near(x.as_py(), y.as_py()) for x, y in zip(a, c, strict=True)], pa.bool_()))
 
-    return pairs.select("me.doc_id", "me.tk", "me.line_no", "a", "b").mapInArrow(each, "doc_id long, tk int, line_no int").distinct()
+    return pairs.select("me.doc_id", "me.tk", "me.line_no", "a", "b").mapInArrow(each, "doc_id long, tk long, line_no int").distinct()
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     word if both have WORDS words or more, within one character if both have fewer words and CHARS characters or more.
     Blank lines stay. Added: lines_before, lines_removed (int). A null or empty text stays as it is; a null doc_id has
     no place in the order, so its row stays as it is; rows of one doc_id and different texts come in the order of the
-    texts' hashes (32 bits), rows equal in both count as one document and are treated alike; texts of any length are
+    texts' hashes (64 bits), rows equal in both count as one document and are treated alike; texts of any length are
     read whole; no rows give none. Other columns, whatever their names, are kept, but for lines_before and
     lines_removed, which are replaced.
     """
@@ -151,7 +151,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     stay = firsts.select(*LINE).join(near_lines(lines, firsts), LINE, "left_anti")
     stay = stay.groupBy(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_set("line_no").alias("_stay"))
     rows = docs.drop("lines_before", "lines_removed")
-    rows = rows.join(stay, (F.col("doc_id").cast("long") == F.col("_id")) & (F.hash("text") == F.col("_tk")), "left").drop("_id", "_tk")
+    rows = rows.join(stay, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_tk")), "left").drop("_id", "_tk")
     rows = rows.withColumn("_lines", F.split("text", "\n", -1))
     blank = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.btrim(F.get("_lines", i), F.lit(BLANK)) == "")
     rows = rows.withColumn("_kept", F.array_sort(F.array_union(blank, F.coalesce("_stay", F.array().cast("array<int>")))))

@@ -2,6 +2,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from reelproof.llm import line_dedup
 
@@ -96,3 +97,16 @@ def test_repeated_rows_null_ids_and_empty(spark):
     got = sorted((r.doc_id or 0, r.text) for r in line_dedup.dedup_lines(df).collect())
     assert got == [(0, "a\na"), (1, "a\nb"), (1, "a\nb"), (2, "c")]
     assert line_dedup.dedup_lines(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_texts_of_one_doc_id_whose_short_hashes_are_equal(spark):
+    """Two texts of one doc_id that 32 bits can't tell apart keep their own lines."""
+    rows = spark.range(300_000).select(F.concat(F.lit("first line of text "), F.col("id"), F.lit("\ncommon line here\nlast line of "), F.col("id")).alias("text"))
+    pair = rows.groupBy(F.hash("text")).agg(F.collect_list("text").alias("t"), F.count("*").alias("n")).filter("n = 2").first().t
+    other = "common line here\nsomething"
+    got = {r.text for r in line_dedup.dedup_lines(spark.createDataFrame([(1, other), (2, pair[0]), (2, pair[1])], "doc_id long, text string")).collect()}
+    first, second = sorted(pair, key=lambda t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0])
+    lines = lambda t: [x for x in t.split("\n") if x != "common line here"]
+    assert other in got and "\n".join(lines(first)) in got and len(got) == 3
+    later = [x for x in lines(second) if not any(line_dedup.near(x.encode(), y.encode()) for y in lines(first))]
+    assert "\n".join(later) in got
