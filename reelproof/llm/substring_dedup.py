@@ -370,7 +370,7 @@ def paths(met: DataFrame, width: int) -> DataFrame:
 def copies_of(parts: DataFrame, width: int) -> DataFrame:
     """Whole texts that a document of a smaller doc_id has too, as paths (PATH)."""
     rows = parts.select("part", F.posexplode(F.arrays_zip("doc_id", "one", "two", "words")).alias("place", "r")).select("part", "place", "r.*").filter(f"doc_id IS NOT NULL AND words >= {width}")
-    firsts = rows.groupBy("one", "two", "words").agg(F.min(F.struct("doc_id", "part", "place")).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    firsts = saved(rows.groupBy("one", "two", "words").agg(F.min(F.struct("doc_id", "part", "place")).alias("f"), F.count("*").alias("n")).filter("n > 1"))  # read anew, so that the join may split a large group
     later = rows.join(firsts, ["one", "two", "words"]).filter("doc_id > f.doc_id")
     return later.select("part", "place", F.lit(0).alias("start"), F.col("words").cast("int"), F.col("f.part").alias("source"), F.col("f.place").alias("source_place"), F.lit(0).alias("source_start"))
 
