@@ -21,12 +21,14 @@ def exploded(entries: DataFrame) -> DataFrame:
 
     Suspect cards that are none of the entry's devices have a row of their own, without a slot or a label.
     """
-    own = entries.select("kind", "seq", "at", F.explode("devices").alias("d"), "retries", "suspect_cards")
-    retries = F.coalesce(F.try_element_at("retries", F.col("d.slot")), F.lit(0)).cast("long")
-    own = own.select("kind", "seq", "at", "d.serial", "d.slot", "d.label", retries.alias("retries"), F.coalesce(F.array_contains("suspect_cards", F.col("d.serial")), F.lit(False)).alias("suspect"))
-    others = F.array_except(F.coalesce("suspect_cards", F.array().cast("array<bigint>")), F.coalesce(F.transform("devices", lambda d: d["serial"]), F.array().cast("array<bigint>")))
-    more = entries.select("kind", "seq", "at", F.explode(others).alias("serial"), F.lit(None).cast("string").alias("slot"), F.lit("").alias("label"), F.lit(0).cast("long").alias("retries"), F.lit(True).alias("suspect"))
-    return own.unionByName(more)
+    none = F.array().cast("array<bigint>")
+    suspects_ = F.coalesce("suspect_cards", none)
+    card = lambda serial, slot, label, retries, suspect: F.struct(serial.alias("serial"), slot.alias("slot"), label.alias("label"), retries.cast("long").alias("retries"), suspect.alias("suspect"))
+    own = F.transform("devices", lambda d: card(d["serial"], d["slot"], d["label"], F.coalesce(F.try_element_at("retries", d["slot"]), F.lit(0)), F.array_contains(suspects_, d["serial"])))
+    others = F.array_except(suspects_, F.coalesce(F.transform("devices", lambda d: d["serial"]), none))
+    more = F.transform(others, lambda s: card(s, F.lit(None).cast("string"), F.lit(""), F.lit(0), F.lit(True)))
+    rows = entries.select("kind", "seq", "at", F.explode(F.concat(F.coalesce(own, F.slice(more, 1, 0)), more)).alias("d"))  # one pass
+    return rows.select("kind", "seq", "at", "d.*")
 
 
 def partial(rows: DataFrame) -> DataFrame:

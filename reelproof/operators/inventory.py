@@ -45,10 +45,14 @@ def name_hazards(files: DataFrame) -> DataFrame:
     return rows.select("session_id", "device", "rel", "pos", F.inline(found))
 
 
-def hazard_summary(sessions: DataFrame, files: DataFrame, first: int = 10) -> DataFrame:
-    """Hazards of each session over all its devices, the first ten told; any refuses the job."""
-    told = name_hazards(files).select("session_id", F.concat_ws(": ", "hazard", "rel").alias("line"))
-    told = told.unionByName(case_collisions(files).select("session_id", F.concat(F.lit("case: "), F.col("rels")).alias("line")))
+def hazard_summary(sessions: DataFrame, files: DataFrame, first: int = 10, hazards: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Hazards of each session over all its devices, the first ten told; any refuses the job.
+
+    hazards: what name_hazards() and case_collisions() give of the files, if known.
+    """
+    named, cased = hazards or (name_hazards(files), case_collisions(files))
+    told = named.select("session_id", F.concat_ws(": ", "hazard", "rel").alias("line"))
+    told = told.unionByName(cased.select("session_id", F.concat(F.lit("case: "), F.col("rels")).alias("line")))
     order = F.row_number().over(Window.partitionBy("session_id").orderBy("line"))
     shown = told.withColumn("k", order).filter(F.col("k") <= first)  # a limit of each group before the sort
     shown = shown.groupBy("session_id").agg(F.concat_ws(" ; ", F.array_sort(F.collect_list("line"))).alias("first"))

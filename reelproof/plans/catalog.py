@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import formats, paths
 from ..operators import account, attempts, devices, diagnose, digest, history, inventory, manifests, plan, recheck, reconcile, retention, telemetry, verdict
 from ..sources import files, ranges
-from ..sources.shared import scratch
+from ..sources.shared import kept, scratch
 from ..streaming import live, monitor
 from . import drives
 from .fixtures import Tables, sql
@@ -474,7 +474,7 @@ def _(t):
 @query("w1_w2_rate_eta", EXPECTED + "," + PHASED[5:] + f""", pl AS ({PLANS}), r0 AS (SELECT *, CAST(sum(delta) OVER (PARTITION BY session_id, phase_no ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS done FROM ph WHERE event = 'bytes'),
   r1 AS (SELECT *, min(ms) OVER w AS ms0, min(done) OVER w AS done0, min(ms) OVER (PARTITION BY session_id, phase_no) AS start FROM r0 WINDOW w AS (PARTITION BY session_id, phase_no ORDER BY ms RANGE BETWEEN 12000 PRECEDING AND CURRENT ROW)),
   r2 AS (SELECT *, CASE WHEN ms - ms0 >= 2000 AND done > done0 THEN (done - done0) * 1000.0::DOUBLE / (ms - ms0) END AS rate, greatest(planned - done, planned * 0) AS lft FROM r1 LEFT JOIN (SELECT session_id, CAST(sum(bytes) AS BIGINT) AS planned FROM pl GROUP BY 1) q USING (session_id))
-  SELECT session_id, phase_no, event_id, round(rate, 3) AS rate, round(CASE WHEN lft = 0 THEN 0.0::DOUBLE WHEN done > 0 AND ms - start >= 2000 THEN lft / coalesce(rate, done * 1000.0::DOUBLE / (ms - start)) END, 3) AS eta FROM r2""")
+  SELECT session_id, phase_no, event_id, round(rate, 3) AS rate, round(CASE WHEN lft = 0 THEN 0.0::DOUBLE WHEN done > 0 AND ms - start >= 2000 THEN lft / coalesce(rate, done * 1000.0::DOUBLE / (ms - start)) END, 3) AS eta FROM r2""", keep=("files", "items"))
 def _(t):
     return telemetry.rates(events(t), plans_of(t).groupBy("session_id").agg(F.sum("bytes").alias("bytes")))
 
@@ -988,6 +988,30 @@ def _(t):
     return files.bundle(t.sql(ARTIFACTS), t.sql(LISTING))
 
 
+WANTED_FILES = "SELECT session_id, a AS artifact FROM sessions CROSS JOIN (SELECT 'manifest.mhl' AS a UNION ALL SELECT 'log.txt' UNION ALL SELECT 'session.json' UNION ALL SELECT 'errors.txt') x"
+
+
+@query("s18_bundle_files", f"""WITH lines AS (SELECT session_id, 'manifest.mhl' AS artifact, count(*) AS n FROM manifest_entries GROUP BY 1 UNION ALL SELECT session_id, 'log.txt', count(*) FROM telemetry WHERE event = 'log' GROUP BY 1
+    UNION ALL SELECT session_id, 'session.json', 1 FROM sessions WHERE aborted IS NULL UNION ALL SELECT session_id, 'errors.txt', count(*) FROM scan_errors GROUP BY 1), w AS ({WANTED_FILES}),
+  s AS (SELECT w.session_id, w.artifact, l.n IS NOT NULL AS gathered, coalesce(l.n, 0) AS lines FROM w LEFT JOIN lines l ON l.session_id = w.session_id AND l.artifact = w.artifact)
+  SELECT session_id, artifact, gathered, CAST(lines AS BIGINT) AS lines FROM s UNION ALL SELECT session_id, 'contents.txt', TRUE, 4 FROM sessions""")
+def _(t):
+    """Bundles written to disk and counted from what lies there; those of sessions that were cut short lack a record, most lack errors."""
+    root = scratch(t.spark)
+    line = lambda df, artifact, part, value: df.select("session_id", F.lit(artifact).alias("artifact"), part.cast("long").alias("part"), value.alias("value"))
+    log = line(t.telemetry.filter("event = 'log'"), "log.txt", F.col("event_id"), formats.log_line(F.col("at"), F.col("level"), F.col("stage"), F.col("msg")))
+    entries = manifests.mhl(t.manifest_entries.select("session_id", F.col("session_id").cast("string").alias("manifest_id"), "rel", "size", F.lit(None).cast("timestamp").alias("mtime"), "hash"))
+    manifest = line(entries.withColumn("session_id", F.col("manifest_id").cast("long")), "manifest.mhl", F.xxhash64("rel"), F.regexp_replace("value", "\n", " "))
+    record = line(t.sessions.filter("aborted IS NULL"), "session.json", F.lit(0), F.to_json(F.struct(F.col("session_id").cast("string").alias("session"), "label")))
+    errors = line(t.scan_errors, "errors.txt", F.lit(0), F.col("msg"))
+    state = files.export_bundles(t.sql(WANTED_FILES), log.unionByName(manifest).unionByName(record).unionByName(errors), root)
+    there = t.spark.read.option("recursiveFileLookup", "true").text(root).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("lines"))
+    at = lambda k: F.element_at(F.split("path", "/"), k)
+    there = there.select(at(-2).cast("long").alias("session_id"), at(-1).alias("artifact"), "lines")
+    own = state.join(there, ["session_id", "artifact"], "left").select("session_id", "artifact", "gathered", F.coalesce("lines", F.lit(0)).alias("lines"))
+    return own.unionByName(there.filter("artifact = 'contents.txt'").select("session_id", "artifact", F.lit(True).alias("gathered"), "lines"))
+
+
 FOLDERS = """SELECT CASE WHEN session_id % 4 = 0 THEN '2026-01-02_shoot' || CAST(session_id AS STRING) || '/' || rel WHEN p % 3 = 0 THEN 'card' || CAST(session_id AS STRING) || '/m' || CAST(p % 2 AS STRING) || '.mhl' WHEN p % 3 = 1 AND session_id % 4 = 1 THEN 'x' || CAST(session_id AS STRING) || '/ascmhl/0001_x.mhl' ELSE 'plain' || CAST(session_id AS STRING) || '/' || rel END AS rel FROM files"""
 
 
@@ -1101,10 +1125,11 @@ def _(t):
     (SELECT count(*) FROM pairs p WHERE p.session_id = s.session_id AND state = 'SameDevice') AS shared_disks, (SELECT count(*) FROM pairs p WHERE p.session_id = s.session_id AND state = 'Unproven') AS unproven_pairs,
     (SELECT count(*) FROM pairs p WHERE p.session_id = s.session_id AND role = 'destinations' AND same_label) AS same_labels, (SELECT count(*) FROM volumes v WHERE v.session_id = s.session_id AND write_mbps <= 50) AS slow_links,
     coalesce((SELECT n FROM warned w WHERE w.session_id = s.session_id), 0) AS history_warnings, coalesce((SELECT n FROM gone g WHERE g.session_id = s.session_id), 0) AS absent_slots,
-    coalesce((SELECT string_agg(DISTINCT reason, '; ' ORDER BY reason) FROM refusals r WHERE r.session_id = s.session_id), '') AS refusals FROM sessions s""", keep=("files", "items"))
+    coalesce((SELECT string_agg(DISTINCT reason, '; ' ORDER BY reason) FROM refusals r WHERE r.session_id = s.session_id), '') AS refusals FROM sessions s""", keep=("files", "items", "volumes"))
 def _(t):
     ids, count = t.sessions.select("session_id"), lambda df, name: df.groupBy("session_id").agg(F.count("*").alias(name))
     listed = card_files(t)
+    named, cased = kept(inventory.name_hazards(listed)), kept(inventory.case_collisions(listed))
     todo = checked(t).groupBy("session_id", "device").agg(F.count_if(F.col("dest_size").isNotNull() & ~F.col("done")).alias("clashes"), F.sum(F.when(~F.col("done"), F.col("size"))).alias("need"))
     room = t.volumes.filter("slot NOT IN ('C1', 'C2')").select("session_id", F.col("slot").alias("device"), "free_bytes").join(todo, ["session_id", "device"], "left")
     room = room.groupBy("session_id").agg(F.coalesce(F.sum("clashes"), F.lit(0)).alias("clashes"), F.bool_or(F.coalesce("need", F.lit(0)) > F.col("free_bytes")).alias("no_room"))
@@ -1112,11 +1137,11 @@ def _(t):
         F.count_if(F.col("state") == "SameDevice").alias("shared_disks"), F.count_if(F.col("state") == "Unproven").alias("unproven_pairs"), F.count_if((F.col("role") == "destinations") & F.col("same_label")).alias("same_labels")
     )
     slow = t.volumes.groupBy("session_id").agg(F.count_if(formats.slow_link(F.col("write_mbps").cast("double"), F.lit(0)).isNotNull()).alias("slow_links"))
-    told = inventory.hazard_summary(t.sessions, listed).select("session_id", F.col("preview").alias("hazard_preview"))
+    told = inventory.hazard_summary(t.sessions, listed, hazards=(named, cased)).select("session_id", F.col("preview").alias("hazard_preview"))
     warned = count(history.warnings(t.sql(TODAY), history.summarise(t.history)), "history_warnings")
     gone = count(devices.resolve_slots(t.slot_memory, t.volumes).filter("absent"), "absent_slots")
     refused = verdict.refused(devices.refusals(t.volumes)).select("session_id", F.array_join("reasons", "; ").alias("refusals"))
-    for x in (count(inventory.name_hazards(listed), "name_hazards"), count(inventory.case_collisions(listed), "case_collisions"), told, room, pair, slow, warned, gone, refused):
+    for x in (count(named, "name_hazards"), count(cased, "case_collisions"), told, room, pair, slow, warned, gone, refused):
         ids = ids.join(x, "session_id", "left")
     return ids.na.fill(0).na.fill(False).na.fill("")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import formats, paths
 from ..operators import digest
 from . import ranges
+from .shared import kept
 
 HISTORY = (
     "kind string, at timestamp, session string, verdict string, devices array<struct<slot:string,serial:bigint,label:string>>, retries map<string,bigint>, "
@@ -150,6 +151,25 @@ def bundle(expected: DataFrame, listing: DataFrame) -> DataFrame:
     return expected.join(there, ["session_id", "artifact"], "left").select("session_id", "artifact", F.coalesce("there", F.lit(False)).alias("gathered"))
 
 
+def export_bundles(expected: DataFrame, lines: DataFrame, root: str) -> DataFrame:
+    """Writes each session's bundle, a folder with a file for each artifact gathered and one, contents.txt, that says what is and what is not.
+
+    expected (session_id, artifact): what a session's bundle should hold; lines (session_id, artifact, part, value): what
+    there is, line by line in the order of part. Other sessions' lines and other artifacts are left out. Returns
+    (session_id, artifact, gathered, bytes), bytes null of what is not gathered. No artifact's lines are gathered in memory.
+    """
+    own = lines.join(expected.select("session_id", "artifact").distinct(), ["session_id", "artifact"], "left_semi")
+    state = bundle(expected.select("session_id", "artifact").distinct(), own)
+    name = F.concat(F.col("session_id").cast("string"), F.lit("/"))
+    said = state.select(name.alias("folder"), F.concat(F.when(F.col("gathered"), "gathered: ").otherwise("not gathered: "), F.col("artifact")).alias("value"))
+    told = said.select(F.concat("folder", F.lit("contents.txt")).alias("rel"), F.struct(F.lit(None).cast("long").alias("n"), F.col("value").alias("text")).alias("part"), "value")
+    rows = own.select(F.concat(name, "artifact").alias("rel"), F.struct(F.col("part").cast("long").alias("n"), F.lit("").alias("text")).alias("part"), "value").unionByName(told)
+    sizes = kept(ranges.written(rows.withColumn("value", F.concat("value", F.lit("\n"))), root))
+    at = F.split("rel", "/")
+    sizes = sizes.select(F.get(at, F.lit(0)).alias("_session"), F.get(at, F.lit(1)).alias("_artifact"), F.col("size").alias("bytes"))
+    return state.join(sizes, (F.col("session_id").cast("string") == F.col("_session")) & (F.col("artifact") == F.col("_artifact")), "left").select("session_id", "artifact", "gathered", "bytes")
+
+
 def session_folders(listing: DataFrame, drive: list[str] | None = None) -> DataFrame:
     """Direct children that hold a manifest, an ascmhl folder, or have a session's name, with their manifests.
 

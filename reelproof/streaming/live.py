@@ -6,7 +6,7 @@ import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -256,6 +256,13 @@ def drained(stream: DataFrame, path: str, mode: str = "append", each: Callable[[
     return spark.read.schema(StructType([*schema.fields, StructField("batch", IntegerType())])).parquet(f"{path}/out")
 
 
+def stored(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the batches that have a folder of their own at path."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(int(x.getPath().getName().removeprefix("batch=")) for x in store.listStatus(folder) if x.getPath().getName().startswith("batch=")) if store.exists(folder) else []
+
+
 def rolling_history(entries: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """The device summary kept up with a stream of history entries (kind, seq, at, devices, retries, suspect_cards).
 
@@ -265,19 +272,19 @@ def rolling_history(entries: DataFrame, path: str) -> tuple[DataFrame, DataFrame
     """
     spark = entries.sparkSession
     read: list[tuple[int, int, int]] = []
-    versions: list[int] = []
 
     def put(batch: DataFrame, n: int) -> None:
-        own = history.partial(history.exploded(batch))
-        before = [v for v in versions if v < n]
+        seen = Observation()
+        history.partial(history.exploded(batch.observe(seen, F.count("*").alias("n")))).write.mode("overwrite").parquet(f"{path}/parts/batch={n}")  # all that is read of the batch
+        own = spark.read.parquet(f"{path}/parts/batch={n}")
+        before = [v for v in stored(spark, f"{path}/sums") if v < n]  # of runs before this one, too
         sums = history.merged(spark.read.parquet(f"{path}/sums/batch={before[-1]}"), own) if before else own
-        obs = batch.select(F.count("*").alias("n"))
         sums.write.mode("overwrite").parquet(f"{path}/sums/batch={n}")
-        read.append((n, obs.first()[0], spark.read.parquet(f"{path}/sums/batch={n}").count()))
-        versions.append(n)
+        read.append((n, seen.get["n"], spark.read.parquet(f"{path}/sums/batch={n}").count()))
 
     query = entries.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
+    versions = stored(spark, f"{path}/sums")
     sums = spark.read.parquet(f"{path}/sums/batch={versions[-1]}") if versions else history.partial(history.exploded(spark.createDataFrame([], entries.schema)))
     return history.finished(sums), spark.createDataFrame(read, "batch int, entries long, serials long")
 
