@@ -22,6 +22,13 @@ from .common import saved
 HEIGHT = 8
 #: Rows of a range that is numbered by one task, on average.
 RANGE_ROWS = 20_000
+#: What is known of each tree, some 200 bytes, is sent to every task for up to this many trees, and joined by shuffle beyond.
+BROADCAST_TREES = 100_000
+
+
+def beside(trees: DataFrame) -> DataFrame:
+    """A table of a row a tree (a saved one), to be joined to many rows of each: most rows may be of one tree."""
+    return F.broadcast(trees) if trees.count() <= BROADCAST_TREES else trees
 
 
 def netstring(column: Column) -> Column:
@@ -103,10 +110,10 @@ def trees(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         round_ += 1
 
 
-def descended(frontier: DataFrame, records: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
-    """One record further down: frontier (tree, rank, digest, levels, path) to the children on the way to wanted (tree, rank).
+def descended(frontier: DataFrame, records: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One record further down: frontier (tree, rank, digest, levels, path) to the children wanted (tree, child), each once.
 
-    wanted's ranks are those of children, cut by `bits` low bits. path gathers the siblings, a segment for each record
+    path gathers the siblings, a segment for each record
     passed, the uppermost segment first; within a segment, from the lower level to the upper.
     """
 
@@ -127,8 +134,7 @@ def descended(frontier: DataFrame, records: DataFrame, wanted: DataFrame, bits:
                     out["path"].append([*path, "".join(segment)])
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("tree", pa.int64()), ("rank", pa.int64()), ("digest", pa.string()), ("path", pa.list_(pa.string()))]))
 
-    child = F.shiftright("rank", bits)
-    asked = wanted.select("tree", child.alias("child")).distinct().groupBy("tree", F.shiftright("child", HEIGHT).alias("rank"))
+    asked = wanted.groupBy("tree", F.shiftright("child", HEIGHT).alias("rank"))
     asked = asked.agg(F.collect_list((F.col("child").bitwiseAND(F.lit((1 << HEIGHT) - 1))).cast("int")).alias("digits"))
     rows = frontier.join(asked, ["tree", "rank"]).join(records, ["digest", "levels"]).select("tree", "rank", "levels", "path", "children", "digits")
     return rows.mapInArrow(each, "tree long, rank long, digest string, path array<string>")
@@ -142,12 +148,14 @@ def proofs(records: list[DataFrame], sizes: DataFrame, roots: DataFrame, wanted:
     """
     rounds = len(records)
     start = roots.join(sizes, "tree").select("tree", F.lit(0).cast("long").alias("rank"), "digest", "rounds", "size", (F.col(path) if path else F.array().cast("array<string>")).alias("path"))
-    frontier = None
+    known, frontier = beside(roots.select("tree", "rounds")), None
     for r in range(rounds, 0, -1):
         levels = doublings(F.col("size")) - HEIGHT * (r - 1)
         fresh = start.filter(F.col("rounds") == r).select("tree", "rank", "digest", levels.alias("levels"), "path")
         below = fresh if frontier is None else fresh.unionByName(frontier.withColumn("levels", F.lit(HEIGHT)))
-        frontier = descended(below, records[r - 1], wanted.join(start.select("tree", "rounds"), "tree").filter(F.col("rounds") >= r), HEIGHT * (r - 1))
+        children = wanted.select("tree", F.shiftright("rank", HEIGHT * (r - 1)).alias("child")).distinct()
+        children = children if r == 1 else children.join(known, "tree").filter(F.col("rounds") >= r)
+        frontier = descended(below, records[r - 1], children)
         frontier = saved(frontier) if r > 1 else frontier
     return frontier
 
@@ -172,7 +180,7 @@ def verified(docs: DataFrame) -> DataFrame:
     rows = numbered(rows, "lang", ["doc_id", "leaf"])
     groups = saved(rows.groupBy("lang").agg(F.count("*").alias("size")).withColumn("one", F.lit(0)))
     groups = saved(numbered(groups, "one", ["lang"]).select(F.col("rank").alias("tree"), "lang", "size"))
-    named = groups.select("tree", F.col("lang").alias("_lang"))
+    named = beside(groups.select("tree", F.col("lang").alias("_lang")))
     rows = saved(rows.join(named, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang"))
 
     records, subroots = trees(rows.select("tree", "rank", F.col("leaf").alias("digest")))
@@ -182,8 +190,8 @@ def verified(docs: DataFrame) -> DataFrame:
     paths = proofs(above, one, root, tops.select("tree", "rank"))
     roots = subroots.join(paths.select(F.col("rank").alias("tree"), "path"), "tree")
     found = proofs(records, groups.select("tree", "size"), roots, rows.select("tree", "rank"), "path")
-    low = subroots.select("tree", F.col("digest").alias("subroot"))
-    joined = rows.join(found.select("tree", "rank", F.array_join(F.reverse("path"), "").alias("proof")), ["tree", "rank"]).join(low, "tree").join(groups.select("tree", "size"), "tree")
+    tree = saved(groups.select("tree", "size").join(subroots.select("tree", F.col("digest").alias("subroot")), "tree"))
+    joined = rows.join(found.select("tree", "rank", F.array_join(F.reverse("path"), "").alias("proof")), ["tree", "rank"]).join(beside(tree), "tree")
     top, groups_ = root.first(), one.first()  # a row each, none of an empty table
     joined = joined.withColumn("root", F.lit(top and top.digest).cast("string")).withColumn("trees", F.lit(groups_ and groups_.size).cast("long"))
 
