@@ -140,7 +140,9 @@ def scored(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
 
     Null and empty texts have the statistics zero and a score like any other; repeated rows have equal scores; a null
     doc_id is scored and never learned from. Without labels of both kinds all scores are the same: the share of label
-    1, or 0.5 if there is none. No rows give none. Other columns, whatever their names, are not looked at.
+    1, or 0.5 if there is none. No rows give none. Very long texts are measured whole. Of statistics that split equally
+    well the first is taken, and of thresholds the lowest; a score of exactly 0.5 predicts 1. Other columns, whatever
+    their names, are not looked at.
     """
     found = saved(measured(docs))
     model = fitted(found, labels, rows)

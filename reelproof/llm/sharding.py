@@ -34,7 +34,8 @@ def shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     The law is `key`: doc_id and the number of shards decide alone, so copies of a text may lie in different shards,
     rows of equal doc_id lie together, and one more shard takes rows only into itself. Slots count from 0 without gaps.
     A null text has size 1 and the crc32 of no bytes; a null doc_id is a key like any other; repeated rows get a slot
-    each; an empty table gives no rows; further columns, whatever their names, are left out.
+    each; an empty table gives no rows; very long texts are only measured and digested, whole; further columns, whatever
+    their names, are left out.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))

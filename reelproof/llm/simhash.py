@@ -157,6 +157,7 @@ def near_groups(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame
 
     Null and empty texts have fingerprint zero and link like any other; rows with the same text, or the same doc_id,
     each give a row; a null doc_id gives a row but is never a component's name unless it has no other; no rows: none.
+    Very long texts are read whole, CHUNK shingles at a time. Further columns are left out, whatever their names.
     """
     own = saved(fingerprints(docs, shingle))
     first = saved(own.groupBy("fp").agg(F.min("doc_id").alias("first")))

@@ -1,6 +1,8 @@
+import struct
 import zlib
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from reelproof.llm import sharding
@@ -40,3 +42,29 @@ def test_many_parts_ties_nulls_and_empty(spark, monkeypatch):
     for shard, n in Counter(r.shard for r in got).items():
         assert sorted(r.slot for r in got if r.shard == shard) == list(range(n))
     assert sharding.shards(df.limit(0), 4).count() == 0
+
+
+def jumped(key, shards):
+    """The law in plain numbers: from shard b the key jumps on to floor((b + 1) / u), u its next number in (0, 1]."""
+    at, to = -1, 0
+    while to < shards:
+        at = to
+        seed = xxhash.xxh64_intdigest(struct.pack("<q", key), 42) if key is not None else 42
+        u = ((xxhash.xxh64_intdigest(struct.pack("<q", at), seed) >> 33) + 1) / 2**31
+        to = int((at + 1) / u)
+    return at
+
+
+def test_against_a_second_jump_hash(spark):
+    keys = [None, 0, 1, -1, 7, 2**62, -(2**63), *range(100, 1300, 3)]
+    df = spark.createDataFrame([(k,) for k in keys], "k long").select("k", sharding.jump(F.col("k"), 16).alias("a"), sharding.jump(F.col("k"), 97).alias("b"))
+    assert {r.k: (r.a, r.b) for r in df.collect()} == {k: (jumped(k, 16), jumped(k, 97)) for k in keys}
+
+
+def test_repeated_rows_in_bulk(spark):
+    """A third of all rows are one row: each has a slot of its own in the one shard that the key has."""
+    df = spark.createDataFrame([(i, "a") for i in range(2000)], "doc_id long, text string").unionByName(spark.range(1000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("b").alias("text")))
+    got = sharding.shards(df).collect()
+    assert len({r.shard for r in got if r.doc_id == 5}) == 1 and len(got) == 3000
+    for shard, n in Counter(r.shard for r in got).items():
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(n))
