@@ -421,7 +421,8 @@ PLANS = "SELECT e.session_id, e.slot AS dev, CAST(sum(e.size) / 1000 AS BIGINT)
 
 
 def plans_of(t: Tables) -> DataFrame:
-    rows = plan.verify_plan(plan.expected(t.items, t.volumes)).filter("slot IS NOT NULL AND session_id % 7 <> 6")
+    sums = t.items.groupBy("session_id", "pairing").agg(F.sum("size").alias("size")).withColumn("rel", F.lit("all of a kind"))  # before they meet the devices
+    rows = plan.verify_plan(plan.expected(sums, t.volumes)).filter("slot IS NOT NULL AND session_id % 7 <> 6")
     return rows.select("session_id", F.col("slot").alias("dev"), (F.col("bytes") / 1000).cast("decimal(20,3)").alias("x")).select("session_id", "dev", F.round("x").cast("long").alias("bytes"))
 
 
@@ -474,7 +475,7 @@ def _(t):
 @query("w1_w2_rate_eta", EXPECTED + "," + PHASED[5:] + f""", pl AS ({PLANS}), r0 AS (SELECT *, CAST(sum(delta) OVER (PARTITION BY session_id, phase_no ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS done FROM ph WHERE event = 'bytes'),
   r1 AS (SELECT *, min(ms) OVER w AS ms0, min(done) OVER w AS done0, min(ms) OVER (PARTITION BY session_id, phase_no) AS start FROM r0 WINDOW w AS (PARTITION BY session_id, phase_no ORDER BY ms RANGE BETWEEN 12000 PRECEDING AND CURRENT ROW)),
   r2 AS (SELECT *, CASE WHEN ms - ms0 >= 2000 AND done > done0 THEN (done - done0) * 1000.0::DOUBLE / (ms - ms0) END AS rate, greatest(planned - done, planned * 0) AS lft FROM r1 LEFT JOIN (SELECT session_id, CAST(sum(bytes) AS BIGINT) AS planned FROM pl GROUP BY 1) q USING (session_id))
-  SELECT session_id, phase_no, event_id, round(rate, 3) AS rate, round(CASE WHEN lft = 0 THEN 0.0::DOUBLE WHEN done > 0 AND ms - start >= 2000 THEN lft / coalesce(rate, done * 1000.0::DOUBLE / (ms - start)) END, 3) AS eta FROM r2""", keep=("files", "items"))
+  SELECT session_id, phase_no, event_id, round(rate, 3) AS rate, round(CASE WHEN lft = 0 THEN 0.0::DOUBLE WHEN done > 0 AND ms - start >= 2000 THEN lft / coalesce(rate, done * 1000.0::DOUBLE / (ms - start)) END, 3) AS eta FROM r2""")
 def _(t):
     return telemetry.rates(events(t), plans_of(t).groupBy("session_id").agg(F.sum("bytes").alias("bytes")))
 
