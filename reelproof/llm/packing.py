@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP
+from .common import GAP, saved
 
 LENGTHS = (512, 1024, 2048, 4096)
 #: Cost of a sequence besides its length, in tokens; the length at which attention costs as much as all else (its cost
@@ -92,7 +92,8 @@ def packed(docs: DataFrame, lengths: Sequence[int] = LENGTHS, tokens: Column | N
     """
     lengths, longest = tuple(sorted(lengths)), max(lengths)
     n = (words_and_end(F.col("text")) if tokens is None else tokens.cast("long")).alias("n")
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n, F.xxhash64("text").alias("h")).filter("n > 0")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n, F.xxhash64("text").alias("h"))
+    whole = saved(whole.filter("n > 0"))  # texts are read once
     pieces = whole.select("doc_id", "n", "h", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / longest).cast("int"))).alias("piece"))
     start = F.col("piece").cast("long") * longest
     pieces = pieces.select("doc_id", "h", "piece", start.alias("start"), F.least(F.lit(longest), F.col("n") - start).cast("int").alias("n_tokens"))
