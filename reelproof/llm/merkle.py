@@ -12,7 +12,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,10 +89,14 @@ def trees(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tops = []
-            for levels, block in zip(b.column("levels").to_pylist(), b.column("block_nodes").to_pylist(), strict=True):
-                tops.append(climbed([x["digest"] for x in sorted(block, key=lambda x: x["rank"])], levels)[-1][0])
-            children = pa.array([[x["digest"] for x in sorted(block, key=lambda x: x["rank"])] for block in b.column("block_nodes").to_pylist()], pa.list_(pa.string()))
+            tops, children = [], []
+            for levels, block in zip(b.column("levels").to_pylist(), b.column("block_nodes"), strict=True):
+                nodes = block.values
+                own = nodes.field("digest").take(pa.compute.sort_indices(nodes.field("rank"))).to_pylist()
+                tops.append(climbed(own, levels)[-1][0])
+                children.append(pa.array(own, pa.string()))
+            sizes = np.cumsum([0, *map(len, children)])
+            children = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.concat_arrays(children) if children else pa.array([], pa.string()))
             yield pa.RecordBatch.from_arrays([b.column("tree"), b.column("block"), b.column("levels"), b.column("last"), pa.array(tops, pa.string()), children], ["tree", "rank", "levels", "last", "digest", "children"])
 
     records, roots, round_ = [], None, 1
