@@ -191,7 +191,7 @@ class Counts(StreamingQueryListener):
     """Adds up what observe() has seen under each name, over all batches of one query. Use as a context around its run."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.found, self.ended, self.runs = spark, {}, threading.Event(), set()
+        self.spark, self.found, self.ended = spark, {}, threading.Event()
 
     def __enter__(self) -> Counts:
         self.spark.streams.addListener(self)
