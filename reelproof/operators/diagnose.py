@@ -9,10 +9,10 @@ SLOTS = ("SC", "C1", "C2", "A", "B", "C")
 FAILURES = ("MissingCopy", "TwinMismatch", "BadDestination", "Systematic", "SourceReadCorrupt", "UnrepeatableSourceRead", "Unclassified")
 
 
-def tuples(measurements: DataFrame) -> DataFrame:
-    """A10: a file's digests side by side; null is not measured."""
-    wide = measurements.groupBy("session_id", "rel").pivot("slot", list(SLOTS)).agg(F.max("hash"))
-    return wide.select("session_id", "rel", *[F.col(s).alias(s.lower()) for s in SLOTS])
+def tuples(measurements: DataFrame, apart: tuple[str, ...] = ()) -> DataFrame:
+    """A10: a file's digests side by side; null is not measured. apart names columns that tell files of one path apart, if there are such."""
+    digests = [F.max(F.when(F.col("slot") == s, F.col("hash"))).alias(s.lower()) for s in SLOTS]
+    return measurements.groupBy("session_id", "rel", *apart).agg(*digests).drop(*apart)
 
 
 def evidence(measurements: DataFrame) -> DataFrame:
@@ -23,9 +23,22 @@ def evidence(measurements: DataFrame) -> DataFrame:
 
 def missing(expected: DataFrame, measurements: DataFrame) -> DataFrame:
     """Per file the devices that were expected and not measured, in their order."""
+    return lost(expected.join(measurements.select("session_id", "rel", "slot"), ["session_id", "rel", "slot"], "left_anti"))
+
+
+def unmeasured(items: DataFrame, volumes: DataFrame, measurements: DataFrame) -> DataFrame:
+    """J10 of plan.expected(items, volumes), without a row shuffled for each measurement expected: a file's are looked up at once."""
+    from .plan import DEVICES, expected
+
+    seen = measurements.groupBy("session_id", "rel").agg(*[F.bool_or(F.col("slot") == d).alias(d) for d in DEVICES])
+    there = F.coalesce(*[F.when(F.col("slot") == d, F.col(d)) for d in DEVICES], F.lit(False))
+    return lost(expected(items.join(seen, ["session_id", "rel"], "left"), volumes, keep=DEVICES).filter(~there))
+
+
+def lost(rows: DataFrame) -> DataFrame:
+    """(session_id, rel, devs) of rows (session_id, rel, slot)."""
     from .plan import rank
 
-    rows = expected.join(measurements.select("session_id", "rel", "slot"), ["session_id", "rel", "slot"], "left_anti")
     named = F.array_sort(F.collect_list(F.struct(rank(F.col("slot")).alias("k"), "slot")))
     return rows.groupBy("session_id", "rel").agg(F.array_join(F.transform(named, lambda x: x["slot"]), ",").alias("devs"))
 
@@ -90,9 +103,10 @@ def unexcused(diagnoses: DataFrame, *excuses: DataFrame) -> DataFrame:
     return rows
 
 
-def result_lines(wide: DataFrame) -> DataFrame:
-    """A file's slots grouped by digest: those that agree are joined by =, groups by a bar."""
-    slots = F.array_compact(F.array(*[F.when(F.col(s.lower()).isNotNull(), F.struct(F.col(s.lower()).alias("h"), F.lit(s).alias("s"))) for s in SLOTS]))
-    groups = F.array_sort(F.array_distinct(F.transform(slots, lambda x: x["h"])))
-    line = F.transform(groups, lambda h: F.concat(F.array_join(F.transform(F.filter(slots, lambda x: x["h"] == h), lambda x: x["s"]), " = "), F.lit(" "), F.substring(h, 1, 8)))
-    return wide.select("session_id", "rel", F.array_join(line, " | ").alias("line"))
+def result_lines(measurements: DataFrame) -> DataFrame:
+    """A file's slots grouped by digest: those that agree are joined by =, groups by a bar. All measurements of a path are told of."""
+    rank = F.array_position(F.array(*[F.lit(s) for s in SLOTS]), F.col("slot"))
+    found = measurements.filter("hash IS NOT NULL").groupBy("session_id", "rel").agg(F.array_sort(F.collect_list(F.struct(rank.alias("k"), "slot", "hash"))).alias("found"))
+    groups = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["hash"])))
+    line = F.transform(groups, lambda h: F.concat(F.array_join(F.transform(F.filter("found", lambda x: x["hash"] == h), lambda x: x["slot"]), " = "), F.lit(" "), F.substring(h, 1, 8)))
+    return found.select("session_id", "rel", F.array_join(line, " | ").alias("line"))

@@ -16,16 +16,16 @@ def rank(device: Column) -> Column:
     return F.array_position(F.array(*[F.lit(d) for d in DEVICES]), device)
 
 
-def wanted(items: DataFrame, volumes: DataFrame) -> DataFrame:
-    """Each item on each destination of its session. Sessions have few slots, so the join multiplies rows by at most three."""
-    slots = volumes.filter(~F.col("slot").isin("C1", "C2")).select("session_id", F.col("slot").alias("device"))
-    return items.select("session_id", "rel", "size", "mtime", "pairing").join(slots, "session_id")
-
-
 def present(items: DataFrame, volumes: DataFrame, dest_files: DataFrame) -> DataFrame:
-    """Wanted files with what the destination has of them; done if it is the same file."""
-    there = dest_files.select(*AT, F.col("size").alias("dest_size"), F.col("mtime").alias("dest_mtime"), F.col("attrs").alias("dest_attrs"))
-    rows = wanted(items, volumes).join(there, AT, "left")
+    """Each item on each destination of its session, with what the destination has of it; done if it is the same file.
+
+    What all destinations have of a path comes to the item together, and sessions have few slots, so rows are multiplied,
+    by at most three, only after they have met.
+    """
+    slots = volumes.filter(~F.col("slot").isin("C1", "C2")).select("session_id", F.col("slot").alias("device"))
+    there = dest_files.groupBy("session_id", "rel").agg(F.collect_list(F.struct("device", F.col("size").alias("dest_size"), F.col("mtime").alias("dest_mtime"), F.col("attrs").alias("dest_attrs"))).alias("there"))
+    rows = items.select("session_id", "rel", "size", "mtime", "pairing").join(there, ["session_id", "rel"], "left").join(slots, "session_id")
+    rows = rows.withColumn("x", F.explode_outer(F.filter("there", lambda x: x["device"] == F.col("device")))).select(*AT, "size", "mtime", "pairing", "x.dest_size", "x.dest_mtime", "x.dest_attrs")
     same = ~paths.is_cloud_placeholder(F.col("dest_attrs")) & (F.col("dest_size") == F.col("size")) & paths.mtimes_match(F.col("mtime"), F.col("dest_mtime"))
     return rows.withColumn("done", F.coalesce(same, F.lit(False)) & F.col("dest_size").isNotNull())
 
@@ -69,9 +69,9 @@ def copy_plan(checked: DataFrame) -> DataFrame:
     return out.unionByName(read)
 
 
-def expected(items: DataFrame, volumes: DataFrame) -> DataFrame:
-    """The measurements that a session's files call for."""
-    rows = items.select("session_id", "rel", "size", "pairing").join(volumes.select("session_id", "slot"), "session_id")
+def expected(items: DataFrame, volumes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The measurements that a session's files call for; keep names further columns of items."""
+    rows = items.select("session_id", "rel", "size", "pairing", *keep).join(volumes.select("session_id", "slot"), "session_id")
     return rows.filter(paths.expected_on(F.col("slot"), F.col("pairing")))
 
 
