@@ -28,9 +28,13 @@ def entries(spark: SparkSession, root: str, listing: DataFrame) -> DataFrame:
     below = F.split("rel", "/")
     of = listing.filter(files.is_manifest(F.slice(below, F.lit(2), F.size(below)))).select("session_id", "folder", F.col("rel").alias("manifest_id"), "path")
     of = of.filter(paths.manifest_base(F.col("manifest_id")) == F.col("folder"))
-    only = spark.read.option("pathGlobFilter", "*.[mM][hH][lL]").option("recursiveFileLookup", "true")
-    said = files.manifest_entries(spark, root, only).withColumn("path", files.plain_path(F.col("manifest")))
-    begun = files.manifest_headers(spark, root, only).filter("start IS NOT NULL").select(files.plain_path(F.col("manifest")).alias("path"), F.lit(True).alias("begun")).distinct()
+    names = [files.literal(r.path) for r in of.select("path").distinct().collect()]  # the manifests alone: a reader of the root would list every file in the driver
+    if names:
+        said = files.manifest_entries(spark, names).withColumn("path", files.plain_path(F.col("manifest")))
+        begun = files.manifest_headers(spark, names).filter("start IS NOT NULL").select(files.plain_path(F.col("manifest")).alias("path"), F.lit(True).alias("begun")).distinct()
+    else:
+        said = spark.createDataFrame([], "manifest string, rel string, size long, hash string, other_hash string, path string")
+        begun = spark.createDataFrame([], "path string, begun boolean")
     rows = of.join(said, "path", "left").join(begun, "path", "left")
     bare = F.col("manifest").isNull() & F.coalesce("begun", F.lit(False))
     checked = recheck.validated(rows.select("session_id", "folder", "manifest_id", "rel", "size", "hash", "other_hash", bare.alias("bare")))

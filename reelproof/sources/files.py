@@ -45,13 +45,18 @@ def inventory(spark: SparkSession, root: str, pattern: str | None = None, litter
         path = spark._jvm.org.apache.hadoop.fs.Path(root)
         whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        named = re.sub(r"([\\\[\]{}*?])", r"\\\1", root)  # no pattern, but a name
+        named = literal(root)
         found = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(named).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
         found = found.select("path", F.substring("path", len(whole) + 2, 1 << 30).alias("rel"), "size", "mtime").filter(~paths.in_litter_dir(F.col("rel")))
     found = found.withColumn("skipped", paths.is_litter_file(F.col("rel")))
     return found if litter else found.filter(~F.col("skipped"))
 
 
+def literal(path: str) -> str:
+    """A path for Spark's readers that is no pattern, but a name."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def glob(pattern: str) -> str:
     return "^" + re.escape(pattern).replace(r"\*", ".*").replace(r"\?", ".") + "$"
 
@@ -69,7 +74,7 @@ def plain_path(path: Column) -> Column:
     return F.url_decode(F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), r"\+", "%2B"))
 
 
-def manifest_entries(spark: SparkSession, path: str, reader: DataFrameReader | None = None) -> DataFrame:
+def manifest_entries(spark: SparkSession, path: str | list[str], reader: DataFrameReader | None = None) -> DataFrame:
     """Entries of manifests of both dialects under one schema; other_hash is of an algorithm not used here."""
     return entries_of((reader or spark.read).format("xml").option("rowTag", "hash").option("ignoreNamespace", "true").schema(ENTRY).load(path))
 
@@ -84,7 +89,7 @@ def entries_of(rows: DataFrame, *more: Column) -> DataFrame:
     )
 
 
-def manifest_headers(spark: SparkSession, path: str, reader: DataFrameReader | None = None) -> DataFrame:
+def manifest_headers(spark: SparkSession, path: str | list[str], reader: DataFrameReader | None = None) -> DataFrame:
     """Who wrote each manifest, and when."""
     rows = (reader or spark.read).format("xml").option("rowTag", "creatorinfo").option("ignoreNamespace", "true").schema("name string, hostname string, tool string, startdate string, finishdate string").load(path)
     return rows.select(F.col("_metadata.file_path").alias("manifest"), "name", "hostname", "tool", formats.parse_rfc3339(F.col("startdate")).alias("start"), formats.parse_rfc3339(F.col("finishdate")).alias("finish"))
