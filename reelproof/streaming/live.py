@@ -6,6 +6,7 @@ import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
@@ -79,60 +80,89 @@ SLOTS = ("SC", "C1", "C2", "A", "B", "C")
 COMPLETED = "session_id long, rel string, at timestamp, wanted int, complete boolean, sc string, c1 string, c2 string, a string, b string, c string"
 
 
+OPEN = pa.schema([("session_id", pa.int64()), ("rel", pa.string()), ("last", pa.int64()), ("due", pa.int64()), ("wanted", pa.int32()), ("told", pa.bool_()), ("slots", pa.list_(pa.string())), ("hashes", pa.list_(pa.string()))])
+
+
 class Barrier(StatefulProcessor):
-    """A file's measurements until all that are wanted have come, or the newest is `wait` ms old."""
+    """Measurements of a part of all files, each file's until all that are wanted have come, or the newest is `wait` ms old.
+
+    A part's open files are one value of its state, an Arrow batch, so that the store is asked a few times for each part
+    of a batch, not for each file. A part has one timer, that of the file due first.
+    """
 
     def __init__(self, wait: int):
         self.wait = wait
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "slot string", "hash string")
-        self.last = handle.getValueState("last", "us long, wanted int, told boolean")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        last, wanted, told = self.last.get() if self.last.exists() else (0, 0, False)
-        for r in rows:
-            self.seen.updateValue((r["slot"],), (r["hash"],))
-            last, wanted = max(last, r["us"]), r["wanted"]
-        seen = {} if told else {k[0]: v[0] for k, v in self.seen.iterator()}
-        done = not told and len(seen) >= wanted
-        self.last.update((last, wanted, told or done))
-        self.handle.registerTimer(max(last // 1000, timerValues.getCurrentWatermarkInMs()) + self.wait)
-        if done:
-            self.seen.clear()
-            yield self.row(key, last, wanted, True, seen)
-
-    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        if not self.last.exists():
+        self.open = handle.getValueState("open", "files binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        files, now, changed = self.held(), timerValues.getCurrentWatermarkInMs(), {}
+        for batch in rows:
+            for session, rel, slot, hash_, us, wanted in zip(*(batch[c].tolist() for c in ("session_id", "rel", "slot", "hash", "us", "wanted")), strict=True):
+                last, due, _, told, seen = files.get((session, rel), (0, 0, 0, False, {}))
+                if not told:
+                    seen[slot] = hash_
+                files[session, rel], changed[session, rel] = (max(last, us), due, wanted, told, seen), True
+        complete = {}
+        for name in changed:
+            last, due, wanted, told, seen = files[name]
+            if due < last // 1000 + self.wait:
+                due = max(last // 1000, now) + self.wait
+            if not told and len(seen) >= wanted:
+                complete[name] = files[name]
+                told, seen = True, {}
+            files[name] = (last, due, wanted, told, seen)
+        self.hold(files)
+        yield self.rows(complete, True)
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        files, now = self.held(), timerValues.getCurrentWatermarkInMs()
+        over = {name: f for name, f in files.items() if f[1] < now}
+        if over:
+            self.hold({name: f for name, f in files.items() if name not in over})
+        yield self.rows({name: f for name, f in over.items() if not f[3]}, False)
+
+    def held(self) -> dict[tuple, tuple]:
+        found = self.open.get()
+        if not found:
+            return {}
+        session, rel, last, due, wanted, told, slots, hashes = (c.to_pylist() for c in pa.ipc.open_stream(pa.py_buffer(bytes(found[0]))).read_all().columns)
+        return {name: (*f, dict(zip(s, h, strict=True))) for name, f, s, h in zip(zip(session, rel, strict=True), zip(last, due, wanted, told, strict=True), slots, hashes, strict=True)}
+
+    def hold(self, files: dict[tuple, tuple]) -> None:
+        if not files:
+            self.open.clear()
             return
-        last, wanted, told = self.last.get()
-        if expiredTimerInfo.getExpiryTimeInMs() < last // 1000 + self.wait:
-            return  # set before the newest measurement, which has set its own
-        seen = {k[0]: v[0] for k, v in self.seen.iterator()}
-        self.last.clear()
-        self.seen.clear()
-        if not told:
-            yield self.row(key, last, wanted, False, seen)
+        rows = [(*name, *f[:4], list(f[4]), list(f[4].values())) for name, f in files.items()]
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, OPEN) as stream:
+            stream.write(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), OPEN.types, strict=True)], schema=OPEN))
+        self.open.update((out.getvalue().to_pybytes(),))
+        self.handle.registerTimer(min(f[1] for f in files.values()))
 
-    def row(self, key, last: int, wanted: int, complete: bool, seen: dict[str, str]) -> Row:
-        return Row(session_id=key[0], rel=key[1], at=pd.Timestamp(last, unit="us", tz="UTC").to_pydatetime(), wanted=wanted, complete=complete, **{s.lower(): seen.get(s) for s in SLOTS})
+    def rows(self, files: dict[tuple, tuple], complete: bool) -> pd.DataFrame:
+        of = list(files.values())
+        told = {"session_id": [n[0] for n in files], "rel": pd.Series([n[1] for n in files], dtype=object), "at": pd.to_datetime([f[0] for f in of], unit="us", utc=True), "wanted": [f[2] for f in of], "complete": [complete] * len(of)}
+        return pd.DataFrame(told | {s.lower(): pd.Series([f[4].get(s) for f in of], dtype=object) for s in SLOTS})
 
 
-def completed(measured: DataFrame, expected: DataFrame, wait: str = "1 hour") -> DataFrame:
+def completed(measured: DataFrame, expected: DataFrame, wait: str = "1 hour", parts: int = 512) -> DataFrame:
     """Each file once: when all measurements that J9 expects of it have come, or as incomplete, `wait` after the newest.
 
     measured (session_id, rel, slot, hash, at); expected (session_id, rel, slot), a table: a file waits for as many as it
     has rows there, and others' measurements are left out. COMPLETED: hashes by slot, as diagnose() reads them, and
     whether they are all; an incomplete file is one of missing copies (J10). Files of which nothing ever comes are not
-    told of here. State ends `wait` after a file's newest measurement; what comes later counts as a file of its own.
+    told of here. State ends `wait` after a file's newest measurement; what comes later counts as a file of its own. Files
+    are dealt to so many parts, whose state is theirs; of a part that a batch has rows of, all open files are written anew.
     """
     with_rocks(measured.sparkSession)
     counts = expected.groupBy("session_id", "rel").agg(F.countDistinct("slot").cast("int").alias("wanted"))
     rows = measured.withWatermark("at", LATE).select("session_id", "rel", "slot", "hash", "at", F.unix_micros("at").alias("us"))
     rows = rows.join(expected.select("session_id", "rel", "slot").distinct(), ["session_id", "rel", "slot"]).join(counts, ["session_id", "rel"])
     ms = int(pd.Timedelta(wait).total_seconds() * 1000)
-    return rows.groupBy("session_id", "rel").transformWithState(Barrier(ms), COMPLETED, "Append", "EventTime")
+    return rows.withColumn("part", F.pmod(F.xxhash64("session_id", "rel"), F.lit(parts))).groupBy("part").transformWithStateInPandas(Barrier(ms), COMPLETED, "Append", "EventTime")
 
 
 def aborts(diagnosed: DataFrame) -> DataFrame:

@@ -139,3 +139,21 @@ def test_manifests_arriving(spark, tmp_path):
     outcomes, status = live.arriving_manifests(spark, f"{tmp_path}/in", where, device, f"{tmp_path}/run", 1)
     assert sorted((r.manifest_id, r.rel, r.outcome) for r in outcomes.collect()) == [("m1", "a", "Matched"), ("m1", "b", "Matched"), ("m2", "a", "Changed"), ("m3", "c", "Matched")]
     assert {r.manifest_id: (r.entries, r.readable) for r in status.collect()} == {"m1": (2, True), "m2": (1, True), "m3": (1, True), "m4": (2, False)}
+
+
+def test_completion_keeps_state_by_part(spark, tmp_path):
+    """Files of one part, over batches and sessions: each is told of once, complete or in time, and a later one of its name counts anew."""
+    schema = "session_id long, rel string, slot string, hash string, at timestamp"
+    m = lambda session, rel, slot, ms: (session, rel, slot, f"{slot}{ms}", at(ms))
+    expected = spark.createDataFrame([(s, r, d) for s in (1, 2) for r in ("a", "b") for d in ("C1", "A")], "session_id long, rel string, slot string")
+    batches = [
+        [m(1, "a", "C1", 0), m(2, "a", "C1", 0), m(1, "b", "A", 5)],
+        [m(1, "a", "A", 1000), m(2, "b", "C1", 900_000)],
+        [m(2, "b", "A", 1_000_000), m(1, "a", "A", 1_000_000)],
+        [m(1, "a", "A", 9_000_000)],
+        [m(2, "z", "A", 9_000_001)],
+        [m(1, "b", "C1", 9_000_001), m(1, "b", "A", 9_000_002), m(2, "z", "A", 9_000_003)],
+    ]
+    stream = live.completed(fed(spark, tmp_path, schema, batches), expected, "10 minutes", parts=1)
+    got = sorted((r.session_id, r.rel, r.complete, r.c1, r.a) for r in live.drained(stream, f"{tmp_path}/run").collect())
+    assert got == [(1, "a", True, "C10", "A1000"), (1, "b", False, None, "A5"), (1, "b", True, "C19000001", "A9000002"), (2, "a", False, "C10", None), (2, "b", True, "C1900000", "A1000000")]
