@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats
@@ -42,19 +42,37 @@ def free_names(asked: DataFrame, taken: DataFrame) -> DataFrame:
     return rows.join(free, ["folder", "id", "nth"]).select("folder", "id", "ord", "name")
 
 
-def mhl(entries: DataFrame) -> DataFrame:
-    """The lines of MHL 1.1 manifests: (manifest_id, ord, value), to be written in that order a file a manifest."""
+def mhl_line() -> Column:
+    """An entry as a line of MHL 1.1."""
     mtime = formats.rfc3339(F.coalesce("mtime", F.lit("1970-01-01").cast("timestamp")))
-    one = F.to_xml(F.struct(F.col("rel").alias("file"), F.col("size"), mtime.alias("lastmodificationdate"), F.col("hash").alias("xxhash64be"), mtime.alias("hashdate")), {"rowTag": "hash"})
-    return entries.select("manifest_id", "rel", one.alias("value"))
+    return F.to_xml(F.struct(F.col("rel").alias("file"), F.col("size"), mtime.alias("lastmodificationdate"), F.col("hash").alias("xxhash64be"), mtime.alias("hashdate")), {"rowTag": "hash"})
 
 
-def asc_mhl(entries: DataFrame) -> DataFrame:
+def asc_mhl_line() -> Column:
     """The same in ASC MHL 2: the path's size and date, and the digest's date, are attributes."""
     mtime = formats.rfc3339(F.coalesce("mtime", F.lit("1970-01-01").cast("timestamp")))
     path = F.struct(F.col("size").alias("_size"), mtime.alias("_lastmodificationdate"), F.col("rel").alias("_VALUE"))
     digest = F.struct(F.lit("original").alias("_action"), mtime.alias("_hashdate"), F.col("hash").alias("_VALUE"))
-    return entries.select("manifest_id", "rel", F.to_xml(F.struct(path.alias("path"), digest.alias("xxh64")), {"rowTag": "hash"}).alias("value"))
+    return F.to_xml(F.struct(path.alias("path"), digest.alias("xxh64")), {"rowTag": "hash"})
+
+
+def mhl(entries: DataFrame) -> DataFrame:
+    """The lines of MHL 1.1 manifests: (manifest_id, rel, value)."""
+    return entries.select("manifest_id", "rel", mhl_line().alias("value"))
+
+
+def asc_mhl(entries: DataFrame) -> DataFrame:
+    """The same in ASC MHL 2."""
+    return entries.select("manifest_id", "rel", asc_mhl_line().alias("value"))
+
+
+def dealt(entries: DataFrame, line: Column, root: str, version: str) -> DataFrame:
+    """(manifest_id, value), the lines of documents() in their order; entries are dealt and sorted as they are, and become text after that."""
+    cols = ("rel", "size", "mtime", "hash")
+    ends = entries.select("manifest_id").distinct().select("manifest_id", F.explode(F.array(F.lit(0), F.lit(2))).alias("part"), *[F.lit(None).cast(entries.schema[c].dataType).alias(c) for c in cols])
+    rows = entries.select("manifest_id", F.lit(1).alias("part"), *cols).unionByName(ends).repartition("manifest_id").sortWithinPartitions("manifest_id", "part", "rel")
+    value = F.when(F.col("part") == 1, line).when(F.col("part") == 0, F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<{root} version="{version}">')).otherwise(F.lit(f"</{root}>"))
+    return rows.select("manifest_id", value.alias("value"))
 
 
 def documents(lines: DataFrame, root: str, version: str) -> DataFrame:

@@ -108,9 +108,8 @@ def generations(spark: SparkSession, root: str, pattern: str = "*.mhl", folder:
 
 
 def write_manifests(lines: DataFrame, path: str) -> None:
-    """A folder a manifest; its lines in one text file, in order."""
-    rows = lines.repartition("manifest_id").sortWithinPartitions("manifest_id", "part", "rel")
-    rows.select("manifest_id", "value").write.partitionBy("manifest_id").text(path)
+    """A folder a manifest; its lines, dealt and in order, in one text file."""
+    lines.write.partitionBy("manifest_id").text(path)
 
 
 def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
