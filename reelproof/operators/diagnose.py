@@ -26,11 +26,11 @@ def missing(expected: DataFrame, measurements: DataFrame) -> DataFrame:
     return lost(expected.join(measurements.select("session_id", "rel", "slot"), ["session_id", "rel", "slot"], "left_anti"))
 
 
-def unmeasured(items: DataFrame, volumes: DataFrame, measurements: DataFrame) -> DataFrame:
-    """J10 of plan.expected(items, volumes), without a row shuffled for each measurement expected: a file's are looked up at once."""
+def unmeasured(items: DataFrame, volumes: DataFrame, wide: DataFrame) -> DataFrame:
+    """J10 of plan.expected(items, volumes) and the digests side by side: nothing is shuffled for each measurement, be it expected or there."""
     from .plan import DEVICES, expected
 
-    seen = measurements.groupBy("session_id", "rel").agg(*[F.bool_or(F.col("slot") == d).alias(d) for d in DEVICES])
+    seen = wide.groupBy("session_id", "rel").agg(*[F.bool_or(F.col(d.lower()).isNotNull()).alias(d) for d in DEVICES])
     there = F.coalesce(*[F.when(F.col("slot") == d, F.col(d)) for d in DEVICES], F.lit(False))
     return lost(expected(items.join(seen, ["session_id", "rel"], "left"), volumes, keep=DEVICES).filter(~there))
 
