@@ -14,7 +14,18 @@ def reconcile(c1: DataFrame, c2: DataFrame) -> DataFrame:
     """Each path of either card with its pairing, and the source it is copied from (card 1 if it has it)."""
     a = c1.select(*KEYS, F.col("size").alias("size1"), F.col("mtime").alias("mtime1"))
     b = c2.select(*KEYS, F.col("size").alias("size2"), F.col("mtime").alias("mtime2"))
-    both = a.join(b, KEYS, "full")
+    return paired(a.join(b, KEYS, "full"))
+
+
+def reconcile_dealt(cards: DataFrame) -> DataFrame:
+    """reconcile() of rows that hold what each card has of a file (c1, c2: structs of size and mtime, or null), paths not null: they meet once, where a join shuffles either card."""
+    held = cards.groupBy(*KEYS).agg(F.collect_list("c1").alias("a"), F.collect_list("c2").alias("b"))
+    both = held.select(*KEYS, F.explode_outer("a").alias("a"), "b").select(*KEYS, "a", F.explode_outer("b").alias("b")).filter("a IS NOT NULL OR b IS NOT NULL")
+    return paired(both.select(*KEYS, F.col("a.size").alias("size1"), F.col("a.mtime").alias("mtime1"), F.col("b.size").alias("size2"), F.col("b.mtime").alias("mtime2")))
+
+
+def paired(both: DataFrame) -> DataFrame:
+    """The pairing and source of paths with what the two cards have of each, side by side."""
     pairing = F.when(F.col("size2").isNull(), "OnlyOnC1").when(F.col("size1").isNull(), "OnlyOnC2").when(F.col("size1") == F.col("size2"), "Twinned").otherwise("SizeConflict")
     source = F.when(F.col("size1").isNotNull(), "C1").otherwise("C2")
     rows = both.select(*KEYS, pairing.alias("pairing"), source.alias("source"), F.coalesce("size1", "size2").alias("size"), F.coalesce("mtime1", "mtime2").alias("mtime"))
