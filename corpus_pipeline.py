@@ -29,9 +29,9 @@ def without_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of texts whose five-word shingles have a Jaccard of 0.8 or more.
+    """The document of the smallest doc_id of each group of texts that are near copies by SimHash or by Jaccard.
 
-    SimHash finds those that differ in few bits, a join on rare shingles all others (see near_copies).
+    Near are fingerprints that differ in two bits at most, and sets of five-word shingles with a Jaccard of 0.8 or more (see near_copies).
     """
     return near_copies.without_copies(docs)
 

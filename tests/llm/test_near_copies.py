@@ -71,3 +71,14 @@ def test_rows_of_null_or_one_doc_id(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.without_near_copies(spark, df, "").collect()), key=str)
     assert got == sorted([(None, prose[0]), (None, prose[1]), (3, prose[2]), (3, prose[3]), (5, prose[4])], key=str)
+
+
+def test_fingerprints_link_what_sets_do_not(spark):
+    """Texts that are one passage many times, each with an end of its own: few different shingles are shared, nearly all counted ones are."""
+    rng = random.Random(8)
+    prose = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    passage, other = prose(9), prose(60)
+    rows = [(k, f"{passage} " * 200 + prose(8)) for k in (1, 2, 3)] + [(4, f"{passage} {other}"), (5, other)]
+    assert not any(len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b)) for i, (_, a) in enumerate(rows[:4]) for _, b in rows[:i])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, df, "").collect()) == [1, 4]
