@@ -16,6 +16,8 @@ from . import digest
 # Kinds of container with rules, least number of metadata samples, and the largest share of bytes that may differ.
 PINNED = ("mp4",)
 MIN_SAMPLES, SHARE = 32, 0.02
+#: Bytes of a cell in which runs meet spans: small, so that few of a file's spans lie in one.
+CELL = 1 << 16
 
 
 def compared(pairs: DataFrame, size: int = ranges.RANGE, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
@@ -55,10 +57,10 @@ def facts(pairs: DataFrame, structures: DataFrame, kinds: DataFrame, chunks: Dat
     fit = base.filter(F.col("ext").isin(*PINNED) & (F.col("size_a") == F.col("size_b")) & F.col("structure_equal"))
 
     track = kept(digest.chunk_spans(*(x.join(fit.select("rel"), "rel", "left_semi") for x in (chunks, spans, sizes))).join(kinds, ["rel", "track"]))
-    samples = sizes.join(kinds, ["rel", "track"]).filter("kind <> 'essence'").groupBy("rel").agg(F.count("*").alias("samples"))
+    samples = sizes.groupBy("rel", "track").agg(F.count("*").alias("n")).join(kinds, ["rel", "track"]).filter("kind <> 'essence'").groupBy("rel").agg(F.sum("n").alias("samples"))
     tracks = kinds.groupBy("rel").agg(F.count("*").alias("tracks"))
     essence = track.filter("kind = 'essence'").groupBy("rel").agg(F.count("*").alias("essence_spans"))
-    crossed = digest.overlapping(track, "rel", size).withColumn("crossed", F.lit(True))
+    crossed = digest.overlapping(track, "rel").withColumn("crossed", F.lit(True))
     rows = base
     for x in (tracks, samples, essence, crossed):
         rows = rows.join(x, "rel", "left")
@@ -69,7 +71,7 @@ def facts(pairs: DataFrame, structures: DataFrame, kinds: DataFrame, chunks: Dat
     totals, runs = compared(fit.select("rel", "a", "b", F.col("size_a").alias("size")), size)
     again = fit.select("rel", F.col("a").alias("path"), F.lit(0).cast("long").alias("no"), F.col("start").alias("offset"), (F.col("stop") - F.col("start")).alias("length"))
     again = ranges.range_digests(again, ["rel"], algorithm).select("rel", F.col("hash").alias("verified"))
-    inside = digest.overlaps(runs, track.filter("kind = 'essence'"), "rel", size).withColumnRenamed("bytes", "inside")
+    inside = digest.overlaps(runs, track.filter("kind = 'essence'"), "rel", min(size, CELL)).withColumnRenamed("bytes", "inside")
     for x in (totals, again, inside):
         rows = rows.join(x, "rel", "left")
     rows = rows.withColumn("structure_stable", F.coalesce(F.col("verified") == F.col("hash"), F.lit(False)))

@@ -274,14 +274,16 @@ def written(rows: DataFrame, root: str) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = located(root)
-        rel, out, size, done = None, None, 0, []
+        rel, out, size, done, folder = None, None, 0, [], None
         for b in batches:
             for name, value in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if name != rel:
                     if out is not None:
                         out.close()
                         done.append((rel, size))
-                    store.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
+                    if (at := f"{base}/{name}".rsplit("/", 1)[0]) != folder:
+                        store.create_dir(at, recursive=True)
+                        folder = at
                     rel, out, size = name, store.open_output_stream(f"{base}/{name}"), 0
                 data = value.as_py() or b""
                 out.write(data)
