@@ -19,11 +19,13 @@ UNITS = (
     "day", "weeks", "week", "months", "month", "years", "year", "dollars", "dollar", "cents", "cent", "euros", "euro", "percent", "mph",
 )
 # Fixed patterns: numbers, numbers with their unit, and capitalised words in a row, amid a sentence (a name) or at the
-# start of one (a name, or any first word).
-DIGITS = r"\d+(?:[.,]\d+)*"
-WITH_UNIT = rf"[$€£]{DIGITS}|{DIGITS}\s?(?:[%€£$]|(?:{'|'.join(UNITS)})(?!\p{{L}}))"
+# start of one (a name, or any first word). Runs are possessive: Java's matcher would else call itself once for each word
+# or number of a run, and a run of some thousand overflows the stack, which ends the executor. Nothing that follows a run
+# could match inside it, and from inside it no match ends elsewhere than from its start, so the matches are the same.
+DIGITS = r"\d++(?:[.,]\d++)*+"
+WITH_UNIT = rf"[$€£]{DIGITS}|(?<!\d)(?<!\d[.,]){DIGITS}\s?(?:[%€£$]|(?:{'|'.join(UNITS)})(?!\p{{L}}))"
 CAPITALISED = r"\p{Lu}\p{Ll}+"
-NAME = rf"(?<=[\p{{Ll}}\p{{Nd}},;:]\s){CAPITALISED}(?:\s{CAPITALISED})*"
+NAME = rf"(?<=[\p{{Ll}}\p{{Nd}},;:]\s){CAPITALISED}(?:\s{CAPITALISED})*+"
 FIRST = rf"(?<![\p{{L}}\p{{M}}\p{{Nd}}])(?<![\p{{Ll}}\p{{Nd}},;:]\s)({CAPITALISED})(?:\s({CAPITALISED}))?(?:\s({CAPITALISED}))?"
 NAME_SLOT, NUMBER_SLOT, UNIT_SLOT = "\u0001a", "\u0001n", "\u0001u"
 #: What stands before capitalised words that start a sentence, and between them.

@@ -121,3 +121,17 @@ def test_matches_brute_force(spark):
     found = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     want = {(d, i) for d, t in docs for i, x in items if brute(t, x)}
     assert {(r.doc_id, r.item_id) for r in found} == want and 60 < len(want) < 200
+
+
+def test_runs_of_any_length(spark):
+    # Names in a row, numbers joined by commas, digits alone.
+    names, numbers, digits = "Von " * 30_000, ",".join(["7"] * 60_000), "7" * 60_000
+    bench = spark.createDataFrame([(1, "the grey heron stands in the pond all day long")], "item_id long, text string")
+    texts = [f"so said {names}and {numbers} km, {digits}, {numbers} x", f"Of {names}the grey heron stands in the pond all day long", f"${numbers} {digits} the grey heron stands in the pond all day long"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.select(decontam.template(decontam.F.col("text")).alias("w"), decontam.slots(decontam.F.col("text")).alias("v")).collect()
+    assert rows[0].w == ["so", "said", "\x01a", "and", "\x01u", "\x01n", "\x01n", "x"]
+    assert rows[0].v == [names.strip().lower(), f"{numbers} km", digits, numbers]
+    assert rows[1].w[0] == "\x02of\x03von\x03von" and rows[1].w[-11:] == ["\x01a", *texts[1].split()[-10:]] and len(rows[1].v) == 2
+    assert rows[2].w[:2] == ["\x01u", "\x01n"] and rows[2].v == [f"${numbers}", digits]
+    assert sorted(r.doc_id for r in decontam.leaks(docs, bench).collect()) == [1, 2]
