@@ -42,10 +42,10 @@ def free_names(asked: DataFrame, taken: DataFrame) -> DataFrame:
     return rows.join(free, ["folder", "id", "nth"]).select("folder", "id", "ord", "name")
 
 
-def mhl_line() -> Column:
-    """An entry as a line of MHL 1.1."""
-    mtime = formats.rfc3339(F.coalesce("mtime", F.lit("1970-01-01").cast("timestamp")))
-    return F.to_xml(F.struct(F.col("rel").alias("file"), F.col("size"), mtime.alias("lastmodificationdate"), F.col("hash").alias("xxhash64be"), mtime.alias("hashdate")), {"rowTag": "hash"})
+def mhl_line(entry: str = "") -> Column:
+    """An entry as a line of MHL 1.1; entry names the struct that it is in, if it is, with a point behind."""
+    mtime = formats.rfc3339(F.coalesce(f"{entry}mtime", F.lit("1970-01-01").cast("timestamp")))
+    return F.to_xml(F.struct(F.col(f"{entry}rel").alias("file"), F.col(f"{entry}size").alias("size"), mtime.alias("lastmodificationdate"), F.col(f"{entry}hash").alias("xxhash64be"), mtime.alias("hashdate")), {"rowTag": "hash"})
 
 
 def asc_mhl_line() -> Column:

@@ -25,6 +25,8 @@ SESSION = (
     "reconciliation struct<twinned:bigint,only_c1:array<string>,only_c2:array<string>,conflicts:array<string>,had_card2:boolean>, "
     "verdict struct<state:string,reasons:array<string>>, errors array<string>, formatted_after string"
 )
+#: What a bundle's list of its own contents is called.
+CONTENTS = "contents.txt"
 ENTRY = (
     "file string, size string, lastmodificationdate string, hashdate string, xxhash64be string, xxhash64 string, md5 string, sha1 string, sha256 string, "
     "path struct<_VALUE:string,_size:string,_lastmodificationdate:string>, xxh64 struct<_VALUE:string,_hashdate:string>, xxh3 struct<_VALUE:string>, xxh128 struct<_VALUE:string>, c4 struct<_VALUE:string>"
@@ -155,23 +157,28 @@ def bundle(expected: DataFrame, listing: DataFrame) -> DataFrame:
     return expected.join(there, ["session_id", "artifact"], "left").select("session_id", "artifact", F.coalesce("there", F.lit(False)).alias("gathered"))
 
 
-def export_bundles(expected: DataFrame, lines: DataFrame, root: str) -> DataFrame:
+def export_bundles(expected: DataFrame, lines: DataFrame, root: str, value: Column | None = None) -> DataFrame:
     """Writes each session's bundle, a folder with a file for each artifact gathered and one, contents.txt, that says what is and what is not.
 
     expected (session_id, artifact): what a session's bundle should hold; lines (session_id, artifact, part, value): what
-    there is, line by line in the order of part. Other sessions' lines and other artifacts are left out. Returns
-    (session_id, artifact, gathered, bytes), bytes null of what is not gathered. No artifact's lines are gathered in memory.
+    there is, line by line in the order of part. Other sessions' lines and other artifacts are left out. value: how a line
+    is made of further columns of lines, if it is; that is done as it is written. Returns (session_id, artifact, gathered,
+    bytes), bytes null of what is not gathered. No artifact's lines are gathered in memory; lines are gone through once, as
+    what was gathered is seen from the files written.
     """
-    own = lines.join(expected.select("session_id", "artifact").distinct(), ["session_id", "artifact"], "left_semi")
-    state = bundle(expected.select("session_id", "artifact").distinct(), own)
+    wanted = kept(expected.select("session_id", "artifact").distinct())
     name = F.concat(F.col("session_id").cast("string"), F.lit("/"))
-    said = state.select(name.alias("folder"), F.concat(F.when(F.col("gathered"), "gathered: ").otherwise("not gathered: "), F.col("artifact")).alias("value"))
-    told = said.select(F.concat("folder", F.lit("contents.txt")).alias("rel"), F.struct(F.lit(None).cast("long").alias("n"), F.col("value").alias("text")).alias("part"), "value")
-    rows = own.select(F.concat(name, "artifact").alias("rel"), F.struct(F.col("part").cast("long").alias("n"), F.lit("").alias("text")).alias("part"), "value").unionByName(told)
-    sizes = kept(ranges.written(rows.withColumn("value", F.concat("value", F.lit("\n"))), root))
-    at = F.split("rel", "/")
-    sizes = sizes.select(F.get(at, F.lit(0)).alias("_session"), F.get(at, F.lit(1)).alias("_artifact"), F.col("size").alias("bytes"))
-    return state.join(sizes, (F.col("session_id").cast("string") == F.col("_session")) & (F.col("artifact") == F.col("_artifact")), "left").select("session_id", "artifact", "gathered", "bytes")
+    own = lines.join(wanted, ["session_id", "artifact"], "left_semi").withColumn("_rel", F.concat(name, "artifact")).withColumn("_part", F.col("part").cast("long"))
+    line = F.concat(F.col("value") if value is None else value, F.lit("\n"))
+    more = [c for c in lines.columns if c not in ("session_id", "artifact", "part")]
+    sizes = kept(ranges.written(own.select(F.col("_rel").alias("rel"), F.col("_part").alias("part"), *more), root, line))
+    state = wanted.withColumn("rel", F.concat(name, "artifact")).join(sizes, "rel", "left").withColumn("gathered", F.col("size").isNotNull())
+    said = F.concat(F.when(F.col("gathered"), "gathered: ").otherwise("not gathered: "), F.col("artifact"))
+    told = state.select(F.concat(name, F.lit(CONTENTS)).alias("rel"), F.struct(F.lit(None).cast("long").alias("n"), said.alias("text")).alias("part"), F.concat(said, F.lit("\n")).alias("value"))
+    if not wanted.filter(F.col("artifact") == CONTENTS).isEmpty():  # an artifact of this name stands below what is said
+        told = told.unionByName(own.filter(F.col("artifact") == CONTENTS).select(F.col("_rel").alias("rel"), F.struct(F.col("_part").alias("n"), F.lit("").alias("text")).alias("part"), line.alias("value")))
+    told = kept(ranges.written(told, root)).select("rel", F.col("size").alias("whole"))
+    return state.join(told, "rel", "left").select("session_id", "artifact", "gathered", F.coalesce("whole", "size").alias("bytes"))
 
 
 def session_folders(listing: DataFrame, drive: list[str] | None = None) -> DataFrame:

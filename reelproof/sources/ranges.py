@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -265,11 +265,12 @@ def diff_runs(pairs: DataFrame, keys: list[str], tasks: int | None = None) -> Da
     return dealt(pairs.select(*keys, "a", "b", "offset", "length", "budget"), tasks).mapInArrow(each, schema)
 
 
-def written(rows: DataFrame, root: str) -> DataFrame:
+def written(rows: DataFrame, root: str, value: Column | None = None) -> DataFrame:
     """Writes files named by rows (rel, part, value): below root, a file a rel, its values in the order of part. Returns (rel, size).
 
     Values are bytes or text. A file's rows stream through one task and are never gathered; a task that is tried again
-    writes its files anew.
+    writes its files anew. value says how they are made of other columns of the rows, if they are: only once these are
+    dealt and in order, so that what moves between tasks is the columns.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,5 +295,6 @@ def written(rows: DataFrame, root: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"rel": [rel], "size": [size]}, schema=pa.schema([("rel", pa.string()), ("size", pa.int64())]))
 
-    rows = rows.select("rel", "part", F.col("value").cast("binary").alias("value")).repartition("rel").sortWithinPartitions("rel", "part")
-    return rows.select("rel", "value").mapInArrow(each, "rel string, size long")
+    rows = rows.select("rel", "part", F.col("value").cast("binary").alias("value")) if value is None else rows
+    rows = rows.repartition("rel").sortWithinPartitions("rel", "part")
+    return rows.select("rel", (F.col("value") if value is None else value).cast("binary").alias("value")).mapInArrow(each, "rel string, size long")
